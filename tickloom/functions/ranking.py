@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Groups above this many rows are ranked bucket by bucket; smaller ones are sorted whole.
+HOT_ROWS = 1_000_000
+
+
 def ranked(
     df: DataFrame,
     group: Sequence[str],
@@ -14,19 +18,36 @@ def ranked(
     order: Sequence[Column | str],
     rank: str = "rn",
     size: str | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Row number (1-based) of every row inside its group, under `order`.
+    """Row number (1-based) of every row inside its group under `order`, optionally with the group's size.
 
-    `buckets` are non-null columns, coarse to fine, that never decrease along `order`. Rows are counted
-    per (group, buckets) with map-side combine, the small count tables are prefix-summed level by
-    level, and only rows of one finest bucket are ever sorted together. A group holding most of
-    the table is therefore spread over as many tasks as it has buckets.
+    A first count by group (map-side combined) finds the hot groups. There are at most
+    rows/hot_rows of them, which bounds the broadcast. `buckets` are non-null columns, coarse to
+    fine, that never decrease along `order`: rows of a hot group are counted per bucket, the counts
+    are prefix-summed level by level, and only one finest bucket is sorted together. Other groups
+    keep null buckets and are sorted whole, at most `hot_rows` rows at a time.
     """
     keys = list(group)
     levels = [f"__b{i}" for i in range(len(buckets))]
-    tagged = df.withColumns(dict(zip(levels, buckets)))
-
-    table = tagged.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__c"))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    hot = F.broadcast(sizes.where(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot")))
+    marked = df.join(hot, keys, "left") if keys else df.join(hot, F.lit(True), "left")
+    tagged = marked.withColumns({n: F.when(F.col("__hot"), b) for n, b in zip(levels, buckets)})
+
+    offsets = _bucket_offsets(tagged.where(F.col("__hot")), keys, levels)
+    inside = Window.partitionBy(*keys, *levels)
+    local = F.row_number().over(inside.orderBy(*order))
+    placed = tagged.join(offsets, keys + levels, "left")
+    out = {rank: F.coalesce(F.col("__offset"), F.lit(0)) + local}
+    if size:
+        out[size] = F.coalesce(F.col("__size"), F.count(F.lit(1)).over(inside))
+    return placed.withColumns(out).drop("__offset", "__size", "__hot", *levels)
+
+
+def _bucket_offsets(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
+    """Rows before each finest bucket of its group (`__offset`), and the group's rows (`__size`)."""
+    table = rows.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__c"))
     offsets = None
     for depth in range(len(levels), 0, -1):
         parent = keys + levels[: depth - 1]
@@ -36,20 +57,12 @@ def ranked(
         scope = Window.partitionBy(*(parent or [F.lit(0)]))
         before = scope.orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
         added = {f"__o{depth}": F.coalesce(F.sum("__c").over(before), F.lit(0))}
-        if depth == 1 and size:
-            added[size] = F.sum("__c").over(scope)
+        if depth == 1:
+            added["__size"] = F.sum("__c").over(scope)
         level = table.withColumns(added).drop("__c")
         offsets = level if offsets is None else offsets.join(level, here)
     offset = sum((F.col(f"__o{d}") for d in range(1, len(levels) + 1)), F.lit(0))
-    kept = keys + levels + ["__offset"] + ([size] if size else [])
-    offsets = offsets.withColumn("__offset", offset).select(*kept)
-
-    local = F.row_number().over(Window.partitionBy(*keys, *levels).orderBy(*order))
-    return (
-        tagged.join(offsets, keys + levels)
-        .withColumn(rank, F.col("__offset") + local)
-        .drop("__offset", *levels)
-    )
+    return offsets.select(*keys, *levels, offset.alias("__offset"), "__size")
 
 
 def ntile_of(rank: Column, size: Column, tiles: int) -> Column:

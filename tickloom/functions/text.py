@@ -43,24 +43,29 @@ def verb_family(body: Column) -> Column:
     return verb.otherwise(F.element_at(F.split(body, " "), 1))
 
 
-def classify(body: Column, verb: Column) -> Column:
-    """Struct(event_family, verb_family, polarity) of a lower-case event text; the first rule wins."""
-
-    def result(family: Column, v: Column, polarity: Column) -> Column:
-        return F.struct(family.alias("event_family"), v.alias("verb_family"), polarity.alias("polarity"))
-
+def rule_number(body: Column) -> Column:
+    """1-based number of the first event rule whose fragments all occur in a lower-case event text, else 0."""
     chain = None
-    for family, rule_verb, polarity, fragments in lexicon.EVENT_RULES:
-        hit = F.lit(True)
-        for fragment in fragments:
+    for number, (_, _, _, fragments) in enumerate(lexicon.EVENT_RULES, 1):
+        hit = body.contains(fragments[0])
+        for fragment in fragments[1:]:
             hit = hit & body.contains(fragment)
-        value = result(F.lit(family), F.lit(rule_verb), F.lit(polarity))
-        chain = F.when(hit, value) if chain is None else chain.when(hit, value)
+        chain = F.when(hit, F.lit(number)) if chain is None else chain.when(hit, F.lit(number))
+    return chain.otherwise(F.lit(0))
+
+
+def default_polarity(verb: Column) -> Column:
     default = F.lit(0)
     for sign in (1, -1):
         listed = [v for v, p in lexicon.DEFAULT_POLARITY_BY_VERB.items() if p == sign]
         default = F.when(verb.isin(listed), F.lit(sign)).otherwise(default)
-    return chain.otherwise(result(F.concat(verb, F.lit("_other")), verb, default))
+    return default
+
+
+def by_rule(rule: Column, position: int, otherwise: Column) -> Column:
+    """The rule's entry at `position`, from one constant array."""
+    entries = F.array(*[F.lit(r[position]) for r in lexicon.EVENT_RULES])
+    return F.when(rule > 0, F.element_at(entries, rule)).otherwise(otherwise)
 
 
 def amount_m(text: Column) -> Column:
@@ -98,6 +103,7 @@ def normalized(text: Column) -> Column:
 def parse_headlines(headlines: DataFrame) -> DataFrame:
     """Add the fifteen parsed columns to a table with a `headline` column (null becomes '')."""
     text, body, body_lower = F.col("__text"), F.col("body"), F.col("__body")
+    verb, rule = F.col("__verb"), F.col("__rule")
     parsed = (
         headlines.withColumn("headline", F.coalesce("headline", F.lit("")))
         .withColumn("__text", F.regexp_replace("headline", f"^{_BLANKS}|{_BLANKS}$", ""))
@@ -111,27 +117,27 @@ def parse_headlines(headlines: DataFrame) -> DataFrame:
         )
         .withColumn("__body", F.lower(body))
         .withColumn("__verb", verb_family(body_lower))
-        .withColumns({"__lower": F.lower(text), "__event": classify(body_lower, F.col("__verb"))})
+        .withColumns({"__lower": F.lower(text), "__rule": rule_number(body_lower)})
         .withColumns(
             {
                 "event_text": body,
                 "headline_normalized": normalized(text),
                 "event_text_normalized": normalized(body),
-                "verb_family": F.col("__event.verb_family"),
-                "event_family": F.col("__event.event_family"),
+                "verb_family": by_rule(rule, 1, verb),
+                "event_family": by_rule(rule, 0, F.concat(verb, F.lit("_other"))),
                 "topic": longest_match(F.col("__lower"), lexicon.TOPICS),
                 "geography": longest_match(F.col("__lower"), lexicon.GEOGRAPHIES),
                 "counterparty": longest_match(F.col("__lower"), lexicon.COUNTERPARTIES),
                 "amount_m": amount_m(text),
                 "pct": percent(text),
-                "polarity": F.col("__event.polarity").cast("int"),
+                "polarity": by_rule(rule, 2, default_polarity(verb)).cast("int"),
             }
         )
         .withColumns(
             {"has_amount": (F.col("amount_m") > 0).cast("int"), "has_pct": (F.col("pct") > 0).cast("int")}
         )
     )
-    return parsed.drop("__text", "__words", "__k", "__body", "__verb", "__lower", "__event")
+    return parsed.drop("__text", "__words", "__k", "__body", "__verb", "__lower", "__rule")
 
 
 # Text a document is built from (lower-cased).

@@ -77,34 +77,32 @@ def term_counts(
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-def vocabulary(
-    counts: DataFrame,
-    n_docs: DataFrame | Column,
-    scope: Sequence[str] = (),
-    min_df: int = 2,
-    max_features: int = 256,
-) -> DataFrame:
-    """(scope, term, df, tf, position, idf): terms with df >= min_df, the first max_features by (-tf, -df, term).
+def idf(n_docs: Column, df: Column) -> Column:
+    return F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + df)) + 1.0
+
 
-    `n_docs` counts all documents, empty ones too: a column, or a table (scope, n_docs). The cut is a
-    window group limit, so each task passes on only its own top terms. max_features <= 0 keeps all.
+def cut_vocabulary(stats: DataFrame, scope: Sequence[str], min_df: int, max_features: int) -> DataFrame:
+    """Terms (scope, term, df, tf) with df >= min_df, numbered by (-tf, -df, term) up to max_features.
+
+    The cut is a window group limit, so each task passes on only its own top terms. max_features <= 0 keeps all
+    terms, unnumbered.
     """
-    stats = (
-        counts.groupBy(*scope, "term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
-        .where(F.col("df") >= min_df)
-    )
-    if max_features > 0:
-        order = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(F.col("tf").desc(), F.col("df").desc(), "term")
-        stats = stats.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_features)
-    else:
-        stats = stats.withColumn("position", F.lit(None).cast("int"))
-    if isinstance(n_docs, DataFrame):
-        stats = stats.join(n_docs, list(scope)) if scope else stats.crossJoin(F.broadcast(n_docs))
-    else:
-        stats = stats.withColumn("n_docs", n_docs)
-    idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    return stats.withColumn("idf", idf).drop("n_docs")
+    kept = stats.where(F.col("df") >= min_df)
+    if max_features <= 0:
+        return kept.withColumn("position", F.lit(None).cast("int"))
+    order = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(F.col("tf").desc(), F.col("df").desc(), "term")
+    return kept.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_features)
+
+
+def vocabulary(
+    counts: DataFrame, n_docs: DataFrame, scope: Sequence[str] = (), min_df: int = 2, max_features: int = 256
+) -> DataFrame:
+    """(scope, term, df, tf, position, idf). `n_docs` (scope, n_docs) counts all documents, empty ones too."""
+    stats = counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    cut = cut_vocabulary(stats, scope, min_df, max_features)
+    # One row per scope: a handful of rows.
+    joined = cut.join(F.broadcast(n_docs), list(scope)) if scope else cut.crossJoin(F.broadcast(n_docs))
+    return joined.withColumn("idf", idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
 
 
 def tfidf(
@@ -127,10 +125,3 @@ def tfidf(
     return hits.join(norms, doc).select(
         *doc, "term", "position", F.coalesce(ratio(F.col("x"), F.col("norm")), F.lit(0.0)).alias("weight")
     )
-
-
-def spread_terms(weights: DataFrame, keys: Sequence[str], max_features: int, prefix: str) -> DataFrame:
-    """Wide `prefix001..` columns by vocabulary position, one row per document with any term."""
-    names = [f"{prefix}{i:03d}" for i in range(1, max_features + 1)]
-    cells = [F.max(F.when(F.col("position") == i, F.col("weight"))).alias(n) for i, n in enumerate(names, 1)]
-    return weights.groupBy(*keys).agg(*cells).na.fill(0.0, names)
