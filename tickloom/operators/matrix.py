@@ -61,3 +61,19 @@ def concat_blocks(sessions: DataFrame, blocks: Sequence[tuple[str, DataFrame]])
     for alias, block in blocks:
         out = out.join(prefix_columns(block, alias), "session", "left")
     return out.na.fill(0.0)
+
+
+def standardise(frame: DataFrame, columns: Sequence[str], floor: float = 1e-6) -> DataFrame:
+    """Z-scores by population mean and std; a std at or below the floor counts as 1."""
+    stats = frame.agg(
+        *[F.avg(c).alias(f"__m{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(c).alias(f"__s{i}") for i, c in enumerate(columns)],
+    )
+    rows = frame.crossJoin(F.broadcast(stats))
+
+    def z(i: int, c: str):
+        scale = F.when(F.col(f"__s{i}") > floor, F.col(f"__s{i}")).otherwise(F.lit(1.0))
+        return ((F.col(c) - F.col(f"__m{i}")) / scale).alias(c)
+
+    kept = [c for c in frame.columns if c not in columns]
+    return rows.select(*kept, *[z(i, c) for i, c in enumerate(columns)])

@@ -46,27 +46,10 @@ class Inputs:
     def seen(self) -> DataFrame:
         return matrix.restrict(self.bars, self.sessions)
 
-    @cached_property
-    def category_counts(self) -> DataFrame:
-        """Long category counts per (session, company)."""
-        return materialize(companies.category_counts(self.news.parsed), "categories")
-
-    @cached_property
-    def category_columns(self) -> list[str]:
-        """Category columns that reach their threshold over all sessions (a superset of any fold's)."""
-        rows = companies.frequent_columns(self.category_counts).select("column").distinct().collect()
-        return sorted(r["column"] for r in rows)
-
-
-def _text_features(i: Inputs, k: int) -> DataFrame:
-    names = [f"w_{c}" for c in i.category_columns]
-    counts = i.category_counts.select("session", "company", "column", "value")
-    return summary.session_text_features(i.news.scored, counts, k, names)
-
 
 def headline_features(i: Inputs, with_bars: bool = True) -> DataFrame:
     """Summary, slots, weighted sums and sequence statistics, with price reactions when bars are used."""
-    out = _text_features(i, summary.TOP_K).join(
+    out = i.news.text_features().join(
         sequence.sequence_features(i.news.parsed, i.news.cells), "session", "left"
     )
     if with_bars:
@@ -86,7 +69,7 @@ def _regime(i: Inputs, params: dict) -> DataFrame:
 def _numeric_part(i: Inputs, params: dict, company: bool) -> DataFrame | None:
     if not params.get("include_numeric", False):
         return None
-    return _text_features(i, int(params.get("top_k", 2))) if company else headline_features(i)
+    return i.news.text_features(int(params.get("top_k", 2))) if company else headline_features(i)
 
 
 BLOCKS: dict[str, Callable[[Inputs, dict], DataFrame | None]] = {

@@ -31,12 +31,16 @@ TARGET = "target_return"
 
 @dataclass(frozen=True)
 class Trial:
-    """One experiment: feature blocks, a model, and how positions are sized."""
+    """One experiment: feature blocks, a model, and how positions are sized.
+
+    `columns` keeps only the listed matrix columns of the blocks.
+    """
 
     name: str
     feature_blocks: tuple[FeatureSpec, ...]
     model: Model
     position_sizing: dict = field(default_factory=dict)
+    columns: tuple[str, ...] | None = None
 
 
 @dataclass(frozen=True)
@@ -96,7 +100,7 @@ def category_masks(fm: FeatureMatrix, folds: DataFrame, plan: FoldPlan) -> dict[
     """{(repeat, fold): (columns missing in train, columns missing in valid)} from per-fold category counts."""
     if not fm.category_of:
         return {cell: (set(), set()) for cell in _cells(plan)}
-    counts = fm.inputs.category_counts.groupBy("session", "column", "min_total").agg(F.sum("value").alias("value"))
+    counts = fm.inputs.news.category_counts.groupBy("session", "column", "min_total").agg(F.sum("value").alias("value"))
     per_fold = (
         counts.join(folds.select("session", "repeat", "fold"), "session")
         .groupBy("repeat", "fold", "column", "min_total")
@@ -204,12 +208,13 @@ def _train_moments(group: _Group, plan: FoldPlan, kinds, shift) -> dict[tuple[in
     got = collect_moments(group.design, group.columns, TARGET, names, kinds, shift)
     for k in range(len(kinds)):
         for r in range(plan.n_repeats):
-            parts = [got[(k, r, f)] for f in range(plan.n_folds)]
+            parts = [m for (kind, repeat, _), m in got.items() if (kind, repeat) == (k, r)]
             total = parts[0]
             for part in parts[1:]:
                 total = total + part
             for f in range(plan.n_folds):
-                out[(k, r, f)] = total - parts[f]
+                own = got.get((k, r, f))
+                out[(k, r, f)] = total - own if own else total
     return out
 
 
@@ -247,7 +252,7 @@ def _second_pass(group: _Group, plan: FoldPlan, fits: dict, shift: np.ndarray) -
                     a = np.abs(y[rows] - fit.predict(x[rows]))
                     yield pd.DataFrame({"trial": trial, "repeat": r, "fold": f, "a": a})
 
-    rows = group.design.drop("session")
+    rows = group.design
     summed = (
         rows.mapInPandas(sums, "trial int, repeat int, fold int, v array<double>")
         .groupBy("trial", "repeat", "fold")
@@ -359,13 +364,7 @@ def cross_validate(
     if not scored:
         raise ValueError(f"No trial could be fitted: {errors}")
 
-    union = scored[0]
-    for part in scored[1:]:
-        union = union.unionByName(part)
-    names = F.broadcast(spark.createDataFrame([(n, t) for t, n in numbers.items()], "trial int, experiment_name string"))
-    union = union.join(names, "trial").withColumn("seed", F.lit(plan.seed) + F.col("repeat"))
-    predictions = materialize(union, "predictions")
-    oof = materialize(_positions(predictions, trials), "oof")
+    oof = materialize(_positions(_named(scored, numbers, plan), trials), "oof")
     keys = ["experiment_name", "repeat", "seed", "fold"]
     sizes = folds.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_all"))
     feature_counts = spark.createDataFrame(
@@ -382,6 +381,17 @@ def cross_validate(
     return Results(materialize(summary, "summary"), oof, errors, time.time() - started)
 
 
+def _named(scored: Sequence[DataFrame], numbers: dict[str, int], plan: FoldPlan) -> DataFrame:
+    """Union of the groups' predictions with experiment names and seeds, written once."""
+    union = scored[0]
+    for part in scored[1:]:
+        union = union.unionByName(part)
+    rows = [(n, t) for t, n in numbers.items()]
+    names = union.sparkSession.createDataFrame(rows, "trial int, experiment_name string")
+    union = union.join(F.broadcast(names), "trial").withColumn("seed", F.lit(plan.seed) + F.col("repeat"))
+    return materialize(union, "predictions")
+
+
 def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
     """Solve every trial and fold of a group; returns fits and feature counts by (trial, repeat, fold)."""
     kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
@@ -395,6 +405,8 @@ def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
     for trial in group.trials:
         n = numbers[trial.name]
         own = [c for s in trial.feature_blocks for c in fm.columns[s.resolved_alias]]
+        if trial.columns is not None:
+            own = [c for c in own if c in trial.columns]
         texts = [c for s in trial.feature_blocks if s.resolved_alias in fm.texts for c in fm.texts[s.resolved_alias].columns]
         try:
             for r, f in _cells(plan):

@@ -11,8 +11,9 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from tickloom.operators.companies import company_session, score_relevance
+from tickloom.operators.companies import category_counts, company_session, frequent_columns, score_relevance
 from tickloom.operators.events import event_cells, parsed_events
+from tickloom.operators.summary import TOP_K, session_text_features
 from tickloom.session import materialize
 
 
@@ -41,3 +42,19 @@ class News:
     def ranked(self) -> DataFrame:
         """`scored` with the full relevance rank."""
         return score_relevance(self.companies, rank=True)
+
+    @cached_property
+    def category_counts(self) -> DataFrame:
+        """Long category counts per (session, company), before any threshold."""
+        return materialize(category_counts(self.parsed), "categories")
+
+    @cached_property
+    def category_columns(self) -> list[str]:
+        """Category columns that reach their threshold over all these headlines."""
+        rows = frequent_columns(self.category_counts).select("column").distinct().collect()
+        return sorted(r["column"] for r in rows)
+
+    def text_features(self, k: int = TOP_K) -> DataFrame:
+        """Sums, summary, slots and weighted sums, weighted category columns included."""
+        counts = self.category_counts.select("session", "company", "column", "value")
+        return session_text_features(self.scored, counts, k, [f"w_{c}" for c in self.category_columns])

@@ -4,7 +4,7 @@ from tickloom.registry import common
 
 
 def _load() -> None:
-    from tickloom.registry import bars, text  # noqa: F401
+    from tickloom.registry import bars, models, text  # noqa: F401
 
 
 def queries():

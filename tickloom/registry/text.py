@@ -232,10 +232,10 @@ def category_counts_long(spark, sf_dir):
 
 @query(
     "company_relevance",
-    tidy_sql(COMPANY, " ".join([D, "company:s", *companies.RELEVANCE_COLUMNS]), "scored"),
+    tidy_sql(COMPANY, " ".join([D, "company:s", *companies.RELEVANCE_COLUMNS]), "scored", 9),
 )
 def company_relevance(spark, sf_dir):
-    return tidy(news(spark, sf_dir).ranked.select("session", "company", *companies.RELEVANCE_COLUMNS))
+    return tidy(news(spark, sf_dir).ranked.select("session", "company", *companies.RELEVANCE_COLUMNS), 9)
 
 
 @query(
@@ -301,10 +301,10 @@ summary AS (SELECT *, top1_relevance - top2_relevance AS relevance_gap, top1_wei
 
 @query(
     "session_text_summary",
-    tidy_sql(COMPANY + _SUMMARY, " ".join([D, *summary.ADDITIVE_COLUMNS, *summary.SUMMARY_COLUMNS]), "summary"),
+    tidy_sql(COMPANY + _SUMMARY, " ".join([D, *summary.ADDITIVE_COLUMNS, *summary.SUMMARY_COLUMNS]), "summary", 8),
 )
 def session_text_summary(spark, sf_dir):
-    return tidy(summary.relevance_summary(news(spark, sf_dir).scored))
+    return tidy(summary.relevance_summary(news(spark, sf_dir).scored), 8)
 
 
 _SLOT_NAMES = [f"top{s}_{x}" for s in (1, 2) for x in summary.SLOT_COLUMNS]
@@ -315,9 +315,9 @@ _SLOTS = (
 )
 
 
-@query("company_slots", tidy_sql(COMPANY + _SLOTS, " ".join([D, *_SLOT_NAMES]), "slots"))
+@query("company_slots", tidy_sql(COMPANY + _SLOTS, " ".join([D, *_SLOT_NAMES]), "slots", 9))
 def company_slots(spark, sf_dir):
-    return tidy(summary.company_slots(news(spark, sf_dir).scored).na.fill(0.0))
+    return tidy(summary.company_slots(news(spark, sf_dir).scored).na.fill(0.0), 9)
 
 
 _WEIGHTED = (
@@ -642,42 +642,58 @@ def vector_company_weighted(spark, sf_dir):
     return tidy(_long_vectors(wide, ["weighted_emb_", "weighted_recent_emb_"]))
 
 
+# The cache holds the texts of the first five bars; later bars bring the missing ones.
 _CACHE = """,
-cache AS (SELECT text, embedding FROM tv WHERE length(text) % 2 = 0)"""
+early AS (SELECT DISTINCT headline_normalized AS text FROM events_t WHERE bar_ix < 5 AND headline_normalized <> ''),
+recent AS (SELECT DISTINCT headline_normalized AS text FROM events_t WHERE is_recent = 1 AND headline_normalized <> '')"""
+
+_HEADLINE_VECTORS = """,
+nv AS (SELECT count(*) AS nv FROM embeddings),
+txt AS (SELECT DISTINCT headline_normalized AS text FROM events_t WHERE headline_normalized <> ''),
+tv AS (SELECT text, embedding FROM txt, nv JOIN embeddings ON vec_id = CAST('0x' || substr(md5(text), 1, 7) AS BIGINT) % nv)"""
+
+
+def _headline_texts(frame):
+    return frame.select(vector_text("headline_normalized").alias("text"))
 
 
 @query(
     "missing_texts",
     tidy_sql(
-        EVENTS + _VECTORS + _CACHE + ",\nq AS (SELECT text FROM txt WHERE text NOT IN (SELECT text FROM cache))", "text:s", "q"
+        EVENTS + _HEADLINE_VECTORS + _CACHE
+        + ",\nq AS (SELECT text FROM txt WHERE text NOT IN (SELECT text FROM early))",
+        "text:s",
+        "q",
     ),
 )
 def missing_texts(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    texts = p.select(vector_text("event_normalized").alias("text"))
-    cache = _text_vectors(spark, sf_dir, p).where(F.length("text") % 2 == 0)
-    return tidy(vectors.missing_texts(texts, cache))
+    p = news(spark, sf_dir).parsed
+    embeddings = adapters.table(spark, sf_dir, "embeddings")
+    cache = adapters.text_vectors(_headline_texts(p.where(F.col("bar_ix") < 5)), embeddings)
+    return tidy(vectors.missing_texts(_headline_texts(p), cache))
 
 
 @query(
     "vector_cache_merge",
     tidy_sql(
-        EVENTS + _VECTORS
+        EVENTS + _HEADLINE_VECTORS + _CACHE
         + """,
 q AS (SELECT text, len(embedding) AS dims,
-             list_sum(CAST(embedding AS DOUBLE[])) * CASE WHEN length(text) % 3 = 0 THEN 2 ELSE 1 END AS total FROM tv)""",
+             list_sum(CAST(embedding AS DOUBLE[])) * CASE WHEN text IN (SELECT text FROM recent) THEN 2 ELSE 1 END AS total
+      FROM tv WHERE text IN (SELECT text FROM early) OR text IN (SELECT text FROM recent))""",
         "text:s dims:i total",
         "q",
     ),
 )
 def vector_cache_merge(spark, sf_dir):
-    p = parsed(spark, sf_dir)
-    full = _text_vectors(spark, sf_dir, p)
-    cache = full.where((F.length("text") % 3 == 0) | (F.length("text") % 2 == 0))
+    """The early cache, with the recent texts encoded anew (doubled vectors): the new vector is kept."""
+    headlines = c.headlines(spark, sf_dir)
+    table = materialize(events.event_table(headlines), "events")
+    embeddings = adapters.table(spark, sf_dir, "embeddings")
+    cache = adapters.text_vectors(_headline_texts(table.where(F.col("bar_ix") < 5)), embeddings)
+    fresh = adapters.text_vectors(_headline_texts(table.where(F.col("is_recent") == 1)), embeddings)
     doubled = F.transform("embedding", lambda x: (x * 2).cast("float"))
-    changed = full.where(F.length("text") % 3 == 0).select("text", doubled.alias("embedding"))
-    fresh = full.where((F.length("text") % 3 != 0) & (F.length("text") % 2 != 0))
-    merged = vectors.merge_cache(cache, changed.unionByName(fresh))
+    merged = vectors.merge_cache(cache, fresh.select("text", doubled.alias("embedding")))
     total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return tidy(merged.select("text", F.size("embedding").alias("dims"), total.alias("total")))
 
@@ -701,7 +717,7 @@ def encode_texts(spark, sf_dir):
 
         return run
 
-    texts = parsed(spark, sf_dir).select(vector_text("event_normalized").alias("text"))
-    cache = vectors.hashed_vectors(texts.where(F.length("text") % 2 == 0), DIMS)
-    done = vectors.embed_texts(texts, cache, encoder)
+    p = news(spark, sf_dir).parsed
+    cache = vectors.hashed_vectors(_headline_texts(p.where(F.col("bar_ix") < 5)), DIMS)
+    done = vectors.embed_texts(_headline_texts(p), cache, encoder)
     return done.select("text", F.size("embedding").alias("dims"))
