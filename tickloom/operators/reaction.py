@@ -89,8 +89,10 @@ def reaction_context(bars: DataFrame) -> DataFrame:
     )
 
 
-def _relevance(scored: DataFrame) -> DataFrame:
-    return scored.select("session", "company", "relevance_weight", "relevance_rank")
+def _top_company(scored: DataFrame) -> DataFrame:
+    """The company of relevance rank 1 per session (ties by company)."""
+    order = F.struct((-F.round("relevance_score", 12)).alias("s"), F.col("company").alias("c"))
+    return scored.groupBy("session").agg(F.min_by("company", order).alias("top_company"))
 
 
 def _event_cells(cells: DataFrame, context: DataFrame, scored: DataFrame) -> DataFrame:
@@ -99,8 +101,8 @@ def _event_cells(cells: DataFrame, context: DataFrame, scored: DataFrame) -> Dat
         cells.select("session", "company", "bar_ix", "n_pos", "n_neg")
         .where(F.col("n_pos") + F.col("n_neg") > 0)
         .join(context, ["session", "bar_ix"], "left")
-        .join(_relevance(scored), ["session", "company"], "left")
-        .na.fill(0.0, ["relevance_weight", "relevance_rank"])
+        .join(scored.select("session", "company", "relevance_weight"), ["session", "company"], "left")
+        .na.fill(0.0, ["relevance_weight"])
     )
 
 
@@ -109,11 +111,11 @@ def agreement_features(cells: DataFrame, context: DataFrame, scored: DataFrame)
 
     Plain means skip headlines without a bar; the weighted forms become 0 when any has none.
     """
-    joined = _event_cells(cells, context, scored)
+    joined = _event_cells(cells, context, scored).join(_top_company(scored), "session", "left")
     pos, neg, w = F.col("n_pos"), F.col("n_neg"), F.col("relevance_weight")
     seen, following = F.col("return_to_seen_end"), F.col("next_close_return")
     active, net = pos + neg, pos - neg
-    top = F.col("relevance_rank") == 1.0
+    top = F.col("company") == F.col("top_company")
 
     def mean(x: Column, when: Column | None = None) -> Column:
         """Mean of polarity * x over headlines with a bar."""

@@ -53,7 +53,7 @@ def headline_features(i: Inputs, with_bars: bool = True) -> DataFrame:
         sequence.sequence_features(i.news.parsed, i.news.cells), "session", "left"
     )
     if with_bars:
-        reactions = reaction.reaction_features(i.news.cells, i.news.ranked, i.seen)
+        reactions = reaction.reaction_features(i.news.cells, i.news.scored, i.seen)
         out = out.join(reactions, "session", "left")
     return out
 
@@ -62,7 +62,7 @@ def _regime(i: Inputs, params: dict) -> DataFrame:
     wanted = params.get("include_columns")
     if wanted is not None and not isinstance(wanted, list):
         raise ValueError("include_columns must be a list.")
-    block = reaction.regime_features(i.news.cells, i.news.ranked, i.seen)
+    block = reaction.regime_features(i.news.cells, i.news.scored, i.seen)
     return matrix.pick_columns(block, wanted or None)
 
 

@@ -13,17 +13,17 @@ from dataclasses import dataclass, field
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.ranking import exact_percentile
 from tickloom.operators import tfidf
 from tickloom.operators.folds import session_folds
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureMatrix, FeatureSpec, Inputs, build_feature_matrix, check_specs
+from tickloom.plans.blocks import FeatureMatrix, FeatureSpec, Inputs, TextBlock, build_feature_matrix, check_specs
 from tickloom.plans.linear import STANDARDISED_ALPHA, Fit, Model, uncertainty_ridge
-from tickloom.plans.moments import ONE, Moments, collect_moments, column_means
+from tickloom.plans.moments import ONE, Moments, block, collect_moments, feature_array, numbers, provisional_shift, sum_vectors
 from tickloom.session import materialize
 
 TARGET = "target_return"
@@ -128,20 +128,20 @@ def category_masks(fm: FeatureMatrix, folds: DataFrame, plan: FoldPlan) -> dict[
     return out
 
 
-def fold_text_columns(fm: FeatureMatrix, alias: str, folds: DataFrame, plan: FoldPlan) -> DataFrame:
-    """(repeat, fold, session, columns): TF-IDF of every session under each fold's train vocabulary."""
-    block = fm.texts[alias]
+def fold_vocabulary(fm: FeatureMatrix, alias: str, folds: DataFrame, plan: FoldPlan) -> DataFrame:
+    """(repeat, fold, slot, term, position, idf): the vocabulary of every fold's train documents."""
+    text = fm.texts[alias]
     assigned = folds.select("session", "repeat", "fold")
     grid = assigned.select("repeat", "fold").distinct()
     own = (
-        block.counts.join(assigned, "session")
+        text.counts.join(assigned, "session")
         .groupBy("slot", "repeat", "fold", "term")
         .agg(F.count(F.lit(1)).alias("own_df"), F.sum("n").alias("own_tf"))
     )
-    total = block.counts.groupBy("slot", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    total = text.counts.groupBy("slot", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
     # Train counts are the totals minus the fold's own; the grid has repeats x folds rows.
     train = (
-        total.where(F.col("df") >= block.min_df)
+        total.where(F.col("df") >= text.min_df)
         .crossJoin(F.broadcast(grid))
         .join(own, ["slot", "repeat", "fold", "term"], "left")
         .select(
@@ -158,17 +158,34 @@ def fold_text_columns(fm: FeatureMatrix, alias: str, folds: DataFrame, plan: Fol
         "repeat", "fold", (F.col("all") - F.col("own")).alias("n_docs")
     )
     scope = ["repeat", "fold", "slot"]
-    vocab = tfidf.cut_vocabulary(train, scope, block.min_df, block.max_features).join(n_docs, ["repeat", "fold"])
+    vocab = tfidf.cut_vocabulary(train, scope, text.min_df, text.max_features).join(n_docs, ["repeat", "fold"])
     vocab = vocab.withColumn("idf", tfidf.idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
-    bound = plan.n_repeats * plan.n_folds * block.slots * block.max_features
-    weights = tfidf.tfidf(block.counts, vocab, ["slot", "session"], scope, vocab_rows=bound)
-    return _spread(weights, block, ["repeat", "fold", "session"])
+    return materialize(vocab, "vocabulary")
 
 
-def _spread(weights: DataFrame, block, keys: Sequence[str]) -> DataFrame:
-    place = F.col("slot") * block.max_features + F.col("position")
-    cells = [F.max(F.when(place == i, F.col("weight"))).alias(c) for i, c in enumerate(block.columns, 1)]
-    return weights.groupBy(*keys).agg(*cells)
+def term_array(weights: DataFrame, text: TextBlock, keys: Sequence[str], name: str) -> DataFrame:
+    """One array of slots x max_features weights per document, 0 where a term is absent."""
+    place = (F.col("slot") * text.max_features + F.col("position")).cast("int")
+    pairs = F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.col("weight").alias("v"))))
+    dense = F.transform(
+        F.sequence(F.lit(1), F.lit(text.slots * text.max_features)),
+        lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0)),
+    )
+    return weights.groupBy(*keys).agg(pairs.alias("__m")).select(*keys, dense.alias(name))
+
+
+def fold_text_arrays(fm: FeatureMatrix, alias: str, vocab: DataFrame, plan: FoldPlan) -> DataFrame:
+    """(repeat, fold, session, alias): TF-IDF of every session under each fold's train vocabulary."""
+    text = fm.texts[alias]
+    bound = plan.n_repeats * plan.n_folds * text.slots * text.max_features
+    scope = ["repeat", "fold", "slot"]
+    weights = tfidf.tfidf(text.counts, vocab, ["slot", "session"], scope, vocab_rows=bound)
+    return term_array(weights, text, ["repeat", "fold", "session"], alias)
+
+
+def with_empty(text: TextBlock, name: str) -> Column:
+    """A document without any vocabulary term is a row of zeros."""
+    return F.coalesce(F.col(f"`{name}`"), F.array_repeat(F.lit(0.0), text.slots * text.max_features))
 
 
 @dataclass
@@ -177,22 +194,37 @@ class _Group:
 
     trials: list[Trial]
     columns: list[str]
-    design: DataFrame  # folds, target, columns; expanded by (repeat, fold) when text is present
+    design: DataFrame  # session, target, array x, and fold columns (or cell and is_valid when expanded)
     expanded: bool
+    live: dict[tuple[int, int], set[str]] = field(default_factory=dict)  # text columns with a term, per cell
 
 
-def _design(fm: FeatureMatrix, texts: tuple[str, ...], base: list[str], targets: DataFrame, folds: DataFrame, plan: FoldPlan):
+def _design(fm: FeatureMatrix, base: list[str], targets: DataFrame, folds: DataFrame, plan: FoldPlan) -> DataFrame:
+    """One row per session: target, features as one array, and the fold of every repeat."""
     rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
-    if not texts:
-        return rows.join(_fold_columns(folds, plan), "session")
+    rows = rows.select("session", TARGET, feature_array(base).alias("x"))
+    return rows.join(_fold_columns(folds, plan), "session")
+
+
+def _text_design(fm, texts, base, targets, folds, plan) -> tuple[DataFrame, dict[tuple[int, int], set[str]]]:
+    """One row per session, repeat and fold, with the TF-IDF columns of that fold's train vocabulary."""
     grid = folds.select("repeat", "fold").distinct()
     own = folds.select("session", "repeat", F.col("fold").alias("own_fold"))
+    rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
+    rows = rows.select("session", TARGET, feature_array(base).alias("x"))
     rows = rows.join(own, "session").join(F.broadcast(grid), "repeat")
+    live: dict[tuple[int, int], set[str]] = {cell: set() for cell in _cells(plan)}
     for alias in texts:
-        wide = fold_text_columns(fm, alias, folds, plan)
-        rows = rows.join(wide, ["repeat", "fold", "session"], "left").na.fill(0.0, fm.texts[alias].columns)
+        text = fm.texts[alias]
+        vocab = fold_vocabulary(fm, alias, folds, plan)
+        rows = rows.join(fold_text_arrays(fm, alias, vocab, plan), ["repeat", "fold", "session"], "left")
+        rows = rows.withColumn("x", F.concat("x", with_empty(text, alias))).drop(alias)
+        for r in vocab.groupBy("repeat", "fold", "slot").agg(F.max("position").alias("n")).collect():
+            start = r["slot"] * text.max_features
+            live[(r["repeat"], r["fold"])].update(text.columns[start : start + r["n"]])
     cell = F.col("repeat") * plan.n_folds + F.col("fold")
-    return rows.withColumns({"cell": cell, "is_valid": F.col("own_fold") == F.col("fold")})
+    flagged = rows.withColumns({"cell": cell, "is_valid": F.col("own_fold") == F.col("fold")})
+    return flagged.select("session", TARGET, "x", "cell", "is_valid"), live
 
 
 def _train_moments(group: _Group, plan: FoldPlan, kinds, shift) -> dict[tuple[int, int, int], Moments]:
@@ -200,12 +232,12 @@ def _train_moments(group: _Group, plan: FoldPlan, kinds, shift) -> dict[tuple[in
     out = {}
     if group.expanded:
         train = group.design.where(~F.col("is_valid"))
-        got = collect_moments(train, group.columns, TARGET, ["cell"], kinds, shift)
+        got = collect_moments(train, None, TARGET, ["cell"], kinds, shift)
         for (k, _, cell), m in got.items():
             out[(k, cell // plan.n_folds, cell % plan.n_folds)] = m
         return out
     names = [f"fold_{r}" for r in range(plan.n_repeats)]
-    got = collect_moments(group.design, group.columns, TARGET, names, kinds, shift)
+    got = collect_moments(group.design, None, TARGET, names, kinds, shift)
     for k in range(len(kinds)):
         for r in range(plan.n_repeats):
             parts = [m for (kind, repeat, _), m in got.items() if (kind, repeat) == (k, r)]
@@ -218,49 +250,53 @@ def _train_moments(group: _Group, plan: FoldPlan, kinds, shift) -> dict[tuple[in
     return out
 
 
+def _side(batch: pa.RecordBatch, r: int, f: int, expanded: bool, n_folds: int, valid: bool) -> np.ndarray:
+    """Rows of a batch on the train or valid side of a cell."""
+    if expanded:
+        own = numbers(batch, "is_valid").astype(bool)
+        return (numbers(batch, "cell") == r * n_folds + f) & (own if valid else ~own)
+    inside = numbers(batch, f"fold_{r}") == f
+    return inside if valid else ~inside
+
+
 def _second_pass(group: _Group, plan: FoldPlan, fits: dict, shift: np.ndarray) -> tuple[dict, dict]:
     """Sums of t and (x - shift) t with t = ln(1+|r|) over train rows, and the 0.1 quantile of |r|.
 
     `fits` maps (trial, repeat, fold) to a fit over the group's columns.
     """
-    columns, folds_n = list(group.columns), plan.n_folds
-    p = len(columns)
+    expanded, n_folds = group.expanded, plan.n_folds
 
-    expanded = group.expanded
-
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            y = pdf[TARGET].to_numpy(dtype=float)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = block(batch), numbers(batch, TARGET)
             for key, fit in fits.items():
-                rows = _rows(pdf, key[1], key[2], expanded, folds_n)
-                if rows.any():
-                    t = np.log1p(np.abs(y[rows] - fit.predict(x[rows])))
-                    part = np.concatenate([[t.sum()], (x[rows] - shift).T @ t])
-                    acc[key] = acc[key] + part if key in acc else part
-        for (trial, r, f), v in acc.items():
-            yield pd.DataFrame({"trial": [trial], "repeat": [r], "fold": [f], "v": [v]})
-
-    def residuals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            y = pdf[TARGET].to_numpy(dtype=float)
+                rows = _side(batch, key[1], key[2], expanded, n_folds, valid=False)
+                t = np.log1p(np.abs(y[rows] - fit.predict(x[rows])))
+                part = np.concatenate([[t.sum()], (x[rows] - shift).T @ t])
+                acc[key] = acc[key] + part if key in acc else part
+        if acc:
+            named = {n: pa.array([k[i] for k in acc], pa.int32()) for i, n in enumerate(("trial", "repeat", "fold"))}
+            named["v"] = pa.array(list(acc.values()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict(named)
+
+    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = block(batch), numbers(batch, TARGET)
             for (trial, r, f), fit in fits.items():
-                rows = _rows(pdf, r, f, expanded, folds_n)
-                if rows.any():
-                    a = np.abs(y[rows] - fit.predict(x[rows]))
-                    yield pd.DataFrame({"trial": trial, "repeat": r, "fold": f, "a": a})
-
-    rows = group.design
-    summed = (
-        rows.mapInPandas(sums, "trial int, repeat int, fold int, v array<double>")
-        .groupBy("trial", "repeat", "fold")
-        .agg(F.array(*[F.sum(F.col("v")[j]) for j in range(p + 1)]).alias("v"))
-        .collect()
-    )
+                rows = _side(batch, r, f, expanded, n_folds, valid=False)
+                a = np.abs(y[rows] - fit.predict(x[rows]))
+                named = {n: pa.array(np.full(len(a), v), pa.int32()) for n, v in (("trial", trial), ("repeat", r), ("fold", f))}
+                yield pa.RecordBatch.from_pydict({**named, "a": pa.array(a)})
+
     keys = ["trial", "repeat", "fold"]
-    spread = materialize(rows.mapInPandas(residuals, "trial int, repeat int, fold int, a double"), "residuals")
+    parts = group.design.mapInArrow(sums, "trial int, repeat int, fold int, v array<double>")
+    summed = sum_vectors(parts, keys).collect()
+    spread = materialize(group.design.mapInArrow(residuals, "trial int, repeat int, fold int, a double"), "residuals")
     floors = exact_percentile(spread, keys, "a", 0.1, "q").collect()
     return (
         {(s["trial"], s["repeat"], s["fold"]): np.array(s["v"]) for s in summed},
@@ -268,47 +304,37 @@ def _second_pass(group: _Group, plan: FoldPlan, fits: dict, shift: np.ndarray) -
     )
 
 
-def _rows(pdf: pd.DataFrame, r: int, f: int, expanded: bool, n_folds: int) -> np.ndarray:
-    """Train rows of a cell."""
-    if expanded:
-        return ((pdf["cell"] == r * n_folds + f) & ~pdf["is_valid"]).to_numpy()
-    return (pdf[f"fold_{r}"] != f).to_numpy()
-
-
-def _valid_rows(pdf: pd.DataFrame, r: int, f: int, expanded: bool, n_folds: int) -> np.ndarray:
-    if expanded:
-        return ((pdf["cell"] == r * n_folds + f) & pdf["is_valid"]).to_numpy()
-    return (pdf[f"fold_{r}"] == f).to_numpy()
-
-
 def _score(group: _Group, plan: FoldPlan, fits: dict) -> DataFrame:
     """Out-of-fold predictions of every trial: each task applies the few coefficient vectors to its batches."""
-    columns, expanded, n_folds = list(group.columns), group.expanded, plan.n_folds
+    expanded, n_folds = group.expanded, plan.n_folds
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y, session = block(batch), numbers(batch, TARGET), numbers(batch, "session")
             for (trial, r, f), fit in fits.items():
-                rows = _valid_rows(pdf, r, f, expanded, n_folds)
+                rows = _side(batch, r, f, expanded, n_folds, valid=True)
                 if rows.any():
-                    yield pd.DataFrame(
+                    n = int(rows.sum())
+                    uncertainty = fit.uncertainty(x[rows])
+                    yield pa.RecordBatch.from_pydict(
                         {
-                            "trial": trial,
-                            "session": pdf["session"].to_numpy()[rows],
-                            "predicted_return": fit.predict(x[rows]),
-                            "predicted_uncertainty": fit.uncertainty(x[rows]),
-                            "realized_return": pdf[TARGET].to_numpy()[rows],
-                            "repeat": r,
-                            "fold": f,
+                            "trial": pa.array(np.full(n, trial), pa.int32()),
+                            "session": pa.array(session[rows], pa.int64()),
+                            "predicted_return": pa.array(fit.predict(x[rows])),
+                            "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
+                            "realized_return": pa.array(y[rows]),
+                            "repeat": pa.array(np.full(n, r), pa.int32()),
+                            "fold": pa.array(np.full(n, f), pa.int32()),
                         }
                     )
 
-    out = group.design.mapInPandas(
+    return group.design.mapInArrow(
         run,
         "trial int, session long, predicted_return double, predicted_uncertainty double, realized_return double, "
         "repeat int, fold int",
     )
-    return out.withColumn("predicted_uncertainty", F.nanvl("predicted_uncertainty", F.lit(None).cast("double")))
 
 
 def cross_validate(
@@ -355,8 +381,11 @@ def cross_validate(
         used = dict.fromkeys(s.resolved_alias for t in members for s in t.feature_blocks)
         base = [c for a in used for c in fm.columns[a]]
         columns = base + [c for a in texts for c in fm.texts[a].columns]
-        design = _design(fm, texts, base, targets, folds, plan)
-        group = _Group(members, columns, materialize(design, "design"), bool(texts))
+        if texts:
+            design, live = _text_design(fm, texts, base, targets, folds, plan)
+        else:
+            design, live = _design(fm, base, targets, folds, plan), {}
+        group = _Group(members, columns, materialize(design, "design"), bool(texts), live)
         fits, n_features = _fit_group(group, fm, masks, plan, numbers, errors, fail_fast)
         counts += [(*key, n) for key, n in n_features.items()]
         if fits:
@@ -395,7 +424,7 @@ def _named(scored: Sequence[DataFrame], numbers: dict[str, int], plan: FoldPlan)
 def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
     """Solve every trial and fold of a group; returns fits and feature counts by (trial, repeat, fold)."""
     kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
-    shift = column_means(group.design, group.columns)
+    shift = provisional_shift(group.design)
     moments = _train_moments(group, plan, kinds, shift)
     place = {c: i for i, c in enumerate(group.columns)}
     p = len(group.columns)
@@ -411,10 +440,9 @@ def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
         try:
             for r, f in _cells(plan):
                 no_train, no_valid = masks[(r, f)]
-                m0 = moments[(kinds.index(trial.model.kinds()[0]), r, f)]
-                # A vocabulary position without a term is an all-zero train column: not a feature.
-                live = [c for c in texts if m0.matrix[place[c] + 1, place[c] + 1] > 0 or shift[place[c]] != 0]
-                columns = [place[c] for c in own if c not in no_train] + [place[c] for c in live]
+                # A vocabulary position without a term is not a feature.
+                terms = [c for c in texts if c in group.live.get((r, f), ())]
+                columns = [place[c] for c in own if c not in no_train] + [place[c] for c in terms]
                 blanked = [place[c] for c in own if c in no_valid]
                 parts = [moments[(kinds.index(k), r, f)].select(columns) for k in trial.model.kinds()]
                 fit = trial.model.solve(parts)

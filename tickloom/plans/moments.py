@@ -10,8 +10,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows are weighted by 1, by y^2, or by max(|y|^power, floor).
 ONE = ("one", 0.0, 0.0)
@@ -54,68 +54,99 @@ class Moments:
         return Moments(self.matrix[np.ix_(keep, keep)], self.shift[list(columns)], self.n)
 
 
-def column_means(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
-    """Column means used to shift the features: raw second moments of far-from-zero columns cancel badly."""
-    if not columns:
-        return np.zeros(0)
-    row = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(columns)]).head()
-    return np.array([v or 0.0 for v in row], dtype=float)
+def feature_array(columns: Sequence[str]) -> Column:
+    """The columns as one array<double>: wide designs stay one column for Spark and one block for numpy."""
+    return F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).cast("array<double>")
+
+
+def block(batch: pa.RecordBatch, column: str = "x") -> np.ndarray:
+    """An array column of one Arrow batch as a matrix, without copying row by row."""
+    rows = batch.column(column)
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) if len(rows) else np.zeros((0, 0))
+
+
+def numbers(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False)
+
+
+def sum_vectors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Sum of array column `v` per key. Every task adds what it receives; a key's rows number the map tasks."""
+    names = list(keys)
+    schema = ", ".join(f"{n} int" for n in names) + ", v array<double>"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            values = block(batch, "v")
+            for row, key in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+                sums[key] = sums[key] + values[row] if key in sums else values[row].copy()
+        if sums:
+            columns = {n: pa.array([k[i] for k in sums], pa.int32()) for i, n in enumerate(names)}
+            columns["v"] = pa.array(list(sums.values()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return parts.repartition(*names).mapInArrow(add, schema)
+
+
+def provisional_shift(x: DataFrame) -> np.ndarray:
+    """Column means of a few rows of the array column `x`, subtracted before squares are added.
+
+    Raw second moments of far-from-zero columns cancel badly; any shift near the data cures that. Results do not
+    depend on it beyond rounding, so a glance at one partition is enough.
+    """
+    rows = [r["x"] for r in x.select("x").head(1000)]
+    return np.mean(np.array(rows, dtype=float), axis=0) if rows else np.zeros(0)
 
 
 def collect_moments(
     df: DataFrame,
-    features: Sequence[str],
+    features: Sequence[str] | None,
     target: str,
     groups: Sequence[str],
     kinds: Sequence[tuple[str, float, float]] = (ONE,),
     shift: np.ndarray | None = None,
 ) -> dict[tuple[int, int, int], Moments]:
-    """{(kind number, group column number, group value): Moments} in one pass over the table."""
-    features, groups, kinds = list(features), list(groups), list(kinds)
-    shift = column_means(df, features) if shift is None else shift
-    width = len(features) + 2
+    """{(kind number, group column number, group value): Moments} in one pass over the table.
+
+    `features` None means the table already has the array column `x`.
+    """
+    groups, kinds = list(groups), list(kinds)
+    x = F.col("x") if features is None else feature_array(features).alias("x")
+    rows = df.select(x, F.col(target).cast("double").alias("__y"), *[F.col(g).cast("int").alias(g) for g in groups])
+    shift = provisional_shift(rows) if shift is None else shift
+    width = len(shift) + 2
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[int, int, int], np.ndarray] = {}
-        counts: dict[tuple[int, int, int], int] = {}
-        for pdf in batches:
-            y = pdf[target].to_numpy(dtype=float)
-            x = pdf[features].to_numpy(dtype=float) - shift
-            d = np.column_stack([np.ones(len(y)), x, y])
+        counts: dict[tuple[int, int, int], float] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            y = numbers(batch, "__y")
+            d = np.column_stack([np.ones(len(y)), block(batch).reshape(len(y), -1) - shift, y])
             for k, kind in enumerate(kinds):
-                w = weights(kind, y)
+                weighted = d * weights(kind, y)[:, None]
                 for g, column in enumerate(groups):
-                    cell = pdf[column].to_numpy()
+                    cell = numbers(batch, column)
                     for value in np.unique(cell):
                         rows = cell == value
-                        part = d[rows]
                         key = (k, g, int(value))
-                        block = part.T @ (part * w[rows, None])
-                        sums[key] = sums[key] + block if key in sums else block
-                        counts[key] = counts.get(key, 0) + int(rows.sum())
-        for (k, g, value), block in sums.items():
-            yield pd.DataFrame(
-                {
-                    "kind": k,
-                    "grp": g,
-                    "cell": value,
-                    "i": np.arange(width),
-                    "n": float(counts[(k, g, value)]),
-                    "v": list(block),
-                }
-            )
-
-    columns = [*groups, *features, target]
-    parts = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)]).mapInPandas(
-        partial, "kind int, grp int, cell int, i int, n double, v array<double>"
-    )
-    summed = parts.groupBy("kind", "grp", "cell", "i").agg(
-        F.sum("n").alias("n"), F.array(*[F.sum(F.col("v")[j]) for j in range(width)]).alias("v")
-    )
+                        part = d[rows].T @ weighted[rows]
+                        sums[key] = sums[key] + part if key in sums else part
+                        counts[key] = counts.get(key, 0.0) + float(rows.sum())
+        for (k, g, value), part in sums.items():
+            # The row count rides along as one more entry of each matrix row.
+            lines = np.column_stack([part, np.full(width, counts[(k, g, value)])])
+            fixed = {n: pa.array(np.full(width, v), pa.int32()) for n, v in (("kind", k), ("grp", g), ("cell", value))}
+            fixed["i"] = pa.array(np.arange(width), pa.int32())
+            fixed["v"] = pa.array(list(lines), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_pydict(fixed)
+
+    parts = rows.mapInArrow(partial, "kind int, grp int, cell int, i int, v array<double>")
     out: dict[tuple[int, int, int], Moments] = {}
-    for row in summed.collect():
+    for row in sum_vectors(parts, ["kind", "grp", "cell", "i"]).toArrow().to_pylist():
         key = (row["kind"], row["grp"], row["cell"])
         if key not in out:
-            out[key] = Moments(np.zeros((width, width)), shift, row["n"])
-        out[key].matrix[row["i"]] = row["v"]
+            out[key] = Moments(np.zeros((width, width)), shift, row["v"][-1])
+        out[key].matrix[row["i"]] = row["v"][:-1]
     return out

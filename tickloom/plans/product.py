@@ -5,16 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.operators import tfidf
 from tickloom.operators.matrix import align_columns
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureMatrix, Inputs, build_feature_matrix
-from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _fit_group, _Group, _spread, cross_validate
+from tickloom.plans.blocks import FeatureMatrix, Inputs, TextBlock, build_feature_matrix
+from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _fit_group, _Group, cross_validate, term_array, with_empty
 from tickloom.plans.linear import Fit
+from tickloom.plans.moments import block, feature_array
 from tickloom.session import materialize
 from tickloom.sources import sinks
 
@@ -23,20 +25,23 @@ from tickloom.sources import sinks
 class FullModel:
     trial: Trial
     fit: Fit
-    columns: list[str]
     base: list[str]
     train: FeatureMatrix
     vocabularies: dict[str, DataFrame]
     feature_count: int
 
 
-def _with_text(df: DataFrame, fm: FeatureMatrix, model_train: FeatureMatrix, vocabularies: dict[str, DataFrame]) -> DataFrame:
+def _array_rows(df: DataFrame, base: list[str], fm: FeatureMatrix, texts: dict[str, TextBlock], vocabularies: dict) -> DataFrame:
+    """Features of a split as one array column: aligned base columns, then TF-IDF under the given vocabularies."""
+    kept = [c for c in df.columns if c not in set(base)]
+    rows = df.select(*kept, feature_array(base).alias("x"))
     for alias, vocab in vocabularies.items():
-        block = model_train.texts[alias]
-        bound = block.slots * block.max_features
+        text = texts[alias]
+        bound = text.slots * text.max_features
         weights = tfidf.tfidf(fm.texts[alias].counts, vocab, ["slot", "session"], ["slot"], vocab_rows=bound)
-        df = df.join(_spread(weights, block, ["session"]), "session", "left").na.fill(0.0, block.columns)
-    return df
+        rows = rows.join(term_array(weights, text, ["session"], alias), "session", "left")
+        rows = rows.withColumn("x", F.concat("x", with_empty(text, alias))).drop(alias)
+    return rows
 
 
 def fit_full(trial: Trial, seen: DataFrame, unseen: DataFrame, headlines: DataFrame) -> FullModel:
@@ -44,42 +49,47 @@ def fit_full(trial: Trial, seen: DataFrame, unseen: DataFrame, headlines: DataFr
     targets = materialize(build_targets(seen, unseen).where(F.col(TARGET).isNotNull()), "targets")
     fm = build_feature_matrix(trial.feature_blocks, Inputs(seen, headlines, targets))
     n_docs = targets.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocabularies = {}
-    for alias, block in fm.texts.items():
-        docs = n_docs.select("n_docs", F.explode(F.sequence(F.lit(0), F.lit(block.slots - 1))).alias("slot"))
-        vocab = tfidf.vocabulary(block.counts, docs, ["slot"], block.min_df, block.max_features)
+    vocabularies, live = {}, set()
+    for alias, text in fm.texts.items():
+        docs = n_docs.select("n_docs", F.explode(F.sequence(F.lit(0), F.lit(text.slots - 1))).alias("slot"))
+        vocab = tfidf.vocabulary(text.counts, docs, ["slot"], text.min_df, text.max_features)
         vocabularies[alias] = materialize(vocab, "vocabulary")
+        for r in vocabularies[alias].groupBy("slot").agg(F.max("position").alias("n")).collect():
+            start = r["slot"] * text.max_features
+            live.update(text.columns[start : start + r["n"]])
     base = fm.all_columns()
     columns = base + [c for a in fm.texts for c in fm.texts[a].columns]
-    design = _with_text(targets.select("session", TARGET).join(fm.df, "session", "left"), fm, fm, vocabularies)
+    rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
     # No session lies in fold 0, so "train of fold 0" is every session.
-    design = materialize(design.na.fill(0.0).withColumn("fold_0", F.lit(-1)), "design")
-    group = _Group([trial], columns, design, False)
+    rows = rows.withColumn("fold_0", F.lit(-1))
+    design = materialize(_array_rows(rows, base, fm, fm.texts, vocabularies), "design")
+    group = _Group([trial], columns, design, False, {(0, 0): live})
     masks = {(0, 0): (set(), set())}
     errors: dict[str, str] = {}
     fits, counts = _fit_group(group, fm, masks, FoldPlan(n_folds=1), {trial.name: 0}, errors, True)
-    return FullModel(trial, fits[(0, 0, 0)], columns, base, fm, vocabularies, counts[(0, 0, 0)])
+    return FullModel(trial, fits[(0, 0, 0)], base, fm, vocabularies, counts[(0, 0, 0)])
 
 
 def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, sessions: DataFrame) -> DataFrame:
     """(session, predicted_return, predicted_uncertainty, target_position); positions sized over this batch."""
     fm = build_feature_matrix(model.trial.feature_blocks, Inputs(bars, headlines, sessions))
-    rows = _with_text(align_columns(fm.df, model.base), fm, model.train, model.vocabularies)
-    columns, fit = model.columns, model.fit
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = pdf[columns].to_numpy(dtype=float)
-            yield pd.DataFrame(
-                {
-                    "session": pdf["session"],
-                    "predicted_return": fit.predict(x),
-                    "predicted_uncertainty": fit.uncertainty(x),
-                }
-            )
-
-    out = rows.mapInPandas(run, "session long, predicted_return double, predicted_uncertainty double")
-    out = out.withColumn("predicted_uncertainty", F.nanvl("predicted_uncertainty", F.lit(None).cast("double")))
+    rows = _array_rows(align_columns(fm.df, model.base), model.base, fm, model.train.texts, model.vocabularies)
+    fit = model.fit
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = block(batch)
+                uncertainty = fit.uncertainty(x)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "session": batch.column("session"),
+                        "predicted_return": pa.array(fit.predict(x)),
+                        "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
+                    }
+                )
+
+    out = rows.mapInArrow(run, "session long, predicted_return double, predicted_uncertainty double")
     scored = out.withColumn("score", evaluate.score(F.col("predicted_return"), F.col("predicted_uncertainty")))
     sized = evaluate.size_positions(materialize(scored, "scores"), [], **model.trial.position_sizing)
     return sized.drop("score")

@@ -35,7 +35,7 @@ def forward_select(
     fm = build_feature_matrix(list(specs), Inputs(seen, headlines, targets))
     masks = category_masks(fm, folds, plan)
     columns = fm.all_columns()
-    design = materialize(_design(fm, (), columns, targets, folds, plan), "design")
+    design = materialize(_design(fm, columns, targets, folds, plan), "design")
 
     chosen: list[str] = []
     steps = []

@@ -66,7 +66,7 @@ def vector_block(news: News, table: DataFrame, block: VectorBlock, dims: int, ba
     if block.include_sequence_features:
         out = out.join(sequence.sequence_features(news.parsed, news.cells), "session", "left")
     if block.include_price_interactions:
-        out = out.join(reaction.reaction_features(news.cells, news.ranked, bars), "session", "left")
+        out = out.join(reaction.reaction_features(news.cells, news.scored, bars), "session", "left")
     return out.na.fill(0.0)
 
 

@@ -401,7 +401,7 @@ bu AS (SELECT session, avg(CASE WHEN burst THEN 1.0 ELSE 0.0 END) AS burst_bar_s
 def reaction_frame(spark, sf_dir):
     placed = adapters.ticks(c.lineitem(spark, sf_dir))
     n = News(adapters.headlines_from_ticks(placed))
-    return n.cells, n.ranked, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
+    return n.cells, n.scored, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
 
 
 @query(
