@@ -289,17 +289,21 @@ def test_forward_selection_improves_first_step(spark, inputs):
 
 def test_full_model_and_product(spark, inputs, tmp_path):
     seen, unseen, headlines = inputs
-    trial = Trial("prod", (FeatureSpec("price"), TEXT), build_model("ridge", {"alpha": 10.0}))
+    trial = Trial("prod", (FeatureSpec("price"), FeatureSpec("headline_parser"), TEXT), build_model("ridge", {"alpha": 10.0}))
     part = {k: (F.col("session") % 3 == k) for k in range(3)}
     train = [d.where(part[0]) for d in (seen, unseen, headlines)]
     splits = [Split(n, seen.where(part[k]), headlines.where(part[k])) for n, k in (("public_test", 1), ("private_test", 2))]
     model = fit_full(trial, *train)
-    own = predict(model, train[0], train[2], train[0].select("session")).toPandas()
+    own = predict(model, train[0], train[2], train[0].selectExpr("session", "0 AS batch").distinct()).toPandas()
     assert np.isfinite(own["predicted_return"]).all() and own["target_position"].abs().max() == pytest.approx(100.0)
     paths = run_product(trial, *train, *splits, str(tmp_path), FoldPlan(n_folds=3))
     combined = load_predictions(spark, paths["combined"])
     want = seen.where(~part[0]).select("session").distinct().count()
     assert combined.count() == want == combined.select("session").distinct().count()
+    # Each split is sized and thresholded by itself, whether predicted alone or together.
+    alone = predict(model, splits[1].bars, splits[1].headlines, splits[1].sessions.withColumn("batch", F.lit(3))).toPandas()
+    both = combined.toPandas().set_index("session")["target_position"]
+    assert alone["target_position"].to_numpy() == pytest.approx(both.loc[alone["session"]].to_numpy(), rel=1e-5)
     lines = [json.loads(line) for f in Path(tmp_path, "registry").glob("*.txt") for line in f.read_text().splitlines()]
     assert {x["test_split"] for x in lines} == {"public_test", "private_test", "combined"}
     assert all(x["feature_count"] == model.feature_count for x in lines)

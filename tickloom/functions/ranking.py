@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tickloom.session import materialize
+
 
 # Groups above this many rows are ranked bucket by bucket; smaller ones are sorted whole.
 HOT_ROWS = 1_000_000
@@ -65,6 +67,17 @@ def _bucket_offsets(rows: DataFrame, keys: list[str], levels: list[str]) -> Data
     return offsets.select(*keys, *levels, offset.alias("__offset"), "__size")
 
 
+def range_parts(df: DataFrame, order: Sequence[str], part: str = "__part") -> DataFrame:
+    """`df` written in range partitions of `order`, numbered by `part`: an even bucket for any distribution.
+
+    The partition number never decreases along `order`. The table is written once, because two runs of a range
+    partitioning may cut at different places.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    return materialize(ranged, "ranged")
+
+
 def ntile_of(rank: Column, size: Column, tiles: int) -> Column:
     """The ntile (1-based) of a 1-based rank in a group of `size` rows; larger tiles come first."""
     small = F.floor(size / F.lit(tiles)).cast("long")

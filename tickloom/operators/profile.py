@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.numeric import ratio
-from tickloom.functions.ranking import ranked
+from tickloom.functions.ranking import range_parts, ranked
 
 
 def profile(df: DataFrame, session: str = "session") -> DataFrame:
@@ -67,19 +67,15 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
     )
 
 
-def qq_positions(df: DataFrame, column: str, slots: int = 1024) -> DataFrame:
+def qq_positions(df: DataFrame, column: str) -> DataFrame:
     """Ordered values with Filliben plotting positions and their normal quantiles.
 
-    Values are ranked through equal-width slots, so the table is never sorted in one task.
+    Values are ranked through range partitions, so the table is never sorted in one task.
     """
     x = F.col(column)
     values = df.where(x.isNotNull()).select("session", x.cast("double").alias("ordered_value"))
-    bounds = values.agg(F.min("ordered_value").alias("lo"), F.max("ordered_value").alias("hi"))
-    placed = values.crossJoin(F.broadcast(bounds))
-    slot = F.coalesce(
-        F.floor(ratio(F.col("ordered_value") - F.col("lo"), F.col("hi") - F.col("lo")) * slots), F.lit(0).cast("long")
-    )
-    order = ranked(placed, [], [slot], ["ordered_value", "session"], rank="rank_no", size="n")
+    placed = range_parts(values, ["ordered_value", "session"])
+    order = ranked(placed, [], [F.col("__part")], ["ordered_value", "session"], rank="rank_no", size="n")
     n, i = F.col("n"), F.col("rank_no")
     tail = F.pow(F.lit(0.5), F.lit(1.0) / n)
     position = F.when(i == n, tail).when(i == 1, F.lit(1.0) - tail).otherwise((i - 0.3175) / (n + 0.365))

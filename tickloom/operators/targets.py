@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import double, moments_corr, ratio
+from tickloom.functions.ranking import range_parts
 
 ANNUALIZATION = 16.0
 
@@ -134,16 +135,15 @@ def strategy_frame(seen: DataFrame, unseen: DataFrame) -> DataFrame:
 def cumulative_pnl(df: DataFrame, value: Column) -> DataFrame:
     """Running pnl in session order over the whole table.
 
-    Sessions are cut into fixed-width slabs: slab totals are prefix-summed (a small table) and the
-    running sum is taken inside a slab only.
+    Range partitions of the session are summed, the few sums are prefix-summed, and the running sum is taken
+    inside each partition only.
     """
-    slab = F.floor(F.col("session") / F.lit(1 << 16))
-    rows = df.select("session", value.alias("pnl"), slab.alias("__slab"))
-    totals = rows.groupBy("__slab").agg(F.sum("pnl").alias("__t"))
-    before = Window.partitionBy(F.lit(0)).orderBy("__slab").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("__slab", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__o"))
-    inside = Window.partitionBy("__slab").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(offsets, "__slab").select(
+    rows = range_parts(df.select("session", value.alias("pnl")), ["session"])
+    totals = rows.groupBy("__part").agg(F.sum("pnl").alias("__t"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__o"))
+    inside = Window.partitionBy("__part").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.join(F.broadcast(offsets), "__part").select(
         "session", "pnl", (F.col("__o") + F.sum("pnl").over(inside)).alias("cumulative_pnl")
     )
 

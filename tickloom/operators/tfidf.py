@@ -110,18 +110,22 @@ def tfidf(
 ) -> DataFrame:
     """(keys, scope, term, position, weight): in-vocabulary share times idf, each document scaled to unit length.
 
-    Share and length come out of one aggregate per document: weight = n*idf / sqrt(sum((n*idf)^2)),
-    because the in-vocabulary total cancels. `vocab_rows` is the vocabulary's row bound (features times
+    The in-vocabulary total cancels, so weight = n*idf / sqrt(sum((n*idf)^2)). `vocab_rows` is the vocabulary's row bound (features times
     scopes) where it is known: up to BROADCAST_ROWS it is broadcast, so a frequent term never
     skews a join; otherwise the join is left to Spark.
     """
     on = ["term", *[s for s in scope if s in counts.columns]]
     lookup = vocab.select(*dict.fromkeys([*scope, "term"]), "position", "idf")
-    if vocab_rows is not None and 0 < vocab_rows <= BROADCAST_ROWS:
+    bounded = vocab_rows is not None and 0 < vocab_rows <= BROADCAST_ROWS
+    if bounded:
         lookup = F.broadcast(lookup)
     hits = counts.join(lookup, on).withColumn("x", F.col("n") * F.col("idf"))
     doc = list(dict.fromkeys([*keys, *scope]))
-    norms = hits.groupBy(*doc).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return hits.join(norms, doc).select(
-        *doc, "term", "position", F.coalesce(ratio(F.col("x"), F.col("norm")), F.lit(0.0)).alias("weight")
-    )
+    square = F.col("x") * F.col("x")
+    if bounded:
+        # A document has at most one row per vocabulary term, so its window is small.
+        normed = hits.withColumn("norm", F.sqrt(F.sum(square).over(Window.partitionBy(*doc))))
+    else:
+        normed = hits.join(hits.groupBy(*doc).agg(F.sqrt(F.sum(square)).alias("norm")), doc)
+    weight = F.coalesce(ratio(F.col("x"), F.col("norm")), F.lit(0.0))
+    return normed.select(*doc, "term", "position", weight.alias("weight"))

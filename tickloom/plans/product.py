@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.operators import tfidf
+from tickloom.operators import companies, tfidf
 from tickloom.operators.matrix import align_columns
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
 from tickloom.plans.blocks import FeatureMatrix, Inputs, TextBlock, build_feature_matrix
 from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _fit_group, _Group, cross_validate, term_array, with_empty
 from tickloom.plans.linear import Fit
-from tickloom.plans.moments import block, feature_array
+from tickloom.plans.moments import block, feature_array, numbers
 from tickloom.session import materialize
 from tickloom.sources import sinks
 
@@ -70,31 +70,56 @@ def fit_full(trial: Trial, seen: DataFrame, unseen: DataFrame, headlines: DataFr
     return FullModel(trial, fits[(0, 0, 0)], base, fm, vocabularies, counts[(0, 0, 0)])
 
 
-def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(session, predicted_return, predicted_uncertainty, target_position); positions sized over this batch."""
-    fm = build_feature_matrix(model.trial.feature_blocks, Inputs(bars, headlines, sessions))
-    rows = _array_rows(align_columns(fm.df, model.base), model.base, fm, model.train.texts, model.vocabularies)
-    fit = model.fit
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = block(batch)
-                uncertainty = fit.uncertainty(x)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "session": batch.column("session"),
-                        "predicted_return": pa.array(fit.predict(x)),
-                        "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
-                    }
-                )
-
-    out = rows.mapInArrow(run, "session long, predicted_return double, predicted_uncertainty double")
+def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, batches: DataFrame) -> DataFrame:
+    """(batch, session, predicted_return, predicted_uncertainty, target_position) for (session, batch) rows.
+
+    Features are session-local, so all batches share one matrix. What depends on the batch follows it: category
+    columns below their threshold within a batch are zero there, and positions are sized per batch.
+    """
+    fm = build_feature_matrix(model.trial.feature_blocks, Inputs(bars, headlines, batches))
+    rows = align_columns(fm.df, model.base).join(batches.select("session", "batch").distinct(), "session")
+    rows = _array_rows(rows, model.base, fm, model.train.texts, model.vocabularies)
+    fits = _batch_fits(model, fm, batches)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x, batch, session = block(part), numbers(part, "batch"), numbers(part, "session")
+            for value, fit in fits.items():
+                rows = batch == value
+                if rows.any():
+                    uncertainty = fit.uncertainty(x[rows])
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "batch": pa.array(batch[rows], pa.int32()),
+                            "session": pa.array(session[rows], pa.int64()),
+                            "predicted_return": pa.array(fit.predict(x[rows])),
+                            "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
+                        }
+                    )
+
+    out = rows.mapInArrow(run, "batch int, session long, predicted_return double, predicted_uncertainty double")
     scored = out.withColumn("score", evaluate.score(F.col("predicted_return"), F.col("predicted_uncertainty")))
-    sized = evaluate.size_positions(materialize(scored, "scores"), [], **model.trial.position_sizing)
+    sized = evaluate.size_positions(materialize(scored, "scores"), ["batch"], **model.trial.position_sizing)
     return sized.drop("score")
 
 
+def _batch_fits(model: FullModel, fm: FeatureMatrix, batches: DataFrame) -> dict[int, Fit]:
+    """The fit per batch, with the coefficients of category columns that are too rare in the batch set to 0."""
+    present = {r["batch"] for r in batches.select("batch").distinct().collect()}
+    categories = [c for c in model.base if c in model.train.category_of]
+    if not categories:
+        return {b: model.fit for b in present}
+    counts = fm.inputs.news.category_counts.join(batches.select("session", "batch").distinct(), "session")
+    kept = {(r["batch"], r["column"]) for r in companies.frequent_columns(counts, ["batch"]).collect()}
+    place = {c: i for i, c in enumerate(model.base)}
+    width = len(model.fit.coef)
+    out = {}
+    for b in present:
+        rare = [place[c] for c in categories if (b, model.train.category_of[c]) not in kept]
+        out[b] = model.fit.widened(range(width), width, rare)
+    return out
+
+
 @dataclass
 class Split:
     name: str
@@ -106,13 +131,22 @@ class Split:
         return self.bars.select("session").distinct()
 
 
+def predict_splits(model: FullModel, splits: Sequence[Split]) -> dict[str, DataFrame]:
+    """Shaped predictions of every split, from one feature pass over all of them."""
+    bars, headlines, batches = splits[0].bars, splits[0].headlines, None
+    for number, split in enumerate(splits):
+        if number:
+            bars, headlines = bars.unionByName(split.bars), headlines.unionByName(split.headlines)
+        rows = split.sessions.withColumn("batch", F.lit(number))
+        batches = rows if batches is None else batches.unionByName(rows)
+    predicted = materialize(predict(model, bars, headlines, materialize(batches, "batches")), "predictions")
+    return {s.name: sinks.shape_predictions(predicted.where(F.col("batch") == n)) for n, s in enumerate(splits)}
+
+
 def prediction_product(model: FullModel, public: Split, private: Split) -> DataFrame:
     """Both splits predicted, sized separately, united and validated."""
-    parts = []
-    for split in (public, private):
-        predicted = predict(model, split.bars, split.headlines, split.sessions)
-        parts.append(materialize(sinks.shape_predictions(predicted), f"predictions-{split.name}"))
-    return sinks.combine_splits(*parts, public.sessions, private.sessions)
+    parts = predict_splits(model, [public, private])
+    return sinks.combine_splits(parts[public.name], parts[private.name], public.sessions, private.sessions)
 
 
 def run_product(
@@ -133,10 +167,8 @@ def run_product(
     registry = f"{out_dir}/registry"
     paths = {"oof": f"{out_dir}/{trial.name}_oof"}
     sinks.write_csv(cv.oof, paths["oof"])
-    parts = {}
+    parts = predict_splits(model, [public, private])
     for split in (public, private):
-        predicted = predict(model, split.bars, split.headlines, split.sessions)
-        parts[split.name] = materialize(sinks.shape_predictions(predicted), f"predictions-{split.name}")
         meta = sinks.prediction_metadata(trial.name, split.name, model.feature_count, sharpe, uses_text)
         paths[split.name] = sinks.save_predictions(
             parts[split.name],

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tickloom.session import materialize
 from tickloom.sources import adapters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +62,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.bars_from_lineitem(lineitem(spark, sf_dir))
 
 
+def placed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks in session order, written once for queries that need both bars and headlines."""
+    return materialize(adapters.ticks(lineitem(spark, sf_dir)), "ticks")
+
+
 def seen_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.seen(bars(spark, sf_dir))
 

@@ -56,7 +56,7 @@ fr AS (SELECT t.session, t.target_return AS y, p.seen_return_open_to_close AS x1
 
 def inputs(spark, sf_dir):
     """(seen bars, unseen bars, headlines) from one pass over the ticks."""
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     bars = materialize(adapters.bars_from_ticks(placed), "bars")
     return adapters.seen(bars), adapters.unseen(bars), adapters.headlines_from_ticks(placed)
 
@@ -90,7 +90,7 @@ q AS (SELECT * FROM seen WHERE session IN (SELECT session FROM headlines WHERE b
 )
 def session_filter(spark, sf_dir):
     """Seen bars of sessions that have a headline in the last five seen bars."""
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     late = adapters.headlines_from_ticks(placed).where(F.col("bar_ix") >= 45)
     return tidy(matrix.restrict(adapters.seen(adapters.bars_from_ticks(placed)), late))
 

@@ -10,7 +10,7 @@ from tickloom.operators import companies, documents, events, reaction, sequence,
 from tickloom.plans.news import News
 from tickloom.registry import common as c
 from tickloom.registry.common import query, tidy, tidy_sql
-from tickloom.session import materialize
+from tickloom.session import materialize, spread_scan
 from tickloom.sources import adapters
 
 D = "session:i"
@@ -185,7 +185,7 @@ def parse_headlines_query(spark, sf_dir):
     ),
 )
 def normalised_text(spark, sf_dir):
-    docs = adapters.table(spark, sf_dir, "documents")
+    docs = spread_scan(adapters.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return tidy(docs.select("doc_id", normalized(F.col("text")).alias("normalized")))
 
 
@@ -399,7 +399,7 @@ bu AS (SELECT session, avg(CASE WHEN burst THEN 1.0 ELSE 0.0 END) AS burst_bar_s
 
 
 def reaction_frame(spark, sf_dir):
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     n = News(adapters.headlines_from_ticks(placed))
     return n.cells, n.scored, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
 
@@ -421,7 +421,7 @@ def price_interaction(spark, sf_dir):
     tidy_sql(BARS_COMPANY + _CONTEXT + _BURST, " ".join([D, *[x for x in reaction.REACTION_COLUMNS if x.startswith("burst")]]), "bu"),
 )
 def burst_windows(spark, sf_dir):
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     cells = events.event_cells(events.parsed_events(adapters.headlines_from_ticks(placed)))
     context = reaction.reaction_context(adapters.seen(adapters.bars_from_ticks(placed)))
     return tidy(reaction.burst_features(cells, context))
@@ -499,6 +499,7 @@ _DOC_VOCAB = "d0 AS (SELECT doc_id, text FROM documents)" + _vocab_sql("d0", "do
 
 def _document_counts(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_scan(docs)
     return docs, materialize(tfidf.term_counts(docs, ["doc_id"], 2, single_part=True), "terms")
 
 
@@ -526,7 +527,7 @@ def tfidf_documents(spark, sf_dir):
     ),
 )
 def tfidf_session(spark, sf_dir):
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     p = events.parsed_events(adapters.headlines_from_ticks(placed))
     parts = documents.document_parts(p, ["session"], document_text("body"))
     counts = materialize(tfidf.term_counts(parts, ["session"], 2), "terms")
@@ -548,7 +549,7 @@ slotdoc AS (SELECT slot, cdoc.session, text FROM cdoc JOIN scored USING (session
     ),
 )
 def tfidf_company(spark, sf_dir):
-    placed = adapters.ticks(c.lineitem(spark, sf_dir))
+    placed = c.placed_ticks(spark, sf_dir)
     n = News(adapters.headlines_from_ticks(placed))
     top = summary.top_companies(n.scored, 2).select("session", "company", "slot")
     parts = documents.document_parts(n.parsed, ["session", "company"], document_text("body"))

@@ -53,3 +53,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """A scan of few file splits spread over all cores before costly row work.
+
+    Large inputs already have more splits than cores and pass unchanged, so nothing is shuffled there. Only for
+    scans: the partition count of a plan with exchanges is not known before it runs.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
