@@ -93,9 +93,13 @@ WHOLE_GROUP_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
 
 
-def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str) -> DataFrame:
+def exact_percentile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, few_groups: bool = False
+) -> DataFrame:
     """Exact percentile with linear interpolation per group, nulls skipped.
 
+    `few_groups` says that the caller knows the number of groups and that it is small (folds times trials).
+
     A mergeable sketch gives values that surely enclose the wanted ranks. Then values below the
     bracket are only counted, and values inside it are grouped to distinct values before
     they are ordered, so ties and large groups cost no extra memory in any task.
@@ -116,7 +120,10 @@ def exact_percentile(df: DataFrame, keys: Sequence[str], value: str, q: float, o
         F.when(whole, F.lit(float("-inf"))).otherwise(F.col("__pq")[0]).alias("__lo"),
         F.when(whole, F.lit(float("inf"))).otherwise(F.col("__pq")[1]).alias("__hi"),
     )
-    joined = base.join(bracket, keys) if keys else base.crossJoin(F.broadcast(bracket))
+    # One row per group. Broadcast for few groups: a shuffle on a handful of folds would gather the whole table
+    # in a handful of partitions.
+    small = F.broadcast(bracket) if few_groups else bracket
+    joined = base.join(small, keys) if keys else base.crossJoin(F.broadcast(bracket))
     key = F.when(v >= F.col("__lo"), v)  # null: below the bracket, counted only
     counted = (
         joined.where(v <= F.col("__hi"))

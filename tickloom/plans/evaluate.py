@@ -34,15 +34,17 @@ def size_positions(
 ) -> DataFrame:
     """Add `target_position`: the score over its batch's percentile of |score|, clipped to ±1, times the cap.
 
-    A batch is one value of `keys`. The scale is exact, computed without gathering a batch in one
-    task, and joined back as a few rows; it is 1 where the percentile is missing or below 1e-6.
+    A batch is one value of `keys`: batches are few (trials times folds, or splits), so their scales are broadcast.
+    The scale is exact, computed without gathering a batch in one task; it is 1 where the percentile is
+    missing or below 1e-6.
     """
     s = F.col(column)
     if neutral_band > 0:
         s = F.when(F.abs(s) >= neutral_band, s).when(s.isNotNull(), F.lit(0.0))
     rows = scored.withColumn("__s", s).withColumn("__a", F.abs("__s"))
-    scale = exact_percentile(rows, keys, "__a", percentile / 100.0, "__scale")
-    joined = rows.join(scale, list(keys), "left") if keys else rows.crossJoin(F.broadcast(scale))
+    scale = exact_percentile(rows, keys, "__a", percentile / 100.0, "__scale", few_groups=True)
+    scale = F.broadcast(scale)
+    joined = rows.join(scale, list(keys), "left") if keys else rows.crossJoin(scale)
     divisor = F.when(F.col("__scale") >= MIN_DENOMINATOR, F.col("__scale")).otherwise(F.lit(1.0))
     position = clipped(F.col("__s") / divisor, -1.0, 1.0) * max_abs_position
     return joined.withColumn("target_position", position).drop("__s", "__a", "__scale")

@@ -297,7 +297,7 @@ def _second_pass(group: _Group, plan: FoldPlan, fits: dict, shift: np.ndarray) -
     parts = group.design.mapInArrow(sums, "trial int, repeat int, fold int, v array<double>")
     summed = sum_vectors(parts, keys).collect()
     spread = materialize(group.design.mapInArrow(residuals, "trial int, repeat int, fold int, a double"), "residuals")
-    floors = exact_percentile(spread, keys, "a", 0.1, "q").collect()
+    floors = exact_percentile(spread, keys, "a", 0.1, "q", few_groups=True).collect()
     return (
         {(s["trial"], s["repeat"], s["fold"]): np.array(s["v"]) for s in summed},
         {(s["trial"], s["repeat"], s["fold"]): s["q"] for s in floors},

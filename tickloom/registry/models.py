@@ -17,7 +17,7 @@ from tickloom.plans.linear import build_model, max_sharpe, position_sharpe, raw_
 from tickloom.plans.moments import ONE, Y_SQUARED, abs_power, collect_moments
 from tickloom.plans.product import Split, fit_full, prediction_product
 from tickloom.plans.selection import forward_select
-from tickloom.plans.vectors_map import DEFAULT_BLOCKS, VectorBlock, vector_feature_map
+from tickloom.plans.vectors_map import DEFAULT_BLOCKS, RELEVANCE_SUMMARY, VectorBlock, vector_feature_map
 from tickloom.registry import bars as bar_queries
 from tickloom.registry import common as c
 from tickloom.registry import text as text_queries
@@ -737,6 +737,42 @@ def cv_fold_summary(spark, sf_dir):
     return tidy(folds.drop("experiment_name", "repeat", "seed"))
 
 
+# The standardised ridge with feature-driven uncertainty on one feature, in closed form.
+_CV_UNCERTAIN = (
+    _FOLDED
+    + ","
+    + _train_sums("count(*) AS n, avg(x1) AS m, CASE WHEN stddev_pop(x1) > 1e-6 THEN stddev_pop(x1) ELSE 1 END AS s, avg(y) AS my")
+    + """,
+tz AS (SELECT tr.fold, session, y, (x1 - m) / s AS z, my FROM fx JOIN tr ON fx.fold <> tr.fold),
+b1 AS (SELECT fold, sum(z * (y - my)) / (sum(z * z) + 2000.0) AS b FROM tz GROUP BY fold),
+res AS (SELECT tz.fold, z, abs(y - my - b * z) AS r, ln(1 + abs(y - my - b * z)) AS t FROM tz JOIN b1 USING (fold)),
+mt AS (SELECT fold, avg(t) AS t0, greatest(quantile_cont(r, 0.1), 1e-6) AS floor FROM res GROUP BY fold),
+u1 AS (SELECT fold, max(t0) AS t0, max(floor) AS floor, sum(z * (t - t0)) / (sum(z * z) + 2000.0) AS u FROM res JOIN mt USING (fold) GROUP BY fold),
+pr AS (SELECT session, fx.fold, y AS realized_return, my + b * (x1 - m) / s AS predicted_return,
+              greatest(exp(t0 + u * (x1 - m) / s) - 1, floor) AS predicted_uncertainty
+       FROM fx JOIN tr USING (fold) JOIN b1 USING (fold) JOIN u1 USING (fold)),
+qt AS (SELECT fold, quantile_cont(abs(predicted_return / predicted_uncertainty), 0.7) AS scale FROM pr GROUP BY fold),
+oof AS (SELECT pr.*, least(greatest(predicted_return / predicted_uncertainty / scale, -1.0), 1.0) * 100 AS target_position,
+               least(greatest(predicted_return / predicted_uncertainty / scale, -1.0), 1.0) * 100 * realized_return AS pnl
+        FROM pr JOIN qt USING (fold))"""
+)
+
+
+@query(
+    "cv_uncertainty",
+    tidy_sql(
+        _CV_UNCERTAIN, f"{D} fold:i predicted_return predicted_uncertainty target_position realized_return pnl", "oof"
+    ),
+)
+def cv_uncertainty(spark, sf_dir):
+    seen, unseen, headlines = inputs(spark, sf_dir)
+    trial = Trial(
+        "one", _blocks("price"), build_model("linear"), {"percentile": 70.0}, ("price__seen_return_open_to_close",)
+    )
+    oof = cross_validate([trial], seen, unseen, headlines).oof
+    return tidy(oof.drop("experiment_name", "repeat", "seed"))
+
+
 @query("sweep")
 def sweep_query(spark, sf_dir):
     """Five feature sets by four models, cross-validated together."""
@@ -789,13 +825,58 @@ def forward_selection(spark, sf_dir):
     return forward_select(seen, unseen, headlines, _blocks("price"), build_model("ridge", {"alpha": 10.0}), 3)
 
 
-@query("vector_feature_map")
+_MAP_BLOCKS = {
+    "text_cw_event_norm__weighted_emb_": "weighted_emb_",
+    "text_cw_event_norm__weighted_recent_emb_": "weighted_recent_emb_",
+    "text_session_event_norm__session_emb_": "session_emb_",
+    "text_session_event_norm__recent_emb_": "recent_emb_",
+    "seq__session_emb_": "session_emb_",
+    "seq__recent_emb_": "recent_emb_",
+}
+_MAP_VECTORS = [f"{p}{i:03d}" for p in _MAP_BLOCKS for i in range(text_queries.DIMS)]
+_MAP_RELEVANCE = [f"text_cw_event_norm__{x}" for x in RELEVANCE_SUMMARY]
+_MAP_SEQUENCE = [f"seq__{x}" for x in sequence.SEQUENCE_COLUMNS]
+
+
+@query(
+    "vector_feature_map",
+    tidy_sql(
+        text_queries.COMPANY
+        + text_queries._VECTORS
+        + text_queries._UNNEST
+        + text_queries._SUMMARY
+        + _SEQ
+        + """,
+cm AS (SELECT session, company, dim, avg(x) AS m, sum(is_recent * x) / greatest(sum(is_recent), 1e-9) AS r FROM ev GROUP BY session, company, dim),
+vl AS (SELECT session, 'weighted_emb_' AS block, dim, sum(relevance_weight * m) AS value FROM cm JOIN scored USING (session, company) GROUP BY session, dim
+       UNION ALL SELECT session, 'weighted_recent_emb_', dim, sum(relevance_weight * r) FROM cm JOIN scored USING (session, company) GROUP BY session, dim
+       UNION ALL SELECT session, 'session_emb_', dim, avg(x) FROM ev GROUP BY session, dim
+       UNION ALL SELECT session, 'recent_emb_', dim, sum(is_recent * x) / greatest(sum(is_recent), 1e-9) FROM ev GROUP BY session, dim),
+vw AS (SELECT session, """
+        + ", ".join(
+            f"max(CASE WHEN block = '{b}' AND dim = {i} THEN value END) AS {p}{i:03d}"
+            for p, b in _MAP_BLOCKS.items()
+            for i in range(text_queries.DIMS)
+        )
+        + " FROM vl GROUP BY session),\nq AS (SELECT a.session, "
+        + ", ".join(f"coalesce(vw.{x}, 0) AS {x}" for x in _MAP_VECTORS)
+        + ", "
+        + ", ".join(f"coalesce(sy.{x}, 0) AS text_cw_event_norm__{x}" for x in RELEVANCE_SUMMARY)
+        + ", "
+        + ", ".join(f"coalesce(sq.{x}, 0) AS seq__{x}" for x in sequence.SEQUENCE_COLUMNS)
+        + """ FROM (SELECT DISTINCT l_suppkey AS session FROM lineitem) a LEFT JOIN vw ON a.session = vw.session
+      LEFT JOIN summary sy ON a.session = sy.session LEFT JOIN seq_s sq ON a.session = sq.session)""",
+        " ".join([D, *_MAP_VECTORS, *_MAP_RELEVANCE, *_MAP_SEQUENCE]),
+        "q",
+        8,
+    ),
+)
 def vector_feature_map_query(spark, sf_dir):
     n = text_queries.news(spark, sf_dir)
     table = materialize(text_queries._text_vectors(spark, sf_dir, n.parsed), "vectors")
     sessions = c.lineitem(spark, sf_dir).select(F.col("l_suppkey").alias("session"))
     blocks = (*DEFAULT_BLOCKS, VectorBlock("seq", aggregation="session", include_sequence_features=True))
-    return vector_feature_map(n, table, sessions, blocks, dims=text_queries.DIMS)
+    return tidy(vector_feature_map(n, table, sessions, blocks, dims=text_queries.DIMS), 8)
 
 
 # --- prediction product ---------------------------------------------------------------------
