@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -32,16 +34,21 @@ def local_session(app: str = "tickloom", cpus: str | int = 8, **conf: str) -> Sp
     return spark
 
 
+_PRIVATE: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a private one only for an unset local session."""
+    """The shared folder the session names; where it names none, a private one of a local session, deleted at exit."""
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that every executor can reach.")
-    folder = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="tickloom-")
+        atexit.register(shutil.rmtree, _PRIVATE[app], ignore_errors=True)
+    return _PRIVATE[app]
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
