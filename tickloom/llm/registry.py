@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the operator modules registers them."""
 
-from tickloom.llm import decontaminate, mixing, ngram_join, substring_dedup  # noqa: F401
+from tickloom.llm import decontaminate, mixing, ngram_join, sharding, substring_dedup  # noqa: F401
 from tickloom.llm.common import ORACLES, QUERIES
 
 
