@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,3 +23,11 @@ def query(name: str, sql: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
+    """`df` as a table of the warehouse, bucketed by `column`: later joins on it do not move its rows."""
+    spark = df.sparkSession
+    full = f"{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).format("parquet").saveAsTable(full)
+    return spark.table(full)

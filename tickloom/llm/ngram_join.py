@@ -22,15 +22,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.llm.blocks import answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, holders, read_replies
-from tickloom.llm.common import query, table
+from tickloom.llm.blocks import answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, holders, pack, read_replies, unpack
+from tickloom.llm.common import bucketed, query, table
 from tickloom.llm.graph import components
 from tickloom.llm.words import distinct_by_owner, mixed, range_names, window_names, window_starts, words_of
 from tickloom.session import materialize
 
-KEY_BYTES = 4  # and the bucket's bits; two n-grams that fall together only look shared, which adds candidates
+ASK_BYTES = 3  # and the bucket's bits; two n-grams that fall together only look shared, which adds candidates
+BUCKET_KEYS = 100_000
+SET_BYTES = 6
 SEGMENT_KEYS = 4096
-SETS = "doc_id long, tag long, n_shingles long, sig binary, shared binary, held int, prefix array<long>, brief array<int>"
+SETS = "doc_id long, tag long, n_shingles long, sig binary, shared binary, lead int, wide int"
 
 
 def shingles(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +56,7 @@ def _settle(docs: pa.Table, replies: pa.Table, width: int, percent: int, buckets
     n = docs.num_rows
     owner, keys = shingles(docs["text"], width)
     own, inverse, local = np.unique(keys, return_inverse=True, return_counts=True)
-    blocks = read_replies(replies, own, buckets, np.uint32)[inverse]
+    blocks = read_replies(replies, own, buckets, np.uint8)[inverse]
     shared = (blocks > 1) | (local[inverse] > 1)
     size = np.bincount(owner, minlength=n)
     live = (size > 0) & (100 * np.bincount(owner, shared, minlength=n) >= percent * size)
@@ -62,20 +64,15 @@ def _settle(docs: pa.Table, replies: pa.Table, width: int, percent: int, buckets
     cuts = np.searchsorted(owner, np.arange(n + 1))
     with np.errstate(over="ignore"):
         first, second = _sums(owner, mixed(keys), n), _sums(owner, mixed(keys ^ np.uint64(0xA5A5A5A5)), n)
-    sig, held, prefix, brief = [], [], [], []
-    for i in range(n):
-        if not live[i]:
-            for column in (sig, held, prefix, brief):
-                column.append(None)
-            continue
+    sig, held, lead, wide = [None] * n, [None] * n, [None] * n, [None] * n
+    for i in np.flatnonzero(live):
         k, s, b = (x[cuts[i] : cuts[i + 1]] for x in (keys, shared, blocks))
-        sig.append(np.array([first[i], second[i] ^ mixed(np.uint64([len(k)]))[0]], np.uint64).tobytes())
-        held.append(k[s].tobytes())
+        sig[i] = np.array([first[i], second[i] ^ mixed(np.uint64([len(k)]))[0]], np.uint64).tobytes()
         order = np.lexsort((k, b))
-        first_n = len(k) - -(-percent * len(k) // 100) + 1
-        prefix.append(k[order[:first_n][s[order[:first_n]]]].view(np.int64))
-        wide = order[: 2 * first_n]
-        brief.append((k[wide[s[wide]]] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+        place = np.flatnonzero(s[order])
+        held[i] = pack(k[order[place]], SET_BYTES).tobytes()
+        prefix = len(k) - -(-percent * len(k) // 100) + 1
+        lead[i], wide[i] = np.searchsorted(place, [prefix, 2 * prefix]).tolist()
     return pa.table(
         {
             "doc_id": docs["doc_id"],
@@ -83,24 +80,28 @@ def _settle(docs: pa.Table, replies: pa.Table, width: int, percent: int, buckets
             "n_shingles": pa.array(size, pa.int64()),
             "sig": pa.array(sig, pa.binary()),
             "shared": pa.array(held, pa.binary()),
-            "held": pa.array([None if h is None else len(h) // 8 for h in held], pa.int32()),
-            "prefix": pa.array(prefix, pa.list_(pa.int64())),
-            "brief": pa.array(brief, pa.list_(pa.int32())),
+            "lead": pa.array(lead, pa.int32()),
+            "wide": pa.array(wide, pa.int32()),
         }
     )
 
 
+def _few(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    return np.minimum(holders(keys, extra), 255).astype(np.uint8)
+
+
 def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Set size of every document; signature, shared n-grams and prefix of those that can link at all."""
+    """Set size of every document; for those that can link at all also the signature, the shared n-grams in the global order, and
+    how many of them the prefix (`lead`) and a prefix of twice its length (`wide`) hold."""
     rows = docs.select("doc_id", "text").withColumn("tag", F.xxhash64("text"))
-    deal = deal_for(rows)
+    deal = deal_for(rows, bucket_keys=BUCKET_KEYS)
     buckets = deal.buckets
 
     def asks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        return ask_rows(key[0].as_py(), np.unique(shingles(t["text"], width)[1]), buckets, KEY_BYTES)
+        return ask_rows(key[0].as_py(), np.unique(shingles(t["text"], width)[1]), buckets, ASK_BYTES)
 
     def reply(t: pa.Table) -> pa.Table:
-        return answer_rows(t, KEY_BYTES, holders)
+        return answer_rows(t, ASK_BYTES, _few)
 
     def settle(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         return _settle(t, replies, width, percent, buckets)
@@ -109,37 +110,61 @@ def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return conclude(blocked, answers(ask(blocked, asks), reply), settle, SETS)
 
 
-def _segments(reps: DataFrame, fragments: int) -> DataFrame:
-    """Each set cut at the same places of the name range: one row for each segment that is not empty."""
+def _keys(blob: bytes, n: int | None = None) -> np.ndarray:
+    return unpack(np.frombuffer(blob, np.uint8, -1 if n is None else n * SET_BYTES), SET_BYTES)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        inner = np.array([(f << 64) // fragments for f in range(1, fragments)], np.uint64)
-        for batch in batches:
-            rows = []
-            for sig, n, blob in zip(*(batch.column(c).to_pylist() for c in ("sig", "n", "shared"))):
-                keys = np.frombuffer(blob, np.uint64)
-                parts = np.split(keys, np.searchsorted(keys, inner))
-                rows += [(sig, n, f, p.tobytes()) for f, p in enumerate(parts) if len(p)]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            kinds = (pa.binary(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["sig", "n", "frag", "seg"])
 
-    return reps.select("sig", "n", "shared").mapInArrow(cut, "sig binary, n long, frag int, seg binary")
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One posting for each shared n-gram of each prefix."""
+    for batch in batches:
+        sigs, blobs, leads = (batch.column(c).to_pylist() for c in ("sig", "shared", "lead"))
+        keys = [_keys(b, n) for b, n in zip(blobs, leads)]
+        owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()).take(pa.array(owner)), pa.array(flat.view(np.int64))], ["sig", "key"])
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _briefs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wide prefix in 32 bits, and how many n-grams a set can share beyond it."""
     for batch in batches:
-        pairs = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
-        found = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in pairs]
-        kept = [batch.column(c) for c in ("a", "b", "na", "nb")]
-        yield pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.int64())], ["a", "b", "na", "nb", "part"])
+        sigs, sizes, blobs, wides = (batch.column(c).to_pylist() for c in ("sig", "n", "shared", "wide"))
+        briefs = [(_keys(b, w) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for b, w in zip(blobs, wides)]
+        rest = [len(b) // SET_BYTES - w + (w - len(np.unique(x))) for b, w, x in zip(blobs, wides, briefs)]
+        columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(briefs, pa.list_(pa.int32())), pa.array(rest, pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "brief", "rest"])
+
 
+def linked(pairs: DataFrame, reps: DataFrame, fragments: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose overlap, counted fragment by fragment and summed, reaches the threshold.
+
+    `reps` is bucketed by `sig`, so only the segments of a travel, to where the sets of b lie.
+    """
+    inner = np.array([(f << (8 * SET_BYTES)) // fragments for f in range(1, fragments)], np.uint64)
 
-def linked(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose overlap, summed over the fragments, reaches the threshold."""
-    left = segments.select(F.col("sig").alias("a"), F.col("n").alias("na"), "frag", F.col("seg").alias("sa"))
-    right = segments.select(F.col("sig").alias("b"), F.col("n").alias("nb"), "frag", F.col("seg").alias("sb"))
-    parts = pairs.join(left, "a").join(right, ["b", "frag"]).mapInArrow(_overlaps, "a binary, b binary, na long, nb long, part long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b, n, blob in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n", "shared"))):
+                keys = np.sort(_keys(blob))
+                rows += [(a, b, n, f, pack(part, SET_BYTES).tobytes()) for f, part in enumerate(np.split(keys, np.searchsorted(keys, inner)))]
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "b", "na", "frag", "seg"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for f, seg, blob in zip(*(batch.column(c).to_pylist() for c in ("frag", "seg", "shared"))):
+                keys = _keys(blob)
+                own = keys[np.searchsorted(inner, keys, side="right") == f] if fragments > 1 else keys
+                found.append(len(np.intersect1d(_keys(seg), own)))
+            kept = [batch.column(c) for c in ("a", "b", "na")]
+            yield pa.RecordBatch.from_arrays([*kept, batch.column("n"), pa.array(found, pa.int64())], ["a", "b", "na", "nb", "part"])
+
+    segments = pairs.join(reps.select("sig", "n", "shared"), F.col("a") == F.col("sig")).select("a", "b", "n", "shared")
+    segments = segments.mapInArrow(cut, "a binary, b binary, na long, frag int, seg binary")
+    met = segments.join(reps.select("sig", "n", "shared"), F.col("b") == F.col("sig")).select("a", "b", "na", "frag", "seg", "n", "shared")
+    parts = met.mapInArrow(count, "a binary, b binary, na long, nb long, part long")
     return parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both")).where(f"100 * both >= {percent} * (na + nb - both)").select("a", "b")
 
 
@@ -166,6 +191,17 @@ def _star_pairs(postings: DataFrame, groups: DataFrame | None, turn: int) -> Dat
     return seen.withColumn("nth", best).where(F.col("nth") <= 2**turn).select(F.col("sig").alias("a"), F.col("hub").alias("b"))
 
 
+def _pairs_across(postings: DataFrame, groups: DataFrame) -> float:
+    """How many pairs across groups the postings would make, from counts alone."""
+    held = _grouped(postings, groups).groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
+    by_key = held.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return by_key.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
+
+
+def _as_links(groups: DataFrame) -> DataFrame:
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
 def _cross_pairs(postings: DataFrame, reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets in different groups that shares a prefix n-gram and can still reach the threshold.
 
@@ -175,15 +211,15 @@ def _cross_pairs(postings: DataFrame, reps: DataFrame, groups: DataFrame, percen
     """
     placed = _grouped(postings, groups)
     open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    slack = F.size("brief") - F.size(F.array_distinct("brief"))
-    bounds = reps.select("sig", "n", "brief", (F.col("held") - F.size("brief") + slack).cast("int").alias("rest"))
-    rows = placed.join(open_keys, "key").join(bounds, "sig").withColumn("short", F.shiftright("key", 32).cast("int"))
-    left = rows.select("key", "short", *[F.col(c).alias("a_" + c) for c in ("sig", "n", "g", "brief", "rest")])
-    right = rows.select("key", *[F.col(c).alias("b_" + c) for c in ("sig", "n", "g", "brief", "rest")])
+    bounds = reps.select("sig", "n", "shared", "wide").mapInArrow(_briefs, "sig binary, n long, brief array<int>, rest int")
+    rows = placed.join(open_keys, "key").join(bounds, "sig").withColumn("short", F.shiftright(F.shiftleft("key", 32), 32).cast("int"))
+    columns = ("sig", "n", "g", "brief", "rest", "short")
+    left = rows.select("key", *[F.col(c).alias("a_" + c) for c in columns])
+    right = rows.select("key", *[F.col(c).alias("b_" + c) for c in columns])
     close = f"""
         a_g < b_g AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)
         AND {100 + percent} * (size(array_intersect(a_brief, b_brief)) + greatest(a_rest, b_rest)) >= {percent} * (a_n + b_n)
-        AND array_intersect(a_brief, b_brief)[0] = short"""
+        AND array_intersect(a_brief, b_brief)[0] = a_short"""
     return left.join(right, "key").where(close).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct()
 
 
@@ -197,23 +233,24 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     """
     sets = materialize(document_sets(docs, width, percent), "sets")
     live = sets.where(F.col("sig").isNotNull())
-    payload = F.struct(F.col("n_shingles").alias("n"), "shared", "held", "prefix", "brief")
-    reps = live.groupBy("sig").agg(F.min_by(payload, F.struct("doc_id", "tag")).alias("r"))
-    reps = materialize(reps.select("sig", "r.*"), "reps")
+    payload = F.struct(F.col("n_shingles").alias("n"), "shared", "lead", "wide")
+    chosen = live.groupBy("sig").agg(F.min_by(payload, F.struct("doc_id", "tag")).alias("r")).select("sig", "r.*")
+    reps = bucketed(chosen, "sig", "reps")
     longest, size = reps.agg(F.max("n"), F.count(F.lit(1))).first()
-    segments = _segments(reps, max(1, -(-(longest or 0) // SEGMENT_KEYS)))
-    postings = reps.select("sig", F.explode("prefix").alias("key"))
+    fragments = max(1, -(-(longest or 0) // SEGMENT_KEYS))
+    postings = reps.select("sig", "shared", "lead").mapInArrow(_prefixes, "sig binary, key long")
     shared_keys = postings.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo != hi").select("key")
     postings = materialize(postings.join(shared_keys, "key"), "postings")
+    entries = postings.count()
 
-    # Turns go on while they still link many sets; the last pass makes every pair that they left.
+    # Turns go on while they link many sets and the pairs across groups would far outnumber the postings; then all pairs left are made.
     groups, turn = None, 0
-    while turn == 0 or 50 * star.count() > size:
-        star = materialize(linked(_star_pairs(postings, groups, turn), segments, percent), "links")
-        known = star if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(star)
+    while turn == 0 or (50 * star.count() > size and _pairs_across(postings, groups) > 10 * entries):
+        star = materialize(linked(_star_pairs(postings, groups, turn), reps, fragments, percent), "links")
+        known = star if groups is None else _as_links(groups).union(star)
         groups, turn = components(known, "a", "b"), turn + 1
-    rest = linked(_cross_pairs(postings, reps, groups, percent), segments, percent)
-    groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(rest), "a", "b")
+    rest = linked(_cross_pairs(postings, reps, groups, percent), reps, fragments, percent)
+    groups = components(_as_links(groups).union(rest), "a", "b")
 
     named = live.select("sig", "doc_id").join(groups, F.col("sig") == groups["node"], "left")
     named = named.groupBy(F.coalesce("component", "sig").alias("g"), "sig").agg(F.min("doc_id").alias("m"))
