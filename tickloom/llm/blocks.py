@@ -33,7 +33,7 @@ def deal_for(docs: DataFrame, text: str = "text", block_chars: int = BLOCK_CHARS
     """Numbers of blocks and buckets for all of `docs`, from one aggregate."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    return Deal(max(2 * partitions, -(-chars // block_chars)), max(2 * partitions, -(-chars // 6 // bucket_keys)), partitions)
+    return Deal(max(2 * partitions, -(-chars // block_chars)), max(partitions, -(-chars // 6 // bucket_keys)), partitions)
 
 
 def dealt(docs: DataFrame, deal: Deal) -> DataFrame:
