@@ -1,6 +1,6 @@
 """All queries of the subpackage; importing the operator modules registers them."""
 
-from tickloom.llm import decontaminate, language_id, mixing, ngram_join, sharding, substring_dedup, toxicity  # noqa: F401
+from tickloom.llm import decontaminate, language_id, mixing, ngram_join, sharding, substring_dedup, topk, toxicity  # noqa: F401
 from tickloom.llm.common import ORACLES, QUERIES
 
 
