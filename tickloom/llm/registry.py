@@ -1,6 +1,17 @@
 """All queries of the subpackage; importing the operator modules registers them."""
 
-from tickloom.llm import decontaminate, language_id, mixing, ngram_join, sharding, substring_dedup, topk, toxicity  # noqa: F401
+from tickloom.llm import (  # noqa: F401
+    decontaminate,
+    language_id,
+    lm_score,
+    mixing,
+    ngram_join,
+    sharding,
+    substring_dedup,
+    token_counts,
+    topk,
+    toxicity,
+)
 from tickloom.llm.common import ORACLES, QUERIES
 
 
