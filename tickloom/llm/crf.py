@@ -59,7 +59,7 @@ def features(words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _summed(owner: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(owner, rows[:, j], minlength=n) for j in range(rows.shape[1])], axis=1)
+    return np.stack([np.bincount(owner, rows[:, j], minlength=n) for j in range(rows.shape[1])], axis=1).astype(float)
 
 
 def forward_backward(emit: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarray):

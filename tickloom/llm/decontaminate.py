@@ -71,13 +71,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str =
 
     A document with removed spans keeps its other words, normalised and joined by one space; the others keep their text.
     """
-    found = leaks(docs, benchmark, width).where(F.size("spans") > 0).select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), "spans").distinct()
+    found = leaks(docs, benchmark, width).where(F.size("spans") > 0).distinct()
+    found = found.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
     same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__tag"))
     if remove == "documents":
         return docs.join(found, same, "left_anti")
-    words, gone = normal_words(), covered()
+    words, gone = normal_words(), covered("__spans")
     left = F.filter(F.transform(words, lambda w, i: F.when(~F.array_contains(gone, i + 1), w)), lambda w: w.isNotNull())
-    return docs.join(found, same, "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(left, " "))).select(*docs.columns)
+    cut = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(F.array_join(left, " "))
+    return docs.join(found, same, "left").withColumn("text", cut).select(*docs.columns)
 
 
 ORACLE = r"""

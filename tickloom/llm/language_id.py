@@ -65,7 +65,7 @@ def identify(docs: DataFrame, tagger: Tagger, names: list[str]) -> DataFrame:
                 chance, known = model.marginals(words)
                 owner = words.owner()
                 n = np.bincount(owner, known, minlength=b - a)
-                mean = np.stack([np.bincount(owner, chance[:, j] * known, minlength=b - a) for j in range(len(start))], axis=1)
+                mean = np.stack([np.bincount(owner, chance[:, j] * known, minlength=b - a) for j in range(len(start))], axis=1).astype(float)
                 mean /= np.maximum(n, 1)[:, None]
                 best = mean.argmax(axis=1)
                 ok = np.asarray(part.column("letters").fill_null(False).to_numpy(zero_copy_only=False), bool) & (n > 0) & bool(names)

@@ -97,7 +97,7 @@ def _score(docs: pa.Table, replies: pa.Table, order: int, alpha: float, buckets:
             "tag": docs["tag"],
             "n_words": pa.array(counts, pa.int64()),
             "n_backoffs": pa.array(np.bincount(owner, backoffs, minlength=n).astype(np.int64)),
-            "log_score": pa.array(np.bincount(owner, score, minlength=n)),
+            "log_score": pa.array(np.bincount(owner, score, minlength=n).astype(float)),
         }
     )
 

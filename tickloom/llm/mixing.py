@@ -67,22 +67,24 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), factor: float = 1
 def draw(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixture itself: rows of `docs`, repeated as `mixed` says; the partial copy keeps its first words.
 
-    Null ids are matched with null. Documents without words are not part of a mixture of words and are left out.
+    Null ids are matched with null. Documents without words are not part of a mixture of words and are left out. A cut text has its
+    words joined by one space, and its own n_chars where there is such a column.
     """
     # equal rows have one size; their parts may differ, so they are dealt out one by one
-    nth = Window.partitionBy("doc_id", "tag")
-    want = mixed.select("doc_id", "tag", "copies", "part").withColumn("nth", F.row_number().over(nth.orderBy(F.desc("part"))))
-    have = docs.withColumn("tag", F.xxhash64("text")).withColumn("nth", F.row_number().over(nth.orderBy(F.lit(0))))
-    want = want.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("nth").alias("__nth"), "copies", "part").where("copies > 0 OR part > 0")
-    both = have.join(want, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("tag") == F.col("__tag")) & (F.col("nth") == F.col("__nth")))
+    want = mixed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("copies").alias("__copies"), F.col("part").alias("__part"))
+    want = want.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__tag").orderBy(F.desc("__part")))).where("__copies > 0 OR __part > 0")
+    have = docs.withColumn("__own", F.xxhash64("text"))
+    have = have.withColumn("__number", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")) & (F.col("__number") == F.col("__nth"))
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("copies").cast("int"))
-    takes = F.when(F.col("part") > 0, F.concat(whole, F.array("part"))).otherwise(whole)
+    whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__copies").cast("int"))
+    takes = F.when(F.col("__part") > 0, F.concat(whole, F.array("__part"))).otherwise(whole)
+    rows = have.join(want, same).withColumn("__take", F.explode(takes))
     full = (F.col("__take") < 0) | (F.col("__take") == F.size(words))
     text = F.when(full, F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("__take").cast("int")), " "))
-    rows = both.withColumn("__take", F.explode(takes)).withColumn("text", text)
+    rows = rows.withColumn("__full", full).withColumn("text", text)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(full, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        rows = rows.withColumn("n_chars", F.when(F.col("__full"), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return rows.select(*docs.columns)
 
 

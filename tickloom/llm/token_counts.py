@@ -93,7 +93,7 @@ def section_tokens(docs: DataFrame, sections: DataFrame | None = None, rule: str
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     if sections is not None:
         given = sections.where("doc_id IS NOT NULL AND start IS NOT NULL AND end IS NOT NULL")
-        lists = given.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int"), F.col("end").cast("int")))).alias("given"))
+        lists = given.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("start", "end")]))).alias("given"))
         rows = rows.join(lists, "doc_id", "left").select("doc_id", "tag", "text", "given")
     lines = sections is None
 
