@@ -7,8 +7,9 @@ The global order is (number of blocks that hold the n-gram, its name): rare firs
 2. Documents with the same set collapse to one representative.
 3. Two sets that link share an n-gram among the first n - ceil(percent * n / 100) + 1 of the global order. These prefix
    postings give candidates: first, in a few turns, each set with the hub outside its group that it shares most prefix
-   n-grams with, which finds the groups; then, for n-grams whose holders still lie in different groups, every pair across groups that passes the length and position
-   bounds. So no pairs inside a found group are made, and none that could link two groups is missed.
+   n-grams with, which finds the groups; then, for n-grams whose holders still lie in different groups, every pair across
+   groups that passes a bound on sizes and on what two prefixes share. So no pairs inside a found group are made, and none
+   that could link two groups is missed.
 4. Candidates are compared fragment by fragment: the name range is cut into fragments, each document's set into segments, the
    overlap of two segments is counted by itself, and the counts are summed per pair.
 """
@@ -32,7 +33,10 @@ ASK_BYTES = 3  # and the bucket's bits; two n-grams that fall together only look
 BUCKET_KEYS = 100_000
 SET_BYTES = 6
 SEGMENT_KEYS = 4096
-SETS = "doc_id long, tag long, n_shingles long, sig binary, shared binary, lead int, wide int"
+LIST_SETS = 1024
+MEMBER = np.dtype([("sig", "V16"), ("n", "<i4"), ("rest", "<i4")])
+KEYED = np.dtype([("high", "<u8"), ("low", "<u8"), ("rest", "<u8")])  # the same bytes as numbers, which numpy can sort
+SETS = "doc_id long, tag long, n_shingles long, sig binary, shared binary, held int, lead int"
 
 
 def shingles(texts: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,24 +68,23 @@ def _settle(docs: pa.Table, replies: pa.Table, width: int, percent: int, buckets
     cuts = np.searchsorted(owner, np.arange(n + 1))
     with np.errstate(over="ignore"):
         first, second = _sums(owner, mixed(keys), n), _sums(owner, mixed(keys ^ np.uint64(0xA5A5A5A5)), n)
-    sig, held, lead, wide = [None] * n, [None] * n, [None] * n, [None] * n
+    sig, shared_keys, held, lead = [None] * n, [None] * n, [None] * n, [None] * n
     for i in np.flatnonzero(live):
         k, s, b = (x[cuts[i] : cuts[i + 1]] for x in (keys, shared, blocks))
         sig[i] = np.array([first[i], second[i] ^ mixed(np.uint64([len(k)]))[0]], np.uint64).tobytes()
         order = np.lexsort((k, b))
         place = np.flatnonzero(s[order])
-        held[i] = pack(k[order[place]], SET_BYTES).tobytes()
-        prefix = len(k) - -(-percent * len(k) // 100) + 1
-        lead[i], wide[i] = np.searchsorted(place, [prefix, 2 * prefix]).tolist()
+        shared_keys[i], held[i] = pack(k[order[place]], SET_BYTES).tobytes(), len(place)
+        lead[i] = int(np.searchsorted(place, len(k) - -(-percent * len(k) // 100) + 1))
     return pa.table(
         {
             "doc_id": docs["doc_id"],
             "tag": docs["tag"],
             "n_shingles": pa.array(size, pa.int64()),
             "sig": pa.array(sig, pa.binary()),
-            "shared": pa.array(held, pa.binary()),
+            "shared": pa.array(shared_keys, pa.binary()),
+            "held": pa.array(held, pa.int32()),
             "lead": pa.array(lead, pa.int32()),
-            "wide": pa.array(wide, pa.int32()),
         }
     )
 
@@ -92,7 +95,7 @@ def _few(keys: np.ndarray, extra: np.ndarray) -> np.ndarray:
 
 def document_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Set size of every document; for those that can link at all also the signature, the shared n-grams in the global order, and
-    how many of them the prefix (`lead`) and a prefix of twice its length (`wide`) hold."""
+    how many of them there are (`held`) and the prefix has (`lead`)."""
     rows = docs.select("doc_id", "text").withColumn("tag", F.xxhash64("text"))
     deal = deal_for(rows, bucket_keys=BUCKET_KEYS)
     buckets = deal.buckets
@@ -124,16 +127,6 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()).take(pa.array(owner)), pa.array(flat.view(np.int64))], ["sig", "key"])
 
 
-def _briefs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wide prefix in 32 bits, and how many n-grams a set can share beyond it."""
-    for batch in batches:
-        sigs, sizes, blobs, wides = (batch.column(c).to_pylist() for c in ("sig", "n", "shared", "wide"))
-        briefs = [(_keys(b, w) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) for b, w in zip(blobs, wides)]
-        rest = [len(b) // SET_BYTES - w + (w - len(np.unique(x))) for b, w, x in zip(blobs, wides, briefs)]
-        columns = [pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64()), pa.array(briefs, pa.list_(pa.int32())), pa.array(rest, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, ["sig", "n", "brief", "rest"])
-
-
 def linked(pairs: DataFrame, reps: DataFrame, fragments: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose overlap, counted fragment by fragment and summed, reaches the threshold.
 
@@ -202,25 +195,57 @@ def _as_links(groups: DataFrame) -> DataFrame:
     return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
+def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of all lists of a column as records, their groups as two numbers each, and the bounds of the lists."""
+    values = column.flatten()
+    out = np.empty(len(values), MEMBER)
+    out["sig"] = np.frombuffer(b"".join(values.field("sig").to_pylist()), "V16")
+    out["n"], out["rest"] = values.field("n").to_numpy(), values.field("rest").to_numpy()
+    groups = np.frombuffer(b"".join(values.field("g").to_pylist()), "<u8").reshape(-1, 2)
+    return out, groups, np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+
+
 def _cross_pairs(postings: DataFrame, reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets in different groups that shares a prefix n-gram and can still reach the threshold.
 
-    Two sets share at most what their prefixes share plus what the longer of their remainders holds. `brief` has a prefix of
-    twice the length in 32 bits; what two of its n-grams lose by falling together is given back as slack. A pair is made at its first common
-    n-gram only.
+    The sets that hold an n-gram are cut into lists of about LIST_SETS by their signature, and every two lists of an n-gram
+    meet in one row. A row gives each set of the left list its partners of the right one, packed. The partners of a set from all
+    its n-grams, list by list, tell how many prefix n-grams each pair shares; besides those, two sets share at most the larger
+    of what they hold beyond their prefixes.
     """
     placed = _grouped(postings, groups)
-    open_keys = placed.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key")
-    bounds = reps.select("sig", "n", "shared", "wide").mapInArrow(_briefs, "sig binary, n long, brief array<int>, rest int")
-    rows = placed.join(open_keys, "key").join(bounds, "sig").withColumn("short", F.shiftright(F.shiftleft("key", 32), 32).cast("int"))
-    columns = ("sig", "n", "g", "brief", "rest", "short")
-    left = rows.select("key", *[F.col(c).alias("a_" + c) for c in columns])
-    right = rows.select("key", *[F.col(c).alias("b_" + c) for c in columns])
-    close = f"""
-        a_g < b_g AND 100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)
-        AND {100 + percent} * (size(array_intersect(a_brief, b_brief)) + greatest(a_rest, b_rest)) >= {percent} * (a_n + b_n)
-        AND array_intersect(a_brief, b_brief)[0] = a_short"""
-    return left.join(right, "key").where(close).select(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).distinct()
+    open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key", "m")
+    lists = max(1, -(-(open_keys.agg(F.max("m")).first()[0] or 0) // LIST_SETS))
+    facts = reps.select("sig", F.col("n").cast("int").alias("n"), (F.col("held") - F.col("lead")).alias("rest"))
+    rows = placed.join(open_keys.select("key"), "key").join(facts, "sig").withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(lists)).cast("int"))
+    sides = rows.groupBy("key", "part").agg(F.collect_list(F.struct("sig", "g", "n", "rest")).alias("sets"))
+    met = sides.select("key", F.col("sets").alias("left")).join(sides.select("key", "part", F.col("sets").alias("right")), "key")
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (left, lg, lc), (right, rg, rc) = _members(batch.column("left")), _members(batch.column("right"))
+            found: list[tuple] = []
+            for i, part in enumerate(batch.column("part").to_pylist()):
+                a, ag, b, bg = left[lc[i] : lc[i + 1]], lg[lc[i] : lc[i + 1]], right[rc[i] : rc[i + 1]], rg[rc[i] : rc[i + 1]]
+                for j in range(len(a)):
+                    ok = (bg[:, 0] > ag[j, 0]) | ((bg[:, 0] == ag[j, 0]) & (bg[:, 1] > ag[j, 1]))
+                    ok &= 100 * np.minimum(a["n"][j], b["n"]) >= percent * np.maximum(a["n"][j], b["n"])
+                    if ok.any():
+                        found.append((a["sig"][j].tobytes(), part, int(a["n"][j]), int(a["rest"][j]), b[ok].tobytes()))
+            columns = list(zip(*found)) or [[]] * 5
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["a", "part", "n", "rest", "partners"])
+
+    def counted(t: pa.Table) -> pa.Table:
+        a, n, rest = (t[c][0].as_py() for c in ("a", "n", "rest"))
+        sets, c = np.unique(np.frombuffer(b"".join(t["partners"].to_pylist()), KEYED), return_counts=True)
+        b = sets.view(MEMBER)
+        close = (100 + percent) * (c + np.maximum(rest, b["rest"])) >= percent * (n + b["n"].astype(np.int64))
+        kept = [x.tobytes() for x in b["sig"][close]]
+        return pa.table({"a": pa.array([a] * len(kept), pa.binary()), "b": pa.array(kept, pa.binary())})
+
+    packed = met.mapInArrow(partners, "a binary, part int, n long, rest long, partners binary")
+    return packed.groupBy("a", "part").applyInArrow(counted, "a binary, b binary")
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -233,7 +258,7 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     """
     sets = materialize(document_sets(docs, width, percent), "sets")
     live = sets.where(F.col("sig").isNotNull())
-    payload = F.struct(F.col("n_shingles").alias("n"), "shared", "lead", "wide")
+    payload = F.struct(F.col("n_shingles").alias("n"), "shared", "held", "lead")
     chosen = live.groupBy("sig").agg(F.min_by(payload, F.struct("doc_id", "tag")).alias("r")).select("sig", "r.*")
     reps = bucketed(chosen, "sig", "reps")
     longest, size = reps.agg(F.max("n"), F.count(F.lit(1))).first()
