@@ -15,7 +15,7 @@ from tickloom.llm.crf import _PART, Tagger, fit, folded, slices
 from tickloom.llm.language_id import held_out
 from tickloom.llm.words import Words, window_names, window_starts
 
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1_500, 3_000  # labelled texts to learn from
+SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 2_400  # labelled texts to learn from
 SAMPLE_CHARS = 8_000  # longest of them
 STEMS = (3, 4, 5, 6)
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 4, 0.01, 25.0
@@ -54,15 +54,16 @@ def label_words(texts: list[str], toxic: np.ndarray) -> list[np.ndarray]:
     LEAST_ODDS times those in clean texts. Texts with the same smallest
     five-word hash, copies for the most part, count once.
     """
-    tokens = [folded(pa.array([t], pa.string())) for t in texts]
-    words = [_bare(w) for w in tokens]
-    units: dict[bytes, list[bytes]] = {b"": []}
+    same: dict[bytes, bytes] = {}  # one object for each distinct word
+    words: list[list[bytes]] = []
     groups: dict[tuple[int, int], set[bytes]] = {}
-    for w, some, y in zip(tokens, words, toxic):
-        starts = window_starts(w.first, min(5, max(1, len(w))))[0]
-        least = int(window_names(w.names, starts, min(5, max(1, len(w)))).min(initial=LAST))
-        own = groups.setdefault((least, int(y)), set())
-        own.update(some)
+    for text, y in zip(texts, toxic):
+        w = folded(pa.array([text], pa.string()))
+        words.append([same.setdefault(x, x) for x in _bare(w)])
+        width = min(5, max(1, len(w)))
+        least = int(window_names(w.names, window_starts(w.first, width)[0], width).min(initial=LAST))
+        groups.setdefault((least, int(y)), set()).update(words[-1])
+    units: dict[bytes, list[bytes]] = {b"": []}
     seen = (Counter(), Counter())
     for (_, y), own in groups.items():
         for word in [w for w in own if w not in units]:
@@ -92,6 +93,12 @@ def _summary(chance: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), most, np.log1p(np.bincount(owner, sure, minlength=n))], axis=1)
 
 
+def _text_summary(tagger: Tagger, texts: pa.Array) -> tuple[np.ndarray, Words, np.ndarray]:
+    words = folded(texts)
+    chance = tagger.marginals(words)[0][:, 1]
+    return _summary(chance, words.owner(), len(texts)), words, chance
+
+
 def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted logistic regression by Newton steps, halved until they help, with a small ridge."""
     weight = weight / weight.sum() * len(y)
@@ -133,8 +140,8 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     if not len(y):
         return Detector(fit([], [], 2), np.array([-30.0, 0.0, 0.0]))
     tagger = fit(texts, label_words(texts, y), 2)
-    words = folded(pa.array(texts, pa.string()))
-    x = _summary(tagger.marginals(words)[0][:, 1], words.owner(), len(texts))
+    column = pa.array(texts, pa.string())
+    x = np.concatenate([_text_summary(tagger, column.slice(a, b - a))[0] for a, b in slices(column, 500_000)])
     return Detector(tagger, _curve(x, y, np.where(y == 1, 1 / share[1], 1 / share[0])))
 
 
@@ -154,10 +161,9 @@ def detect(docs: DataFrame, detector: Detector, least: float = 0.5) -> DataFrame
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 part = batch.slice(a, b - a)
-                words = folded(part.column("text"))
+                x, words, chance = _text_summary(model, part.column("text"))
                 owner, n = words.owner(), b - a
-                chance = model.marginals(words)[0][:, 1]
-                scores = 1 / (1 + np.exp(-np.clip(_summary(chance, owner, n) @ curve, -30, 30)))
+                scores = 1 / (1 + np.exp(-np.clip(x @ curve, -30, 30)))
                 toxic = np.flatnonzero(chance >= least)
                 new = np.ones(len(toxic), bool)
                 new[1:] = (np.diff(toxic) > 1) | (owner[toxic][1:] != owner[toxic][:-1])
