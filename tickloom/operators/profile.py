@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from statistics import NormalDist
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.numeric import ratio
 from tickloom.functions.ranking import range_parts, ranked
@@ -80,15 +78,46 @@ def qq_positions(df: DataFrame, column: str) -> DataFrame:
     tail = F.pow(F.lit(0.5), F.lit(1.0) / n)
     position = F.when(i == n, tail).when(i == 1, F.lit(1.0) - tail).otherwise((i - 0.3175) / (n + 0.365))
     out = order.select("rank_no", "ordered_value", position.alias("plot_position"))
-
-    def quantiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        normal = NormalDist()
-        for pdf in batches:
-            yield pdf.assign(normal_quantile=[normal.inv_cdf(p) for p in pdf["plot_position"]])
-
-    return out.mapInPandas(
-        quantiles, "rank_no long, ordered_value double, plot_position double, normal_quantile double"
-    )
+    return out.withColumn("normal_quantile", normal_quantile(F.col("plot_position")))
+
+
+# The rational approximations of algorithm AS 241 (Wichura 1988), highest power first.
+CENTRE = (
+    (2509.0809287301226727, 33430.575583588128105, 67265.770927008700853, 45921.953931549871457,
+     13731.693765509461125, 1971.5909503065514427, 133.14166789178437745, 3.387132872796366608),
+    (5226.495278852854561, 28729.085735721942674, 39307.89580009271061, 21213.794301586595867,
+     5394.1960214247511077, 687.1870074920579083, 42.313330701600911252, 1.0),
+)
+MIDDLE = (
+    (7.7454501427834140764e-4, 2.27238449892691845833e-2, 2.41780725177450611770e-1, 1.27045825245236838258,
+     3.64784832476320460504, 5.76949722146069140550, 4.63033784615654529590, 1.42343711074968357734),
+    (1.05075007164441684324e-9, 5.475938084995344946e-4, 1.51986665636164571966e-2, 1.48103976427480074590e-1,
+     6.89767334985100004550e-1, 1.67638483018380384940, 2.05319162663775882187, 1.0),
+)
+TAIL = (
+    (2.01033439929228813265e-7, 2.71155556874348757815e-5, 1.24266094738807843860e-3, 2.65321895265761230930e-2,
+     2.96560571828504891230e-1, 1.78482653991729133580, 5.46378491116411436990, 6.65790464350110377720),
+    (2.04426310338993978564e-15, 1.42151175831644588870e-7, 1.84631831751005468180e-5, 7.86869131145613259100e-4,
+     1.48753612908506148525e-2, 1.36929880922735805310e-1, 5.99832206555887937690e-1, 1.0),
+)
+
+
+def _fraction(tables: tuple, x: Column) -> Column:
+    parts = []
+    for table in tables:
+        value = F.lit(table[0])
+        for coefficient in table[1:]:
+            value = value * x + F.lit(coefficient)
+        parts.append(value)
+    return parts[0] / parts[1]
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse of the standard normal distribution for 0 < p < 1, to about 16 digits, as a plain column."""
+    q = p - 0.5
+    r = F.sqrt(-F.log(F.least(p, F.lit(1.0) - p)))
+    far = F.when(r <= 5, _fraction(MIDDLE, r - 1.6)).otherwise(_fraction(TAIL, r - 5.0))
+    return F.when(F.abs(q) <= 0.425, q * _fraction(CENTRE, F.lit(0.180625) - q * q)).otherwise(F.when(q < 0, -far).otherwise(far))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

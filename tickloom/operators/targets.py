@@ -87,15 +87,16 @@ STRATEGIES = (
 def strategy_positions(frame: DataFrame, seed: int = 42, random: bool = True) -> DataFrame:
     """Unpivot (session, seen_return, target_return) into one position row per static strategy.
 
-    The random strategy draws a normal value from hashes of (session, seed), so it does not
-    depend on the partitioning.
+    The random strategy draws a normal value from md5 bits of (session, seed), so it does not depend on the partitioning or
+    the engine.
     """
     r, y = double("seen_return"), double("target_return")
     one = F.lit(1.0)
 
     def uniform(salt: int) -> Column:
-        h = F.xxhash64(F.col("session"), F.lit(seed), F.lit(salt))
-        return (F.pmod(h, F.lit(1 << 30)) + 1) / F.lit(float((1 << 30) + 1))
+        text = F.concat_ws(":", F.col("session").cast("string"), F.lit(str(seed)), F.lit(str(salt)))
+        bits = F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("long")
+        return (bits + 1).cast("double") / F.lit(float((1 << 28) + 1))
 
     normal = F.sqrt(F.lit(-2.0) * F.log(uniform(1))) * F.cos(F.lit(2.0) * F.pi() * uniform(2))
     positions = {

@@ -16,6 +16,7 @@ from tickloom.functions.text import alnum_tokens
 
 # A vocabulary of at most this many rows (a few tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
+TERM_BUCKETS = 256
 
 
 def _spans(tokens: Column, starts: Column, n: int) -> Column:
@@ -84,14 +85,19 @@ def idf(n_docs: Column, df: Column) -> Column:
 def cut_vocabulary(stats: DataFrame, scope: Sequence[str], min_df: int, max_features: int) -> DataFrame:
     """Terms (scope, term, df, tf) with df >= min_df, numbered by (-tf, -df, term) up to max_features.
 
-    The cut is a window group limit, so each task passes on only its own top terms. max_features <= 0 keeps all
-    terms, unnumbered.
+    The cut is made twice: in each of TERM_BUCKETS hash buckets of the terms, whose best max_features pass, and over what passed. So a
+    scope's vocabulary of any size is never sorted in one task. max_features <= 0 keeps all terms, unnumbered.
     """
     kept = stats.where(F.col("df") >= min_df)
     if max_features <= 0:
         return kept.withColumn("position", F.lit(None).cast("int"))
-    order = Window.partitionBy(*(scope or [F.lit(0)])).orderBy(F.col("tf").desc(), F.col("df").desc(), "term")
-    return kept.withColumn("position", F.row_number().over(order)).where(F.col("position") <= max_features)
+    best = [F.col("tf").desc(), F.col("df").desc(), F.col("term")]
+    bucket = F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+    spread = kept.withColumn("__bucket", bucket)
+    first = F.row_number().over(Window.partitionBy(*scope, "__bucket").orderBy(*best))
+    passed = spread.withColumn("position", first).where(F.col("position") <= max_features).drop("__bucket")
+    last = F.row_number().over(Window.partitionBy(*(scope or [F.lit(0)])).orderBy(*best))
+    return passed.withColumn("position", last).where(F.col("position") <= max_features)
 
 
 def vocabulary(

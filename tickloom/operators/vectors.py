@@ -75,8 +75,11 @@ def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
 
 
 def dimensions(vectors: DataFrame) -> int:
-    first = vectors.select(F.size("embedding").alias("d")).head(1)
-    return int(first[0]["d"]) if first else 0
+    """The one length of all vectors; 0 without vectors."""
+    low, high = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if low != high:
+        raise ValueError(f"Vectors have between {low} and {high} dimensions.")
+    return int(low or 0)
 
 
 def lookup(rows: DataFrame, vectors: DataFrame, dims: int) -> DataFrame:

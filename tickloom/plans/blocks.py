@@ -21,15 +21,23 @@ from tickloom.session import materialize
 
 @dataclass(frozen=True)
 class FeatureSpec:
+    """One block of features: a named one, or a caller's `build` (inputs, params) -> one row per session."""
+
     name: str
     params: dict = field(default_factory=dict)
     alias: str | None = None
+    build: Callable[[Inputs, dict], DataFrame | None] | None = None
 
     @property
     def resolved_alias(self) -> str:
         return self.alias or self.name
 
 
+def bar_features(name: str, function: Callable[[DataFrame], DataFrame]) -> FeatureSpec:
+    """A caller's function from seen bars to (session, features) as a block."""
+    return FeatureSpec(name, build=lambda inputs, params: function(inputs.seen))
+
+
 @dataclass
 class Inputs:
     """Seen bars and headlines of one set of sessions; shared intermediates are computed once."""
@@ -83,6 +91,9 @@ BLOCKS: dict[str, Callable[[Inputs, dict], DataFrame | None]] = {
 }
 
 
+TEXT_BLOCKS = ("headline_tfidf", "headline_company_tfidf")
+
+
 @dataclass
 class TextBlock:
     """Term counts per (slot, session) of one TF-IDF block; slot 0 is the session's own document."""
@@ -100,7 +111,7 @@ class TextBlock:
 
 
 def _text_block(spec: FeatureSpec, i: Inputs) -> TextBlock | None:
-    if spec.name not in ("headline_tfidf", "headline_company_tfidf"):
+    if spec.build or spec.name not in TEXT_BLOCKS:
         return None
     p = spec.params
     text = document_text(str(p.get("text_source", "body")))
@@ -142,7 +153,7 @@ def check_specs(specs: Sequence[FeatureSpec]) -> None:
         raise ValueError("At least one feature block is needed.")
     seen: dict[str, FeatureSpec] = {}
     for spec in specs:
-        if spec.name not in BLOCKS:
+        if spec.build is None and spec.name not in BLOCKS:
             raise ValueError(f"Unknown feature block {spec.name!r}; known: {', '.join(sorted(BLOCKS))}.")
         if seen.setdefault(spec.resolved_alias, spec) is not spec:
             raise ValueError(f"Feature block alias {spec.resolved_alias!r} is used twice.")
@@ -154,7 +165,7 @@ def build_feature_matrix(specs: Sequence[FeatureSpec], inputs: Inputs) -> Featur
     blocks, columns, texts, category_of = [], {}, {}, {}
     for spec in specs:
         alias = spec.resolved_alias
-        block = BLOCKS[spec.name](inputs, spec.params)
+        block = (spec.build or BLOCKS[spec.name])(inputs, spec.params)
         columns[alias] = []
         if block is not None:
             blocks.append((alias, block))

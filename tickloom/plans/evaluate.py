@@ -100,6 +100,26 @@ def model_leaderboard(folds: DataFrame, name: str = "model") -> DataFrame:
     return with_rank(table, "mean_valid_sharpe", name)
 
 
+def board_ends(board: DataFrame, by: str, n: int, name: str = "experiment_name") -> DataFrame:
+    """The best and the worst n rows of a leaderboard under one metric: (end, place, ...). Rows without the metric are left out.
+
+    A leaderboard has one row per trial.
+    """
+    rows = board.where(F.col(by).isNotNull())
+    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(by).desc(), name)))
+    low = rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(by).asc(), F.col(name).desc())))
+    ends = [d.where(F.col("place") <= n).withColumn("end", F.lit(e)) for d, e in ((top, "head"), (low, "tail"))]
+    return ends[0].unionByName(ends[1]).select("end", "place", *board.columns)
+
+
+def best_by_metric(board: DataFrame, metrics: Sequence[str], name: str = "experiment_name") -> DataFrame:
+    """(metric, experiment, value): the winner of every metric, ties to the first by name."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("c")
+    long = board.select(name, cells).select(name, "c.*").where(F.col("value").isNotNull())
+    nth = F.row_number().over(Window.partitionBy("metric").orderBy(F.col("value").desc(), name))
+    return long.withColumn("__n", nth).where("__n = 1").select("metric", name, "value")
+
+
 def with_rank(table: DataFrame, by: str, name: str) -> DataFrame:
     """1-based rank, best first. A leaderboard has one row per trial, so one task orders it."""
     order = Window.partitionBy(F.lit(0)).orderBy(F.col(by).desc_nulls_last(), name)

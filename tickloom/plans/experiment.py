@@ -10,6 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -101,8 +102,12 @@ def category_masks(fm: FeatureMatrix, folds: DataFrame, plan: FoldPlan) -> dict[
     if not fm.category_of:
         return {cell: (set(), set()) for cell in _cells(plan)}
     counts = fm.inputs.news.category_counts.groupBy("session", "column", "min_total").agg(F.sum("value").alias("value"))
+    # A category that misses its threshold over all sessions misses it in every fold: it stays off the driver.
+    inside = counts.join(folds.select("session").distinct(), "session", "left_semi")
+    enough = inside.groupBy("column").agg(F.sum("value").alias("all"), F.max("min_total").alias("least"))
+    kept = counts.join(enough.where(F.col("all") >= F.greatest("least", F.lit(1.0))).select("column"), "column", "left_semi")
     per_fold = (
-        counts.join(folds.select("session", "repeat", "fold"), "session")
+        kept.join(folds.select("session", "repeat", "fold"), "session")
         .groupBy("repeat", "fold", "column", "min_total")
         .agg(F.sum("value").alias("n"))
         .collect()
@@ -348,30 +353,63 @@ def cross_validate(
     """Cross-validate all trials over the same folds. A trial that cannot be solved is recorded, not fatal."""
     started = time.time()
     trials = list(trials)
-    spark = seen.sparkSession
     errors: dict[str, str] = {}
     good = []
     for trial in trials:
         try:
             check_specs(trial.feature_blocks)
             good.append(trial)
-        except ValueError as error:
+        except Exception as error:
             if fail_fast:
                 raise
             errors[trial.name] = str(error)
 
     targets = materialize(build_targets(seen, unseen).where(F.col(TARGET).isNotNull()), "targets")
     folds = materialize(session_folds(targets, plan.n_folds, plan.seed, plan.n_repeats), "folds")
-    specs: dict[str, FeatureSpec] = {}
-    for trial in good:
-        for spec in trial.feature_blocks:
-            if specs.setdefault(spec.resolved_alias, spec) != spec:
-                raise ValueError(f"Alias {spec.resolved_alias!r} means different blocks in different trials.")
-    fm = build_feature_matrix(list(specs.values()), Inputs(seen, headlines, targets))
+    inputs = Inputs(seen, headlines, targets)
+    done: list[tuple[DataFrame, DataFrame]] = []
+    waiting = _compatible(good)
+    while waiting:
+        members = waiting.pop(0)
+        try:
+            done.append(_validated(members, inputs, folds, plan, errors, fail_fast))
+        except Exception as error:
+            if fail_fast:
+                raise
+            if len(members) > 1:
+                waiting += [[t] for t in members if t.name not in errors]
+            else:
+                errors.setdefault(members[0].name, str(error))
+    if not done:
+        raise ValueError(f"No trial could be fitted: {errors}")
+    summary, oof = (reduce(DataFrame.unionByName, parts) for parts in zip(*done))
+    return Results(summary, oof, errors, time.time() - started)
+
+
+def _compatible(trials: Sequence[Trial]) -> list[list[Trial]]:
+    """Trials in lists within which an alias names one block; a list shares its features and moments."""
+    lists: list[tuple[dict[str, FeatureSpec], list[Trial]]] = []
+    for trial in trials:
+        own = {s.resolved_alias: s for s in trial.feature_blocks}
+        for specs, members in lists:
+            if all(specs.get(alias, spec) == spec for alias, spec in own.items()):
+                specs.update(own)
+                members.append(trial)
+                break
+        else:
+            lists.append((own, [trial]))
+    return [members for _, members in lists]
+
+
+def _validated(trials: list[Trial], inputs: Inputs, folds: DataFrame, plan: FoldPlan, errors: dict[str, str], fail_fast: bool) -> tuple[DataFrame, DataFrame]:
+    """Fold scores and out-of-fold predictions of trials that agree on their aliases."""
+    spark, targets = folds.sparkSession, inputs.sessions
+    specs = {s.resolved_alias: s for t in trials for s in t.feature_blocks}
+    fm = build_feature_matrix(list(specs.values()), inputs)
     masks = category_masks(fm, folds, plan)
 
     by_text: dict[tuple[str, ...], list[Trial]] = {}
-    for trial in good:
+    for trial in trials:
         aliases = [s.resolved_alias for s in trial.feature_blocks]
         by_text.setdefault(tuple(a for a in aliases if a in fm.texts), []).append(trial)
 
@@ -407,7 +445,7 @@ def cross_validate(
         .withColumn("n_train", F.col("n_all") - F.col("n_valid"))
         .drop("n_all")
     )
-    return Results(materialize(summary, "summary"), oof, errors, time.time() - started)
+    return materialize(summary, "summary"), oof
 
 
 def _named(scored: Sequence[DataFrame], numbers: dict[str, int], plan: FoldPlan) -> DataFrame:
@@ -421,11 +459,20 @@ def _named(scored: Sequence[DataFrame], numbers: dict[str, int], plan: FoldPlan)
     return materialize(union, "predictions")
 
 
-def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
-    """Solve every trial and fold of a group; returns fits and feature counts by (trial, repeat, fold)."""
+def _group_moments(group, plan):
+    """The shift and the train moments that all trials of a group are solved from, in one pass."""
     kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
     shift = provisional_shift(group.design)
-    moments = _train_moments(group, plan, kinds, shift)
+    return shift, _train_moments(group, plan, kinds, shift)
+
+
+def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast, known=None):
+    """Solve every trial and fold of a group; returns fits and feature counts by (trial, repeat, fold).
+
+    `known` are the moments of an earlier call with the same design and kinds.
+    """
+    kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
+    shift, moments = known or _group_moments(group, plan)
     place = {c: i for i, c in enumerate(group.columns)}
     p = len(group.columns)
     fits: dict[tuple[int, int, int], Fit] = {}
@@ -449,7 +496,7 @@ def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast):
                 narrow[(n, r, f)] = fit
                 chosen[(n, r, f)] = (columns, blanked)
                 fits[(n, r, f)] = fit.widened(columns, p, blanked)
-        except ValueError as error:
+        except Exception as error:
             if fail_fast:
                 raise
             errors[trial.name] = str(error)

@@ -177,12 +177,19 @@ def uncertainty_ridge(fit: Fit, m: Moments, t_sum: float, xt_sum: np.ndarray, fl
 
 @dataclass(frozen=True)
 class Model:
-    """A named model: the weight kinds its moments need and its solver."""
+    """A model: the weight kinds its moments need and its solver, by name or given by the caller.
+
+    A caller's `solver` takes (params, one Moments for each of `moment_kinds`) and returns a Fit.
+    """
 
     name: str
     params: dict = field(default_factory=dict)
+    solver: Callable[..., Fit] | None = None
+    moment_kinds: tuple[tuple[str, float, float], ...] = (ONE,)
 
     def kinds(self) -> list[tuple[str, float, float]]:
+        if self.solver:
+            return list(self.moment_kinds)
         if self.name in ("weighted_linear", "weighted_ridge"):
             return [abs_power(self.params.get("weight_power", 1.0), self.params.get("min_weight", 0.25))]
         if self.name == "max_sharpe":
@@ -190,11 +197,11 @@ class Model:
         return [ONE]
 
     def solve(self, moments: Sequence[Moments]) -> Fit:
-        return MODELS[self.name](self.params, *moments)
+        return (self.solver or MODELS[self.name])(self.params, *moments)
 
     @property
     def second_pass(self) -> bool:
-        return self.name == "linear"
+        return self.solver is None and self.name == "linear"
 
 
 MODELS: dict[str, Callable[..., Fit]] = {

@@ -89,13 +89,23 @@ def sum_vectors(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def provisional_shift(x: DataFrame) -> np.ndarray:
-    """Column means of a few rows of the array column `x`, subtracted before squares are added.
+    """Column means of the array column `x`, subtracted before squares are added.
 
-    Raw second moments of far-from-zero columns cancel badly; any shift near the data cures that. Results do not
-    depend on it beyond rounding, so a glance at one partition is enough.
+    Raw second moments of far-from-zero columns cancel badly; a shift near the data cures that.
     """
-    rows = [r["x"] for r in x.select("x").head(1000)]
-    return np.mean(np.array(rows, dtype=float), axis=0) if rows else np.zeros(0)
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = None, 0
+        for batch in batches:
+            if batch.num_rows:
+                part = block(batch).sum(axis=0)
+                total, n = part if total is None else total + part, n + batch.num_rows
+        if n:
+            line = pa.array([np.append(total, n)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), line], ["one", "v"])
+
+    rows = sum_vectors(x.select("x").mapInArrow(totals, "one int, v array<double>"), ["one"]).collect()
+    return np.array(rows[0]["v"][:-1]) / rows[0]["v"][-1] if rows else np.zeros(0)
 
 
 def collect_moments(

@@ -132,15 +132,16 @@ class Split:
 
 
 def predict_splits(model: FullModel, splits: Sequence[Split]) -> dict[str, DataFrame]:
-    """Shaped predictions of every split, from one feature pass over all of them."""
-    bars, headlines, batches = splits[0].bars, splits[0].headlines, None
-    for number, split in enumerate(splits):
-        if number:
-            bars, headlines = bars.unionByName(split.bars), headlines.unionByName(split.headlines)
-        rows = split.sessions.withColumn("batch", F.lit(number))
-        batches = rows if batches is None else batches.unionByName(rows)
-    predicted = materialize(predict(model, bars, headlines, materialize(batches, "batches")), "predictions")
-    return {s.name: sinks.shape_predictions(predicted.where(F.col("batch") == n)) for n, s in enumerate(splits)}
+    """Shaped predictions of every split.
+
+    Each split is predicted by itself: features are grouped by session, and splits may share session ids.
+    """
+    out = {}
+    for split in splits:
+        batches = materialize(split.sessions.withColumn("batch", F.lit(0)), "batches")
+        predicted = materialize(predict(model, split.bars, split.headlines, batches), "predictions")
+        out[split.name] = sinks.shape_predictions(predicted)
+    return out
 
 
 def prediction_product(model: FullModel, public: Split, private: Split) -> DataFrame:
@@ -168,6 +169,7 @@ def run_product(
     paths = {"oof": f"{out_dir}/{trial.name}_oof"}
     sinks.write_csv(cv.oof, paths["oof"])
     parts = predict_splits(model, [public, private])
+    both = sinks.combine_splits(parts[public.name], parts[private.name], public.sessions, private.sessions)  # checked before a file is written
     for split in (public, private):
         meta = sinks.prediction_metadata(trial.name, split.name, model.feature_count, sharpe, uses_text)
         paths[split.name] = sinks.save_predictions(
@@ -178,7 +180,6 @@ def run_product(
             registry,
             f"{out_dir}/latest_{split.name}",
         )
-    both = sinks.combine_splits(parts[public.name], parts[private.name], public.sessions, private.sessions)
     meta = sinks.prediction_metadata(
         trial.name,
         "combined",

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.operators.folds import session_folds
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureSpec, Inputs, build_feature_matrix
-from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _design, _fit_group, _Group, _named, _positions, _score, category_masks
+from tickloom.plans.blocks import TEXT_BLOCKS, FeatureSpec, Inputs, build_feature_matrix
+from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _design, _fit_group, _Group, _group_moments, _named, _positions, _score, category_masks
 from tickloom.plans.linear import Model
 from tickloom.session import materialize
 
@@ -27,9 +27,11 @@ def forward_select(
 ) -> DataFrame:
     """(step, feature, mean_cv_sharpe): the feature added at each step and the score it reached.
 
-    The design is written once. A step solves every candidate subset from moments and scores all of them in
-    one job; only one Sharpe per candidate and fold comes back.
+    The design is written once and its moments are taken once. A step solves every candidate subset from them and scores all of
+    them in one job; only one Sharpe per candidate and fold comes back. Text blocks have fold-dependent columns and are refused.
     """
+    if any(s.build is None and s.name in TEXT_BLOCKS for s in specs):
+        raise ValueError("Forward selection takes blocks with fixed columns; TF-IDF columns depend on the fold.")
     targets = materialize(build_targets(seen, unseen).where(F.col(TARGET).isNotNull()), "targets")
     folds = materialize(session_folds(targets, plan.n_folds, plan.seed, plan.n_repeats), "folds")
     fm = build_feature_matrix(list(specs), Inputs(seen, headlines, targets))
@@ -37,6 +39,8 @@ def forward_select(
     columns = fm.all_columns()
     design = materialize(_design(fm, columns, targets, folds, plan), "design")
 
+    moments = _group_moments(_Group([Trial("all", tuple(specs), model)], columns, design, False), plan)
+
     chosen: list[str] = []
     steps = []
     while len(chosen) < min(max_size, len(columns)):
@@ -45,7 +49,7 @@ def forward_select(
         numbers = {t.name: n for n, t in enumerate(trials)}
         group = _Group(trials, columns, design, False)
         errors: dict[str, str] = {}
-        fits, _ = _fit_group(group, fm, masks, plan, numbers, errors, False)
+        fits, _ = _fit_group(group, fm, masks, plan, numbers, errors, False, moments)
         if not fits:
             break
         oof = _positions(_named([_score(group, plan, fits)], numbers, plan), trials)

@@ -41,6 +41,11 @@ def headlines_fixture(spark, sf_dir):
     return tidy(c.headlines(spark, sf_dir))
 
 
+def _targets(spark, sf_dir):
+    b = c.bars(spark, sf_dir)
+    return targets.build_targets(adapters.seen(b), adapters.unseen(b))
+
+
 @query("target_return", tidy_sql(c.TARGETS, f"{D} close_halfway close_end target_return", "targets"))
 def target_return(spark, sf_dir):
     b = c.bars(spark, sf_dir)
@@ -76,9 +81,21 @@ def static_strategies_sharpe(spark, sf_dir):
     return tidy(targets.strategy_sharpes(strategy_frame(spark, sf_dir), random=False))
 
 
-@query("random_strategy_sharpe")
+_RANDOM = (
+    c.TARGETS
+    + """,
+opening AS (SELECT session, arg_min(open, bar_ix) AS o FROM seen GROUP BY session),
+f AS (SELECT session, target_return AS y FROM targets JOIN opening USING (session)),
+u AS (SELECT y, (('0x' || substr(md5(session || ':42:1'), 1, 7))::BIGINT + 1)::DOUBLE / 268435457::DOUBLE AS u1,
+             (('0x' || substr(md5(session || ':42:2'), 1, 7))::BIGINT + 1)::DOUBLE / 268435457::DOUBLE AS u2 FROM f),
+s AS (SELECT sqrt(-2 * ln(u1)) * cos(2 * pi() * u2) * y AS v FROM u),
+q AS (SELECT 'random_normal' AS strategy, avg(v) / (stddev_pop(v) + 1e-9) * 16 AS sharpe FROM s)"""
+)
+
+
+@query("random_strategy_sharpe", tidy_sql(_RANDOM, "strategy:s sharpe", "q"))
 def random_strategy_sharpe(spark, sf_dir):
-    return targets.strategy_sharpes(strategy_frame(spark, sf_dir)).where(F.col("strategy") == "random_normal")
+    return tidy(targets.strategy_sharpes(strategy_frame(spark, sf_dir)).where(F.col("strategy") == "random_normal"))
 
 
 @query(
@@ -172,7 +189,7 @@ q AS (
     ),
 )
 def target_distribution(spark, sf_dir):
-    return tidy(profile.distribution(target_return(spark, sf_dir), "target_return"))
+    return tidy(profile.distribution(_targets(spark, sf_dir), "target_return"))
 
 
 @query(
@@ -180,7 +197,7 @@ def target_distribution(spark, sf_dir):
     tidy_sql(
         c.TARGETS
         + """,
-t AS (SELECT round(target_return, 6) AS y FROM targets),
+t AS (SELECT target_return AS y FROM targets),
 b AS (SELECT min(y) AS lo, max(y) AS hi, count(*) AS n FROM t),
 k AS (SELECT least(CAST(floor((y - lo) / ((hi - lo) / 50)) AS BIGINT), 49) AS bin FROM t, b),
 g AS (SELECT bin, count(*) AS c FROM k GROUP BY bin),
@@ -192,7 +209,7 @@ q AS (SELECT i AS bin, lo + i * ((hi - lo) / 50) AS left_edge, coalesce(c, 0) AS
     ),
 )
 def target_histogram(spark, sf_dir):
-    return tidy(profile.histogram(target_return(spark, sf_dir), "target_return", 50))
+    return tidy(profile.histogram(_targets(spark, sf_dir), "target_return", 50))
 
 
 @query(
@@ -216,10 +233,35 @@ def target_qq_normal(spark, sf_dir):
     return tidy(profile.qq_positions(frame, "target_return").drop("normal_quantile"))
 
 
-@query("target_qq_quantiles")
+def _fraction_sql(tables, x):
+    """A ratio of polynomials by Horner's rule."""
+    parts = []
+    for table in tables:
+        value = f"{table[0]!r}::DOUBLE"
+        for coefficient in table[1:]:
+            value = f"({value} * {x} + {coefficient!r}::DOUBLE)"
+        parts.append(value)
+    return f"{parts[0]} / {parts[1]}"
+
+
+_QUANTILES = (
+    c.TARGETS
+    + f""",
+t AS (SELECT session, target_return AS y FROM targets),
+o AS (SELECT row_number() OVER (ORDER BY y, session) AS rank_no, y AS ordered_value, count(*) OVER () AS n FROM t),
+p AS (SELECT rank_no, ordered_value, CASE WHEN rank_no = n THEN power(0.5::DOUBLE, 1.0 / n) WHEN rank_no = 1 THEN 1 - power(0.5::DOUBLE, 1.0 / n)
+             ELSE (rank_no - 0.3175) / (n + 0.365) END AS plot_position FROM o),
+r AS (SELECT *, plot_position - 0.5 AS d, sqrt(-ln(least(plot_position, 1 - plot_position))) AS r FROM p),
+q AS (SELECT rank_no, ordered_value, plot_position,
+        CASE WHEN abs(d) <= 0.425 THEN d * {_fraction_sql(profile.CENTRE, "(0.180625 - d * d)")}
+             ELSE sign(d) * CASE WHEN r <= 5 THEN {_fraction_sql(profile.MIDDLE, "(r - 1.6)")} ELSE {_fraction_sql(profile.TAIL, "(r - 5)")} END
+        END AS normal_quantile FROM r)"""
+)
+
+
+@query("target_qq_quantiles", tidy_sql(_QUANTILES, "rank_no:i ordered_value plot_position normal_quantile", "q"))
 def target_qq_quantiles(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
-    return profile.qq_positions(targets.build_targets(adapters.seen(b), adapters.unseen(b)), "target_return")
+    return tidy(profile.qq_positions(_targets(spark, sf_dir), "target_return"))
 
 
 # --- price blocks ---------------------------------------------------------------------------
@@ -255,9 +297,9 @@ q AS (SELECT *, c1 / o - 1 AS seen_return_open_to_close, c1 / c0 - 1 AS seen_ret
 )
 
 
-@query("price_block", tidy_sql(_PRICE, " ".join([D, *price.PRICE_COLUMNS]), "q", 5))
+@query("price_block", tidy_sql(_PRICE, " ".join([D, *price.PRICE_COLUMNS]), "q", 8))
 def price_block(spark, sf_dir):
-    return tidy(price.price_block(c.seen_bars(spark, sf_dir)), 5)
+    return tidy(price.price_block(c.seen_bars(spark, sf_dir)), 8)
 
 
 # The recurrences are folded over ordered lists here: an independent form of the closed sums.
@@ -372,9 +414,9 @@ fq AS (SELECT session, max(CASE WHEN rn = 1 THEN a END) AS fourier_max_freq_amp,
 )
 
 
-@query("technical_fourier", tidy_sql(_FOURIER, f"{D} fourier_max_freq_amp fourier_2nd_freq_amp", "fq", 3))
+@query("technical_fourier", tidy_sql(_FOURIER, f"{D} fourier_max_freq_amp fourier_2nd_freq_amp", "fq", 8))
 def technical_fourier(spark, sf_dir):
-    return _technical(spark, sf_dir, ["fourier_max_freq_amp", "fourier_2nd_freq_amp"], 3)
+    return _technical(spark, sf_dir, ["fourier_max_freq_amp", "fourier_2nd_freq_amp"], 8)
 
 
 def _without_base(sql: str, base: str) -> str:
@@ -402,12 +444,9 @@ q AS (SELECT session, seen_return, log_return, seen_volatility, max_high_ratio,
 )
 
 
-@query("legacy_block", tidy_sql(_LEGACY, " ".join([D, *price.LEGACY_COLUMNS]), "q", 3))
+@query("legacy_block", tidy_sql(_LEGACY, " ".join([D, *price.LEGACY_COLUMNS]), "q", 8))
 def legacy_block(spark, sf_dir):
-    return tidy(price.legacy_block(c.seen_bars(spark, sf_dir)), 3)
-
-
-_PAIRS = ["seen_return_open_to_close", "close_volatility", "max_drawdown", "up_bar_ratio", "tail_return_5"]
+    return tidy(price.legacy_block(c.seen_bars(spark, sf_dir)), 8)
 
 
 @query(
@@ -415,7 +454,7 @@ _PAIRS = ["seen_return_open_to_close", "close_volatility", "max_drawdown", "up_b
     tidy_sql(
         _PRICE
         + ",\nlong AS ("
-        + " UNION ALL ".join(f"SELECT session, '{p}' AS feature, {p} AS value FROM q" for p in _PAIRS)
+        + " UNION ALL ".join(f"SELECT session, '{p}' AS feature, {p} AS value FROM q" for p in price.PRICE_COLUMNS)
         + """),
 cm2 AS (SELECT a.feature AS feature_a, b.feature AS feature_b, corr(a.value, b.value) AS correlation
         FROM long a JOIN long b USING (session) GROUP BY a.feature, b.feature)""",
@@ -424,5 +463,4 @@ cm2 AS (SELECT a.feature AS feature_a, b.feature AS feature_b, corr(a.value, b.v
     ),
 )
 def feature_correlation(spark, sf_dir):
-    block = price.price_block(c.seen_bars(spark, sf_dir)).select("session", *_PAIRS)
-    return tidy(profile.correlation_matrix(block, _PAIRS))
+    return tidy(profile.correlation_matrix(price.price_block(c.seen_bars(spark, sf_dir)), price.PRICE_COLUMNS))

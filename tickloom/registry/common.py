@@ -124,7 +124,7 @@ headlines AS (
       WHEN 6 THEN 'wins industry award'
       WHEN 7 THEN 'delays product launch in Europe'
       ELSE 'holds quiet period' END AS headline
-  FROM ticks WHERE bar_ix < 50 AND (l_orderkey * 7 + l_partkey) % 5 = 0)"""
+  FROM ticks WHERE bar_ix < 50)"""
 
 HEADLINES = TICKS + "," + _HEADLINE_ROWS
 BARS_HEADLINES = BARS + "," + _HEADLINE_ROWS

@@ -453,10 +453,10 @@ _REGIME = _CONTEXT + _regime_sql()
 
 @query(
     "regime_context",
-    tidy_sql(BARS_COMPANY + _REGIME, " ".join([D, *reaction.REGIME_COLUMNS]), "reg", 4),
+    tidy_sql(BARS_COMPANY + _REGIME, " ".join([D, *reaction.REGIME_COLUMNS]), "reg", 8),
 )
 def regime_context(spark, sf_dir):
-    return tidy(reaction.regime_features(*reaction_frame(spark, sf_dir)), 4)
+    return tidy(reaction.regime_features(*reaction_frame(spark, sf_dir)), 8)
 
 
 # --- documents and TF-IDF -------------------------------------------------------------------
@@ -466,12 +466,24 @@ sdoc AS (SELECT session, 0 AS part, string_agg(lower(body), ' ' ORDER BY pos) AS
 cdoc AS (SELECT session, company, 0 AS part, string_agg(lower(body), ' ' ORDER BY pos) AS text FROM events_t WHERE trim(body) <> '' GROUP BY session, company)"""
 
 
-@query("session_documents", tidy_sql(EVENTS + _DOCS, f"{D} part:i text:s", "sdoc"))
+def _parts_sql(keys: str, span: int = documents.PART_SPAN) -> str:
+    return f""",
+parts AS (SELECT {keys}, CAST(floor(pos / {span}) AS BIGINT) AS part, string_agg(lower(body), ' ' ORDER BY pos) AS text
+          FROM events_t WHERE trim(body) <> '' GROUP BY {keys}, floor(pos / {span}))"""
+
+
+@query("session_documents", tidy_sql(EVENTS + _parts_sql("session"), f"{D} part:i text:s", "parts"))
 def session_documents(spark, sf_dir):
     return tidy(documents.document_parts(parsed(spark, sf_dir), ["session"], document_text("body")))
 
 
-@query("company_documents", tidy_sql(EVENTS + _DOCS, f"{D} company:s part:i text:s", "cdoc"))
+@query("session_documents_in_parts", tidy_sql(EVENTS + _parts_sql("session", 97), f"{D} part:i text:s", "parts"))
+def session_documents_in_parts(spark, sf_dir):
+    """A span so small that every session is several parts."""
+    return tidy(documents.document_parts(parsed(spark, sf_dir), ["session"], document_text("body"), span=97))
+
+
+@query("company_documents", tidy_sql(EVENTS + _parts_sql("session, company"), f"{D} company:s part:i text:s", "parts"))
 def company_documents(spark, sf_dir):
     return tidy(documents.document_parts(parsed(spark, sf_dir), ["session", "company"], document_text("body")))
 

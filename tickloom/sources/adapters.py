@@ -67,7 +67,7 @@ def unseen(bars: DataFrame) -> DataFrame:
 
 
 def headlines_from_ticks(placed: DataFrame) -> DataFrame:
-    """About a fifth of the seen ticks as headlines of four companies and nine bodies."""
+    """The seen ticks as headlines of four companies and nine bodies."""
     order, part = F.col("l_orderkey"), F.col("l_partkey")
     names = F.array(*[F.lit(n) for n in ("Relbos", "Alvis Corp", "Yorvof Systems", "Tandem Peak Labs")])
     bodies = [
@@ -84,7 +84,7 @@ def headlines_from_ticks(placed: DataFrame) -> DataFrame:
     kind = (part + order) % len(bodies)
     body = F.element_at(F.array(*bodies), (kind + 1).cast("int"))
     company = F.element_at(names, (part % 4 + 1).cast("int"))
-    return placed.where((F.col("bar_ix") < SEEN_BARS) & ((order * 7 + part) % 5 == 0)).select(
+    return placed.where(F.col("bar_ix") < SEEN_BARS).select(
         "session", "bar_ix", "pos", F.concat_ws(" ", company, body).alias("headline")
     )
 
