@@ -639,6 +639,7 @@ def model_leaderboard(spark, sf_dir):
 
 # --- experiments ----------------------------------------------------------------------------
 
+# The shipped grid of feature sets and models.
 SWEEP_FEATURES = {
     "price": _blocks("price"),
     "price_tech": _blocks("price", "price_technical"),
@@ -781,6 +782,119 @@ def sweep_query(spark, sf_dir):
     return cross_validate(trials, seen, unseen, headlines).leaderboard(trials)
 
 
+# Ridges on one and two price features, with every step from the fit to the leaderboard in closed form.
+_SMALL_SETS = {
+    "open_close": ("price__seen_return_open_to_close",),
+    "drawdown": ("price__max_drawdown",),
+    "both": ("price__seen_return_open_to_close", "price__max_drawdown"),
+}
+_SMALL_ALPHAS = (1.0, 10.0)
+_SMALL_ROWS = ", ".join(
+    f"('small__{name}__a{alpha:g}', {int('price__seen_return_open_to_close' in columns)}.0, {int('price__max_drawdown' in columns)}.0, {alpha})"
+    for name, columns in _SMALL_SETS.items()
+    for alpha in _SMALL_ALPHAS
+)
+_SMALL = (
+    _FOLDED
+    + f""",
+tl AS (SELECT * FROM (VALUES {_SMALL_ROWS}) AS v(experiment_name, u1, u2, alpha)),
+tx AS (SELECT experiment_name, alpha, u1 + u2 AS width, session, fold, y, u1 * x1 AS z1, u2 * x2 AS z2 FROM fx CROSS JOIN tl),
+tr AS (SELECT experiment_name, g.f AS fold, count(*) * covar_pop(z1, z1) + max(alpha) AS a, count(*) * covar_pop(z1, z2) AS b,
+              count(*) * covar_pop(z2, z2) + max(alpha) AS d, count(*) * covar_pop(z1, y) AS p, count(*) * covar_pop(z2, y) AS q,
+              avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my
+       FROM tx CROSS JOIN range(5) AS g(f) WHERE tx.fold <> g.f GROUP BY experiment_name, g.f),
+cf AS (SELECT *, (p * d - q * b) / (a * d - b * b) AS c1, (a * q - b * p) / (a * d - b * b) AS c2 FROM tr),
+rs AS (SELECT cf.experiment_name, cf.fold, c1, c2, my - c1 * m1 - c2 * m2 AS c0,
+              greatest(stddev_samp(y - (my - c1 * m1 - c2 * m2) - c1 * z1 - c2 * z2), 1e-6) AS unc
+       FROM tx JOIN cf ON tx.experiment_name = cf.experiment_name AND tx.fold <> cf.fold GROUP BY cf.experiment_name, cf.fold, c1, c2, my, m1, m2),
+pr AS (SELECT tx.*, c0 + c1 * z1 + c2 * z2 AS predicted_return, unc, (c0 + c1 * z1 + c2 * z2) / unc AS score
+       FROM tx JOIN rs USING (experiment_name, fold)),
+qt AS (SELECT experiment_name, fold, quantile_cont(abs(score), 0.9) AS scale FROM pr GROUP BY experiment_name, fold),
+oof AS (SELECT pr.*, least(greatest(score / scale, -1.0), 1.0) * 100 AS target_position,
+               least(greatest(score / scale, -1.0), 1.0) * 100 * y AS pnl FROM pr JOIN qt USING (experiment_name, fold)),
+fs AS (SELECT experiment_name, fold, max(width) AS width, avg(pnl) / stddev_pop(pnl) * 16 AS sharpe FROM oof GROUP BY experiment_name, fold),
+lb AS (SELECT experiment_name, avg(sharpe) AS mean_cv_sharpe, stddev_pop(sharpe) AS std_cv_sharpe, avg(width) AS mean_feature_count,
+              count(DISTINCT fold)::DOUBLE AS cv_folds FROM fs GROUP BY experiment_name)"""
+)
+
+
+def _small_results(spark, sf_dir):
+    seen, unseen, headlines = inputs(spark, sf_dir)
+    trials = [
+        Trial(f"small__{name}__a{alpha:g}", _blocks("price"), build_model("ridge", {"alpha": alpha}), columns=columns)
+        for name, columns in _SMALL_SETS.items()
+        for alpha in _SMALL_ALPHAS
+    ]
+    trials.append(Trial("unknown", (FeatureSpec("nope"),), build_model("ridge")))
+    return cross_validate(trials, seen, unseen, headlines), trials
+
+
+@query(
+    "sweep_small",
+    tidy_sql(
+        _SMALL
+        + """,
+q AS (SELECT row_number() OVER (ORDER BY mean_cv_sharpe DESC, experiment_name) AS rank, *, 'price' AS feature_blocks, 'ridge' AS model, 'ok' AS status FROM lb
+      UNION ALL SELECT NULL, 'unknown', NULL, NULL, NULL, NULL, NULL, NULL, 'error')""",
+        "experiment_name:s rank:i mean_cv_sharpe std_cv_sharpe mean_feature_count cv_folds feature_blocks:s model:s status:s",
+        "q",
+    ),
+)
+def sweep_small(spark, sf_dir):
+    """The leaderboard of six ridges and a trial that cannot be built."""
+    results, trials = _small_results(spark, sf_dir)
+    return tidy(results.leaderboard(trials).drop("error", "elapsed_seconds"))
+
+
+@query(
+    "sweep_small_predictions",
+    tidy_sql(
+        _SMALL
+        + ",\nq AS (SELECT experiment_name, session, fold, predicted_return, unc AS predicted_uncertainty, target_position, pnl FROM oof)",
+        f"experiment_name:s {D} fold:i predicted_return predicted_uncertainty target_position pnl",
+        "q",
+    ),
+)
+def sweep_small_predictions(spark, sf_dir):
+    results, _ = _small_results(spark, sf_dir)
+    return tidy(results.oof.drop("repeat", "seed", "realized_return"))
+
+
+@query(
+    "sweep_small_ends",
+    tidy_sql(
+        _SMALL
+        + """,
+h AS (SELECT 'head' AS "end", row_number() OVER (ORDER BY mean_cv_sharpe DESC, experiment_name) AS place, experiment_name, mean_cv_sharpe FROM lb),
+l AS (SELECT 'tail' AS "end", row_number() OVER (ORDER BY mean_cv_sharpe, experiment_name DESC) AS place, experiment_name, mean_cv_sharpe FROM lb),
+q AS (SELECT * FROM h WHERE place <= 2 UNION ALL SELECT * FROM l WHERE place <= 2)""",
+        "end:s place:i experiment_name:s mean_cv_sharpe",
+        "q",
+    ),
+)
+def sweep_small_ends(spark, sf_dir):
+    """The two best and the two worst trials."""
+    results, _ = _small_results(spark, sf_dir)
+    return tidy(evaluate.board_ends(evaluate.leaderboard(results.folds), "mean_cv_sharpe", 2).select("end", "place", "experiment_name", "mean_cv_sharpe"))
+
+
+@query(
+    "sweep_small_best",
+    tidy_sql(
+        _SMALL
+        + """,
+m AS (SELECT experiment_name, unnest(['mean_cv_sharpe', 'std_cv_sharpe']) AS metric, unnest([mean_cv_sharpe, std_cv_sharpe]) AS value FROM lb),
+q AS (SELECT metric, experiment_name, value FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY value DESC, experiment_name) AS n FROM m) WHERE n = 1)""",
+        "metric:s experiment_name:s value",
+        "q",
+    ),
+)
+def sweep_small_best(spark, sf_dir):
+    """The best trial under each metric."""
+    results, _ = _small_results(spark, sf_dir)
+    return tidy(evaluate.best_by_metric(evaluate.leaderboard(results.folds), ["mean_cv_sharpe", "std_cv_sharpe"]))
+
+
 @query("repeated_cv_experiment")
 def repeated_cv_experiment(spark, sf_dir):
     """Ten repeats of price, sequence and two regime columns, sized at the 70th percentile."""
