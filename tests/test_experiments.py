@@ -9,15 +9,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.text import document_text
-from tickloom.operators import companies, documents
+from tickloom.operators import companies, documents, tfidf
 from tickloom.operators.folds import session_folds
+from tickloom.operators.profile import normal_quantile
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureSpec, Inputs, build_feature_matrix
+from tickloom.plans.blocks import FeatureSpec, Inputs, bar_features, build_feature_matrix
 from tickloom.plans.experiment import FoldPlan, Trial, cross_validate, trial_grid
-from tickloom.plans.linear import build_model, max_sharpe, position_sharpe, raw_ridge, standardised_ridge, weighted_ridge
+from tickloom.plans.linear import Model, build_model, max_sharpe, position_sharpe, raw_ridge, standardised_ridge, weighted_ridge
 from tickloom.plans.moments import ONE, Y_SQUARED, abs_power, collect_moments
-from tickloom.plans.product import Split, fit_full, predict, run_product
+from tickloom.plans.product import Split, fit_full, predict, predict_splits, run_product
 from tickloom.plans.selection import forward_select
 from tickloom.plans.sweep import cv_sweep, holdout_sweep, linear_scores
 from tickloom.registry import common
@@ -256,6 +257,71 @@ def test_failed_trials_are_recorded(spark, inputs):
         cross_validate(trials, *inputs, FoldPlan(n_folds=3), fail_fast=True)
 
 
+def test_one_alias_may_mean_two_blocks(spark, inputs):
+    """Trials that disagree on an alias are validated apart; the rest of the sweep is as without them."""
+    model = build_model("ridge", {"alpha": 10.0})
+    text = [FeatureSpec("headline_tfidf", {"min_df": n, "max_features": 8}) for n in (1, 3)]
+    trials = [Trial(f"t{n}", (FeatureSpec("price"), t), model) for n, t in enumerate(text)]
+    trials.append(Trial("plain", (FeatureSpec("price"),), model))
+    plan = FoldPlan(n_folds=3)
+    both = cross_validate(trials, *inputs, plan).folds.toPandas().set_index(["experiment_name", "fold"])["sharpe"]
+    assert len(both) == 9
+    alone = cross_validate(trials[1:2], *inputs, plan).folds.toPandas().set_index(["experiment_name", "fold"])["sharpe"]
+    assert both.loc[alone.index].to_numpy() == pytest.approx(alone.to_numpy())
+
+
+def test_callers_blocks_and_models(spark, inputs):
+    def ranges(bars):
+        return bars.groupBy("session").agg(F.max("high").alias("top"), F.min("low").alias("bottom"))
+
+    def broken(bars):
+        raise RuntimeError("no such column")
+
+    def mean_only(params, moments):
+        fit = raw_ridge(moments, 1e12)
+        return fit
+
+    trials = [
+        Trial("own", (bar_features("ranges", ranges),), Model("mine", solver=mean_only)),
+        Trial("broken", (bar_features("broken", broken),), build_model("ridge")),
+        Trial("unsolved", (FeatureSpec("price"),), Model("fails", solver=lambda p, m: 1 / 0)),
+    ]
+    cv = cross_validate(trials, *inputs, FoldPlan(n_folds=3))
+    assert {r["experiment_name"] for r in cv.folds.collect()} == {"own"}
+    assert set(cv.errors) == {"broken", "unsolved"} and "no such column" in cv.errors["broken"]
+    assert {r["feature_count"] for r in cv.folds.collect()} == {2.0}
+    with pytest.raises(RuntimeError):
+        cross_validate(trials[1:], *inputs, FoldPlan(n_folds=3), fail_fast=True)
+
+
+def test_forward_selection_refuses_text(inputs):
+    with pytest.raises(ValueError, match="TF-IDF"):
+        forward_select(*inputs, [FeatureSpec("price"), FeatureSpec("headline_tfidf")], build_model("ridge"))
+
+
+def test_leaderboard_ends_and_winners(spark):
+    board = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, 5.0), ("c", None, 1.0), ("d", 2.0, None)], "experiment_name string, m double, k double")
+    got = [(r["end"], r["place"], r["experiment_name"]) for r in evaluate.board_ends(board, "m", 2).collect()]
+    assert sorted(got) == [("head", 1, "b"), ("head", 2, "d"), ("tail", 1, "a"), ("tail", 2, "d")]
+    assert {r["metric"]: r["experiment_name"] for r in evaluate.best_by_metric(board, ["m", "k"]).collect()} == {"m": "b", "k": "a"}
+
+
+def test_normal_quantile_equals_the_inverse(spark):
+    from statistics import NormalDist
+
+    p = [1e-300, 1e-20, 1e-5, 0.01, 0.0749, 0.0751, 0.3, 0.5, 0.7, 0.925, 0.99, 1 - 1e-12]
+    rows = spark.createDataFrame([(x,) for x in p], "p double").select("p", normal_quantile(F.col("p")).alias("q")).collect()
+    assert all(r.q == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-15) for r in rows)
+
+
+def test_top_terms_of_a_large_vocabulary(spark):
+    stats = spark.range(5000).select(F.lit(0).alias("slot"), F.concat(F.lit("t"), "id").alias("term"), (F.col("id") % 7 + 1).alias("df"), (F.col("id") % 501).alias("tf"))
+    got = tfidf.cut_vocabulary(stats, ["slot"], 2, 1500).collect()
+    rows = [r for r in stats.collect() if r.df >= 2]
+    want = sorted(rows, key=lambda r: (-r.tf, -r.df, r.term))[:1500]
+    assert [r.term for r in sorted(got, key=lambda r: r.position)] == [r.term for r in want]
+
+
 def test_position_sweep_agrees_with_scored_rows(spark, inputs):
     seen, unseen, _ = inputs
     models = {"s": build_model("max_sharpe", {"penalty": 0.1}), "r": build_model("ridge", {"alpha": 5.0})}
@@ -310,6 +376,20 @@ def test_full_model_and_product(spark, inputs, tmp_path):
     assert load_predictions(spark, f"{tmp_path}/latest_combined").count() == want
 
 
+def test_splits_may_share_session_ids(spark, inputs):
+    seen, unseen, headlines = inputs
+    trial = Trial("prod", (FeatureSpec("price"),), build_model("ridge", {"alpha": 10.0}))
+    part = {k: (F.col("session") % 3 == k) for k in range(3)}
+    model = fit_full(trial, *[d.where(part[0]) for d in inputs])
+    one = Split("one", seen.where(part[1]), headlines.where(part[1]))
+    renamed = [d.where(part[2]).withColumn("session", F.col("session") - 1) for d in (seen, headlines)]
+    two = Split("two", *renamed)
+    together = predict_splits(model, [one, two])
+    for split in (one, two):
+        alone = predict_splits(model, [split])[split.name]
+        assert Counter(map(tuple, together[split.name].collect())) == Counter(map(tuple, alone.collect()))
+
+
 def test_prediction_validation(spark):
     good = spark.createDataFrame([(2, 1.0), (1, -1.0)], "session long, target_position double")
     expected = spark.createDataFrame([(1,), (2,)], "session long")

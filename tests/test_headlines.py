@@ -184,6 +184,24 @@ def test_vector_cache_and_lookup(spark):
     assert {r["text"]: r["embedding"] for r in rows} == {"zzz": [0.0, 0.0], "b": [0.0, 1.0]}
 
 
+def test_vector_cache_table(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    encoder = lambda: lambda chunk: [[float(len(t)), 0.0] for t in chunk]
+    first = spark.createDataFrame([("a",), ("bb",), (None,), ("",)], "text string")
+    more = spark.createDataFrame([("bb",), ("ccc",)], "text string")
+    assert vectors.read_cache(spark, path).count() == 0
+    assert vectors.update_cache(path, first, encoder, normalize=False).count() == 2
+    other = lambda: lambda chunk: [[-1.0, 0.0]] * len(chunk)
+    got = {r["text"]: r["embedding"][0] for r in vectors.update_cache(path, more, other, normalize=False).collect()}
+    assert got == {"a": 1.0, "bb": 2.0, "ccc": -1.0}
+
+
+def test_ragged_vectors_are_refused(spark):
+    table = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], TEXT_VECTORS)
+    with pytest.raises(ValueError, match="dimensions"):
+        vectors.dimensions(table)
+
+
 def test_vector_map_blocks(spark, news):
     texts = news.parsed.select(F.col("event_text_normalized").alias("text"))
     table = vectors.hashed_vectors(texts, 4)

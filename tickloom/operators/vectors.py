@@ -5,11 +5,14 @@ Vectors are `array<float>` and are summed in double, one sum per dimension, with
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.text import vector_text
 from tickloom.operators.events import session_last_bar, timing_flags
@@ -62,16 +65,45 @@ def embed_texts(
     return merge_cache(cache, encode(missing, encoder, batch_size, normalize))
 
 
+CACHE = "text string, embedding array<float>"
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache table under `path`; empty where nothing was written yet."""
+    try:
+        return spark.read.schema(CACHE).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], CACHE)
+
+
+def update_cache(path: str, texts: DataFrame, encoder: Callable[[], Encoder], batch_size: int = 128, normalize: bool = True) -> DataFrame:
+    """Encode the texts that the cache table lacks, append them to it, and return the table."""
+    spark = texts.sparkSession
+    missing = missing_texts(texts, read_cache(spark, path))
+    encode(missing, encoder, batch_size, normalize).write.mode("append").parquet(path)
+    return read_cache(spark, path)
+
+
+def hashed_words(dims: int = 64) -> Encoder:
+    """Default encoder without a model: signed hashed word counts. md5 gives the same vectors in every engine."""
+
+    def run(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), dims))
+        for row, text in enumerate(texts):
+            for word in text.split(" "):
+                if word:
+                    digest = hashlib.md5(word.encode()).hexdigest()
+                    out[row, int(digest[:7], 16) % dims] += 1.0 if int(digest[7], 16) % 2 else -1.0
+        return out
+
+    return run
+
+
 def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
-    """Default vectors without a model: signed hashed word counts, scaled to unit length, in native columns."""
-    word = F.explode(F.split("text", " ")).alias("w")
-    words = distinct_texts(texts).select("text", word).where(F.col("w") != "")
-    h = F.xxhash64("w")
-    signed = words.select("text", F.pmod(h, F.lit(dims)).alias("d"), F.when(h < 0, -1.0).otherwise(1.0).alias("s"))
-    sums = signed.groupBy("text").agg(*[F.sum(F.when(F.col("d") == i, F.col("s")).otherwise(0.0)).alias(f"d{i}") for i in range(dims)])
-    norm = F.sqrt(sum((F.col(f"d{i}") * F.col(f"d{i}") for i in range(dims)), F.lit(0.0)))
-    scale = F.when(norm > 0, norm).otherwise(F.lit(1.0))
-    return sums.select("text", F.array(*[(F.col(f"d{i}") / scale).cast("float") for i in range(dims)]).alias("embedding"))
+    """Vectors of the default encoder for all distinct texts."""
+    return encode(distinct_texts(texts), partial(hashed_words, dims))
 
 
 def dimensions(vectors: DataFrame) -> int:

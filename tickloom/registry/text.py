@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from tickloom.functions import lexicon
@@ -10,7 +13,7 @@ from tickloom.operators import companies, documents, events, reaction, sequence,
 from tickloom.plans.news import News
 from tickloom.registry import common as c
 from tickloom.registry.common import query, tidy, tidy_sql
-from tickloom.session import materialize, spread_scan
+from tickloom.session import checkpoint_dir, materialize, spread_scan
 from tickloom.sources import adapters
 
 D = "session:i"
@@ -711,26 +714,23 @@ def vector_cache_merge(spark, sf_dir):
     return tidy(merged.select("text", F.size("embedding").alias("dims"), total.alias("total")))
 
 
-@query("encode_texts")
-def encode_texts(spark, sf_dir):
-    """Distinct event texts through the batch hook, here with a hashed bag-of-words encoder."""
-
-    def encoder():
-        import zlib
-
-        import numpy as np
+_ENCODED = """,
+wd AS (SELECT text, unnest(string_split(text, ' ')) AS w FROM txt),
+hs AS (SELECT text, ('0x' || substr(md5(w), 1, 7))::BIGINT % 64 AS dim,
+              CASE WHEN ('0x' || substr(md5(w), 8, 1))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END AS s FROM wd WHERE w <> ''),
+sm AS (SELECT text, dim, sum(s) AS v FROM hs GROUP BY text, dim),
+q AS (SELECT text, dim, (v / sqrt(sum(v * v) OVER (PARTITION BY text)))::FLOAT AS value FROM sm)"""
 
-        def run(texts):
-            out = np.zeros((len(texts), DIMS))
-            for row, text in enumerate(texts):
-                for word in text.split():
-                    h = zlib.crc32(word.encode())
-                    out[row, h % DIMS] += 1.0 if h & 0x10000 else -1.0
-            return out
-
-        return run
 
+@query(
+    "encode_texts",
+    tidy_sql(EVENTS + _HEADLINE_VECTORS + _ENCODED + ",\nz AS (SELECT * FROM q WHERE value <> 0)", "text:s dim:i value", "z"),
+)
+def encode_texts(spark, sf_dir):
+    """Distinct event texts through the batch encoder into a cache table, in two updates; the entries that are not 0."""
     p = news(spark, sf_dir).parsed
-    cache = vectors.hashed_vectors(_headline_texts(p.where(F.col("bar_ix") < 5)), DIMS)
-    done = vectors.embed_texts(_headline_texts(p), cache, encoder)
-    return done.select("text", F.size("embedding").alias("dims"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vector-cache-{uuid.uuid4().hex}"
+    encoder = partial(vectors.hashed_words, DIMS)
+    vectors.update_cache(path, _headline_texts(p.where(F.col("bar_ix") < 5)), encoder)
+    done = vectors.update_cache(path, _headline_texts(p), encoder)
+    return tidy(done.select("text", F.posexplode("embedding").alias("dim", "value")).where("value <> 0"))
