@@ -11,6 +11,7 @@ from tickloom.functions.ranking import ranked
 from tickloom.operators.events import with_timing
 from tickloom.operators.sequence import SEQUENCE_COLUMNS, sequence_features
 
+# Output column names.
 COMPANY_COLUMNS = [
     "headline_count",
     "recent_headline_count",
@@ -40,6 +41,7 @@ COMPANY_COLUMNS = [
     "has_pct_count",
 ]
 
+# Output column names.
 RELEVANCE_COLUMNS = [
     "mention_share",
     "recent_share",

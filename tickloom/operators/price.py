@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tickloom.functions.numeric import FLAT_STD, double, floored, moments_corr, ratio, ratio_or
 
+# Output column names.
 PRICE_COLUMNS = [
     "seen_return_open_to_close",
     "seen_return_close_to_close",
@@ -29,6 +30,7 @@ PRICE_COLUMNS = [
     "trend_slope_normalized",
 ]
 
+# Output column names.
 TECHNICAL_COLUMNS = [
     "ret_last_5",
     "ret_last_10",
@@ -46,6 +48,7 @@ TECHNICAL_COLUMNS = [
     "avg_bar_spread",
 ]
 
+# Output column names.
 LEGACY_COLUMNS = [
     "seen_return",
     "log_return",

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from tickloom.functions.numeric import double, floored, ratio, ratio_or
 from tickloom.operators.targets import last_close
 
+# Output column names.
 REACTION_COLUMNS = [
     "headline_price_agreement_mean",
     "headline_price_next_bar_agreement_mean",
@@ -27,6 +28,7 @@ REACTION_COLUMNS = [
     "burst_window_range_mean",
 ]
 
+# Output column names.
 REGIME_COLUMNS = [
     "pre_event_return_1_mean",
     "pre_event_return_3_mean",

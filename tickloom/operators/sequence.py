@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tickloom.functions.numeric import ratio, ratio_or
 from tickloom.operators.events import session_last_bar
 
+# Output column names.
 SEQUENCE_COLUMNS = [
     "polarity_flip_count",
     "polarity_flip_rate",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import ratio
 
+# Output column names.
 ADDITIVE_COLUMNS = [
     "headline_count",
     "recent_headline_count",
@@ -34,6 +35,7 @@ ADDITIVE_COLUMNS = [
     "has_pct_count",
 ]
 
+# Output column names.
 SUMMARY_COLUMNS = [
     "n_companies",
     "headline_bar_coverage_sum",
@@ -63,6 +65,7 @@ SUMMARY_COLUMNS = [
     "relevance_entropy_norm",
 ]
 
+# Output column names.
 SLOT_COLUMNS = [
     "headline_count",
     "recent_headline_count",
