@@ -1,6 +1,6 @@
 """Text vectors: cache, batch encoding, lookup, and session/company aggregates.
 
-Vectors are `array<float>` and are summed in double, one sum per dimension, with map-side combine.
+Vectors are `array<float>` and are summed in double, one array buffer per group, with map-side combine.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from functools import partial
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.text import vector_text
@@ -129,18 +131,21 @@ def text_cells(parsed: DataFrame, source: str, keys: Sequence[str]) -> DataFrame
     )
 
 
-def _dimension(i: int) -> Column:
-    return F.col("embedding")[i].cast("double")
+def _array_sum(values: Column) -> Column:
+    """Element-wise sum of equally long arrays: one buffer of doubles per group, combined before the shuffle."""
+    return vector_to_array(Summarizer.sum(array_to_vector(values)))
 
 
-def mean_and_recent(
-    parsed: DataFrame, vectors: DataFrame, source: str, dims: int, keys: Sequence[str] = ("session",)
-) -> DataFrame:
-    """Plain and recency-weighted mean vectors per key, as columns emb_000.. and recent_emb_000..
+def _scaled(values: Column, factor: Column) -> Column:
+    return F.transform(values, lambda x: x.cast("double") * factor)
 
-    The recent mean divides by the recent count, clipped at 1e-9.
-    """
-    keys = list(keys)
+
+def _named(values: str, names: Sequence[str]) -> list[Column]:
+    return [F.col(values)[i].alias(n) for i, n in enumerate(names)]
+
+
+def _mean_arrays(parsed: DataFrame, vectors: DataFrame, source: str, dims: int, keys: list[str]) -> DataFrame:
+    """(keys, means): the plain mean vector followed by the recency-weighted one."""
     cells = text_cells(parsed, source, keys)
     per_text = (
         cells.join(session_last_bar(cells), "session")
@@ -148,20 +153,28 @@ def mean_and_recent(
         .groupBy(*keys, "text")
         .agg(F.sum("n").alias("n"), F.sum("recent").alias("recent"))
     )
-    found = per_text.join(vectors, "text", "left")
-    n, recent = F.col("n"), F.col("recent")
-    value = [F.coalesce(_dimension(i), F.lit(0.0)) for i in range(dims)]
-    sums = found.groupBy(*keys).agg(
-        F.sum(n).alias("__n"),
-        F.greatest(F.sum(recent), F.lit(1e-9)).alias("__r"),
-        *[F.sum(n * v).alias(f"__s{i}") for i, v in enumerate(value)],
-        *[F.sum(recent * v).alias(f"__t{i}") for i, v in enumerate(value)],
-    )
-    return sums.select(
-        *keys,
-        *[(F.col(f"__s{i}") / F.col("__n")).alias(f"emb_{i:03d}") for i in range(dims)],
-        *[(F.col(f"__t{i}") / F.col("__r")).alias(f"recent_emb_{i:03d}") for i in range(dims)],
+    found = lookup(per_text, vectors, dims)
+    both = F.concat(_scaled(F.col("embedding"), F.col("n")), _scaled(F.col("embedding"), F.col("recent")))
+    sums = found.withColumn("both", both).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.greatest(F.sum("recent"), F.lit(1e-9)).alias("recent"), _array_sum(F.col("both")).alias("both")
     )
+    means = F.transform("both", lambda x, i: x / F.when(i < dims, F.col("n")).otherwise(F.col("recent")))
+    return sums.select(*keys, means.alias("means"))
+
+
+def _mean_names(dims: int) -> list[str]:
+    return [f"{p}emb_{i:03d}" for p in ("", "recent_") for i in range(dims)]
+
+
+def mean_and_recent(
+    parsed: DataFrame, vectors: DataFrame, source: str, dims: int, keys: Sequence[str] = ("session",)
+) -> DataFrame:
+    """Plain and recency-weighted mean vectors per key, as columns emb_000.. and recent_emb_000..
+
+    The recent mean divides by the recent count, clipped at 1e-9.
+    """
+    keys = list(keys)
+    return _mean_arrays(parsed, vectors, source, dims, keys).select(*keys, *_named("means", _mean_names(dims)))
 
 
 def session_vectors(parsed: DataFrame, vectors: DataFrame, source: str, dims: int) -> DataFrame:
@@ -174,10 +187,9 @@ def company_weighted_vectors(
     parsed: DataFrame, scored: DataFrame, vectors: DataFrame, source: str, dims: int
 ) -> DataFrame:
     """`weighted_emb_*`, `weighted_recent_emb_*`: relevance-weighted sums of company mean vectors."""
-    means = mean_and_recent(parsed, vectors, source, dims, ("session", "company"))
+    means = _mean_arrays(parsed, vectors, source, dims, ["session", "company"])
     joined = scored.select("session", "company", "relevance_weight").join(means, ["session", "company"], "left")
-    w = F.col("relevance_weight")
-    names = [f"{p}emb_{i:03d}" for p in ("", "recent_") for i in range(dims)]
-    return joined.groupBy("session").agg(
-        *[F.sum(w * F.coalesce(n, F.lit(0.0))).alias(f"weighted_{n}") for n in names]
-    )
+    zero = F.array_repeat(F.lit(0.0), 2 * dims)
+    weighted = joined.select("session", _scaled(F.coalesce("means", zero), F.col("relevance_weight")).alias("both"))
+    sums = weighted.groupBy("session").agg(_array_sum(F.col("both")).alias("both"))
+    return sums.select("session", *_named("both", [f"weighted_{n}" for n in _mean_names(dims)]))

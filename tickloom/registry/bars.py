@@ -42,13 +42,13 @@ def headlines_fixture(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
+    b = c.written_bars(spark, sf_dir)
     return targets.build_targets(adapters.seen(b), adapters.unseen(b))
 
 
 @query("target_return", tidy_sql(c.TARGETS, f"{D} close_halfway close_end target_return", "targets"))
 def target_return(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
+    b = c.written_bars(spark, sf_dir)
     return tidy(targets.build_targets(adapters.seen(b), adapters.unseen(b)))
 
 
@@ -72,7 +72,7 @@ q AS (SELECT strategy, avg(p * y) / (stddev_pop(p * y) + 1e-9) * 16 AS sharpe FR
 
 
 def strategy_frame(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
+    b = c.written_bars(spark, sf_dir)
     return targets.strategy_frame(adapters.seen(b), adapters.unseen(b))
 
 
@@ -111,7 +111,7 @@ q AS (SELECT session, momentum * direction * 100 AS target_position FROM m, d)""
     ),
 )
 def momentum_heuristic(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
+    b = c.written_bars(spark, sf_dir)
     return tidy(targets.momentum_positions(adapters.seen(b), adapters.unseen(b), adapters.seen(b)))
 
 
@@ -228,7 +228,7 @@ q AS (SELECT row_number() OVER (ORDER BY y, session) AS rank_no, y AS ordered_va
     ),
 )
 def target_qq_normal(spark, sf_dir):
-    b = c.bars(spark, sf_dir)
+    b = c.written_bars(spark, sf_dir)
     frame = targets.build_targets(adapters.seen(b), adapters.unseen(b))
     return tidy(profile.qq_positions(frame, "target_return").drop("normal_quantile"))
 

@@ -62,6 +62,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.bars_from_lineitem(lineitem(spark, sf_dir))
 
 
+def written_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written once, for queries that read them more than once: the ticks are scanned and sorted a single time."""
+    return materialize(bars(spark, sf_dir), "bars")
+
+
 def placed_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks in session order, written once for queries that need both bars and headlines."""
     return materialize(adapters.ticks(lineitem(spark, sf_dir)), "ticks")
