@@ -1091,3 +1091,33 @@ def legacy_position_product(spark, sf_dir):
     rows = design.join(folds.select("session", "fold"), "session")
     fit = sweep.fit_positions(rows.where(F.col("fold") >= 2), price.LEGACY_COLUMNS, build_model("max_sharpe", {"penalty": 0.01}))
     return sinks.shape_predictions(sweep.linear_scores(rows.where(F.col("fold") < 2), price.LEGACY_COLUMNS, fit, 1000.0))
+
+
+# The same on two features in closed form: fitted on folds 2 to 4, folds 0 and 1 sized apart.
+_SMALL_PRODUCT = (
+    _FOLDED
+    + """,
+tr AS (SELECT count(*) * covar_pop(x1, x1) + 10.0 AS a, count(*) * covar_pop(x1, x2) AS b, count(*) * covar_pop(x2, x2) + 10.0 AS d,
+              count(*) * covar_pop(x1, y) AS p, count(*) * covar_pop(x2, y) AS q, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+       FROM fx WHERE fold >= 2),
+cf AS (SELECT (p * d - q * b) / (a * d - b * b) AS c1, (a * q - b * p) / (a * d - b * b) AS c2, m1, m2, my FROM tr),
+rs AS (SELECT c1, c2, my - c1 * m1 - c2 * m2 AS c0, greatest(stddev_samp(y - (my - c1 * m1 - c2 * m2) - c1 * x1 - c2 * x2), 1e-6) AS unc
+       FROM fx, cf WHERE fold >= 2 GROUP BY c1, c2, m1, m2, my),
+pr AS (SELECT session, fold, (c0 + c1 * x1 + c2 * x2) / unc AS score FROM fx, rs WHERE fold < 2),
+qt AS (SELECT fold, quantile_cont(abs(score), 0.9) AS scale FROM pr GROUP BY fold),
+q AS (SELECT session, least(greatest(score / scale, -1.0), 1.0) * 100 AS target_position FROM pr JOIN qt USING (fold))"""
+)
+
+
+@query("prediction_product_small", tidy_sql(_SMALL_PRODUCT, f"{D} target_position", "q"))
+def prediction_product_small(spark, sf_dir):
+    seen, unseen, headlines = inputs(spark, sf_dir)
+    folds = materialize(session_folds(seen), "folds")
+
+    def part(frame, *keep):
+        return matrix.restrict(frame, folds.where(F.col("fold").isin(*keep)))
+
+    trial = Trial("small", _blocks("price"), build_model("ridge", {"alpha": 10.0}), columns=_SMALL_SETS["both"])
+    model = fit_full(trial, part(seen, 2, 3, 4), part(unseen, 2, 3, 4), part(headlines, 2, 3, 4))
+    splits = [Split(n, part(seen, f), part(headlines, f)) for n, f in (("public_test", 0), ("private_test", 1))]
+    return tidy(prediction_product(model, *splits))
