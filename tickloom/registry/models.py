@@ -1121,3 +1121,74 @@ def prediction_product_small(spark, sf_dir):
     model = fit_full(trial, part(seen, 2, 3, 4), part(unseen, 2, 3, 4), part(headlines, 2, 3, 4))
     splits = [Split(n, part(seen, f), part(headlines, f)) for n, f in (("public_test", 0), ("private_test", 1))]
     return tidy(prediction_product(model, *splits))
+
+
+def _step_sql(step: int, source: str) -> str:
+    """Mean fold Sharpe of the ridge on z1 and z2 for each candidate of `source` (cand, session, fold, y, z1, z2)."""
+    n = f"_{step}"
+    return f""",
+tx{n} AS ({source}),
+tr{n} AS (SELECT cand, g.f AS fold, count(*) * covar_pop(z1, z1) + 10.0 AS a, count(*) * covar_pop(z1, z2) AS b, count(*) * covar_pop(z2, z2) + 10.0 AS d,
+                 count(*) * covar_pop(z1, y) AS p, count(*) * covar_pop(z2, y) AS q, avg(z1) AS m1, avg(z2) AS m2, avg(y) AS my
+          FROM tx{n} t CROSS JOIN range(5) AS g(f) WHERE t.fold <> g.f GROUP BY cand, g.f),
+cf{n} AS (SELECT *, (p * d - q * b) / (a * d - b * b) AS c1, (a * q - b * p) / (a * d - b * b) AS c2 FROM tr{n}),
+rs{n} AS (SELECT c.cand, c.fold, c1, c2, my - c1 * m1 - c2 * m2 AS c0,
+                 greatest(stddev_samp(y - (my - c1 * m1 - c2 * m2) - c1 * z1 - c2 * z2), 1e-6) AS unc
+          FROM tx{n} t JOIN cf{n} c ON t.cand = c.cand AND t.fold <> c.fold GROUP BY c.cand, c.fold, c1, c2, my, m1, m2),
+pr{n} AS (SELECT t.cand, t.fold, t.y, (c0 + c1 * z1 + c2 * z2) / unc AS score FROM tx{n} t JOIN rs{n} r ON t.cand = r.cand AND t.fold = r.fold),
+qt{n} AS (SELECT cand, fold, quantile_cont(abs(score), 0.9) AS scale FROM pr{n} GROUP BY cand, fold),
+fs{n} AS (SELECT cand, fold, avg(least(greatest(score / scale, -1.0), 1.0) * 100 * y) / stddev_pop(least(greatest(score / scale, -1.0), 1.0) * 100 * y) * 16 AS sharpe
+          FROM pr{n} JOIN qt{n} USING (cand, fold) GROUP BY cand, fold),
+best{n} AS (SELECT cand, avg(sharpe) AS mean_cv_sharpe FROM fs{n} GROUP BY cand ORDER BY 2 DESC, 1 LIMIT 1)"""
+
+
+_SELECTION = (
+    c.BARS
+    + _PRICE_PART
+    + _TARGET_PART
+    + folds_sql()
+    + f""",
+fl AS (SELECT session, fold, target_return AS y, unnest({["price__" + n for n in price.PRICE_COLUMNS]}) AS f,
+              unnest([{", ".join(price.PRICE_COLUMNS)}]) AS x FROM targets JOIN price USING (session) JOIN folds USING (session))"""
+    + _step_sql(1, "SELECT f AS cand, session, fold, y, x AS z1, 0.0::DOUBLE AS z2 FROM fl")
+    + _step_sql(
+        2,
+        "SELECT b.f AS cand, b.session, b.fold, b.y, a.x AS z1, b.x AS z2 FROM fl a JOIN best_1 ON a.f = best_1.cand JOIN fl b ON a.session = b.session AND b.f <> a.f",
+    )
+    + ",\nq AS (SELECT 1 AS step, cand AS feature, mean_cv_sharpe FROM best_1 UNION ALL SELECT 2, cand, mean_cv_sharpe FROM best_2)"
+)
+
+
+@query("forward_selection_two", tidy_sql(_SELECTION, "step:i feature:s mean_cv_sharpe", "q"))
+def forward_selection_two(spark, sf_dir):
+    """The first two steps over all price features."""
+    seen, unseen, headlines = inputs(spark, sf_dir)
+    return tidy(forward_select(seen, unseen, headlines, _blocks("price"), build_model("ridge", {"alpha": 10.0}), 2))
+
+
+_REPEATED = (
+    FRAME
+    + folds_sql(3)
+    + """,
+fx AS (SELECT fr.session, y, x1, repeat, fold FROM fr JOIN folds USING (session)),
+tr AS (SELECT repeat, g.f AS fold, count(*) * covar_pop(x1, y) / (count(*) * covar_pop(x1, x1) + 1.0) AS c1, avg(x1) AS m1, avg(y) AS my
+       FROM fx CROSS JOIN range(5) AS g(f) WHERE fx.fold <> g.f GROUP BY repeat, g.f),
+rs AS (SELECT tr.repeat, tr.fold, c1, my - c1 * m1 AS c0, greatest(stddev_samp(y - (my - c1 * m1) - c1 * x1), 1e-6) AS unc
+       FROM fx JOIN tr ON fx.repeat = tr.repeat AND fx.fold <> tr.fold GROUP BY tr.repeat, tr.fold, c1, m1, my),
+pr AS (SELECT session, y, repeat, fold, c0 + c1 * x1 AS predicted_return, unc, (c0 + c1 * x1) / unc AS score FROM fx JOIN rs USING (repeat, fold)),
+qt AS (SELECT repeat, fold, quantile_cont(abs(score), 0.7) AS scale FROM pr GROUP BY repeat, fold),
+oof AS (SELECT pr.*, least(greatest(score / scale, -1.0), 1.0) * 100 AS position FROM pr JOIN qt USING (repeat, fold)),
+q AS (SELECT session, avg(predicted_return) AS predicted_return, avg(unc) AS predicted_uncertainty, avg(position) AS target_position,
+             max(y) AS realized_return, count(*)::DOUBLE AS cv_prediction_count, avg(position) * max(y) AS pnl FROM oof GROUP BY session)"""
+)
+
+
+@query(
+    "repeated_cv_small",
+    tidy_sql(_REPEATED, f"{D} predicted_return predicted_uncertainty target_position realized_return cv_prediction_count pnl", "q"),
+)
+def repeated_cv_small(spark, sf_dir):
+    """Three repeats of a one-feature ridge, sized at the 70th percentile and averaged."""
+    seen, unseen, headlines = inputs(spark, sf_dir)
+    trial = Trial("one", _blocks("price"), build_model("ridge", {"alpha": 1.0}), {"percentile": 70.0}, ("price__seen_return_open_to_close",))
+    return tidy(evaluate.average_repeats(cross_validate([trial], seen, unseen, headlines, FoldPlan(n_repeats=3)).oof))
