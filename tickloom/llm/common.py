@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tickloom.session import checkpoint_dir
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -26,8 +28,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, column: str, name: str) -> DataFrame:
-    """`df` as a table of the warehouse, bucketed by `column`: later joins on it do not move its rows."""
+    """`df` as a written table in the shared folder, bucketed by `column`: later joins on it do not move its rows."""
     spark = df.sparkSession
     full = f"{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).format("parquet").saveAsTable(full)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, column).format("parquet").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{full}").saveAsTable(full)
     return spark.table(full)

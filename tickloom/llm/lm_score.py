@@ -17,7 +17,7 @@ from tickloom.llm.blocks import answer_rows, answers, ask, ask_rows, conclude, d
 from tickloom.llm.common import query, table
 from tickloom.llm.words import Words, mixed, window_names, window_starts, words_of
 
-KEY_BYTES = 5
+KEY_BYTES, BUCKET_KEYS = 4, 20_000  # few keys a bucket, so that short names stay apart
 BLOCK_CHARS = 6_000_000
 EVERYTHING = mixed(np.array([2**64 - 59], np.uint64))  # stands for all words: its count is the size of the corpus
 OUT = "doc_id long, tag long, n_words long, n_backoffs long, log_score double"
@@ -109,11 +109,11 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
     alpha for each order that had to be given up; the first words of a text have shorter contexts. A word that is not known at all counts
     as alpha occurrences. With `leave_out` a document's own counts do not count. Every row is a document of its own, so repeated
     rows vouch for each other. Null and empty texts have no words and score 0; in a corpus of one document every word is unknown. Rows with
-    one id are told apart by `tag`, a hash of the text. An empty table gives an empty one. Names of n-grams have 40 bits and those of
-    their bucket; two that fall together share a count (about one n-gram in ten million).
+    one id are told apart by `tag`, a hash of the text. An empty table gives an empty one. Names of n-grams have 32 bits besides
+    their bucket, which holds some ten thousand; two that fall together share a count (about one n-gram in a hundred thousand).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
-    deal = deal_for(rows, block_chars=BLOCK_CHARS)
+    deal = deal_for(rows, block_chars=BLOCK_CHARS, bucket_keys=BUCKET_KEYS)
     buckets = deal.buckets
 
     def asks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
