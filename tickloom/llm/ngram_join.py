@@ -169,13 +169,12 @@ def _grouped(postings: DataFrame, groups: DataFrame | None) -> DataFrame:
     return joined.select("key", "sig", F.coalesce("component", "sig").alias("g"))
 
 
-def _star_pairs(postings: DataFrame, groups: DataFrame | None, turn: int) -> DataFrame:
+def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
     """Each set with the hub outside its group that it shares most prefix n-grams with.
 
     Every n-gram has one hub, drawn by hash and anew each turn, so a turn makes at most one pair for each posting. Turn t tries
     the best 2^t hubs of each set, for the fewer sets that are still open.
     """
-    placed = _grouped(postings, groups)
     drawn = F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), "sig", "g")).alias("hub")
     hubs = placed.groupBy("key").agg(drawn, F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi")
     hubs = hubs.select("key", F.col("hub.sig").alias("hub"), F.col("hub.g").alias("hub_g"))
@@ -184,17 +183,13 @@ def _star_pairs(postings: DataFrame, groups: DataFrame | None, turn: int) -> Dat
     return seen.withColumn("nth", best).where(F.col("nth") <= 2**turn).select(F.col("sig").alias("a"), F.col("hub").alias("b"))
 
 
-def _pairs_across(postings: DataFrame, groups: DataFrame) -> float:
+def _pairs_across(placed: DataFrame) -> float:
     """How many pairs across groups the postings would make, from counts alone."""
-    held = _grouped(postings, groups).groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
+    held = placed.groupBy("key", "g").agg(F.count(F.lit(1)).alias("c"))
     by_key = held.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
     return by_key.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0.0
 
 
-def _as_links(groups: DataFrame) -> DataFrame:
-    return groups.select(F.col("node").alias("a"), F.col("component").alias("b"))
-
-
 def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The sets of all lists of a column as records, their groups as two numbers each, and the bounds of the lists."""
     values = column.flatten()
@@ -205,7 +200,7 @@ def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, groups, np.append(0, np.cumsum(column.value_lengths().to_numpy()))
 
 
-def _cross_pairs(postings: DataFrame, reps: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+def _cross_pairs(placed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Every pair of sets in different groups that shares a prefix n-gram and can still reach the threshold.
 
     The sets that hold an n-gram are cut into lists of about LIST_SETS by their signature, and every two lists of an n-gram
@@ -213,7 +208,6 @@ def _cross_pairs(postings: DataFrame, reps: DataFrame, groups: DataFrame, percen
     its n-grams, list by list, tell how many prefix n-grams each pair shares; besides those, two sets share at most the larger
     of what they hold beyond their prefixes.
     """
-    placed = _grouped(postings, groups)
     open_keys = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key", "m")
     lists = max(1, -(-(open_keys.agg(F.max("m")).first()[0] or 0) // LIST_SETS))
     facts = reps.select("sig", F.col("n").cast("int").alias("n"), (F.col("held") - F.col("lead")).alias("rest"))
@@ -269,13 +263,14 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 75) ->
     entries = postings.count()
 
     # Turns go on while they link many sets and the pairs across groups would far outnumber the postings; then all pairs left are made.
-    groups, turn = None, 0
-    while turn == 0 or (50 * star.count() > size and _pairs_across(postings, groups) > 10 * entries):
-        star = materialize(linked(_star_pairs(postings, groups, turn), reps, fragments, percent), "links")
-        known = star if groups is None else _as_links(groups).union(star)
-        groups, turn = components(known, "a", "b"), turn + 1
-    rest = linked(_cross_pairs(postings, reps, groups, percent), reps, fragments, percent)
-    groups = components(_as_links(groups).union(rest), "a", "b")
+    placed, links, turn = _grouped(postings, None), None, 0
+    while turn == 0 or (50 * star.count() > size and _pairs_across(placed) > 10 * entries):
+        star = materialize(linked(_star_pairs(placed, turn), reps, fragments, percent), "links")
+        links = star if links is None else links.union(star)
+        placed = materialize(_grouped(postings, components(links, "a", "b", rounds=2)), "placed")
+        turn += 1
+    rest = linked(_cross_pairs(placed, reps, percent), reps, fragments, percent)
+    groups = components(links.union(rest), "a", "b")
 
     named = live.select("sig", "doc_id").join(groups, F.col("sig") == groups["node"], "left")
     named = named.groupBy(F.coalesce("component", "sig").alias("g"), "sig").agg(F.min("doc_id").alias("m"))
