@@ -129,13 +129,14 @@ def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_cle
     texts of the draw are weighted back to the shares of all labelled texts. With one class only, every score is that class's share.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").where((F.length("text") > 0) & (F.length("text") <= chars)).join(known, "doc_id").select("text", "toxic")
-    ids = docs.select("doc_id").where((F.length("text") > 0) & (F.length("text") <= chars)).join(known, "doc_id")
+    usable = docs.select("doc_id", "text", F.xxhash64("text", F.lit("draw")).alias("h")).where((F.length("text") > 0) & (F.length("text") <= chars))
+    ids = usable.select("doc_id", "h").join(known, "doc_id")
     count = dict(ids.groupBy("toxic").count().collect())
     share = {y: min(1.0, n / max(1, count.get(y, 0))) for y, n in ((0, n_clean), (1, n_toxic))}
-    draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1_000_000)) / 1e6
     wanted = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    got = sorted((r["text"], r["toxic"]) for r in rows.where(draw < wanted).limit(2 * (n_toxic + n_clean)).collect())
+    drawn = ids.where(F.pmod("h", F.lit(1_000_000)) / 1e6 < wanted).limit(2 * (n_toxic + n_clean))
+    # the draw is bounded, so the texts are not moved to find it
+    got = sorted((r["text"], r["toxic"]) for r in usable.join(F.broadcast(drawn), ["doc_id", "h"]).select("text", "toxic").collect())
     texts, y = [t for t, _ in got], np.array([v for _, v in got], np.int64)
     if not len(y):
         return Detector(fit([], [], 2), np.array([-30.0, 0.0, 0.0]))
