@@ -59,39 +59,63 @@ def unpack(blob: np.ndarray, size: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-def ask_rows(block: int, keys: np.ndarray, buckets: int, size: int, extra: np.ndarray | None = None) -> pa.Table:
-    """One row per bucket for the sorted distinct `keys`; `extra` has one fixed-width entry per key."""
+COUNTS = "counts"  # the kind of entries that are counts: most of them take one byte
+
+
+def shortened(counts: np.ndarray) -> bytes:
+    """One byte for each count, and eight more for those that do not fit."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+
+
+def lengthened(blob: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    return out
+
+
+def ask_rows(block: int, keys: np.ndarray, buckets: int, size: int, extra: np.ndarray | None = None, kind: object = None) -> pa.Table:
+    """One row per bucket for the sorted distinct `keys`; `extra` has one entry per key, of fixed width or COUNTS."""
     edges = bucket_edges(keys, buckets)
     packed = pack(keys, size)
     used = np.flatnonzero(np.diff(edges))
-    part = lambda a, b: a[edges[b] : edges[b + 1]].tobytes()
+    whole = shortened if kind == COUNTS else np.ndarray.tobytes
+    part = lambda a, b, as_bytes=np.ndarray.tobytes: as_bytes(a[edges[b] : edges[b + 1]])
     return pa.table(
         {
             "bucket": pa.array(used, pa.int32()),
             "block": pa.array(np.full(len(used), block), pa.int32()),
             "keys": pa.array([part(packed, b) for b in used], pa.binary()),
-            "extra": pa.array([None if extra is None else part(extra, b) for b in used], pa.binary()),
+            "extra": pa.array([None if extra is None else part(extra, b, whole) for b in used], pa.binary()),
         }
     )
 
 
-def answer_rows(asked: pa.Table, size: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], entry: np.dtype | None = None) -> pa.Table:
-    """`answer(keys, extra)` gives one value for each key of the bucket; they go back to the blocks that asked."""
+def answer_rows(asked: pa.Table, size: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], entry: np.dtype | str | None = None) -> pa.Table:
+    """`answer(keys, extra)` gives one value for each key of the bucket; they go back to the blocks that asked.
+
+    `entry` is the type of the extra entries; with COUNTS the answers are counts as well.
+    """
     blobs = asked["keys"].to_pylist()
     keys = unpack(np.frombuffer(b"".join(blobs), np.uint8), size)
-    extra = np.frombuffer(b"".join(asked["extra"].to_pylist()), entry) if entry is not None else keys
-    values = answer(keys, extra)
-    cuts = np.cumsum([len(b) // size for b in blobs])[:-1]
-    replies = [(np.packbits(v) if v.dtype == bool else v).tobytes() for v in np.split(values, cuts)]
+    sizes = [len(b) // size for b in blobs]
+    if entry == COUNTS:
+        extra = np.concatenate([lengthened(x, n) for x, n in zip(asked["extra"].to_pylist(), sizes)])
+    else:
+        extra = np.frombuffer(b"".join(asked["extra"].to_pylist()), entry) if entry is not None else keys
+    parts = np.split(answer(keys, extra), np.cumsum(sizes)[:-1])
+    replies = [shortened(v) if entry == COUNTS else (np.packbits(v) if v.dtype == bool else v).tobytes() for v in parts]
     return pa.table({"block": asked["block"], "bucket": asked["bucket"], "reply": pa.array(replies, pa.binary())})
 
 
-def read_replies(replies: pa.Table, keys: np.ndarray, buckets: int, dtype: type) -> np.ndarray:
+def read_replies(replies: pa.Table, keys: np.ndarray, buckets: int, dtype: type | str) -> np.ndarray:
     """One value per sorted distinct key, from the replies to this block."""
     edges = bucket_edges(keys, buckets)
-    out = np.zeros(len(keys), dtype)
+    out = np.zeros(len(keys), np.int64 if dtype == COUNTS else dtype)
     for bucket, reply in zip(replies["bucket"].to_pylist(), replies["reply"].to_pylist()):
         a, b = edges[bucket], edges[bucket + 1]
+        if dtype == COUNTS:
+            out[a:b] = lengthened(reply, b - a)
+            continue
         raw = np.frombuffer(reply, np.uint8)
         out[a:b] = np.unpackbits(raw, count=b - a).astype(bool) if dtype is bool else raw.view(dtype)
     return out

@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.blocks import answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies
+from tickloom.llm.blocks import COUNTS, answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies
 from tickloom.llm.common import query, table
 from tickloom.llm.words import Words, mixed, window_names, window_starts, words_of
 
-KEY_BYTES, BUCKET_KEYS = 4, 20_000  # few keys a bucket, so that short names stay apart
+KEY_BYTES, BUCKET_KEYS = 4, 100_000  # few keys a bucket, so that short names stay apart
 BLOCK_CHARS = 3_000_000
 EVERYTHING = mixed(np.array([2**64 - 59], np.uint64))  # stands for all words: its count is the size of the corpus
 OUT = "doc_id long, tag long, n_words long, n_backoffs long, log_score double"
@@ -34,16 +34,16 @@ def _ask(docs: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
     words = words_of(docs["text"])
     keys, counts = np.unique(np.concatenate([_grams(words, order)[0], EVERYTHING]), return_counts=True)
     counts[np.searchsorted(keys, EVERYTHING[0])] = len(words)
-    return keys, counts.astype("<u4")
+    return keys, counts
 
 
 def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of the counts of equal keys, for each entry."""
     order, group = groups_of(keys)
-    out = np.empty(len(keys), "<i8")
+    out = np.empty(len(keys), np.int64)
     if len(keys):
         heads = np.flatnonzero(np.diff(group, prepend=-1))
-        out[order] = np.add.reduceat(counts[order].astype(np.int64), heads)[group]
+        out[order] = np.add.reduceat(counts[order], heads)[group]
     return out
 
 
@@ -60,7 +60,7 @@ def _others(words: Words, replies: pa.Table, order: int, buckets: int, leave_out
     own = np.repeat(np.diff(np.append(heads, len(k))), np.diff(np.append(heads, len(k))))
     distinct = k[new]
     asked = np.insert(distinct, np.searchsorted(distinct, EVERYTHING[0]), EVERYTHING)
-    total = read_replies(replies, asked, buckets, np.dtype("<i8"))
+    total = read_replies(replies, asked, buckets, COUNTS)
     size = int(total[np.searchsorted(asked, EVERYTHING[0])])
     total = np.delete(total, np.searchsorted(asked, EVERYTHING[0]))
     left = np.empty(len(k), np.int64)
@@ -110,7 +110,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
     as alpha occurrences. With `leave_out` a document's own counts do not count. Every row is a document of its own, so repeated
     rows vouch for each other. Null and empty texts have no words and score 0; in a corpus of one document every word is unknown. Rows with
     one id are told apart by `tag`, a hash of the text. An empty table gives an empty one. Names of n-grams have 32 bits besides
-    their bucket, which holds some ten thousand; two that fall together share a count (about one n-gram in a hundred thousand).
+    their bucket, which holds some hundred thousand; two that fall together share a count (about one n-gram in 25,000).
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     deal = deal_for(rows, block_chars=BLOCK_CHARS, bucket_keys=BUCKET_KEYS)
@@ -118,10 +118,10 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
 
     def asks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         keys, counts = _ask(t, order)
-        return ask_rows(key[0].as_py(), keys, buckets, KEY_BYTES, counts)
+        return ask_rows(key[0].as_py(), keys, buckets, KEY_BYTES, counts, COUNTS)
 
     def reply(t: pa.Table) -> pa.Table:
-        return answer_rows(t, KEY_BYTES, _totals, np.dtype("<u4"))
+        return answer_rows(t, KEY_BYTES, _totals, COUNTS)
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         return _score(t, replies, order, alpha, buckets, leave_out)
