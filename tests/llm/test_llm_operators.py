@@ -13,9 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.fixtures import edge_docs, empty_docs, random_docs
-from tickloom.llm import crf, decontaminate, language_id, lm_score, mixing, ngram_join, sharding, substring_dedup, token_counts, topk, toxicity
+from tickloom.llm import blocks, crf, decontaminate, language_id, lm_score, mixing, ngram_join, sharding, substring_dedup, token_counts, topk, toxicity
 from tickloom.llm.prefix import hash_key, sums_before
-from tickloom.llm.words import words_of
+from tickloom.llm.words import window_names, window_starts, words_of
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -367,6 +367,29 @@ def test_scores_equal_brute_force(spark, order):
     assert all(score[d] == pytest.approx(s, abs=1e-5) for d, _, s in want)
 
 
+def test_bigrams_that_share_32_bits_of_their_names_have_counts_of_their_own(spark):
+    n = 400_000
+    words = words_of(pa.array([" ".join(f"q{i}" for i in range(n))]))
+    names = window_names(words.names, window_starts(words.first, 2)[0], 2)
+    short = (names & np.uint64(2**32 - 1)) | (names >> np.uint64(61) << np.uint64(61))  # and lie in one of up to eight buckets
+    by = np.argsort(short)
+    twins = np.flatnonzero(short[by][1:] == short[by][:-1])
+    assert len(twins)
+    i, j = by[twins[0]], by[twins[0] + 1]
+    rows = [(1, f"q{i} q{i + 1}"), (2, f"q{j} q{j + 1}")]
+    got = lm_score.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert sorted((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got) == brute_scores(rows, 2, 0.4)
+
+
+@pytest.mark.parametrize("buckets", [1, 3, 4, 255, 256, 257, 850, 65_536, 10**6])
+def test_packed_names_are_whole(buckets):
+    size = blocks.whole_bytes(buckets)
+    assert buckets << 8 * size >= 2**64  # the bytes count out a whole bucket
+    low, high = 2**64 // buckets * (buckets // 2), 2**64 // buckets * (buckets // 2 + 1)
+    keys = np.array([low + 1, low + 2**32 + 1, high - 1], np.uint64)
+    assert len(set(blocks.unpack(blocks.pack(keys, size).reshape(-1), size).tolist())) == 3
+
+
 def test_scores_edges(edge, empty):
     got = sorted((round(r.log_score, 3) for r in lm_score.backoff_scores(edge).collect()))
     assert got == pytest.approx(sorted(round(s, 3) for _, _, s in brute_scores(pairs_of(edge), 3, 0.4)), abs=2e-3)

@@ -53,6 +53,11 @@ def pack(keys: np.ndarray, size: int) -> np.ndarray:
     return np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :size]
 
 
+def whole_bytes(buckets: int) -> int:
+    """How many low bytes of a key tell all 64-bit keys of one bucket apart."""
+    return -(-((2**64 - 1) // buckets).bit_length() // 8)
+
+
 def unpack(blob: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros((len(blob) // size, 8), np.uint8)
     out[:, :size] = blob.reshape(-1, size)

@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.blocks import COUNTS, answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies
+from tickloom.llm.blocks import COUNTS, answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies, whole_bytes
 from tickloom.llm.common import query, table
 from tickloom.llm.words import Words, mixed, window_names, window_starts, words_of
 
-KEY_BYTES, BUCKET_KEYS = 4, 100_000  # few keys a bucket, so that short names stay apart
+BUCKET_KEYS = 100_000
 BLOCK_CHARS = 3_000_000
 EVERYTHING = mixed(np.array([2**64 - 59], np.uint64))  # stands for all words: its count is the size of the corpus
 OUT = "doc_id long, tag long, n_words long, n_backoffs long, log_score double"
@@ -87,7 +87,7 @@ def _score(docs: pa.Table, replies: pa.Table, order: int, alpha: float, buckets:
     for m in range(2, order + 1):  # longer n-grams that end at the word replace shorter ones
         ends = np.flatnonzero(place >= m - 1)
         gram, context = seen[m - 1][ends - m + 1], seen[m - 2][ends - m + 1]
-        known = gram > 0
+        known = (gram > 0) & (context > 0)  # the second holds wherever the first does, unless two names are one
         at = ends[known]
         backoffs[at] = np.minimum(place[at], order - 1) - (m - 1)
         score[at] = np.log(gram[known] / context[known]) + backoffs[at] * np.log(alpha)
@@ -109,19 +109,19 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
     alpha for each order that had to be given up; the first words of a text have shorter contexts. A word that is not known at all counts
     as alpha occurrences. With `leave_out` a document's own counts do not count. Every row is a document of its own, so repeated
     rows vouch for each other. Null and empty texts have no words and score 0; in a corpus of one document every word is unknown. Rows with
-    one id are told apart by `tag`, a hash of the text. An empty table gives an empty one. Names of n-grams have 32 bits besides
-    their bucket, which holds some hundred thousand; two that fall together share a count (about one n-gram in 25,000).
+    one id are told apart by `tag`, a hash of the text. An empty table gives an empty one. N-grams are told apart by all 64 bits
+    of their names: in a table of 10^10 different ones, some three pairs share a count.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     deal = deal_for(rows, block_chars=BLOCK_CHARS, bucket_keys=BUCKET_KEYS)
-    buckets = deal.buckets
+    buckets, size = deal.buckets, whole_bytes(deal.buckets)
 
     def asks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         keys, counts = _ask(t, order)
-        return ask_rows(key[0].as_py(), keys, buckets, KEY_BYTES, counts, COUNTS)
+        return ask_rows(key[0].as_py(), keys, buckets, size, counts, COUNTS)
 
     def reply(t: pa.Table) -> pa.Table:
-        return answer_rows(t, KEY_BYTES, _totals, COUNTS)
+        return answer_rows(t, size, _totals, COUNTS)
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         return _score(t, replies, order, alpha, buckets, leave_out)
