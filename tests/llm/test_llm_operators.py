@@ -315,6 +315,37 @@ def test_shards_keep_quotas_and_groups(spark, n, hot, shards):
         assert cut["cut"] <= 220
 
 
+@pytest.mark.parametrize("share, size", [(1.0, 2), (0.9, 2), (0.8, 10), (1.0, 10)])
+def test_groups_that_fit_stay_whole_where_most_rows_are_linked(spark, share, size):
+    n = 2400
+    rows = [(i, f"t{i % int(n * share / size)}" if i < n * share else f"alone{i}") for i in range(n)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24).cache()
+    assert set(Counter(r.shard for r in out.collect()).values()) == {100}
+    assert tuple(sharding.cut(out).first()) == (n * share, 0)
+
+
+def test_pairs_change_places_when_all_shards_are_full(spark):
+    rows = spark.createDataFrame([(i, i * 7919 % 1200 * 10**15 // 2) for i in range(1200)], "row long, key long")
+    links = spark.createDataFrame([(i, f"t{i // 2}") for i in range(1200)], "row long, hub string")
+    placed = {r.row: r.shard for r in sharding.propagate(rows, links, [200] * 6).collect()}
+    assert Counter(placed.values()) == {s: 200 for s in range(6)}
+    assert sum(placed[i] != placed[i + 1] for i in range(0, 1200, 2)) <= 60  # at the start about 500
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_packing_places_every_row_once(seed):
+    rng = random.Random(seed)
+    groups = {rng.choice([2, 3, 5, 10, 40, 700]): rng.randint(1, 12) for _ in range(4)}
+    rows = sum(k * n for k, n in groups.items())
+    quotas = sharding._quotas(rows + rng.choice([0, 1, 50, 1000]), rng.choice([1, 4, 24]))
+    held, seen = [0] * len(quotas), Counter()
+    for size, begin, end, shard, first, last in sharding._pack(groups, quotas):
+        held[shard] += (end - begin) * (last - first)
+        seen.update((size, g, r) for g in range(begin, end) for r in range(first, last))
+    assert all(h <= q for h, q in zip(held, quotas))
+    assert seen == Counter((k, g, r) for k, n in groups.items() for g in range(n) for r in range(k))
+
+
 def test_shards_edges(edge, empty):
     out = sharding.shard(edge, 4).collect()
     assert Counter((r.doc_id, r.size) for r in out) == Counter((d, len((t or "").encode()) + 8) for d, t in pairs_of(edge))
