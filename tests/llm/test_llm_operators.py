@@ -297,6 +297,46 @@ def test_clean_removes_documents_or_spans(spark):
     assert spans == {1: "zero four", 2: "one two", None: "", 3: None}
 
 
+# ---- samples of the classifiers
+
+
+def test_language_of_long_texts_only_is_learned(spark):
+    rng = random.Random(3)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    one, two = [f"alba{i}" for i in range(30)], [f"zorn{i}" for i in range(30)]
+    rows = [(i, say(one, 10), "a") for i in range(40)] + [(100 + i, say(two, 200), "b") for i in range(40)] + [(200, "1 " * 500 + "zorn1 zorn2 " + "1 " * 500, "c")]
+    tagger, names = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=200)
+    new = spark.createDataFrame([(1, say(one, 8)), (2, say(two, 8))], "doc_id long, text string")
+    assert names == ["a", "b", "c"]
+    assert [r.lang_pred for r in language_id.identify(new, tagger, names).orderBy("doc_id").collect()] == ["a", "b"]
+
+
+def test_toxic_long_texts_are_learned(spark):
+    rng = random.Random(4)
+    say = lambda n, *more: " ".join(rng.choice([f"plain{i}" for i in range(40)]) if rng.random() < 0.7 or not more else more[0] for _ in range(n))
+    docs = [(i, say(20)) for i in range(60)] + [(100 + i, say(300, "vile")) for i in range(60)]
+    labels = spark.createDataFrame([(d, int(d >= 100)) for d, _ in docs], "doc_id long, toxic int")
+    detector = toxicity.learn(spark.createDataFrame(docs, "doc_id long, text string"), labels, chars=200)
+    new = spark.createDataFrame([(1, say(20)), (2, say(300, "vile"))], "doc_id long, text string")
+    good, bad = (r.score for r in toxicity.detect(new, detector).orderBy("doc_id").collect())
+    assert good < 0.5 < bad
+
+
+@pytest.mark.parametrize("hot", range(3))
+def test_copies_count_once_in_the_draw(spark, monkeypatch, hot):
+    rows = [(i, f"hot{hot} text", "a") for i in range(3000)] + [(5000 + i, f"word{i} here", "a") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, 1).otherwise(0).alias("toxic"))
+    drawn = []
+    for module in (language_id, toxicity):
+        real = module.fit
+        monkeypatch.setattr(module, "fit", lambda texts, *more, real=real: drawn.append(list(texts)) or real(texts, *more))
+    language_id.learn(docs, texts=100)
+    toxicity.learn(docs, labels, n_toxic=50, n_clean=50)
+    assert all(60 <= len(texts) <= 140 for texts in drawn)
+    assert len(set(drawn[0])) == len(drawn[0]) and max(Counter(drawn[1]).values()) <= 2  # the hot text has both labels
+
+
 # ---- shards
 
 

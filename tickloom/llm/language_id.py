@@ -12,7 +12,8 @@ from tickloom.llm.common import query, table
 from tickloom.llm.crf import Tagger, fit, folded, slices
 
 SAMPLE_TEXTS = 500  # for each language
-SAMPLE_CHARS = 8_000  # longest text of the sample
+SAMPLE_CHARS = 8_000  # of one text in the sample
+PARTS = 4  # stretches of a longer text
 MAX_LANGUAGES = 200
 OUT = "doc_id long, tag long, lang_pred string, score double, segments array<struct<start:int,end:int,lang:string>>"
 
@@ -21,23 +22,38 @@ def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds, F.lit(-1)) == fold
 
 
+def stretches(text: Column, chars: int) -> Column:
+    """The text, or of a longer one about `chars` characters: a stretch of each quarter, placed by a hash of the text."""
+    size, part = F.floor(F.length(text) / PARTS).cast("int"), max(1, chars // PARTS)
+    at = [F.lit(i) * size + 1 + F.pmod(F.xxhash64(text, F.lit(i)), F.greatest(size - part + 1, F.lit(1))).cast("int") for i in range(PARTS)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws("\n", *(F.substr(text, a, F.lit(part)) for a in at)))
+
+
 def learn(docs: DataFrame, texts: int = SAMPLE_TEXTS, chars: int = SAMPLE_CHARS) -> tuple[Tagger, list[str]]:
     """A field over the languages of `docs` (text, lang), fitted on at most about `texts` documents of each.
 
-    Every word of a sampled text carries the text's language. The sample is drawn by a hash of the text, evenly over languages, among
-    texts of at most `chars` characters. That bounds what reaches the driver: texts * chars * languages.
+    Every word of a sampled text carries the text's language. The sample is drawn by a hash of the text, evenly over languages; equal
+    texts of a language count once, and of a text above `chars` characters stretches are taken. That bounds what reaches the
+    driver: texts * chars * languages.
     """
-    rows = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    short = rows.where(F.length("text") <= chars)
-    counts = dict(rows.groupBy("lang").agg(F.sum((F.length("text") <= chars).cast("int"))).limit(MAX_LANGUAGES + 1).collect())
+    rows = docs.select("text", "lang", F.xxhash64("text", F.lit("draw")).alias("h")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    distinct = rows.select("lang", "h").distinct()
+    counts = dict(distinct.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect())
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"More than {MAX_LANGUAGES} languages; raise MAX_LANGUAGES if that is meant.")
     names = sorted(counts)
     if not names:
         return Tagger(np.zeros((1 << 18, 1)), np.zeros(1), np.zeros((1, 1))), []
-    draw = F.pmod(F.xxhash64("text", F.lit("draw")), F.lit(1_000_000)) / 1e6
-    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, texts / max(1, counts[name])))])
-    got = short.where(draw < share[F.col("lang")]).limit(2 * texts * len(names)).collect()
+    # in the order of the draw, as far into it as the language has a share; a language's few texts all count
+    share = F.create_map(*[F.lit(x) for name in names for x in (name, min(1.0, texts / counts[name]))])
+    turn = (F.pmod("h", F.lit(1_000_000)) / 1e6) / share[F.col("lang")]
+    drawn = distinct.withColumn("turn", turn).where("turn < 1").orderBy("turn", "lang", "h").limit(2 * texts * len(names))
+    first_letter = F.length(F.regexp_extract("text", r"^\P{L}*", 0)) + 1
+    part = stretches(F.col("text"), chars)
+    part = F.when(part.rlike(r"\p{L}"), part).otherwise(F.substr("text", first_letter, F.lit(chars)))
+    # the draw is bounded, so the texts are not moved to find it
+    found = rows.join(F.broadcast(drawn.select("lang", "h")), ["lang", "h"])
+    got = found.select("lang", "h", part.alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
     got.sort(key=lambda r: (r["lang"], r["text"]))
     label = {name: i for i, name in enumerate(names)}
     sizes = [len(r["text"].encode().split()) for r in got]

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from tickloom.llm.common import query, table
 from tickloom.llm.crf import _PART, Tagger, fit, folded, slices
-from tickloom.llm.language_id import held_out
+from tickloom.llm.language_id import held_out, stretches
 from tickloom.llm.words import Words, window_names, window_starts
 
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1_200, 2_400  # labelled texts to learn from
-SAMPLE_CHARS = 8_000  # longest of them
+SAMPLE_CHARS = 8_000  # of one of them
 STEMS = (3, 4, 5, 6)
 LEAST_TEXTS, LEAST_SHARE, LEAST_ODDS = 4, 0.01, 25.0
 LAST = np.uint64(2**64 - 1)
@@ -125,25 +125,28 @@ def _curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, n_toxic: int = SAMPLE_TOXIC, n_clean: int = SAMPLE_CLEAN, chars: int = SAMPLE_CHARS) -> Detector:
     """A detector from `docs` (doc_id, text) and `labels` (doc_id, toxic); rows without a label or text are left out.
 
-    It is fitted on at most about n_toxic + n_clean labelled texts of at most `chars` characters, drawn by a hash of the text; the
-    texts of the draw are weighted back to the shares of all labelled texts. With one class only, every score is that class's share.
+    It is fitted on at most about n_toxic + n_clean labelled texts, drawn by a hash of the text; equal texts with one label count
+    once, and of a text above `chars` characters stretches are taken. The classes of the draw are weighted back to their shares of
+    all labelled texts. With one class only, every score is that class's share.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    usable = docs.select("doc_id", "text", F.xxhash64("text", F.lit("draw")).alias("h")).where((F.length("text") > 0) & (F.length("text") <= chars))
-    ids = usable.select("doc_id", "h").join(known, "doc_id")
-    count = dict(ids.groupBy("toxic").count().collect())
-    share = {y: min(1.0, n / max(1, count.get(y, 0))) for y, n in ((0, n_clean), (1, n_toxic))}
-    wanted = F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
-    drawn = ids.where(F.pmod("h", F.lit(1_000_000)) / 1e6 < wanted).limit(2 * (n_toxic + n_clean))
+    usable = docs.select("doc_id", "text", F.xxhash64("text", F.lit("draw")).alias("h")).where(F.length("text") > 0)
+    distinct = usable.select("doc_id", "h").join(known, "doc_id").groupBy("toxic", "h").agg(F.count(F.lit(1)).alias("c"))
+    count = {r[0]: r[1:] for r in distinct.groupBy("toxic").agg(F.count(F.lit(1)), F.sum("c")).collect()}
+    share = {y: min(1.0, n / count[y][0]) if y in count else 1.0 for y, n in ((0, n_clean), (1, n_toxic))}
+    turn = (F.pmod("h", F.lit(1_000_000)) / 1e6) / F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])
+    drawn = distinct.withColumn("turn", turn).where("turn < 1").orderBy("turn", "toxic", "h").limit(2 * (n_toxic + n_clean))
     # the draw is bounded, so the texts are not moved to find it
-    got = sorted((r["text"], r["toxic"]) for r in usable.join(F.broadcast(drawn), ["doc_id", "h"]).select("text", "toxic").collect())
+    found = usable.join(F.broadcast(drawn.select("toxic", "h")), "h").select("toxic", "h", stretches(F.col("text"), chars).alias("text"))
+    got = sorted((r["text"], r["toxic"]) for r in found.groupBy("toxic", "h").agg(F.min("text").alias("text")).collect())
     texts, y = [t for t, _ in got], np.array([v for _, v in got], np.int64)
     if not len(y):
         return Detector(fit([], [], 2), np.array([-30.0, 0.0, 0.0]))
     tagger = fit(texts, label_words(texts, y), 2)
     column = pa.array(texts, pa.string())
     x = np.concatenate([_text_summary(tagger, column.slice(a, b - a))[0] for a, b in slices(column, 500_000)])
-    return Detector(tagger, _curve(x, y, np.where(y == 1, 1 / share[1], 1 / share[0])))
+    each = {k: count[k][1] / n for k, n in zip(*np.unique(y, return_counts=True))}
+    return Detector(tagger, _curve(x, y, np.array([each[k] for k in y])))
 
 
 def detect(docs: DataFrame, detector: Detector, least: float = 0.5) -> DataFrame:
