@@ -6,11 +6,14 @@ from tickloom.llm import (  # noqa: F401
     lm_score,
     mixing,
     ngram_join,
+    ranked_search,
     sharding,
     substring_dedup,
     token_counts,
     topk,
     toxicity,
+    url_filter,
+    whitening,
 )
 from tickloom.llm.common import ORACLES, QUERIES
 
