@@ -13,7 +13,7 @@ from tickloom.operators import companies, documents, tfidf
 from tickloom.operators.folds import session_folds
 from tickloom.operators.profile import normal_quantile
 from tickloom.operators.targets import build_targets
-from tickloom.plans import evaluate
+from tickloom.plans import evaluate, stored
 from tickloom.plans.blocks import FeatureSpec, Inputs, bar_features, build_feature_matrix
 from tickloom.plans.experiment import FoldPlan, Trial, cross_validate, trial_grid
 from tickloom.plans.linear import Model, build_model, max_sharpe, position_sharpe, raw_ridge, standardised_ridge, weighted_ridge
@@ -199,6 +199,10 @@ def test_cross_validation_matches_brute_force(spark, inputs):
     i = Inputs(seen, headlines, build_targets(seen, unseen))
     fm = build_feature_matrix([FeatureSpec("price"), FeatureSpec("headline_sequence"), FeatureSpec("headline_parser")], i)
     x = fm.df.toPandas().set_index("session").loc[y.index]
+    sums = i.news.category_sums.toPandas().pivot(index="session", columns="column", values="value").fillna(0.0)
+    category_of = {f"headline_parser__w_{c}": c for c in sums.columns}
+    x = x.join(sums.rename(columns={c: name for name, c in category_of.items()})).fillna(0.0)
+    blocks = {**fm.columns, "headline_parser": [*fm.columns["headline_parser"], *category_of]}
     cats = companies.category_counts(i.news.parsed, ["session"]).toPandas()
     parts = documents.document_parts(i.news.parsed, ["session"], document_text("body"))
     import re
@@ -218,11 +222,11 @@ def test_cross_validation_matches_brute_force(spark, inputs):
         in_train, in_valid = kept(train), kept(valid)
         row = tfidf_by_hand(train, texts, 2, 12)
         for f, specs in features.items():
-            cols = [c for s in specs for c in fm.columns.get(s.resolved_alias, [])]
-            cols = [c for c in cols if c not in fm.category_of or fm.category_of[c] in in_train]
+            cols = [c for s in specs for c in blocks.get(s.resolved_alias, [])]
+            cols = [c for c in cols if c not in category_of or category_of[c] in in_train]
             a, b = x.loc[train, cols].to_numpy(), x.loc[valid, cols].to_numpy().copy()
             for j, c in enumerate(cols):
-                if c in fm.category_of and fm.category_of[c] not in in_valid:
+                if c in category_of and category_of[c] not in in_valid:
                     b[:, j] = 0.0
             if f == "text":
                 a = np.column_stack([a, [row(s) for s in train]])
@@ -294,9 +298,35 @@ def test_callers_blocks_and_models(spark, inputs):
         cross_validate(trials[1:], *inputs, FoldPlan(n_folds=3), fail_fast=True)
 
 
-def test_forward_selection_refuses_text(inputs):
-    with pytest.raises(ValueError, match="TF-IDF"):
-        forward_select(*inputs, [FeatureSpec("price"), FeatureSpec("headline_tfidf")], build_model("ridge"))
+def test_forward_selection_over_text_and_categories(spark, inputs):
+    """A candidate's score is that of a trial with its columns, whatever block they come from."""
+    specs = (FeatureSpec("headline_parser"), FeatureSpec("headline_tfidf", {"max_features": 6}, "tf"))
+    model, plan = build_model("ridge", {"alpha": 10.0}), FoldPlan(n_folds=3)
+    steps = forward_select(*inputs, specs, model, 3, plan).collect()
+    chosen = [r["feature"] for r in steps]
+    assert len(set(chosen)) == 3
+    trials = [Trial(f"step{n}", specs, model, columns=tuple(chosen[:n])) for n in (1, 2, 3)]
+    trials.append(Trial("text", specs, model, columns=("tf__session_text__002",)))
+    trials.append(Trial("category", specs, model, columns=("headline_parser__w_topic__ai",)))
+    cv = cross_validate(trials, *inputs, plan)
+    means = cv.folds.groupBy("experiment_name").agg(F.avg("sharpe").alias("m")).toPandas().set_index("experiment_name")["m"]
+    for n, r in enumerate(steps, 1):
+        assert means[f"step{n}"] == pytest.approx(r["mean_cv_sharpe"])
+    assert means.drop(["step2", "step3"]).max() == means["step1"]
+
+
+def test_open_vocabulary_of_verbs(spark, inputs):
+    """A hundred thousand distinct verbs: rare ones stay in Spark, the others are columns of the fit."""
+    seen, unseen, _ = inputs
+    n = 100_000
+    verb = F.when(F.col("id") % 2 == 0, F.concat(F.lit("verb"), F.col("id"))).otherwise(F.concat(F.lit("often"), F.col("id") % 301))
+    rows = spark.range(2 * n).select((F.col("id") % 60).alias("session"), (F.col("id") % 40).cast("int").alias("bar_ix"), "id", F.concat(F.lit("Relbos Corp "), verb, F.lit(" something")).alias("headline"))
+    headlines = materialize(rows.withColumn("pos", F.col("id")).drop("id"))
+    trial = Trial("verbs", (FeatureSpec("headline_parser"),), build_model("ridge", {"alpha": 10.0}))
+    cv = cross_validate([trial], seen, unseen, headlines, FoldPlan(n_folds=3), fail_fast=True)
+    model = fit_full(trial, seen, unseen, headlines)
+    assert model.design.sparse == sorted(f"headline_parser__w_verb__often{i}" for i in range(301))
+    assert {r["feature_count"] for r in cv.folds.collect()} == {len(model.design.dense) + 301.0}
 
 
 def test_leaderboard_ends_and_winners(spark):
@@ -376,6 +406,34 @@ def test_full_model_and_product(spark, inputs, tmp_path):
     assert load_predictions(spark, f"{tmp_path}/latest_combined").count() == want
 
 
+def test_stored_model_predicts_the_same_rows(spark, inputs, tmp_path):
+    """Written in one session, read in another one that has seen no training table."""
+    seen, unseen, headlines = inputs
+    blocks = (FeatureSpec("price"), FeatureSpec("headline_parser"), TEXT, FeatureSpec("headline_company_tfidf", {"max_features": 5, "include_numeric": True}))
+    trial = Trial("kept", blocks, build_model("linear"), {"percentile": 80.0})
+    part = {k: (F.col("session") % 3 == k) for k in range(3)}
+    model = fit_full(trial, *[d.where(part[0]) for d in inputs])
+    split = Split("public_test", seen.where(part[1]), headlines.where(part[1]))
+    stored.save(model, spark, f"{tmp_path}/model")
+    again = stored.load(spark.newSession(), f"{tmp_path}/model")
+    assert again.design.columns == model.design.columns and (again.fit.coef == model.fit.coef).all() and (again.fit.unc_coef == model.fit.unc_coef).all()
+    want, got = (predict_splits(m, [split])["public_test"].toPandas() for m in (model, again))
+    assert got.equals(want)
+    mine, theirs = (Counter(map(tuple, stored.transform(m, Inputs(split.bars, split.headlines, split.sessions)).collect())) for m in (model, again))
+    assert mine == theirs and any(c[1].startswith("headline_company_tfidf__w_") for c in mine)
+
+
+def test_stored_callers_blocks(spark, inputs, tmp_path):
+    ranges = lambda bars: bars.groupBy("session").agg(F.max("high").alias("top"))
+    block = bar_features("ranges", ranges)
+    model = fit_full(Trial("own", (block,), build_model("ridge")), *inputs)
+    stored.save(model, spark, f"{tmp_path}/own")
+    with pytest.raises(ValueError, match="ranges"):
+        stored.load(spark, f"{tmp_path}/own")
+    again = stored.load(spark, f"{tmp_path}/own", {"ranges": block.build})
+    assert again.design.dense == ["ranges__top"] and again.fit.coef == pytest.approx(model.fit.coef)
+
+
 def test_splits_may_share_session_ids(spark, inputs):
     seen, unseen, headlines = inputs
     trial = Trial("prod", (FeatureSpec("price"),), build_model("ridge", {"alpha": 10.0}))

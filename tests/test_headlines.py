@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pandas as pd
 import pytest
@@ -196,6 +197,27 @@ def test_vector_cache_table(spark, tmp_path):
     assert got == {"a": 1.0, "bb": 2.0, "ccc": -1.0}
 
 
+def test_vector_cache_reads_what_it_needs(spark, tmp_path):
+    """Few texts: their folders only, by their keys. Overlapping batches: the last vector of a text counts, before and after compaction."""
+    path = str(tmp_path / "cache")
+    table = spark.range(2000).select(F.concat(F.lit("t"), "id").alias("text"), F.array(F.col("id").cast("float")).alias("embedding"))
+    vectors.append_cache(path, table)
+    vectors.append_cache(path, table.where("text IN ('t5', 't6')").withColumn("embedding", F.array(F.lit(-1.0).cast("float"))))
+    few = spark.createDataFrame([("t5",), ("t7",), ("absent",)], "text string")
+    assert {r["text"]: r["embedding"] for r in vectors.cached(path, few).collect()} == {"t5": [-1.0], "t7": [7.0]}
+    plan = vectors.stored_rows(path, few)._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan[plan.index("PartitionFilters") :].split("]")[0] and "In(key" in plan
+    assert vectors.stored_rows(path, few).count() == 3  # both versions of one text, and another one
+    assert vectors.read_cache(spark, path).count() == 2000
+    untouched = {f: p.stat().st_mtime_ns for f in ("bucket=0",) for p in [Path(path, f)]}
+    dirty = {r["bucket"] for r in vectors._keyed(spark.createDataFrame([("t5",), ("t6",)], "text string")).collect()}
+    assert vectors.compact_cache(spark, path) == 2 and vectors.compact_cache(spark, path) == 0
+    assert 0 in dirty or Path(path, "bucket=0").stat().st_mtime_ns == untouched["bucket=0"]
+    got = {r["text"]: r["embedding"] for r in vectors.read_cache(spark, path).collect()}
+    assert len(got) == 2000 and got["t6"] == [-1.0] and got["t1999"] == [1999.0]
+    assert vectors._cache_files(spark, path).count() == 2000
+
+
 def test_ragged_vectors_are_refused(spark):
     table = spark.createDataFrame([("a", [1.0]), ("b", [1.0, 2.0])], TEXT_VECTORS)
     with pytest.raises(ValueError, match="dimensions"):

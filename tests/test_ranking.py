@@ -15,23 +15,37 @@ def skewed():
     return pd.DataFrame({"g": group, "a": rng.integers(0, 40, 3000), "b": rng.permutation(3000)})
 
 
-@pytest.mark.parametrize("hot_rows", [20, 1_000_000])
-def test_rank_equals_plain_sort_for_hot_and_cold_groups(spark, skewed, hot_rows):
-    df = spark.createDataFrame(skewed)
-    buckets = [F.floor(F.col("a") / 10), F.col("a")]
-    got = ranked(df, ["g"], buckets, ["a", "b"], rank="rn", size="n", hot_rows=hot_rows).toPandas()
-    want = skewed.sort_values(["g", "a", "b"])
-    want["rn"] = want.groupby("g").cumcount() + 1
-    want["n"] = want.groupby("g")["g"].transform("size")
-    cols = ["g", "a", "b", "rn", "n"]
-    a = got[cols].sort_values(cols).to_numpy()
-    assert (a == want[cols].sort_values(cols).to_numpy()).all()
+@pytest.mark.parametrize("parts", [3, 40])
+def test_rank_equals_plain_sort_for_hot_and_cold_groups(spark, skewed, monkeypatch, parts):
+    """Forty parts: the hot group lies in many of them, and most parts hold several groups."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        for keys in (["g"], ["g", "s"]):
+            rows = skewed.assign(s=np.where(skewed["a"] % 2 == 0, "even", None))
+            df = spark.createDataFrame(rows).replace(float("nan"), None)
+            got = ranked(df, keys, ["a", "b"], rank="rn", size="n").toPandas()
+            want = rows.sort_values([*keys, "a", "b"])
+            want["rn"] = want.groupby(keys, dropna=False).cumcount() + 1
+            want["n"] = want.groupby(keys, dropna=False)["b"].transform("size")
+            cols = ["g", "a", "b", "rn", "n"]
+            assert (got[cols].sort_values("b").to_numpy() == want[cols].sort_values("b").to_numpy()).all()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 def test_rank_without_group(spark, skewed):
     df = spark.createDataFrame(skewed)
-    got = ranked(df, [], [F.floor(F.col("b") / 100)], ["b"], rank="rn", size="n", hot_rows=50).toPandas()
-    assert (got["rn"] == got["b"] + 1).all() and (got["n"] == 3000).all()
+    got = ranked(df, [], [F.col("b").desc()], rank="rn", size="n").toPandas()
+    assert (got["rn"] == 3000 - got["b"]).all() and (got["n"] == 3000).all()
+    assert ranked(df.limit(0), ["g"], ["b"]).count() == 0
+
+
+def test_rank_moves_the_rows_once(spark, skewed):
+    """After the range partitioning, the window works on the written parts: no exchange but those of small counts."""
+    plan = ranked(spark.createDataFrame(skewed), ["g"], ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "Exchange hashpartitioning(__part" not in window.split("BroadcastExchange")[0]
 
 
 @pytest.mark.parametrize("n,k", [(3, 5), (10, 4), (100, 100), (103, 5)])
@@ -41,8 +55,7 @@ def test_ntile(spark, n, k):
     assert df["t"].tolist() == want
 
 
-@pytest.mark.parametrize("whole", [0, 100_000])
-@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.9, 1.0])
+@pytest.mark.parametrize("whole, q", [(0, 0.0), (0, 0.1), (20, 0.5), (20, 0.9), (0, 1.0), (100_000, 0.1), (100_000, 0.5)])
 def test_percentile_is_exact(spark, monkeypatch, whole, q):
     monkeypatch.setattr(ranking, "WHOLE_GROUP_ROWS", whole)
     rng = np.random.default_rng(2)
@@ -58,13 +71,23 @@ def test_percentile_skips_nulls_and_works_without_keys(spark):
     assert exact_percentile(df, [], "v", 0.5, "p").head()["p"] == 2.0
 
 
+def test_percentile_of_many_distinct_values(spark, monkeypatch):
+    """Ten million distinct values in one group: the last step orders a bounded number of them."""
+    counts = []
+    narrowed = ranking._narrowed
+    monkeypatch.setattr(ranking, "_narrowed", lambda *a: counts.append(1) or narrowed(*a))
+    n = 10_000_000
+    df = spark.range(n).select(F.lit(1).alias("k"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    assert exact_percentile(df, ["k"], "v", 0.25, "p", few_groups=True).head()["p"] == (n - 1) * 0.25
+    assert len(counts) == 1
+
+
 def test_folds_partition_the_sessions(spark):
     sessions = spark.range(103).withColumnRenamed("id", "session")
-    for hot_rows in (10, 1_000_000):
-        folds = session_folds(sessions, 5, 42, 2, hot_rows).toPandas()
-        sizes = folds.groupby(["repeat", "fold"]).size().unstack()
-        assert (sizes.to_numpy() == [[21, 21, 21, 20, 20]] * 2).all()
-        assert (folds.groupby("session").size() == 2).all()
+    folds = session_folds(sessions, 5, 42, 2).toPandas()
+    sizes = folds.groupby(["repeat", "fold"]).size().unstack()
+    assert (sizes.to_numpy() == [[21, 21, 21, 20, 20]] * 2).all()
+    assert (folds.groupby("session").size() == 2).all()
     assert set(folds["seed"]) == {42, 43}
     assert holdout_split(sessions).where("is_valid").count() == 21
 

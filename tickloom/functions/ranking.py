@@ -2,80 +2,56 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tickloom.session import materialize
+from tickloom.session import checkpoint_dir, materialize
 
+PART = "__part"
 
-# Groups above this many rows are ranked bucket by bucket; smaller ones are sorted whole.
-HOT_ROWS = 1_000_000
 
+def range_parts(df: DataFrame, order: Sequence[Column | str], part: str = PART) -> DataFrame:
+    """`df` written in range partitions of `order`, numbered by `part`: an even bucket for any distribution.
 
-def ranked(
-    df: DataFrame,
-    group: Sequence[str],
-    buckets: Sequence[Column],
-    order: Sequence[Column | str],
-    rank: str = "rn",
-    size: str | None = None,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+    The partition number never decreases along `order`. The table is written once, because two runs of a range partitioning may cut at
+    different places, and bucketed by `part`, so that a window inside a part needs no further exchange.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    name = f"ranged_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    ranged.write.bucketBy(parts, part).format("parquet").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], rank: str = "rn", size: str | None = None) -> DataFrame:
     """Row number (1-based) of every row inside its group under `order`, optionally with the group's size.
 
-    A first count by group (map-side combined) finds the hot groups. There are at most
-    rows/hot_rows of them, which bounds the broadcast. `buckets` are non-null columns, coarse to
-    fine, that never decrease along `order`: rows of a hot group are counted per bucket, the counts
-    are prefix-summed level by level, and only one finest bucket is sorted together. Other groups
-    keep null buckets and are sorted whole, at most `hot_rows` rows at a time.
+    Rows are range-partitioned by (group, order), so a group of any size is cut into even parts, and ranked inside their part. Only the
+    first and the last group of a part can reach into another one: their rows are counted by part and prefix-summed. That
+    is at most two rows a partition, which bounds the broadcast. `df` is read twice, once to find the cuts.
     """
     keys = list(group)
-    levels = [f"__b{i}" for i in range(len(buckets))]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    hot = F.broadcast(sizes.where(F.col("__n") > hot_rows).select(*keys, F.lit(True).alias("__hot")))
-    marked = df.join(hot, keys, "left") if keys else df.join(hot, F.lit(True), "left")
-    tagged = marked.withColumns({n: F.when(F.col("__hot"), b) for n, b in zip(levels, buckets)})
-
-    offsets = _bucket_offsets(tagged.where(F.col("__hot")), keys, levels)
-    inside = Window.partitionBy(*keys, *levels)
-    local = F.row_number().over(inside.orderBy(*order))
-    placed = tagged.join(offsets, keys + levels, "left")
-    out = {rank: F.coalesce(F.col("__offset"), F.lit(0)) + local}
+    table = range_parts(df, [*keys, *order])
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(True)
+    ends = table.groupBy(PART).agg(F.array(F.min(key), F.max(key)).alias("__ends"))
+    wide = ends.select(F.explode("__ends").alias("__key"), PART).distinct().groupBy("__key").agg(F.count(F.lit(1)).alias("__parts"))
+    wide = wide.where(F.col("__parts") > 1).select("__key")
+    found = F.broadcast(wide.withColumnRenamed("__key", "__w"))
+    held = table.select(key.alias("__key"), PART).join(found, F.col("__key").eqNullSafe(F.col("__w")), "left_semi")
+    counts = held.groupBy("__key", PART).agg(F.count(F.lit(1)).alias("__c"))
+    scope = Window.partitionBy("__key")
+    before = F.coalesce(F.sum("__c").over(scope.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("__key").alias("__k"), F.col(PART).alias("__p"), before.alias("__offset"), F.sum("__c").over(scope).alias("__size"))
+    placed = table.join(F.broadcast(offsets), (F.col(PART) == F.col("__p")) & key.eqNullSafe(F.col("__k")), "left")
+    inside = Window.partitionBy(PART, *keys)
+    out = {rank: F.coalesce(F.col("__offset"), F.lit(0)) + F.row_number().over(inside.orderBy(*order))}
     if size:
         out[size] = F.coalesce(F.col("__size"), F.count(F.lit(1)).over(inside))
-    return placed.withColumns(out).drop("__offset", "__size", "__hot", *levels)
-
-
-def _bucket_offsets(rows: DataFrame, keys: list[str], levels: list[str]) -> DataFrame:
-    """Rows before each finest bucket of its group (`__offset`), and the group's rows (`__size`)."""
-    table = rows.groupBy(*keys, *levels).agg(F.count(F.lit(1)).alias("__c"))
-    offsets = None
-    for depth in range(len(levels), 0, -1):
-        parent = keys + levels[: depth - 1]
-        here = parent + [levels[depth - 1]]
-        if depth < len(levels):
-            table = table.groupBy(*here).agg(F.sum("__c").alias("__c"))
-        scope = Window.partitionBy(*(parent or [F.lit(0)]))
-        before = scope.orderBy(levels[depth - 1]).rowsBetween(Window.unboundedPreceding, -1)
-        added = {f"__o{depth}": F.coalesce(F.sum("__c").over(before), F.lit(0))}
-        if depth == 1:
-            added["__size"] = F.sum("__c").over(scope)
-        level = table.withColumns(added).drop("__c")
-        offsets = level if offsets is None else offsets.join(level, here)
-    offset = sum((F.col(f"__o{d}") for d in range(1, len(levels) + 1)), F.lit(0))
-    return offsets.select(*keys, *levels, offset.alias("__offset"), "__size")
-
-
-def range_parts(df: DataFrame, order: Sequence[str], part: str = "__part") -> DataFrame:
-    """`df` written in range partitions of `order`, numbered by `part`: an even bucket for any distribution.
-
-    The partition number never decreases along `order`. The table is written once, because two runs of a range
-    partitioning may cut at different places.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
-    return materialize(ranged, "ranged")
+    return placed.withColumns(out).drop("__offset", "__size", "__k", "__p", PART)
 
 
 def ntile_of(rank: Column, size: Column, tiles: int) -> Column:
@@ -88,9 +64,10 @@ def ntile_of(rank: Column, size: Column, tiles: int) -> Column:
     return (F.when(rank <= head, in_head).otherwise(in_tail) + 1).cast("int")
 
 
-# Groups up to this many rows are ranked whole; larger ones through a bracket around the percentile.
+# Groups up to this many rows are ordered whole; in larger ones the candidates are narrowed down to about as many.
 WHOLE_GROUP_ROWS = 100_000
 SKETCH_ACCURACY = 10_000
+LATER_CUTS = [i / 200 for i in range(201)]
 
 
 def exact_percentile(
@@ -100,53 +77,46 @@ def exact_percentile(
 
     `few_groups` says that the caller knows the number of groups and that it is small (folds times trials).
 
-    A mergeable sketch gives values that surely enclose the wanted ranks. Then values below the
-    bracket are only counted, and values inside it are grouped to distinct values before
-    they are ordered, so ties and large groups cost no extra memory in any task.
+    A bracket [lo, hi] of values holds the wanted ranks of each group. While a bracket holds more than WHOLE_GROUP_ROWS rows and more than
+    one value, mergeable sketches of the rows inside cut it, the rows of every piece are counted exactly, and the pieces
+    that hold the ranks become the bracket: first around the percentile, then into 200 pieces a round. What is left is
+    grouped to distinct values before it is ordered, so neither ties nor large groups gather in a task.
     """
     keys = list(keys)
-    v = F.col("__v")
-    base = df.select(*keys, F.col(value).cast("double").alias("__v")).where(v.isNotNull())
+    by = keys or ["__one"]
+    base = df.withColumn("__one", F.lit(0)).select(*by, F.col(value).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    n, at = F.count(F.lit(1)), (F.col("__n") - 1) * F.lit(float(q))
+    brackets = base.groupBy(*by).agg(n.alias("__n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    brackets = brackets.withColumns({"__a": F.floor(at), "__b": F.ceil(at), "__below": F.lit(0).cast("long"), "__inside": F.col("__n")})
+    brackets = materialize(brackets, "brackets")
+    wide = (F.col("__inside") > WHOLE_GROUP_ROWS) & (F.col("__lo") < F.col("__hi"))
     margin = 3.0 / SKETCH_ACCURACY
-    around = [max(0.0, q - margin), min(1.0, q + margin)]
-    bracket = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx("__v", around, SKETCH_ACCURACY).alias("__pq"),
-    )
-    whole = F.col("__n") <= WHOLE_GROUP_ROWS
-    bracket = bracket.select(
-        *keys,
-        "__n",
-        F.when(whole, F.lit(float("-inf"))).otherwise(F.col("__pq")[0]).alias("__lo"),
-        F.when(whole, F.lit(float("inf"))).otherwise(F.col("__pq")[1]).alias("__hi"),
-    )
-    # One row per group. Broadcast for few groups: a shuffle on a handful of folds would gather the whole table
-    # in a handful of partitions.
-    small = F.broadcast(bracket) if few_groups else bracket
-    joined = base.join(small, keys) if keys else base.crossJoin(F.broadcast(bracket))
-    key = F.when(v >= F.col("__lo"), v)  # null: below the bracket, counted only
-    counted = (
-        joined.where(v <= F.col("__hi"))
-        .groupBy(*keys, "__n", key.alias("__k"))
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col("__k").asc_nulls_first())
-    cum = counted.withColumn("__cum", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    target = (F.col("__n") - 1) * F.lit(q)
-
-    def pick(rank: Column) -> Column:
-        reached = F.col("__cum") >= rank + 1
-        return F.min(F.when(reached, F.coalesce(F.col("__k"), F.lit(float("-inf")))))
-
-    picked = cum.groupBy(*keys, "__n").agg(
-        pick(F.floor(target)).alias("__a"),
-        pick(F.ceil(target)).alias("__b"),
-    )
-    missed = F.col("__a").isNull() | F.col("__b").isNull() | (F.col("__a") == F.lit(float("-inf")))
-    value_at = F.col("__a") + (F.col("__b") - F.col("__a")) * (target - F.floor(target))
-    return picked.select(
-        *keys,
-        F.when(missed, F.raise_error(F.lit("percentile bracket missed its rank")).cast("double"))
-        .otherwise(value_at)
-        .alias(out),
+    cuts, left = [max(0.0, q - margin), min(1.0, q + margin)], None
+    while (rows := brackets.where(wide).agg(F.sum("__inside")).first()[0]) and rows != left:
+        brackets = materialize(_narrowed(base, brackets, by, wide, cuts, few_groups), "brackets")
+        cuts, left = LATER_CUTS, rows
+    # One row per group. Broadcast for few groups: a shuffle on a handful of folds would gather the whole table in a handful of partitions.
+    joined = base.join(F.broadcast(brackets) if few_groups else brackets, by).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    counted = joined.groupBy(*by, "__n", "__a", "__b", "__below", "__v").agg(n.alias("__c"))
+    order = Window.partitionBy(*by).orderBy("__v")
+    cum = counted.withColumn("__cum", F.col("__below") + F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = lambda rank: F.min(F.when(F.col("__cum") > F.col(rank), F.col("__v")))
+    picked = cum.groupBy(*by, "__n").agg(first("__a").alias("__low"), first("__b").alias("__high"))
+    return picked.select(*keys, (F.col("__low") + (F.col("__high") - F.col("__low")) * (at - F.floor(at))).alias(out))
+
+
+def _narrowed(base: DataFrame, brackets: DataFrame, by: list[str], wide: Column, cuts: list[float], few_groups: bool) -> DataFrame:
+    """`brackets` with the wide ones replaced by the pieces, between sketched cuts, that hold their ranks."""
+    side = F.broadcast if few_groups else (lambda d: d)
+    held = base.join(side(brackets.where(wide)), by).where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
+    sketched = held.groupBy(*by).agg(F.percentile_approx("__v", cuts, SKETCH_ACCURACY).alias("__cuts"))
+    piece = F.size(F.filter("__cuts", lambda cut: cut < F.col("__v")))
+    state = ["__n", "__a", "__b", "__below"]
+    pieces = held.join(side(sketched), by).groupBy(*by, *state, piece.alias("__piece"))
+    pieces = pieces.agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.count(F.lit(1)).alias("__c"))
+    upto = F.col("__below") + F.sum("__c").over(Window.partitionBy(*by).orderBy("__piece"))
+    pieces = pieces.withColumn("__upto", upto).where((F.col("__upto") > F.col("__a")) & (F.col("__upto") - F.col("__c") <= F.col("__b")))
+    new = pieces.groupBy(*by, "__n", "__a", "__b").agg(
+        F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), F.min(F.col("__upto") - F.col("__c")).alias("__below"), F.sum("__c").alias("__inside")
     )
+    return brackets.where(~wide).unionByName(new)

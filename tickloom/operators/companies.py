@@ -111,7 +111,7 @@ def score_relevance(features: DataFrame, rank: bool = True) -> DataFrame:
     """Shares of the session's totals, the weighted relevance score, its softmax weight and its rank.
 
     Session totals come from two map-side-combined aggregates joined back, so a session with very many
-    companies is not gathered in one task. The rank (ties by company) runs through score slots.
+    companies is not gathered in one task. The rank (ties by company) runs through range partitions.
     """
     one = F.lit(1.0)
 
@@ -156,9 +156,8 @@ def score_relevance(features: DataFrame, rank: bool = True) -> DataFrame:
     )
     if not rank:
         return scored
-    slot = F.floor(F.lit(-4096.0) * F.round("relevance_score", 12))
     order = [F.round("relevance_score", 12).desc(), F.col("company")]
-    placed = ranked(scored, ["session"], [slot], order, rank="relevance_rank")
+    placed = ranked(scored, ["session"], order, rank="relevance_rank")
     return placed.withColumn("relevance_rank", F.col("relevance_rank").cast("double"))
 
 

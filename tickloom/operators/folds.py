@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.functions.ranking import HOT_ROWS, ntile_of, ranked
+from tickloom.functions.ranking import ntile_of, ranked
 
 
 def hash_order(session: Column, seed: Column) -> Column:
     return F.md5(F.concat(session.cast("string"), F.lit(":"), seed.cast("string")))
 
 
-def session_folds(
-    sessions: DataFrame, n_folds: int = 5, seed: int = 42, n_repeats: int = 1, hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def session_folds(sessions: DataFrame, n_folds: int = 5, seed: int = 42, n_repeats: int = 1) -> DataFrame:
     """(session, repeat, seed, fold): every session in one fold per repeat, sizes differing by at most one.
 
-    Sessions are ordered by md5(session:seed) and cut into equal runs. The order runs through md5
-    prefixes, so a billion sessions are never sorted in one task.
+    Sessions are ordered by md5(session:seed) and cut into equal runs. The order runs through range
+    partitions, so a billion sessions are never sorted in one task.
     """
     if n_folds < 2:
         raise ValueError("At least two folds are needed.")
@@ -27,9 +25,7 @@ def session_folds(
     rows = base.select("session", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1))).alias("repeat"))
     rows = rows.withColumn("seed", F.lit(seed) + F.col("repeat"))
     rows = rows.withColumn("__h", hash_order(F.col("session"), F.col("seed")))
-    placed = ranked(
-        rows, ["repeat"], [F.substring("__h", 1, 3)], ["__h", "session"], rank="__rn", size="__n", hot_rows=hot_rows
-    )
+    placed = ranked(rows, ["repeat"], ["__h", "session"], rank="__rn", size="__n")
     too_few = F.raise_error(F.lit("More folds than sessions.")).cast("int")
     fold = F.when(F.col("__n") < n_folds, too_few).otherwise(ntile_of(F.col("__rn"), F.col("__n"), n_folds) - 1)
     return placed.select("session", "repeat", "seed", fold.alias("fold"))

@@ -6,7 +6,9 @@ session stays small however skewed the ticks behind the bars are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from tickloom.functions.numeric import FLAT_STD, double, floored, moments_corr, ratio, ratio_or
 
@@ -146,25 +148,34 @@ def _rsi_leg(leg: Column) -> Column:
     return seed * F.pow(decay, steps) + later
 
 
-def _amplitudes(rows: DataFrame) -> DataFrame:
-    """The two largest Fourier amplitudes of the mean-removed closes; 0 below four bars.
+_AMPLITUDES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("fourier_max_freq_amp", "fourier_2nd_freq_amp")])
 
-    Still clustered by session after the windows, so the group-by on (session, k) needs no exchange.
+
+def two_largest_amplitudes(closes: pa.Array) -> pa.Array:
+    """The two largest Fourier amplitudes of each list's mean-removed closes, nulls as the mean; null below four bars.
+
+    All lists of one length are transformed together, bar after bar: sums in bar order come out the same in any engine to the last digits.
     """
-    centred = rows.where(F.col("n") >= 4).withColumn("x", F.col("close") - F.avg("close").over(_session()))
-    spread = centred.select(
-        "session", "i", "n", "x", F.explode(F.expr("sequence(1, cast(floor(n / 2) as int))")).alias("k")
-    )
-    angle = F.lit(2.0) * F.pi() * F.col("k") * F.col("i") / F.col("n")
-    amp = spread.groupBy("session", "k").agg(
-        F.sqrt(F.pow(F.sum(F.col("x") * F.cos(angle)), 2.0) + F.pow(F.sum(F.col("x") * F.sin(angle)), 2.0)).alias("amp")
-    )
-    best = F.sort_array(F.collect_list("amp"), asc=False)
-    return amp.groupBy("session").agg(best.alias("best")).select(
-        "session",
-        F.col("best")[0].alias("fourier_max_freq_amp"),
-        F.col("best")[1].alias("fourier_2nd_freq_amp"),
-    )
+    offsets = np.asarray(closes.offsets)
+    values = closes.flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)
+    best = np.full((len(closes), 2), np.nan)
+    for n in np.unique(sizes[sizes >= 4]):
+        rows = np.flatnonzero(sizes == n)
+        x = values[starts[rows, None] + np.arange(n)]
+        known = ~np.isnan(x)
+        rows, x, known = (a[known.any(axis=1)] for a in (rows, x, known))
+        mean = np.cumsum(np.where(known, x, 0.0), axis=1)[:, -1] / known.sum(axis=1)
+        x = np.where(known, x - mean[:, None], 0.0)
+        k = np.arange(1, n // 2 + 1)
+        even, odd = np.zeros((len(x), len(k))), np.zeros((len(x), len(k)))
+        for i in range(n):
+            angle = 2 * np.pi * k * i / n
+            even += x[:, i, None] * np.cos(angle)
+            odd += x[:, i, None] * np.sin(angle)
+        best[rows] = np.sort(np.sqrt(even**2 + odd**2), axis=1)[:, :-3:-1]
+    fields = [pa.array(best[:, i], mask=np.isnan(best[:, i])) for i in (0, 1)]
+    return pa.StructArray.from_arrays(fields, names=[f.name for f in _AMPLITUDES])
 
 
 def _technical(rows: DataFrame, ret: Column) -> DataFrame:
@@ -201,8 +212,10 @@ def _technical(rows: DataFrame, ret: Column) -> DataFrame:
         F.avg((c > o).cast("double")).alias("green_bar_ratio"),
         F.avg((h - lo) / floored(o)).alias("avg_bar_spread"),
         F.avg(ratio(h - lo, o)).alias("raw_bar_spread"),
+        F.transform(F.sort_array(F.collect_list(F.struct("i", "close"))), lambda s: s["close"]).alias("closes"),
     )
-    return agg.join(_amplitudes(rows), "session", "left")
+    amplitudes = F.arrow_udf(two_largest_amplitudes, _AMPLITUDES)
+    return agg.withColumn("two", amplitudes("closes")).select(*[x for x in agg.columns if x != "closes"], "two.*")
 
 
 def _rsi() -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tickloom.functions.numeric import ratio
-from tickloom.functions.ranking import range_parts, ranked
+from tickloom.functions.ranking import ranked
+from tickloom.plans.moments import block, feature_array, sum_vectors
 
 
 def profile(df: DataFrame, session: str = "session") -> DataFrame:
@@ -72,8 +75,7 @@ def qq_positions(df: DataFrame, column: str) -> DataFrame:
     """
     x = F.col(column)
     values = df.where(x.isNotNull()).select("session", x.cast("double").alias("ordered_value"))
-    placed = range_parts(values, ["ordered_value", "session"])
-    order = ranked(placed, [], [F.col("__part")], ["ordered_value", "session"], rank="rank_no", size="n")
+    order = ranked(values, [], ["ordered_value", "session"], rank="rank_no", size="n")
     n, i = F.col("n"), F.col("rank_no")
     tail = F.pow(F.lit(0.5), F.lit(1.0) / n)
     position = F.when(i == n, tail).when(i == 1, F.lit(1.0) - tail).otherwise((i - 0.3175) / (n + 0.365))
@@ -121,20 +123,34 @@ def normal_quantile(p: Column) -> Column:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, in one aggregate with map-side combine."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    stats = []
-    for k, (a, b) in enumerate(pairs):
-        x, y = F.col(f"`{a}`"), F.col(f"`{b}`")
-        cov = F.covar_pop(x, y)
-        stats.append(ratio(cov, F.stddev_pop(x) * F.stddev_pop(y)).alias(f"__{k}"))
-    row = df.agg(*stats)
-    cells = []
-    for k, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            cells.append(
-                F.struct(
-                    F.lit(left).alias("feature_a"), F.lit(right).alias("feature_b"), F.col(f"__{k}").alias("correlation")
-                )
-            )
-    return row.select(F.explode(F.array(*cells)).alias("p")).select("p.*")
+    """(feature_a, feature_b, correlation): Pearson correlation of every pair of columns; null where one does not vary.
+
+    Covariances are over the rows that have both columns, deviations over those that have the one. Tasks add up p x p blocks of their
+    batches in numpy, so any number of columns is one array in Spark's plan; the driver gets 3 p x p numbers.
+    """
+    names, p = list(columns), len(columns)
+    means = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")) for c in names]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    rows = df.select(feature_array(names).alias("x"))
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, 3 * p))
+        for batch in batches:
+            if batch.num_rows:
+                x = block(batch)
+                there = ~np.isnan(x)
+                x, there = np.where(there, x - shift, 0.0), there.astype(float)
+                total += np.column_stack([x.T @ x, x.T @ there, there.T @ there])
+        lists = pa.array(list(total), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p), pa.int32()), lists], ["i", "v"])
+
+    sums = sum_vectors(rows.mapInArrow(partial, "i int, v array<double>"), ["i"]).toArrow()
+    m = np.zeros((p, 3 * p))
+    m[sums["i"].to_numpy()] = block(sums.combine_chunks().to_batches()[0], "v")
+    product, first, n = m[:, :p], m[:, p : 2 * p], m[:, 2 * p :]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        covariance = product / n - (first / n) * (first.T / n)
+        deviation = np.sqrt(np.maximum(np.diag(covariance), 0.0))
+        r = covariance / np.outer(deviation, deviation)
+    cells = [(a, b, float(v) if np.isfinite(v) else None) for a, line in zip(names, r) for b, v in zip(names, line)]
+    return df.sparkSession.createDataFrame(cells, "feature_a string, feature_b string, correlation double")

@@ -6,6 +6,7 @@ Vectors are `array<float>` and are summed in double, one array buffer per group,
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.text import vector_text
 from tickloom.operators.events import session_last_bar, timing_flags
+from tickloom.session import materialize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -67,11 +69,19 @@ def embed_texts(
     return merge_cache(cache, encode(missing, encoder, batch_size, normalize))
 
 
-CACHE = "text string, embedding array<float>"
+CACHE_BUCKETS = 64
+CACHE = "text string, embedding array<float>, key long, version long, bucket int"
+FEW_TEXTS = 1000  # so many keys are looked for by value; the files' Bloom filters and ranges then skip what lacks them
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache table under `path`; empty where nothing was written yet."""
+def _keyed(texts: DataFrame) -> DataFrame:
+    """`texts` with the hash that orders the cache, and its folder."""
+    keyed = texts.withColumn("key", F.xxhash64("text"))
+    return keyed.withColumn("bucket", F.pmod("key", F.lit(CACHE_BUCKETS)).cast("int"))
+
+
+def _cache_files(spark: SparkSession, path: str) -> DataFrame:
+    """All rows under `path`, older versions too; none where nothing was written yet."""
     try:
         return spark.read.schema(CACHE).parquet(path)
     except AnalysisException as error:
@@ -80,12 +90,71 @@ def read_cache(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], CACHE)
 
 
-def update_cache(path: str, texts: DataFrame, encoder: Callable[[], Encoder], batch_size: int = 128, normalize: bool = True) -> DataFrame:
-    """Encode the texts that the cache table lacks, append them to it, and return the table."""
+def _latest(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("text").agg(F.max_by("embedding", "version").alias("embedding"))
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """(text, embedding) of the whole cache, the last vector of each text."""
+    return _latest(_cache_files(spark, path))
+
+
+def append_cache(path: str, vectors: DataFrame) -> None:
+    """Add (text, embedding) rows, which replace earlier ones of the same texts.
+
+    Files lie in a folder for each bucket of the text's hash, sorted by it, with Bloom filters of it.
+    """
+    rows = _keyed(vectors.select("text", "embedding")).withColumn("version", F.lit(time.time_ns()))
+    _write_cache(rows, path, "append")
+
+
+def _write_cache(rows: DataFrame, path: str, mode: str) -> None:
+    writer = rows.select("text", "embedding", "key", "version", "bucket").repartition(CACHE_BUCKETS, "bucket").sortWithinPartitions("bucket", "key").write
+    options = {"parquet.bloom.filter.enabled#key": "true", "partitionOverwriteMode": "dynamic"}
+    writer.mode(mode).options(**options).partitionBy("bucket").parquet(path)
+
+
+def stored_rows(path: str, texts: DataFrame) -> DataFrame:
+    """The cache's rows that can hold the given texts: their folders only, and for few texts only the row groups with their hashes."""
     spark = texts.sparkSession
-    missing = missing_texts(texts, read_cache(spark, path))
-    encode(missing, encoder, batch_size, normalize).write.mode("append").parquet(path)
-    return read_cache(spark, path)
+    wanted = _keyed(distinct_texts(texts))
+    rows = _cache_files(spark, path)
+    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]  # CACHE_BUCKETS at most
+    if len(buckets) < CACHE_BUCKETS:
+        rows = rows.where(F.col("bucket").isin(buckets))
+    few = wanted.select("key").limit(FEW_TEXTS + 1).collect()
+    return rows.where(F.col("key").isin([r["key"] for r in few])) if len(few) <= FEW_TEXTS else rows
+
+
+def cached(path: str, texts: DataFrame) -> DataFrame:
+    """(text, embedding) of those of the given texts that the cache holds, without reading the rest of it where they are few."""
+    return _latest(stored_rows(path, texts).join(distinct_texts(texts), "text", "left_semi"))
+
+
+def update_cache(path: str, texts: DataFrame, encoder: Callable[[], Encoder], batch_size: int = 128, normalize: bool = True) -> DataFrame:
+    """Encode the texts that the cache lacks, append them to it, and return the cache; `cached` gives those of some texts.
+
+    Of the cache only what can hold the given texts is read.
+    """
+    missing = materialize(distinct_texts(texts).join(stored_rows(path, texts).select("text"), "text", "left_anti"), "missing")
+    if missing.limit(1).count():
+        append_cache(path, encode(missing, encoder, batch_size, normalize))
+    return read_cache(texts.sparkSession, path)
+
+
+def compact_cache(spark: SparkSession, path: str) -> int:
+    """Rewrite the folders that hold a text more than once, keeping its last vector; returns the rows dropped.
+
+    Clean folders are not touched. The new rows are written to the shared folder first, then replace the folders one by one.
+    """
+    rows = _cache_files(spark, path)
+    repeated = rows.groupBy("bucket", "text").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dirty = {r["bucket"]: r["extra"] for r in repeated.groupBy("bucket").agg(F.sum(F.col("n") - 1).alias("extra")).collect()}
+    if dirty:
+        old = rows.where(F.col("bucket").isin(list(dirty)))
+        last = old.groupBy("text", "key", "bucket").agg(F.max_by("embedding", "version").alias("embedding"), F.max("version").alias("version"))
+        _write_cache(materialize(last, "compacted"), path, "overwrite")
+    return sum(dirty.values())
 
 
 def hashed_words(dims: int = 64) -> Encoder:

@@ -2,7 +2,7 @@
 
 Blocks are functions of (inputs, parameters). Session-local blocks give plain columns. Two things depend on the
 set of sessions a model is trained on, and are described rather than baked in: category columns, which
-exist only where their total count reaches a threshold, and TF-IDF vocabularies.
+exist only where their total count reaches a threshold and stay rows (session, column, value), and TF-IDF vocabularies.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.functions.text import document_text
-from tickloom.operators import companies, documents, matrix, price, reaction, sequence, summary, tfidf
+from tickloom.operators import documents, matrix, price, reaction, sequence, summary, tfidf
 from tickloom.plans.news import News
 from tickloom.session import materialize
 
@@ -56,7 +56,10 @@ class Inputs:
 
 
 def headline_features(i: Inputs, with_bars: bool = True) -> DataFrame:
-    """Summary, slots, weighted sums and sequence statistics, with price reactions when bars are used."""
+    """Summary, slots, weighted sums and sequence statistics, with price reactions when bars are used.
+
+    The weighted category sums that go with them are `Inputs.news.category_sums`.
+    """
     out = i.news.text_features().join(
         sequence.sequence_features(i.news.parsed, i.news.cells), "session", "left"
     )
@@ -94,6 +97,13 @@ BLOCKS: dict[str, Callable[[Inputs, dict], DataFrame | None]] = {
 TEXT_BLOCKS = ("headline_tfidf", "headline_company_tfidf")
 
 
+def has_categories(spec: FeatureSpec) -> bool:
+    """Whether weighted category sums belong to a block."""
+    if spec.build:
+        return False
+    return spec.name == "headline_parser" or (spec.name in TEXT_BLOCKS and bool(spec.params.get("include_numeric", False)))
+
+
 @dataclass
 class TextBlock:
     """Term counts per (slot, session) of one TF-IDF block; slot 0 is the session's own document."""
@@ -141,7 +151,7 @@ class FeatureMatrix:
     df: DataFrame
     columns: dict[str, list[str]]  # block alias -> column names
     texts: dict[str, TextBlock]
-    category_of: dict[str, str]  # matrix column -> category column
+    category_aliases: list[str]  # blocks whose columns include `alias__w_<category>` for the frequent categories
     inputs: Inputs
 
     def all_columns(self) -> list[str]:
@@ -160,9 +170,9 @@ def check_specs(specs: Sequence[FeatureSpec]) -> None:
 
 
 def build_feature_matrix(specs: Sequence[FeatureSpec], inputs: Inputs) -> FeatureMatrix:
-    """All blocks side by side on the session spine, named alias__column, nulls 0."""
+    """All blocks side by side on the session spine, named alias__column, nulls 0; category columns are not among them."""
     check_specs(specs)
-    blocks, columns, texts, category_of = [], {}, {}, {}
+    blocks, columns, texts = [], {}, {}
     for spec in specs:
         alias = spec.resolved_alias
         block = (spec.build or BLOCKS[spec.name])(inputs, spec.params)
@@ -171,10 +181,8 @@ def build_feature_matrix(specs: Sequence[FeatureSpec], inputs: Inputs) -> Featur
             blocks.append((alias, block))
             names = [c for c in block.columns if c != "session"]
             columns[alias] = [f"{alias}__{c}" for c in names]
-            prefixes = tuple(f"w_{rule[1]}" for rule in companies.CATEGORY_RULES)
-            category_of.update({f"{alias}__{c}": c.removeprefix("w_") for c in names if c.startswith(prefixes)})
         text = _text_block(spec, inputs)
         if text is not None:
             texts[alias] = text
     df = materialize(matrix.concat_blocks(inputs.sessions, blocks), "matrix")
-    return FeatureMatrix(df, columns, texts, category_of, inputs)
+    return FeatureMatrix(df, columns, texts, [s.resolved_alias for s in specs if has_categories(s)], inputs)

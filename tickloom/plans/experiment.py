@@ -1,54 +1,48 @@
-"""Cross-validated experiments and sweeps: many trials from one feature matrix and one pass of moments.
+"""Cross-validated experiments and sweeps: many trials from one design and one pass of moments.
 
 Folds are a column, not a loop over data. Train moments of a fold are the total minus the fold's own, for every
-model and feature subset at once. Trials that hold a TF-IDF block, whose vocabulary depends on the
-fold, take their moments from rows expanded by fold.
+model and feature subset at once; TF-IDF columns, whose vocabulary depends on the fold, are sparse entries of their fold.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 import time
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from tickloom.functions.ranking import exact_percentile
-from tickloom.operators import tfidf
 from tickloom.operators.folds import session_folds
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureMatrix, FeatureSpec, Inputs, TextBlock, build_feature_matrix, check_specs
+from tickloom.plans.blocks import FeatureMatrix, FeatureSpec, Inputs, build_feature_matrix, check_specs
+from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, Sums, build_design, dense_shift, design_moments
 from tickloom.plans.linear import STANDARDISED_ALPHA, Fit, Model, uncertainty_ridge
-from tickloom.plans.moments import ONE, Moments, block, collect_moments, feature_array, numbers, provisional_shift, sum_vectors
+from tickloom.plans.moments import ONE, Moments, numbers, sum_vectors
 from tickloom.session import materialize
+from tickloom.sources import sinks
 
-TARGET = "target_return"
+QUANTILE_SHIFTS = (42, 21, 0)  # the 63 bits of a number from 0 on, 21 at a time
 
 
 @dataclass(frozen=True)
 class Trial:
     """One experiment: feature blocks, a model, and how positions are sized.
 
-    `columns` keeps only the listed matrix columns of the blocks.
+    `columns` keeps only the listed matrix columns of the blocks, or those for which a function of the name holds.
     """
 
     name: str
     feature_blocks: tuple[FeatureSpec, ...]
     model: Model
     position_sizing: dict = field(default_factory=dict)
-    columns: tuple[str, ...] | None = None
-
-
-@dataclass(frozen=True)
-class FoldPlan:
-    n_folds: int = 5
-    n_repeats: int = 1
-    seed: int = 42
+    columns: tuple[str, ...] | Callable[[str], bool] | None = None
+    config_path: str = ""  # where the trial was described, for the reports
 
 
 def trial_grid(prefix: str, features: dict[str, Sequence[FeatureSpec]], models: dict[str, Model], **sizing) -> list[Trial]:
@@ -60,8 +54,8 @@ def trial_grid(prefix: str, features: dict[str, Sequence[FeatureSpec]], models:
 
 
 def trial_table(spark, trials: Sequence[Trial]) -> DataFrame:
-    rows = [(t.name, ",".join(s.resolved_alias for s in t.feature_blocks), t.model.name) for t in trials]
-    return spark.createDataFrame(rows, "experiment_name string, feature_blocks string, model string")
+    rows = [(t.name, t.config_path, ",".join(s.resolved_alias for s in t.feature_blocks), t.model.name) for t in trials]
+    return spark.createDataFrame(rows, "experiment_name string, config_path string, feature_blocks string, model string")
 
 
 @dataclass
@@ -69,273 +63,151 @@ class Results:
     folds: DataFrame  # experiment, repeat, seed, fold, n_train, n_valid, feature_count, sharpe
     oof: DataFrame  # experiment, session, predictions, position, pnl, repeat, seed, fold
     errors: dict[str, str]
-    elapsed: float
+    elapsed: dict[str, float]  # seconds of each trial: its own solving, and an even share of what its list did together
 
     def leaderboard(self, trials: Sequence[Trial]) -> DataFrame:
         """Successful trials by mean Sharpe, then failed ones with their message."""
         spark = self.folds.sparkSession
+        times = spark.createDataFrame(list(self.elapsed.items()), "experiment_name string, elapsed_seconds double")
         board = evaluate.leaderboard(self.folds).join(trial_table(spark, trials), "experiment_name")
-        ok = board.withColumns({"status": F.lit("ok"), "error": F.lit("")}).withColumn(
-            "elapsed_seconds", F.lit(self.elapsed)
-        )
-        failed = spark.createDataFrame(
-            [(t, m) for t, m in self.errors.items()], "experiment_name string, error string"
-        ).withColumn("status", F.lit("error"))
+        ok = board.join(F.broadcast(times), "experiment_name").withColumns({"status": F.lit("ok"), "error": F.lit("")})
+        failed = spark.createDataFrame(list(self.errors.items()), "experiment_name string, error string")
+        failed = failed.join(trial_table(spark, trials).select("experiment_name", "config_path"), "experiment_name")
+        failed = failed.withColumns({"status": F.lit("error"), "model": F.lit(""), "feature_blocks": F.lit("")})
         return ok.unionByName(failed, allowMissingColumns=True).orderBy(
             F.col("status") != "ok", F.col("mean_cv_sharpe").desc_nulls_last(), "experiment_name"
         )
 
-
-def _cells(plan: FoldPlan) -> list[tuple[int, int]]:
-    return [(r, f) for r in range(plan.n_repeats) for f in range(plan.n_folds)]
-
-
-def _fold_columns(folds: DataFrame, plan: FoldPlan) -> DataFrame:
-    """One row per session with its fold of every repeat."""
-    return folds.groupBy("session").agg(
-        *[F.max(F.when(F.col("repeat") == r, F.col("fold"))).alias(f"fold_{r}") for r in range(plan.n_repeats)]
-    )
+    def fold_report(self, trials: Sequence[Trial]) -> DataFrame:
+        """Every fold's score with what was fitted."""
+        named = trial_table(self.folds.sparkSession, trials).join(self.folds, "experiment_name")
+        return named.orderBy("experiment_name", "repeat", "fold")
 
 
-def category_masks(fm: FeatureMatrix, folds: DataFrame, plan: FoldPlan) -> dict[tuple[int, int], tuple[set, set]]:
-    """{(repeat, fold): (columns missing in train, columns missing in valid)} from per-fold category counts."""
-    if not fm.category_of:
-        return {cell: (set(), set()) for cell in _cells(plan)}
-    counts = fm.inputs.news.category_counts.groupBy("session", "column", "min_total").agg(F.sum("value").alias("value"))
-    # A category that misses its threshold over all sessions misses it in every fold: it stays off the driver.
-    inside = counts.join(folds.select("session").distinct(), "session", "left_semi")
-    enough = inside.groupBy("column").agg(F.sum("value").alias("all"), F.max("min_total").alias("least"))
-    kept = counts.join(enough.where(F.col("all") >= F.greatest("least", F.lit(1.0))).select("column"), "column", "left_semi")
-    per_fold = (
-        kept.join(folds.select("session", "repeat", "fold"), "session")
-        .groupBy("repeat", "fold", "column", "min_total")
-        .agg(F.sum("value").alias("n"))
-        .collect()
-    )
-    own: dict[tuple[int, int, str], float] = {}
-    total: dict[tuple[int, str], float] = {}
-    need: dict[str, float] = {}
-    for row in per_fold:
-        own[(row["repeat"], row["fold"], row["column"])] = row["n"]
-        total[(row["repeat"], row["column"])] = total.get((row["repeat"], row["column"]), 0.0) + row["n"]
-        need[row["column"]] = row["min_total"]
-    out = {}
-    for r, f in _cells(plan):
-        no_train, no_valid = set(), set()
-        for column, category in fm.category_of.items():
-            here = own.get((r, f, category), 0.0)
-            least = max(need.get(category, 1.0), 1.0)
-            if total.get((r, category), 0.0) - here < least:
-                no_train.add(column)
-            if here < least:
-                no_valid.add(column)
-        out[(r, f)] = (no_train, no_valid)
-    return out
-
-
-def fold_vocabulary(fm: FeatureMatrix, alias: str, folds: DataFrame, plan: FoldPlan) -> DataFrame:
-    """(repeat, fold, slot, term, position, idf): the vocabulary of every fold's train documents."""
-    text = fm.texts[alias]
-    assigned = folds.select("session", "repeat", "fold")
-    grid = assigned.select("repeat", "fold").distinct()
-    own = (
-        text.counts.join(assigned, "session")
-        .groupBy("slot", "repeat", "fold", "term")
-        .agg(F.count(F.lit(1)).alias("own_df"), F.sum("n").alias("own_tf"))
-    )
-    total = text.counts.groupBy("slot", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
-    # Train counts are the totals minus the fold's own; the grid has repeats x folds rows.
-    train = (
-        total.where(F.col("df") >= text.min_df)
-        .crossJoin(F.broadcast(grid))
-        .join(own, ["slot", "repeat", "fold", "term"], "left")
-        .select(
-            "slot",
-            "repeat",
-            "fold",
-            "term",
-            (F.col("df") - F.coalesce("own_df", F.lit(0))).alias("df"),
-            (F.col("tf") - F.coalesce("own_tf", F.lit(0))).alias("tf"),
-        )
-    )
-    sizes = assigned.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("own"))
-    n_docs = sizes.join(sizes.groupBy("repeat").agg(F.sum("own").alias("all")), "repeat").select(
-        "repeat", "fold", (F.col("all") - F.col("own")).alias("n_docs")
-    )
-    scope = ["repeat", "fold", "slot"]
-    vocab = tfidf.cut_vocabulary(train, scope, text.min_df, text.max_features).join(n_docs, ["repeat", "fold"])
-    vocab = vocab.withColumn("idf", tfidf.idf(F.col("n_docs"), F.col("df"))).drop("n_docs")
-    return materialize(vocab, "vocabulary")
-
-
-def term_array(weights: DataFrame, text: TextBlock, keys: Sequence[str], name: str) -> DataFrame:
-    """One array of slots x max_features weights per document, 0 where a term is absent."""
-    place = (F.col("slot") * text.max_features + F.col("position")).cast("int")
-    pairs = F.map_from_entries(F.collect_list(F.struct(place.alias("k"), F.col("weight").alias("v"))))
-    dense = F.transform(
-        F.sequence(F.lit(1), F.lit(text.slots * text.max_features)),
-        lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(0.0)),
-    )
-    return weights.groupBy(*keys).agg(pairs.alias("__m")).select(*keys, dense.alias(name))
+def write_reports(results: Results, trials: Sequence[Trial], folder: str, stamp: str | None = None) -> dict[str, str]:
+    """Leaderboard and fold scores as CSV under `folder`, named by a UTC stamp, and again as the latest ones."""
+    stamp = stamp or dt.datetime.now(dt.UTC).strftime("%Y%m%dT%H%M%SZ")
+    paths = {}
+    for name, report in (("experiment_sweep", results.leaderboard(trials)), ("experiment_sweep_folds", results.fold_report(trials))):
+        paths[name] = f"{folder}/{stamp}_{name}"
+        sinks.write_csv(report.coalesce(1), paths[name], f"{folder}/latest_{name}")  # one row a trial, or a trial and fold
+    return paths
 
 
-def fold_text_arrays(fm: FeatureMatrix, alias: str, vocab: DataFrame, plan: FoldPlan) -> DataFrame:
-    """(repeat, fold, session, alias): TF-IDF of every session under each fold's train vocabulary."""
-    text = fm.texts[alias]
-    bound = plan.n_repeats * plan.n_folds * text.slots * text.max_features
-    scope = ["repeat", "fold", "slot"]
-    weights = tfidf.tfidf(text.counts, vocab, ["slot", "session"], scope, vocab_rows=bound)
-    return term_array(weights, text, ["repeat", "fold", "session"], alias)
+def trial_columns(trial: Trial, fm: FeatureMatrix, design: Design) -> list[str]:
+    """The columns of a trial's blocks: plain ones, then category columns, then text columns."""
+    out = [c for s in trial.feature_blocks for c in design.block_columns(s.resolved_alias, fm)]
+    if trial.columns is None:
+        return out
+    keep = trial.columns if callable(trial.columns) else set(trial.columns).__contains__
+    return [c for c in out if keep(c)]
 
 
-def with_empty(text: TextBlock, name: str) -> Column:
-    """A document without any vocabulary term is a row of zeros."""
-    return F.coalesce(F.col(f"`{name}`"), F.array_repeat(F.lit(0.0), text.slots * text.max_features))
+def _residuals(batch: Batch, fits: dict[tuple[int, int, int], Fit], plan: FoldPlan):
+    """Every fit with its train rows and their target minus prediction."""
+    sides = {}
+    for key, fit in fits.items():
+        r, f = key[1:]
+        if (r, f) not in sides:
+            mark = batch.side(r, f, valid=False)
+            sides[(r, f)] = batch.rows(mark, r * plan.n_folds + f), batch.y[mark]
+        rows, y = sides[(r, f)]
+        yield key, rows, y - fit.predict(rows)
 
 
-@dataclass
-class _Group:
-    """Trials that share their text blocks, with the design they are fitted on."""
-
-    trials: list[Trial]
-    columns: list[str]
-    design: DataFrame  # session, target, array x, and fold columns (or cell and is_valid when expanded)
-    expanded: bool
-    live: dict[tuple[int, int], set[str]] = field(default_factory=dict)  # text columns with a term, per cell
-
-
-def _design(fm: FeatureMatrix, base: list[str], targets: DataFrame, folds: DataFrame, plan: FoldPlan) -> DataFrame:
-    """One row per session: target, features as one array, and the fold of every repeat."""
-    rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
-    rows = rows.select("session", TARGET, feature_array(base).alias("x"))
-    return rows.join(_fold_columns(folds, plan), "session")
-
-
-def _text_design(fm, texts, base, targets, folds, plan) -> tuple[DataFrame, dict[tuple[int, int], set[str]]]:
-    """One row per session, repeat and fold, with the TF-IDF columns of that fold's train vocabulary."""
-    grid = folds.select("repeat", "fold").distinct()
-    own = folds.select("session", "repeat", F.col("fold").alias("own_fold"))
-    rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
-    rows = rows.select("session", TARGET, feature_array(base).alias("x"))
-    rows = rows.join(own, "session").join(F.broadcast(grid), "repeat")
-    live: dict[tuple[int, int], set[str]] = {cell: set() for cell in _cells(plan)}
-    for alias in texts:
-        text = fm.texts[alias]
-        vocab = fold_vocabulary(fm, alias, folds, plan)
-        rows = rows.join(fold_text_arrays(fm, alias, vocab, plan), ["repeat", "fold", "session"], "left")
-        rows = rows.withColumn("x", F.concat("x", with_empty(text, alias))).drop(alias)
-        for r in vocab.groupBy("repeat", "fold", "slot").agg(F.max("position").alias("n")).collect():
-            start = r["slot"] * text.max_features
-            live[(r["repeat"], r["fold"])].update(text.columns[start : start + r["n"]])
-    cell = F.col("repeat") * plan.n_folds + F.col("fold")
-    flagged = rows.withColumns({"cell": cell, "is_valid": F.col("own_fold") == F.col("fold")})
-    return flagged.select("session", TARGET, "x", "cell", "is_valid"), live
-
-
-def _train_moments(group: _Group, plan: FoldPlan, kinds, shift) -> dict[tuple[int, int, int], Moments]:
-    """{(kind, repeat, fold): train moments}."""
-    out = {}
-    if group.expanded:
-        train = group.design.where(~F.col("is_valid"))
-        got = collect_moments(train, None, TARGET, ["cell"], kinds, shift)
-        for (k, _, cell), m in got.items():
-            out[(k, cell // plan.n_folds, cell % plan.n_folds)] = m
-        return out
-    names = [f"fold_{r}" for r in range(plan.n_repeats)]
-    got = collect_moments(group.design, None, TARGET, names, kinds, shift)
-    for k in range(len(kinds)):
-        for r in range(plan.n_repeats):
-            parts = [m for (kind, repeat, _), m in got.items() if (kind, repeat) == (k, r)]
-            total = parts[0]
-            for part in parts[1:]:
-                total = total + part
-            for f in range(plan.n_folds):
-                own = got.get((k, r, f))
-                out[(k, r, f)] = total - own if own else total
-    return out
-
-
-def _side(batch: pa.RecordBatch, r: int, f: int, expanded: bool, n_folds: int, valid: bool) -> np.ndarray:
-    """Rows of a batch on the train or valid side of a cell."""
-    if expanded:
-        own = numbers(batch, "is_valid").astype(bool)
-        return (numbers(batch, "cell") == r * n_folds + f) & (own if valid else ~own)
-    inside = numbers(batch, f"fold_{r}") == f
-    return inside if valid else ~inside
-
-
-def _second_pass(group: _Group, plan: FoldPlan, fits: dict, shift: np.ndarray) -> tuple[dict, dict]:
-    """Sums of t and (x - shift) t with t = ln(1+|r|) over train rows, and the 0.1 quantile of |r|.
-
-    `fits` maps (trial, repeat, fold) to a fit over the group's columns.
-    """
-    expanded, n_folds = group.expanded, plan.n_folds
+def _log_sums(design: Design, fits: dict, shift: np.ndarray) -> dict[tuple[int, int, int], np.ndarray]:
+    """Sums of t and (x - shift) t with t = ln(1+|r|) over train rows, for each fit by (trial, repeat, fold)."""
+    plan, q = design.plan, len(design.sparse)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = block(batch), numbers(batch, TARGET)
-            for key, fit in fits.items():
-                rows = _side(batch, key[1], key[2], expanded, n_folds, valid=False)
-                t = np.log1p(np.abs(y[rows] - fit.predict(x[rows])))
-                part = np.concatenate([[t.sum()], (x[rows] - shift).T @ t])
-                acc[key] = acc[key] + part if key in acc else part
+        for raw in batches:
+            if raw.num_rows:
+                for key, rows, residual in _residuals(Batch(raw, plan), fits, plan):
+                    t = np.log1p(np.abs(residual))
+                    part = np.concatenate([[t.sum()], rows.transposed_times(t, shift, q)])
+                    acc[key] = acc[key] + part if key in acc else part
         if acc:
             named = {n: pa.array([k[i] for k in acc], pa.int32()) for i, n in enumerate(("trial", "repeat", "fold"))}
             named["v"] = pa.array(list(acc.values()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_pydict(named)
 
-    def residuals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = block(batch), numbers(batch, TARGET)
-            for (trial, r, f), fit in fits.items():
-                rows = _side(batch, r, f, expanded, n_folds, valid=False)
-                a = np.abs(y[rows] - fit.predict(x[rows]))
-                named = {n: pa.array(np.full(len(a), v), pa.int32()) for n, v in (("trial", trial), ("repeat", r), ("fold", f))}
-                yield pa.RecordBatch.from_pydict({**named, "a": pa.array(a)})
-
-    keys = ["trial", "repeat", "fold"]
-    parts = group.design.mapInArrow(sums, "trial int, repeat int, fold int, v array<double>")
-    summed = sum_vectors(parts, keys).collect()
-    spread = materialize(group.design.mapInArrow(residuals, "trial int, repeat int, fold int, a double"), "residuals")
-    floors = exact_percentile(spread, keys, "a", 0.1, "q", few_groups=True).collect()
-    return (
-        {(s["trial"], s["repeat"], s["fold"]): np.array(s["v"]) for s in summed},
-        {(s["trial"], s["repeat"], s["fold"]): s["q"] for s in floors},
-    )
+    parts = design.rows.mapInArrow(sums, "trial int, repeat int, fold int, v array<double>")
+    summed = sum_vectors(parts, ["trial", "repeat", "fold"]).toLocalIterator()
+    return {(s["trial"], s["repeat"], s["fold"]): np.array(s["v"]) for s in summed}
 
 
-def _score(group: _Group, plan: FoldPlan, fits: dict) -> DataFrame:
+def _residual_quantiles(design: Design, fits: dict, sizes: dict[tuple[int, int, int], int], q: float) -> dict[tuple[int, int, int], float]:
+    """The exact quantile of |residual| over train rows, interpolated, for each fit; no residual is written.
+
+    Numbers from 0 on are ordered as their bits. Each pass counts, per fit and wanted rank, the next 21 bits of the residuals that agree with
+    what is known of it so far; tasks send counts of the bit patterns they meet, and three passes give the number itself.
+    """
+    plan, spark = design.plan, design.rows.sparkSession
+    ranks = {(*key, which): int(take((n - 1) * q)) for key, n in sizes.items() for which, take in enumerate((np.floor, np.ceil))}
+    known, step = {key: 0 for key in ranks}, QUANTILE_SHIFTS[0] - QUANTILE_SHIFTS[1]
+    for shift in QUANTILE_SHIFTS:
+
+        def count(batches: Iterator[pa.RecordBatch], shift: int = shift, known: dict = known) -> Iterator[pa.RecordBatch]:
+            acc: dict[tuple, Sums] = {}
+            for raw in batches:
+                if raw.num_rows:
+                    for key, _, residual in _residuals(Batch(raw, plan), fits, plan):
+                        bits = np.abs(residual).view(np.int64)
+                        for which in (0, 1):
+                            head = bits[bits >> (shift + step) == known[(*key, which)]] >> shift
+                            value, n = np.unique(head, return_counts=True)
+                            acc.setdefault((*key, which), Sums()).add(value, n[:, None])
+            for key, sums in acc.items():
+                if sums.size:
+                    value, n = sums.done()
+                    named = {c: pa.array(np.full(len(value), k), pa.int32()) for c, k in zip(("trial", "repeat", "fold", "which"), key)}
+                    yield pa.RecordBatch.from_pydict({**named, "head": pa.array(value), "n": pa.array(n[:, 0].astype(np.int64))})
+
+        parts = design.rows.mapInArrow(count, "trial int, repeat int, fold int, which int, head long, n long")
+        keys = ["trial", "repeat", "fold", "which"]
+        wanted = spark.createDataFrame([(*k, r) for k, r in ranks.items()], "trial int, repeat int, fold int, which int, rank long")
+        totals = parts.groupBy(*keys, "head").agg(F.sum("n").alias("n"))
+        before = F.sum("n").over(Window.partitionBy(*keys).orderBy("head")) - F.col("n")  # at most 2^21 patterns a rank
+        at = totals.withColumn("before", before).join(F.broadcast(wanted), keys)
+        hits = at.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("n"))).collect()
+        known = {tuple(h[k] for k in keys): h["head"] for h in hits}
+        ranks = {tuple(h[k] for k in keys): h["rank"] - h["before"] for h in hits}
+    value = {key: float(np.array([bits], np.int64).view(float)[0]) for key, bits in known.items()}
+    return {k: value[(*k, 0)] + (value[(*k, 1)] - value[(*k, 0)]) * ((n - 1) * q % 1.0) for k, n in sizes.items()}
+
+
+def _score(design: Design, fits: dict) -> DataFrame:
     """Out-of-fold predictions of every trial: each task applies the few coefficient vectors to its batches."""
-    expanded, n_folds = group.expanded, plan.n_folds
+    plan = design.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
+        for raw in batches:
+            if not raw.num_rows:
                 continue
-            x, y, session = block(batch), numbers(batch, TARGET), numbers(batch, "session")
+            batch, session = Batch(raw, plan), numbers(raw, "session")
+            sides = {}
             for (trial, r, f), fit in fits.items():
-                rows = _side(batch, r, f, expanded, n_folds, valid=True)
-                if rows.any():
-                    n = int(rows.sum())
-                    uncertainty = fit.uncertainty(x[rows])
+                if (r, f) not in sides:
+                    mark = batch.side(r, f, valid=True)
+                    sides[(r, f)] = mark, batch.rows(mark, r * plan.n_folds + f)
+                mark, rows = sides[(r, f)]
+                if len(rows):
+                    n = len(rows)
+                    uncertainty = fit.uncertainty(rows)
                     yield pa.RecordBatch.from_pydict(
                         {
                             "trial": pa.array(np.full(n, trial), pa.int32()),
-                            "session": pa.array(session[rows], pa.int64()),
-                            "predicted_return": pa.array(fit.predict(x[rows])),
+                            "session": pa.array(session[mark], pa.int64()),
+                            "predicted_return": pa.array(fit.predict(rows)),
                             "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
-                            "realized_return": pa.array(y[rows]),
+                            "realized_return": pa.array(batch.y[mark]),
                             "repeat": pa.array(np.full(n, r), pa.int32()),
                             "fold": pa.array(np.full(n, f), pa.int32()),
                         }
                     )
 
-    return group.design.mapInArrow(
+    return design.rows.mapInArrow(
         run,
         "trial int, session long, predicted_return double, predicted_uncertainty double, realized_return double, "
         "repeat int, fold int",
@@ -351,9 +223,9 @@ def cross_validate(
     fail_fast: bool = False,
 ) -> Results:
     """Cross-validate all trials over the same folds. A trial that cannot be solved is recorded, not fatal."""
-    started = time.time()
     trials = list(trials)
     errors: dict[str, str] = {}
+    elapsed: dict[str, float] = {}
     good = []
     for trial in trials:
         try:
@@ -372,7 +244,7 @@ def cross_validate(
     while waiting:
         members = waiting.pop(0)
         try:
-            done.append(_validated(members, inputs, folds, plan, errors, fail_fast))
+            done.append(_validated(members, inputs, folds, plan, errors, elapsed, fail_fast))
         except Exception as error:
             if fail_fast:
                 raise
@@ -383,7 +255,7 @@ def cross_validate(
     if not done:
         raise ValueError(f"No trial could be fitted: {errors}")
     summary, oof = (reduce(DataFrame.unionByName, parts) for parts in zip(*done))
-    return Results(summary, oof, errors, time.time() - started)
+    return Results(summary, oof, errors, {t: seconds for t, seconds in elapsed.items() if t not in errors})
 
 
 def _compatible(trials: Sequence[Trial]) -> list[list[Trial]]:
@@ -401,41 +273,23 @@ def _compatible(trials: Sequence[Trial]) -> list[list[Trial]]:
     return [members for _, members in lists]
 
 
-def _validated(trials: list[Trial], inputs: Inputs, folds: DataFrame, plan: FoldPlan, errors: dict[str, str], fail_fast: bool) -> tuple[DataFrame, DataFrame]:
+def _validated(trials: list[Trial], inputs: Inputs, folds: DataFrame, plan: FoldPlan, errors: dict[str, str], elapsed: dict[str, float], fail_fast: bool) -> tuple[DataFrame, DataFrame]:
     """Fold scores and out-of-fold predictions of trials that agree on their aliases."""
+    started, solving = time.perf_counter(), {}
     spark, targets = folds.sparkSession, inputs.sessions
     specs = {s.resolved_alias: s for t in trials for s in t.feature_blocks}
     fm = build_feature_matrix(list(specs.values()), inputs)
-    masks = category_masks(fm, folds, plan)
-
-    by_text: dict[tuple[str, ...], list[Trial]] = {}
-    for trial in trials:
-        aliases = [s.resolved_alias for s in trial.feature_blocks]
-        by_text.setdefault(tuple(a for a in aliases if a in fm.texts), []).append(trial)
-
+    design = build_design(fm, targets, folds, plan)
     numbers = {t.name: n for n, t in enumerate(trials)}
-    scored, counts = [], []
-    for texts, members in by_text.items():
-        used = dict.fromkeys(s.resolved_alias for t in members for s in t.feature_blocks)
-        base = [c for a in used for c in fm.columns[a]]
-        columns = base + [c for a in texts for c in fm.texts[a].columns]
-        if texts:
-            design, live = _text_design(fm, texts, base, targets, folds, plan)
-        else:
-            design, live = _design(fm, base, targets, folds, plan), {}
-        group = _Group(members, columns, materialize(design, "design"), bool(texts), live)
-        fits, n_features = _fit_group(group, fm, masks, plan, numbers, errors, fail_fast)
-        counts += [(*key, n) for key, n in n_features.items()]
-        if fits:
-            scored.append(_score(group, plan, fits))
-    if not scored:
+    fits, counts = fit_trials(trials, fm, design, design.masks(), numbers, errors, fail_fast, seconds=solving)
+    if not fits:
         raise ValueError(f"No trial could be fitted: {errors}")
 
-    oof = materialize(_positions(_named(scored, numbers, plan), trials), "oof")
+    oof = materialize(_positions(_named(_score(design, fits), numbers, plan), trials), "oof")
     keys = ["experiment_name", "repeat", "seed", "fold"]
     sizes = folds.groupBy("repeat").agg(F.count(F.lit(1)).alias("n_all"))
     feature_counts = spark.createDataFrame(
-        [(trials[t].name, r, f, float(n)) for t, r, f, n in counts],
+        [(trials[t].name, r, f, float(n)) for (t, r, f), n in counts.items()],
         "experiment_name string, repeat int, fold int, feature_count double",
     )
     summary = (
@@ -445,56 +299,55 @@ def _validated(trials: list[Trial], inputs: Inputs, folds: DataFrame, plan: Fold
         .withColumn("n_train", F.col("n_all") - F.col("n_valid"))
         .drop("n_all")
     )
-    return materialize(summary, "summary"), oof
+    summary = materialize(summary, "summary")
+    shared = (time.perf_counter() - started - sum(solving.values())) / len(trials)
+    elapsed.update({t: own + shared for t, own in solving.items()})
+    return summary, oof
 
 
-def _named(scored: Sequence[DataFrame], numbers: dict[str, int], plan: FoldPlan) -> DataFrame:
-    """Union of the groups' predictions with experiment names and seeds, written once."""
-    union = scored[0]
-    for part in scored[1:]:
-        union = union.unionByName(part)
+def _named(scored: DataFrame, numbers: dict[str, int], plan: FoldPlan) -> DataFrame:
+    """The predictions with experiment names and seeds, written once."""
     rows = [(n, t) for t, n in numbers.items()]
-    names = union.sparkSession.createDataFrame(rows, "trial int, experiment_name string")
-    union = union.join(F.broadcast(names), "trial").withColumn("seed", F.lit(plan.seed) + F.col("repeat"))
-    return materialize(union, "predictions")
+    names = scored.sparkSession.createDataFrame(rows, "trial int, experiment_name string")
+    named = scored.join(F.broadcast(names), "trial").withColumn("seed", F.lit(plan.seed) + F.col("repeat"))
+    return materialize(named, "predictions")
 
 
-def _group_moments(group, plan):
-    """The shift and the train moments that all trials of a group are solved from, in one pass."""
-    kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
-    shift = provisional_shift(group.design)
-    return shift, _train_moments(group, plan, kinds, shift)
+def _kinds(trials: Sequence[Trial]) -> list[tuple[str, float, float]]:
+    return list(dict.fromkeys(k for t in trials for k in t.model.kinds()))
 
 
-def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast, known=None):
-    """Solve every trial and fold of a group; returns fits and feature counts by (trial, repeat, fold).
+def trial_moments(trials: Sequence[Trial], design: Design) -> tuple[np.ndarray, dict[tuple[int, int, int], Moments]]:
+    """The shift and the train moments that all the trials are solved from, in one pass."""
+    shift = dense_shift(design)
+    return shift, design_moments(design, _kinds(trials), shift)
 
-    `known` are the moments of an earlier call with the same design and kinds.
+
+def fit_trials(trials, fm, design, masks, numbers, errors, fail_fast, known=None, seconds=None) -> tuple[dict[tuple[int, int, int], Fit], dict[tuple[int, int, int], int]]:
+    """Solve every trial and cell; returns fits over all columns of the design and feature counts by (trial, repeat, fold).
+
+    `masks` says which columns a cell's train side lacks (they are no features) and its valid side lacks (they count as 0 there).
+    `known` are the shift and moments of an earlier call with the same design and kinds; `seconds` takes each trial's time to solve.
     """
-    kinds = list(dict.fromkeys(k for t in group.trials for k in t.model.kinds()))
-    shift, moments = known or _group_moments(group, plan)
-    place = {c: i for i, c in enumerate(group.columns)}
-    p = len(group.columns)
+    kinds = _kinds(trials)
+    shift, moments = known or trial_moments(trials, design)
+    place = {c: i for i, c in enumerate(design.columns)}
+    p = len(place)
     fits: dict[tuple[int, int, int], Fit] = {}
     chosen: dict[tuple[int, int, int], tuple[list[int], list[int]]] = {}
     narrow: dict[tuple[int, int, int], Fit] = {}
-    for trial in group.trials:
-        n = numbers[trial.name]
-        own = [c for s in trial.feature_blocks for c in fm.columns[s.resolved_alias]]
-        if trial.columns is not None:
-            own = [c for c in own if c in trial.columns]
-        texts = [c for s in trial.feature_blocks if s.resolved_alias in fm.texts for c in fm.texts[s.resolved_alias].columns]
+    by_number = {numbers[t.name]: t for t in trials}
+    for n, trial in by_number.items():
+        own = trial_columns(trial, fm, design)
+        started = time.perf_counter()
         try:
-            for r, f in _cells(plan):
+            for r, f in design.plan.cells:
                 no_train, no_valid = masks[(r, f)]
-                # A vocabulary position without a term is not a feature.
-                terms = [c for c in texts if c in group.live.get((r, f), ())]
-                columns = [place[c] for c in own if c not in no_train] + [place[c] for c in terms]
-                blanked = [place[c] for c in own if c in no_valid]
+                columns = [place[c] for c in own if c not in no_train]
                 parts = [moments[(kinds.index(k), r, f)].select(columns) for k in trial.model.kinds()]
                 fit = trial.model.solve(parts)
-                narrow[(n, r, f)] = fit
-                chosen[(n, r, f)] = (columns, blanked)
+                blanked = [place[c] for c in own if c in no_valid]
+                narrow[(n, r, f)], chosen[(n, r, f)] = fit, (columns, blanked)
                 fits[(n, r, f)] = fit.widened(columns, p, blanked)
         except Exception as error:
             if fail_fast:
@@ -502,19 +355,18 @@ def _fit_group(group, fm, masks, plan, numbers, errors, fail_fast, known=None):
             errors[trial.name] = str(error)
             for key in [k for k in fits if k[0] == n]:
                 fits.pop(key)
-    second = {
-        key: narrow[key].widened(chosen[key][0], p)
-        for key in fits
-        if group.trials[[numbers[t.name] for t in group.trials].index(key[0])].model.second_pass
-    }
+        if seconds is not None:
+            seconds[trial.name] = time.perf_counter() - started
+    second = {key: narrow[key].widened(chosen[key][0], p) for key in fits if by_number[key[0]].model.second_pass}
     if second:
-        sums, floors = _second_pass(group, plan, second, shift)
         one = kinds.index(ONE)
+        sums = _log_sums(design, second, shift)
+        sizes = {key: round(moments[(one, *key[1:])].n) for key in second}
+        floors = _residual_quantiles(design, second, sizes, 0.1)
         for key in second:
             columns, blanked = chosen[key]
-            trial = next(t for t in group.trials if numbers[t.name] == key[0])
-            alpha = float(trial.model.params.get("alpha", STANDARDISED_ALPHA))
-            m = moments[(one, key[1], key[2])].select(columns)
+            alpha = float(by_number[key[0]].model.params.get("alpha", STANDARDISED_ALPHA))
+            m = moments[(one, *key[1:])].select(columns)
             v = sums[key]
             full = uncertainty_ridge(narrow[key], m, v[0], v[1:][columns], floors[key], alpha)
             fits[key] = full.widened(columns, p, blanked)

@@ -9,13 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from tickloom.operators.companies import category_counts, company_session, frequent_columns, score_relevance
 from tickloom.operators.events import event_cells, parsed_events
-from tickloom.operators.summary import TOP_K, session_text_features
+from tickloom.operators.summary import TOP_K, session_text_features, weighted_category_sums
 from tickloom.session import materialize
 
+MAX_WIDE = 1000  # category columns of a wide table
+
 
 @dataclass
 class News:
@@ -49,12 +51,21 @@ class News:
         return materialize(category_counts(self.parsed), "categories")
 
     @cached_property
-    def category_columns(self) -> list[str]:
-        """Category columns that reach their threshold over all these headlines."""
-        rows = frequent_columns(self.category_counts).select("column").distinct().collect()
-        return sorted(r["column"] for r in rows)
+    def category_sums(self) -> DataFrame:
+        """Relevance-weighted category counts as rows (session, column, value), whatever the number of categories."""
+        counts = self.category_counts.select("session", "company", "column", "value")
+        sums = weighted_category_sums(self.scored, counts)
+        return materialize(sums.select("session", F.expr("substring(feature, 3)").alias("column"), "value"), "category-sums")
 
     def text_features(self, k: int = TOP_K) -> DataFrame:
-        """Sums, summary, slots and weighted sums, weighted category columns included."""
+        """Sums, summary, slots and weighted sums. Categories stay rows (`category_sums`)."""
+        return session_text_features(self.scored, k=k)
+
+    def wide_text_features(self, k: int = TOP_K) -> DataFrame:
+        """`text_features` with a column for every category that reaches its threshold over all these headlines."""
+        frequent = frequent_columns(self.category_counts).select("column").distinct()
+        names = [r["column"] for r in frequent.orderBy("column").limit(MAX_WIDE + 1).collect()]
+        if len(names) > MAX_WIDE:
+            raise ValueError(f"More than {MAX_WIDE} categories reach their threshold; take them as rows from category_sums.")
         counts = self.category_counts.select("session", "company", "column", "value")
-        return session_text_features(self.scored, counts, k, [f"w_{c}" for c in self.category_columns])
+        return session_text_features(self.scored, counts, k, [f"w_{c}" for c in names])

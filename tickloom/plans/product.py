@@ -9,65 +9,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.operators import companies, tfidf
-from tickloom.operators.matrix import align_columns
+from tickloom.operators import companies
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import FeatureMatrix, Inputs, TextBlock, build_feature_matrix
-from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _fit_group, _Group, cross_validate, term_array, with_empty
+from tickloom.plans.blocks import FeatureMatrix, Inputs, build_feature_matrix
+from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, build_design, fitted_rows
+from tickloom.plans.experiment import Trial, cross_validate, fit_trials
 from tickloom.plans.linear import Fit
-from tickloom.plans.moments import block, feature_array, numbers
+from tickloom.plans.moments import numbers
 from tickloom.session import materialize
 from tickloom.sources import sinks
 
 
+ALL = FoldPlan(n_folds=1)
+
+
 @dataclass
 class FullModel:
     trial: Trial
     fit: Fit
-    base: list[str]
-    train: FeatureMatrix
-    vocabularies: dict[str, DataFrame]
+    design: Design
     feature_count: int
 
 
-def _array_rows(df: DataFrame, base: list[str], fm: FeatureMatrix, texts: dict[str, TextBlock], vocabularies: dict) -> DataFrame:
-    """Features of a split as one array column: aligned base columns, then TF-IDF under the given vocabularies."""
-    kept = [c for c in df.columns if c not in set(base)]
-    rows = df.select(*kept, feature_array(base).alias("x"))
-    for alias, vocab in vocabularies.items():
-        text = texts[alias]
-        bound = text.slots * text.max_features
-        weights = tfidf.tfidf(fm.texts[alias].counts, vocab, ["slot", "session"], ["slot"], vocab_rows=bound)
-        rows = rows.join(term_array(weights, text, ["session"], alias), "session", "left")
-        rows = rows.withColumn("x", F.concat("x", with_empty(text, alias))).drop(alias)
-    return rows
-
-
 def fit_full(trial: Trial, seen: DataFrame, unseen: DataFrame, headlines: DataFrame) -> FullModel:
     """One trial fitted on every train session."""
     targets = materialize(build_targets(seen, unseen).where(F.col(TARGET).isNotNull()), "targets")
     fm = build_feature_matrix(trial.feature_blocks, Inputs(seen, headlines, targets))
-    n_docs = targets.agg(F.count(F.lit(1)).alias("n_docs"))
-    vocabularies, live = {}, set()
-    for alias, text in fm.texts.items():
-        docs = n_docs.select("n_docs", F.explode(F.sequence(F.lit(0), F.lit(text.slots - 1))).alias("slot"))
-        vocab = tfidf.vocabulary(text.counts, docs, ["slot"], text.min_df, text.max_features)
-        vocabularies[alias] = materialize(vocab, "vocabulary")
-        for r in vocabularies[alias].groupBy("slot").agg(F.max("position").alias("n")).collect():
-            start = r["slot"] * text.max_features
-            live.update(text.columns[start : start + r["n"]])
-    base = fm.all_columns()
-    columns = base + [c for a in fm.texts for c in fm.texts[a].columns]
-    rows = targets.select("session", TARGET).join(fm.df, "session", "left").na.fill(0.0, base)
     # No session lies in fold 0, so "train of fold 0" is every session.
-    rows = rows.withColumn("fold_0", F.lit(-1))
-    design = materialize(_array_rows(rows, base, fm, fm.texts, vocabularies), "design")
-    group = _Group([trial], columns, design, False, {(0, 0): live})
-    masks = {(0, 0): (set(), set())}
-    errors: dict[str, str] = {}
-    fits, counts = _fit_group(group, fm, masks, FoldPlan(n_folds=1), {trial.name: 0}, errors, True)
-    return FullModel(trial, fits[(0, 0, 0)], base, fm, vocabularies, counts[(0, 0, 0)])
+    nowhere = targets.select("session", F.lit(0).alias("repeat"), F.lit(-1).alias("fold"))
+    design = build_design(fm, targets, nowhere, ALL)
+    masks = {cell: (no_train, set()) for cell, (no_train, _) in design.masks().items()}
+    fits, counts = fit_trials([trial], fm, design, masks, {trial.name: 0}, {}, True)
+    return FullModel(trial, fits[(0, 0, 0)], design, counts[(0, 0, 0)])
 
 
 def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, batches: DataFrame) -> DataFrame:
@@ -77,22 +51,24 @@ def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, batches: Da
     columns below their threshold within a batch are zero there, and positions are sized per batch.
     """
     fm = build_feature_matrix(model.trial.feature_blocks, Inputs(bars, headlines, batches))
-    rows = align_columns(fm.df, model.base).join(batches.select("session", "batch").distinct(), "session")
-    rows = _array_rows(rows, model.base, fm, model.train.texts, model.vocabularies)
+    rows = fitted_rows(fm.df, fm, model.design).join(batches.select("session", "batch").distinct(), "session")
     fits = _batch_fits(model, fm, batches)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x, batch, session = block(part), numbers(part, "batch"), numbers(part, "session")
+            if not part.num_rows:
+                continue
+            all_rows, batch, session = Batch(part, ALL), numbers(part, "batch"), numbers(part, "session")
             for value, fit in fits.items():
-                rows = batch == value
-                if rows.any():
-                    uncertainty = fit.uncertainty(x[rows])
+                mark = batch == value
+                if mark.any():
+                    rows = all_rows.rows(mark, 0)
+                    uncertainty = fit.uncertainty(rows)
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "batch": pa.array(batch[rows], pa.int32()),
-                            "session": pa.array(session[rows], pa.int64()),
-                            "predicted_return": pa.array(fit.predict(x[rows])),
+                            "batch": pa.array(batch[mark], pa.int32()),
+                            "session": pa.array(session[mark], pa.int64()),
+                            "predicted_return": pa.array(fit.predict(rows)),
                             "predicted_uncertainty": pa.array(uncertainty, mask=np.isnan(uncertainty)),
                         }
                     )
@@ -106,16 +82,17 @@ def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, batches: Da
 def _batch_fits(model: FullModel, fm: FeatureMatrix, batches: DataFrame) -> dict[int, Fit]:
     """The fit per batch, with the coefficients of category columns that are too rare in the batch set to 0."""
     present = {r["batch"] for r in batches.select("batch").distinct().collect()}
-    categories = [c for c in model.base if c in model.train.category_of]
-    if not categories:
+    design = model.design
+    names = design.categories.names
+    if not names:
         return {b: model.fit for b in present}
-    counts = fm.inputs.news.category_counts.join(batches.select("session", "batch").distinct(), "session")
-    kept = {(r["batch"], r["column"]) for r in companies.frequent_columns(counts, ["batch"]).collect()}
-    place = {c: i for i, c in enumerate(model.base)}
+    known = batches.sparkSession.createDataFrame([(c,) for c in names], "column string")
+    counts = fm.inputs.news.category_counts.join(F.broadcast(known), "column").join(batches.select("session", "batch").distinct(), "session")
+    kept = {(r["batch"], r["column"]) for r in companies.frequent_columns(counts, ["batch"]).collect()}  # the model's columns at most
     width = len(model.fit.coef)
     out = {}
     for b in present:
-        rare = [place[c] for c in categories if (b, model.train.category_of[c]) not in kept]
+        rare = [len(design.dense) + a * len(names) + i for a in range(len(design.category_aliases)) for i, c in enumerate(names) if (b, c) not in kept]
         out[b] = model.fit.widened(range(width), width, rare)
     return out
 

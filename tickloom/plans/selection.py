@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.operators.folds import session_folds
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
-from tickloom.plans.blocks import TEXT_BLOCKS, FeatureSpec, Inputs, build_feature_matrix
-from tickloom.plans.experiment import TARGET, FoldPlan, Trial, _design, _fit_group, _Group, _group_moments, _named, _positions, _score, category_masks
+from tickloom.plans.blocks import FeatureSpec, Inputs, build_feature_matrix
+from tickloom.plans.design import TARGET, FoldPlan, build_design
+from tickloom.plans.experiment import Trial, _named, _positions, _score, fit_trials, trial_columns, trial_moments
 from tickloom.plans.linear import Model
 from tickloom.session import materialize
 
@@ -28,18 +29,17 @@ def forward_select(
     """(step, feature, mean_cv_sharpe): the feature added at each step and the score it reached.
 
     The design is written once and its moments are taken once. A step solves every candidate subset from them and scores all of
-    them in one job; only one Sharpe per candidate and fold comes back. Text blocks have fold-dependent columns and are refused.
+    them in one job; only one Sharpe per candidate and fold comes back. Category and text columns are candidates like any others; a
+    text column is a place in the vocabulary order, whose term may differ by fold.
     """
-    if any(s.build is None and s.name in TEXT_BLOCKS for s in specs):
-        raise ValueError("Forward selection takes blocks with fixed columns; TF-IDF columns depend on the fold.")
     targets = materialize(build_targets(seen, unseen).where(F.col(TARGET).isNotNull()), "targets")
     folds = materialize(session_folds(targets, plan.n_folds, plan.seed, plan.n_repeats), "folds")
     fm = build_feature_matrix(list(specs), Inputs(seen, headlines, targets))
-    masks = category_masks(fm, folds, plan)
-    columns = fm.all_columns()
-    design = materialize(_design(fm, columns, targets, folds, plan), "design")
-
-    moments = _group_moments(_Group([Trial("all", tuple(specs), model)], columns, design, False), plan)
+    design = build_design(fm, targets, folds, plan)
+    masks = design.masks()
+    every = Trial("all", tuple(specs), model)
+    columns = trial_columns(every, fm, design)
+    moments = trial_moments([every], design)
 
     chosen: list[str] = []
     steps = []
@@ -47,12 +47,10 @@ def forward_select(
         candidates = [c for c in columns if c not in chosen]
         trials = [Trial(c, tuple(specs), model, position_sizing or {}, (*chosen, c)) for c in candidates]
         numbers = {t.name: n for n, t in enumerate(trials)}
-        group = _Group(trials, columns, design, False)
-        errors: dict[str, str] = {}
-        fits, _ = _fit_group(group, fm, masks, plan, numbers, errors, False, moments)
+        fits, _ = fit_trials(trials, fm, design, masks, numbers, {}, False, moments)
         if not fits:
             break
-        oof = _positions(_named([_score(group, plan, fits)], numbers, plan), trials)
+        oof = _positions(_named(_score(design, fits), numbers, plan), trials)
         scores = evaluate.fold_sharpes(oof, ["experiment_name", "repeat", "fold"])
         best = (
             scores.groupBy("experiment_name")

@@ -9,14 +9,12 @@ from __future__ import annotations
 import time
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from tickloom.operators.folds import holdout_split, session_folds
 from tickloom.operators.price import LEGACY_COLUMNS, legacy_block
 from tickloom.operators.targets import build_targets, regression_metrics, sharpe
+from tickloom.plans import forest
 from tickloom.plans.evaluate import model_leaderboard, with_rank
 from tickloom.plans.linear import Fit, Model, position_sharpe
 from tickloom.plans.moments import ONE, Y_SQUARED, Moments, collect_moments
@@ -111,14 +109,9 @@ def random_forest(seen: DataFrame, unseen: DataFrame, trees: int = 100, depth: i
     """Forest on the older block, 80/20 split: (importances, R2/MSE/Sharpe per side)."""
     design = legacy_design(seen, unseen)
     rows = materialize(design.join(holdout_split(design, seed), "session"), "forest")
-    vectors = VectorAssembler(inputCols=LEGACY_COLUMNS, outputCol="features").transform(rows)
-    forest = RandomForestRegressor(labelCol=TARGET, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
-    model = forest.fit(vectors.where(~F.col("is_valid")))
-    scored = model.transform(vectors).select("session", "is_valid", TARGET, "prediction")
-    importances = np.asarray(model.featureImportances.toArray(), dtype=float)
-    table = seen.sparkSession.createDataFrame(
-        [(c, float(v)) for c, v in zip(LEGACY_COLUMNS, importances)], "feature string, importance double"
-    )
+    model = forest.grow(rows.where(~F.col("is_valid")), LEGACY_COLUMNS, TARGET, trees, depth, seed)
+    scored = forest.predict(rows, model, ["session", "is_valid", TARGET])
+    table = seen.sparkSession.createDataFrame(model.importances(), "feature string, importance double")
     value = F.col("prediction") * F.col(TARGET)
     metrics = regression_metrics(scored, "prediction", TARGET, ["is_valid"]).join(
         scored.groupBy("is_valid").agg(sharpe(value).alias("sharpe")), "is_valid"

@@ -59,7 +59,7 @@ def vector_block(news: News, table: DataFrame, block: VectorBlock, dims: int, ba
     else:
         out = vectors.company_weighted_vectors(news.parsed, news.scored, table, block.text_source, dims)
     if block.include_structured_features:
-        out = out.join(news.text_features(), "session", "left")
+        out = out.join(news.wide_text_features(), "session", "left")
     elif block.include_relevance_summary and block.aggregation == "company_weighted":
         relevance = summary.relevance_summary(news.scored).select("session", *RELEVANCE_SUMMARY)
         out = out.join(relevance, "session", "left")

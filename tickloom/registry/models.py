@@ -401,34 +401,6 @@ def _blocks(*names):
     return tuple(FeatureSpec(n) for n in names)
 
 
-@query("ridge_full")
-def ridge_full(spark, sf_dir):
-    """Raw ridge over the whole price block: out-of-fold predictions."""
-    seen, unseen, headlines = inputs(spark, sf_dir)
-    trial = Trial("ridge_full", _blocks("price"), build_model("ridge", {"alpha": 10.0}))
-    return cross_validate([trial], seen, unseen, headlines).oof
-
-
-@query("uncertainty_ridge")
-def uncertainty_ridge(spark, sf_dir):
-    """Standardised ridge with feature-driven uncertainty: out-of-fold predictions."""
-    seen, unseen, headlines = inputs(spark, sf_dir)
-    trial = Trial("linear", _blocks("price", "price_technical"), build_model("linear"))
-    return cross_validate([trial], seen, unseen, headlines).oof
-
-
-@query("forest")
-def forest(spark, sf_dir):
-    seen, unseen, _ = inputs(spark, sf_dir)
-    return sweep.random_forest(seen, unseen)[0]
-
-
-@query("forest_metrics")
-def forest_metrics(spark, sf_dir):
-    seen, unseen, _ = inputs(spark, sf_dir)
-    return sweep.random_forest(seen, unseen)[1]
-
-
 _COEFS = {"(intercept)": 0.01, "close_volatility": 0.002, "max_drawdown": -0.05, "up_bar_ratio": 0.1, "not_there": 3.0}
 
 
@@ -835,7 +807,7 @@ def _small_results(spark, sf_dir):
         _SMALL
         + """,
 q AS (SELECT row_number() OVER (ORDER BY mean_cv_sharpe DESC, experiment_name) AS rank, *, 'price' AS feature_blocks, 'ridge' AS model, 'ok' AS status FROM lb
-      UNION ALL SELECT NULL, 'unknown', NULL, NULL, NULL, NULL, NULL, NULL, 'error')""",
+      UNION ALL SELECT NULL, 'unknown', NULL, NULL, NULL, NULL, '', '', 'error')""",
         "experiment_name:s rank:i mean_cv_sharpe std_cv_sharpe mean_feature_count cv_folds feature_blocks:s model:s status:s",
         "q",
     ),
@@ -843,7 +815,7 @@ q AS (SELECT row_number() OVER (ORDER BY mean_cv_sharpe DESC, experiment_name) A
 def sweep_small(spark, sf_dir):
     """The leaderboard of six ridges and a trial that cannot be built."""
     results, trials = _small_results(spark, sf_dir)
-    return tidy(results.leaderboard(trials).drop("error", "elapsed_seconds"))
+    return tidy(results.leaderboard(trials).drop("error", "elapsed_seconds", "config_path"))
 
 
 @query(
@@ -895,20 +867,6 @@ def sweep_small_best(spark, sf_dir):
     return tidy(evaluate.best_by_metric(evaluate.leaderboard(results.folds), ["mean_cv_sharpe", "std_cv_sharpe"]))
 
 
-@query("repeated_cv_experiment")
-def repeated_cv_experiment(spark, sf_dir):
-    """Ten repeats of price, sequence and two regime columns, sized at the 70th percentile."""
-    seen, unseen, headlines = inputs(spark, sf_dir)
-    columns = ["weighted_vol_scaled_polarity_3_mean", "weighted_vol_scaled_polarity_5_mean"]
-    blocks = (
-        *_blocks("price", "headline_sequence"),
-        FeatureSpec("headline_regime_context", {"include_columns": columns}),
-    )
-    trial = Trial("regime_small_p70", blocks, build_model("linear"), {"percentile": 70.0, "neutral_band": 0.0})
-    cv = cross_validate([trial], seen, unseen, headlines, FoldPlan(n_repeats=10))
-    return evaluate.average_repeats(cv.oof)
-
-
 def _position_models():
     models = {f"sharpe_l{p}": build_model("max_sharpe", {"penalty": p}) for p in (0.0, 0.001, 0.01, 0.1, 1.0)}
     models |= {f"ridge_a{a}": build_model("ridge", {"alpha": a}) for a in (0.1, 1.0, 10.0, 100.0)}

@@ -727,10 +727,19 @@ q AS (SELECT text, dim, (v / sqrt(sum(v * v) OVER (PARTITION BY text)))::FLOAT A
     tidy_sql(EVENTS + _HEADLINE_VECTORS + _ENCODED + ",\nz AS (SELECT * FROM q WHERE value <> 0)", "text:s dim:i value", "z"),
 )
 def encode_texts(spark, sf_dir):
-    """Distinct event texts through the batch encoder into a cache table, in two updates; the entries that are not 0."""
+    """Distinct event texts through the batch encoder into a cache table, in two updates that overlap; the entries that are not 0.
+
+    The early texts are then appended once more, negated and right again, and the cache is compacted.
+    """
     p = news(spark, sf_dir).parsed
     path = f"{checkpoint_dir(spark).rstrip('/')}/vector-cache-{uuid.uuid4().hex}"
     encoder = partial(vectors.hashed_words, DIMS)
     vectors.update_cache(path, _headline_texts(p.where(F.col("bar_ix") < 5)), encoder)
-    done = vectors.update_cache(path, _headline_texts(p), encoder)
+    vectors.update_cache(path, _headline_texts(p), encoder)
+    early = vectors.cached(path, _headline_texts(p.where(F.col("bar_ix") < 5)))
+    early = materialize(early, "early")
+    for sign in (-1, 1):
+        vectors.append_cache(path, early.select("text", F.transform("embedding", lambda x: (x * sign).cast("float")).alias("embedding")))
+    vectors.compact_cache(spark, path)
+    done = vectors.read_cache(spark, path)
     return tidy(done.select("text", F.posexplode("embedding").alias("dim", "value")).where("value <> 0"))

@@ -8,8 +8,6 @@ from tickloom.functions.ranking import ntile_of, ranked
 
 BARS_PER_SESSION = 100
 SEEN_BARS = 50
-# Order keys of one slab are sorted together; the slab width is fixed, so slabs grow in number with the data.
-ORDER_KEY_SLAB = 1 << 20
 
 _TICK_ORDER = [
     "l_shipdate",
@@ -30,9 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ticks(lineitem: DataFrame) -> DataFrame:
     """Line items in session (supplier) order: rank `pos` and bar number `bar_ix` 0..99."""
     rows = lineitem.select("l_suppkey", *_TICK_ORDER).where(F.col("l_suppkey").isNotNull())
-    day = F.coalesce(F.col("l_shipdate").cast("date"), F.lit("0001-01-01").cast("date"))
-    slab = F.coalesce(F.floor(F.col("l_orderkey") / ORDER_KEY_SLAB), F.lit(-1).cast("long"))
-    placed = ranked(rows, ["l_suppkey"], [day, slab], _TICK_ORDER, rank="pos", size="n_ticks")
+    placed = ranked(rows, ["l_suppkey"], _TICK_ORDER, rank="pos", size="n_ticks")
     bar = ntile_of(F.col("pos"), F.col("n_ticks"), BARS_PER_SESSION) - 1
     return placed.select(
         F.col("l_suppkey").alias("session"),
@@ -95,10 +91,8 @@ def headlines_from_lineitem(lineitem: DataFrame) -> DataFrame:
 
 def bars_from_events(events: DataFrame) -> DataFrame:
     """Bars of unequal session length: one bar per event of a user, opening at the previous value."""
-    day = F.coalesce(F.col("ts").cast("date"), F.lit("0001-01-01").cast("date"))
-    hour = F.coalesce(F.hour("ts"), F.lit(-1))
     rows = events.where(F.col("user_id").isNotNull()).select("user_id", "ts", "event_id", "value")
-    placed = ranked(rows, ["user_id"], [day, hour], ["ts", "event_id"], rank="pos")
+    placed = ranked(rows, ["user_id"], ["ts", "event_id"], rank="pos")
     # The previous value comes by an equi-join on the position, not by a window over the whole user.
     previous = placed.select("user_id", (F.col("pos") + 1).alias("pos"), F.col("value").alias("prev"))
     joined = placed.join(previous, ["user_id", "pos"], "left").withColumn(

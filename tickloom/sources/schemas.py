@@ -36,3 +36,18 @@ PREDICTIONS = T.StructType(
         T.StructField("target_position", T.DoubleType()),
     ]
 )
+
+# Keys of a registry record.
+REGISTRY = T.StructType(
+    [
+        T.StructField("submission_path", T.StringType()),
+        T.StructField("created_at_utc", T.StringType()),
+        T.StructField("model_name", T.StringType()),
+        T.StructField("test_split", T.StringType()),
+        T.StructField("feature_count", T.LongType()),
+        T.StructField("mean_cv_sharpe", T.DoubleType()),
+        T.StructField("include_headlines", T.BooleanType()),
+        T.StructField("notes", T.StringType()),
+        T.StructField("row_count", T.LongType()),
+    ]
+)
