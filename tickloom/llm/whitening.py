@@ -115,8 +115,11 @@ class Whitening:
 
 
 def usable(vectors: DataFrame, column: str = "embedding") -> tuple[DataFrame, int]:
-    """(vec_id, x) of the vectors that take part, and their length: the one that most have, the greater of equally frequent ones."""
-    rows = vectors.select("vec_id", fixed_point(column).alias("x")).where("x IS NOT NULL")
+    """(vec_id, x) of the vectors that take part, and their length: the one that most have, the greater of equally frequent ones.
+
+    The integers are written once, in fewer bytes than the vectors, and read by every later pass.
+    """
+    rows = materialize(vectors.select("vec_id", fixed_point(column).alias("x")).where("x IS NOT NULL"), "fixed-point")
     common = rows.groupBy(F.size("x").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
     dims = common["size"] if common else 0
     return rows.where(F.size("x") == dims), dims
