@@ -252,6 +252,22 @@ def test_sums_before_with_one_hot_group(spark):
 # ---- decontamination
 
 
+def test_draw_keeps_the_budgets_of_sources_that_share_rows(spark):
+    """One id and text in several sources, null among them: each source draws the words that it was given, whatever the order of the rows."""
+    rows = [(1, "one two three four five six seven", s) for s in ("a", "b", None)] + [(d, "w " * d, s) for d in range(2, 9) for s in ("a", "b", None)]
+    for order in (rows, rows[::-1], rows + rows[:4]):
+        for seed in ("mix", "other"):
+            docs = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(3)
+            mixed = mixing.mix(docs, seed=seed)
+            want = Counter()
+            for r in mixed.collect():
+                want[r.source] += r.taken
+            got = Counter()
+            for r in mixing.draw(docs, mixed).collect():
+                got[r.source] += len(split(r.text))
+            assert got == want
+
+
 def brute_leaks(rows, items, width):
     norm = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t)) if w]
     grams = defaultdict(set)

@@ -40,6 +40,16 @@ def test_stages_equal_brute_force(spark):
     assert max(counts.values()) - min(counts[s] for s in range(24)) <= 1
 
 
+def test_first_stage_drops_what_has_no_clear_language(spark):
+    """Texts without letters go, and those that are like every language alike; texts of the learned languages stay."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = [(10**6, "1234 5678 ... !!!"), (10**6 + 1, ""), (10**6 + 2, None), (10**6 + 3, "?? -- ??")]
+    more = spark.createDataFrame([(d, t, None, "odd", 0) for d, t in odd], docs.schema)
+    kept = pipeline.keep_known_languages(spark, docs.unionByName(more), SF)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
 def test_stages_take_awkward_tables(spark):
     for docs in (edge_docs(spark), empty_docs(spark)):
         columns = docs.columns

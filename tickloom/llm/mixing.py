@@ -60,22 +60,27 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), factor: float = 1
     whole = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
     rest = budget - whole * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before")))
-    out = placed.join(F.broadcast(sources) if sources.count() <= 10_000 else sources, "source_key")
+    out = placed.join(sources, "source_key")  # a written table: broadcast where Spark sees that it is small
     return out.withColumn("copies", whole).withColumn("part", part.cast("long")).withColumn("taken", F.col("copies") * F.col("size") + F.col("part")).drop("key", "source_key")
 
 
 def draw(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The mixture itself: rows of `docs`, repeated as `mixed` says; the partial copy keeps its first words.
 
-    Null ids are matched with null. Documents without words are not part of a mixture of words and are left out. A cut text has its
-    words joined by one space, and its own n_chars where there is such a column.
+    A row takes what was given to its id, text and source, so every source's drawn words are those it was given, in whatever order the rows
+    come; rows equal in all three may change places. Nulls are matched with nulls. Documents without words are not part of a mixture of
+    words and are left out. A cut text has its words joined by one space, and its own n_chars where there is such a column. Empty tables give an
+    empty one.
     """
     # equal rows have one size; their parts may differ, so they are dealt out one by one
-    want = mixed.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("copies").alias("__copies"), F.col("part").alias("__part"))
-    want = want.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__tag").orderBy(F.desc("__part")))).where("__copies > 0 OR __part > 0")
+    names = {"doc_id": "__id", "tag": "__tag", "source": "__source", "copies": "__copies", "part": "__part"}
+    want = mixed.select(*[F.col(c).alias(n) for c, n in names.items()])
+    equal = Window.partitionBy("__id", "__tag", "__source").orderBy(F.desc("__part"))
+    want = want.withColumn("__nth", F.row_number().over(equal)).where("__copies > 0 OR __part > 0")
     have = docs.withColumn("__own", F.xxhash64("text"))
-    have = have.withColumn("__number", F.row_number().over(Window.partitionBy("doc_id", "__own").orderBy(F.lit(0))))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__tag")) & (F.col("__number") == F.col("__nth"))
+    have = have.withColumn("__number", F.row_number().over(Window.partitionBy("doc_id", "__own", "source").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    same = same & (F.col("__own") == F.col("__tag")) & (F.col("__number") == F.col("__nth"))
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     whole = F.array_repeat(F.lit(-1).cast("long"), F.col("__copies").cast("int"))
     takes = F.when(F.col("__part") > 0, F.concat(whole, F.array("__part"))).otherwise(whole)

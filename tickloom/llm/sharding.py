@@ -167,7 +167,7 @@ def propagate(rows: DataFrame, links: DataFrame, quotas: list[int]) -> DataFrame
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: str = "shard") -> DataFrame:
-    """`docs` with (size, tag, shard, slot) for every row: shards 0 ... shards - 1, row counts at most one apart, slots gapless from 0.
+    """`docs` with (size, shard, slot) for every row: shards 0 ... shards - 1, row counts at most one apart, slots gapless from 0.
 
     Rows with equal texts are linked. size is the UTF-8 bytes of the text (null: none) plus 8. Null texts have no links; empty
     texts are equal texts. A group is cut only if it is larger than a shard, or if no shard has room for it after the larger ones.
