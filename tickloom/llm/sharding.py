@@ -1,12 +1,13 @@
 """Shards of even size that keep linked documents together: balanced label propagation.
 
 Links are memberships of rows in hubs (here: the text that equal documents share), so a group of any size costs one link a row.
-Groups of equal texts start whole, the largest first, each in the shard with most room; only those that fit nowhere are cut.
-Rows of other links start evenly spread. In each round, a table of members by hub and shard is counted (map-side combined) and
+Linked rows start evenly spread over the shards, every group cut into as many pieces as there are. In each round, a table of members by hub and shard is counted (map-side combined) and
 joined back; a row wants the shard where its hubs have most members. Ties go to open shards, then by a hash of hub, shard and round,
 so that the rows of a hub want the same and wants run both ways between two shards. Wants are counted by pair of shards, and quotas let rows
 move: one for one between two shards, and one way while the target has room. Where a quota holds some back, a hash of the row decides who moves. Shards that are full and that nobody wants to leave
-stop attracting rows, so a group larger than a shard fills the next one. Rows without links fill each shard to its exact size.
+stop attracting rows, so a group larger than a shard fills the next one. Groups that are still cut when nothing moves any more, or after
+MAX_ROUNDS, are packed, the largest first, into the room that the others leave; only those that fit nowhere stay cut. Rows without links
+fill each shard to its exact size.
 
 The driver sees numbers by pair of shards and by size of group only. Everything else is joins and aggregates in SQL functions; each round is a written
 table.
@@ -23,7 +24,7 @@ from tickloom.llm.common import query, table
 from tickloom.llm.prefix import hash_key, sums_before
 from tickloom.session import materialize
 
-MAX_ROUNDS = 32  # moves stop by themselves; a bound all the same
+MAX_ROUNDS = 32  # moves stop by themselves; what a bound leaves cut is packed
 
 
 def _quotas(rows: int, shards: int) -> list[int]:
@@ -166,11 +167,27 @@ def propagate(rows: DataFrame, links: DataFrame, quotas: list[int]) -> DataFrame
     return placed
 
 
+def _packed(links: DataFrame, placed: DataFrame, quotas: list[int], rows: int) -> DataFrame:
+    """(row, key, shard): `placed` where it holds a group whole; the other groups of `links` (row, key, hub, c, at) packed beside them."""
+    spread = links.join(placed.select("row", "shard"), "row").groupBy("hub").agg(F.min("shard").alias("shard"), F.max("shard").alias("last"), F.max("c").alias("c"), F.max("at").alias("at"))
+    spread = materialize(spread, "groups")
+    together = spread.where("shard = last")
+    whole = links.join(together.select("hub", "shard"), "hub").select("row", "key", "shard")
+    held = dict(together.groupBy("shard").agg(F.sum("c")).collect())
+    cut = spread.where("shard <> last").withColumn("one", F.lit(1))
+    groups = dict(cut.groupBy("c").count().collect())
+    if not groups:
+        return whole
+    cut = sums_before(cut, ["c"], "at", ["hub"], "one", "nth", sum(groups.values()))
+    members = links.join(cut.select("hub", "nth"), "hub").select("row", "key", "hub", "c", "nth")
+    return whole.union(_whole(members, _pack(groups, [q - held.get(s, 0) for s, q in enumerate(quotas)]), rows))
+
+
 def shard(docs: DataFrame, shards: int = 24, seed: str = "shard") -> DataFrame:
     """`docs` with (size, shard, slot) for every row: shards 0 ... shards - 1, row counts at most one apart, slots gapless from 0.
 
     Rows with equal texts are linked. size is the UTF-8 bytes of the text (null: none) plus 8. Null texts have no links; empty
-    texts are equal texts. A group is cut only if it is larger than a shard, or if no shard has room for it after the larger ones.
+    texts are equal texts. Propagation places the groups; one that it leaves cut stays so only if it is larger than any room that is left.
     Rows are told apart by number, so repeated rows and null or repeated ids are rows like any other.
     Columns of `docs` with the names of the new ones are replaced. An empty table gives an empty one.
     """
@@ -181,10 +198,9 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = "shard") -> DataFrame:
     quotas = _quotas(total, shards)
     hubs = keyed.where(F.col("hub").isNotNull()).groupBy("hub").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     hubs = materialize(hubs.withColumn("at", F.conv(F.substring(F.hex("hub"), 1, 15), 16, 10).cast("long")), "hubs")
-    groups = dict(hubs.groupBy("c").count().collect())
-    hubs = sums_before(hubs.withColumn("one", F.lit(1)), ["c"], "at", ["hub"], "one", "nth", sum(groups.values()))
-    links = materialize(keyed.join(hubs, "hub").select("row", "key", "hub", "c", "nth"), "members")
-    linked = propagate(_whole(links, _pack(groups, quotas), total), links.select("row", "hub"), quotas)
+    links = materialize(keyed.join(hubs, "hub").select("row", "key", "hub", "c", "at"), "members")
+    placed = propagate(links.select("row", "key"), links.select("row", "hub"), quotas)
+    linked = materialize(_packed(links, placed, quotas, total), "linked")
     held = dict(linked.groupBy("shard").count().collect())
     rest = keyed.select("row", "key").join(linked.select("row"), "row", "left_anti").withColumn("one", F.lit(1))
     rest = sums_before(rest, [], "key", ["row"], "one", "number", total)
