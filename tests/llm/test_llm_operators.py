@@ -388,19 +388,6 @@ def test_pairs_change_places_when_all_shards_are_full(spark):
     assert sum(placed[i] != placed[i + 1] for i in range(0, 1200, 2)) <= 60  # at the start about 500
 
 
-def test_propagation_places_groups_round_by_round(spark, monkeypatch):
-    """From an even start, where every group is cut, each round cuts fewer links; with room left, the rounds alone join nearly all groups."""
-    rows = spark.createDataFrame([(i, i * 7919 % 900 * 10**15) for i in range(900)], "row long, key long")
-    links = spark.createDataFrame([(i, f"t{i // 6}") for i in range(900)], "row long, hub string")
-    cuts = []
-    for rounds in (0, 1, 2, 32):
-        monkeypatch.setattr(sharding, "MAX_ROUNDS", rounds)
-        placed = {r.row: r.shard for r in sharding.propagate(rows, links, [300] * 6).collect()}
-        assert len(placed) == 900 and max(Counter(placed.values()).values()) <= 300
-        cuts.append(sum(6 - max(Counter(placed[g * 6 + i] for i in range(6)).values()) for g in range(150)))
-    assert cuts == sorted(cuts, reverse=True) and cuts[0] >= 400 and cuts[1] < cuts[0] and cuts[-1] <= 15
-
-
 @pytest.mark.parametrize("seed", range(20))
 def test_packing_places_every_row_once(seed):
     rng = random.Random(seed)
