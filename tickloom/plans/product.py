@@ -109,16 +109,24 @@ class Split:
 
 
 def predict_splits(model: FullModel, splits: Sequence[Split]) -> dict[str, DataFrame]:
-    """Shaped predictions of every split.
+    """Shaped predictions of every split, from one pass over the features of all of them.
 
-    Each split is predicted by itself: features are grouped by session, and splits may share session ids.
+    Splits may share session ids: a session is numbered by (id, split) meanwhile. Features belong to a session, categories and sizes to a split.
     """
-    out = {}
-    for split in splits:
-        batches = materialize(split.sessions.withColumn("batch", F.lit(0)), "batches")
-        predicted = materialize(predict(model, split.bars, split.headlines, batches), "predictions")
-        out[split.name] = sinks.shape_predictions(predicted)
-    return out
+    n = len(splits)
+
+    def together(frames: Sequence[DataFrame]) -> DataFrame:
+        numbered = [df.withColumn("session", F.col("session").cast("long") * n + i) for i, df in enumerate(frames)]
+        out = numbered[0]
+        for df in numbered[1:]:
+            out = out.unionByName(df, allowMissingColumns=True)
+        return out
+
+    batches = together([split.sessions.withColumn("batch", F.lit(i)) for i, split in enumerate(splits)])
+    bars, headlines = together([split.bars for split in splits]), together([split.headlines for split in splits])
+    predicted = materialize(predict(model, bars, headlines, materialize(batches, "batches")), "predictions")
+    own = {split.name: predicted.where(F.col("batch") == i).withColumn("session", F.expr(f"(session - {i}) div {n}")) for i, split in enumerate(splits)}
+    return {name: sinks.shape_predictions(rows) for name, rows in own.items()}
 
 
 def prediction_product(model: FullModel, public: Split, private: Split) -> DataFrame:

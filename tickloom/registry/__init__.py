@@ -4,7 +4,7 @@ from tickloom.registry import common
 
 
 def _load() -> None:
-    from tickloom.registry import bars, files, fits, forests, models, text  # noqa: F401
+    from tickloom.registry import bars, files, fits, forests, grammar, models, sweeps, text  # noqa: F401
 
 
 def queries():

@@ -867,30 +867,6 @@ def sweep_small_best(spark, sf_dir):
     return tidy(evaluate.best_by_metric(evaluate.leaderboard(results.folds), ["mean_cv_sharpe", "std_cv_sharpe"]))
 
 
-def _position_models():
-    models = {f"sharpe_l{p}": build_model("max_sharpe", {"penalty": p}) for p in (0.0, 0.001, 0.01, 0.1, 1.0)}
-    models |= {f"ridge_a{a}": build_model("ridge", {"alpha": a}) for a in (0.1, 1.0, 10.0, 100.0)}
-    models |= {f"standardised_a{a}": build_model("linear", {"alpha": a}) for a in (20.0, 200.0, 2000.0)}
-    models |= {
-        f"weighted_p{p}_a{a}": build_model("weighted_ridge", {"alpha": a, "weight_power": p, "min_weight": 0.25})
-        for p in (0.5, 1.0)
-        for a in (1.0, 10.0)
-    }
-    return models
-
-
-@query("position_sweep_holdout")
-def position_sweep_holdout(spark, sf_dir):
-    seen, unseen, _ = inputs(spark, sf_dir)
-    return sweep.holdout_sweep(seen, unseen, _position_models())
-
-
-@query("position_sweep_folds")
-def position_sweep_folds(spark, sf_dir):
-    seen, unseen, _ = inputs(spark, sf_dir)
-    return sweep.cv_sweep(seen, unseen, _position_models())
-
-
 @query("forward_selection")
 def forward_selection(spark, sf_dir):
     seen, unseen, headlines = inputs(spark, sf_dir)
@@ -1040,17 +1016,6 @@ def prediction_product_query(spark, sf_dir):
     return prediction_product(model, *splits)
 
 
-@query("legacy_position_product")
-def legacy_position_product(spark, sf_dir):
-    """Direct-Sharpe positions on the older block, fitted on the train folds and scaled by 1000."""
-    seen, unseen, _ = inputs(spark, sf_dir)
-    design = materialize(sweep.legacy_design(seen, unseen), "legacy")
-    folds = session_folds(design)
-    rows = design.join(folds.select("session", "fold"), "session")
-    fit = sweep.fit_positions(rows.where(F.col("fold") >= 2), price.LEGACY_COLUMNS, build_model("max_sharpe", {"penalty": 0.01}))
-    return sinks.shape_predictions(sweep.linear_scores(rows.where(F.col("fold") < 2), price.LEGACY_COLUMNS, fit, 1000.0))
-
-
 # The same on two features in closed form: fitted on folds 2 to 4, folds 0 and 1 sized apart.
 _SMALL_PRODUCT = (
     _FOLDED
