@@ -1,7 +1,8 @@
 """Removal of benchmark text from documents: a hash set of normalised word windows, scanned, verified, and cut out.
 
 All of it is SQL functions. Each document row hashes its own windows and keeps the positions whose hash the benchmark has; only
-those few leave the row, with their words, and are joined to the benchmark's windows on the words themselves.
+those few leave the row, with their words, and are joined to the benchmark's windows on the words themselves. The hash set is cut into slices of
+the hash range, so that no plan or task holds more than a bounded part of it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.llm.common import query, table
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SET_WINDOWS = 50_000  # a larger benchmark is joined by shuffle, without the hash set; the rows are the same
+SET_WINDOWS = 50_000  # hashes in one literal set; those of a larger benchmark are cut into slices, one set each
+PASS_SETS = 4  # sets in one scan of the documents
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,20 +40,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 10, set_windows: i
     """
     grams = benchmark_windows(benchmark, width)
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # at most `width` numbers
-    known = grams.select("h").distinct().limit(set_windows + 1).collect()
-    small = len(known) <= set_windows
+    sets = max(1, -(-grams.agg(F.count_distinct("h")).first()[0] // set_windows))
     words = docs.select("doc_id", F.xxhash64("text").alias("tag"), normal_words().alias("w"))
-    hits = [F.array().cast("array<struct<pos:int,len:int,gram:string>>")]
-    for n in lengths:
-        places = f"if(size(w) >= {n}, sequence(1, size(w) - {n} + 1), cast(array() as array<int>))"
-        if small:
-            places = f"filter({places}, i -> xxhash64(slice(w, i, {n})) IN ({', '.join(str(r[0]) for r in known)}))"
-        hits.append(F.expr(f"transform({places}, i -> struct(i AS pos, {n} AS len, array_join(slice(w, i, {n}), ' ') AS gram))"))
-    found = words.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), F.concat(*hits).alias("hits"))
-    rows = found.select("doc_id", "tag", "n_words", F.posexplode_outer("hits").alias("nth", "hit"))
+    rows = None
+    for first in range(0, sets, PASS_SETS):
+        hits = [F.array().cast("array<struct<pos:int,len:int,gram:string>>")]
+        for part in range(first, min(first + PASS_SETS, sets)):
+            known = ", ".join(str(r[0]) for r in grams.where(F.pmod("h", F.lit(sets)) == part).select("h").distinct().collect())  # about set_windows
+            for n in lengths if known else []:
+                places = f"if(size(w) >= {n}, sequence(1, size(w) - {n} + 1), cast(array() as array<int>))"
+                places = f"filter({places}, i -> xxhash64(slice(w, i, {n})) IN ({known}))"
+                hits.append(F.expr(f"transform({places}, i -> struct(i AS pos, {n} AS len, array_join(slice(w, i, {n}), ' ') AS gram))"))
+        found = words.select("doc_id", "tag", F.size("w").cast("long").alias("n_words"), F.concat(*hits).alias("hits"))
+        if rows is None:  # the first scan stands for the rows themselves
+            rows = found.select("doc_id", "tag", "n_words", F.posexplode_outer("hits").alias("nth", "hit"))
+        else:
+            rows = rows.union(found.select("doc_id", "tag", "n_words", F.lit(1).alias("nth"), F.explode("hits").alias("hit")))
     rows = rows.select("doc_id", "tag", "n_words", "nth", "hit.*")
     right = grams.select("gram", "items")
-    joined = rows.join(F.broadcast(right) if small else right, "gram", "left")
+    joined = rows.join(F.broadcast(right) if sets == 1 else right, "gram", "left")
     out = joined.groupBy("doc_id", "tag", "n_words").agg(
         F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, 1)).cast("int").alias("rows"),
         F.collect_set(F.when(F.col("items").isNotNull(), F.struct("pos", "len"))).alias("spans"),
@@ -69,7 +76,8 @@ def covered(spans: str = "spans") -> Column:
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 10, remove: str = "documents") -> DataFrame:
     """`docs` without the documents that hold benchmark windows, or with the windows' words removed (remove="spans").
 
-    A document with removed spans keeps its other words, normalised and joined by one space; the others keep their text.
+    A document with removed spans keeps its other words, normalised and joined by one space; the others keep their text. Null ids are matched
+    with nulls, rows that share an id by their text; null and empty texts hold no window and stay. Either table may be empty.
     """
     found = leaks(docs, benchmark, width).where(F.size("spans") > 0).distinct()
     found = found.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
