@@ -1,8 +1,10 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
-from tickloom.operators.price import LEGACY_COLUMNS, legacy_block, price_block, technical_block
+from tickloom.operators.price import LEGACY_COLUMNS, legacy_block, price_block, technical_block, two_largest_amplitudes
+from tickloom.operators.profile import correlation_matrix
 from tickloom.operators.targets import build_targets, strategy_sharpes
 from tickloom.sources.schemas import BARS
 from tickloom.sources.tables import dataset_path
@@ -151,3 +153,38 @@ def test_dataset_paths():
     for args in (("seen", "nope"), ("nope", "train"), ("unseen", "public_test")):
         with pytest.raises(ValueError):
             dataset_path("/d", "bars", *args)
+
+
+def test_correlations_of_many_columns(spark):
+    """Three hundred columns, some with gaps, one constant."""
+    rng = np.random.default_rng(6)
+    p, n = 300, 80
+    x = rng.normal(size=(n, p)) @ rng.normal(size=(p, p)) + 1e5 * rng.normal(size=p)
+    x[:, 7] = 3.0
+    x[rng.random((n, p)) < 0.0005] = np.nan
+    frame = pd.DataFrame(x, columns=[f"c{i}" for i in range(p)])
+    df = spark.createDataFrame(frame).replace(float("nan"), None).repartition(3)
+    got = correlation_matrix(df, list(frame.columns)).toPandas().pivot(index="feature_a", columns="feature_b", values="correlation")
+    got = got.loc[frame.columns, frame.columns].to_numpy()
+    assert np.isnan(got[7]).all() and np.isnan(got[:, 7]).all()
+    whole = [i for i in range(p) if i != 7 and not np.isnan(x[:, i]).any()]
+    assert len(whole) > 250
+    assert got[np.ix_(whole, whole)] == pytest.approx(np.corrcoef(x[:, whole].T), abs=1e-9)
+
+
+def test_amplitudes_need_no_rows_by_frequency(bars):
+    plan = technical_block(bars)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ArrowEvalPython" in plan
+
+
+def test_amplitudes_by_hand():
+    lists = [[1.0, 2.0, 3.0], [1.0, 3.0, 2.0, 7.0, 5.0], None, [2.0, None, 4.0, 9.0], [None] * 5, []]
+    got = two_largest_amplitudes(pa.array([x if x is not None else [] for x in lists], pa.list_(pa.float64()))).to_pylist()
+    for values, pair in zip(lists, got):
+        known = [v for v in values or [] if v is not None]
+        if not values or len(values) < 4 or not known:
+            assert list(pair.values()) == [None, None]
+            continue
+        x = np.array([0.0 if v is None else v - np.mean(known) for v in values])
+        want = np.sort(np.abs(np.fft.rfft(x))[1:])[::-1][:2]
+        assert list(pair.values()) == pytest.approx(want.tolist())

@@ -13,8 +13,8 @@ from tickloom.operators import companies, documents, tfidf
 from tickloom.operators.folds import session_folds
 from tickloom.operators.profile import normal_quantile
 from tickloom.operators.targets import build_targets
-from tickloom.plans import evaluate, stored
-from tickloom.plans.blocks import FeatureSpec, Inputs, bar_features, build_feature_matrix
+from tickloom.plans import design, evaluate, forest, stored
+from tickloom.plans.blocks import FeatureSpec, Inputs, TextBlock, bar_features, build_feature_matrix
 from tickloom.plans.experiment import FoldPlan, Trial, cross_validate, trial_grid
 from tickloom.plans.linear import Model, build_model, max_sharpe, position_sharpe, raw_ridge, standardised_ridge, weighted_ridge
 from tickloom.plans.moments import ONE, Y_SQUARED, abs_power, collect_moments
@@ -344,6 +344,44 @@ def test_normal_quantile_equals_the_inverse(spark):
     assert all(r.q == pytest.approx(NormalDist().inv_cdf(r.p), rel=1e-12, abs=1e-15) for r in rows)
 
 
+def test_fold_vocabulary_is_cut_as_if_every_term_met_every_fold(spark):
+    """Terms are held back from the folds only if they cannot be among a fold's best; ties at the cut included."""
+    rng = np.random.default_rng(12)
+    rows = [(0, int(s), f"t{t:03d}", int(n)) for s in range(30) for t, n in zip(rng.choice(200, 40, replace=False), rng.integers(1, 4, 40))]
+    counts = spark.createDataFrame(rows, "slot int, session long, term string, n long")
+    plan = FoldPlan(n_folds=4, n_repeats=2)
+    folds = session_folds(spark.range(30).withColumnRenamed("id", "session"), 4, 42, 2)
+    fold_of = {(r["repeat"], r["session"]): r["fold"] for r in folds.collect()}
+    text = TextBlock("tf", counts, 1, ["session_text"], 2, 12)
+    got = {}
+    for r in design.fold_vocabulary(text, folds, plan).collect():
+        got.setdefault(r["cell"], {})[r["position"]] = (r["term"], r["df"], r["tf"])
+    for cell, (repeat, fold) in enumerate(plan.cells):
+        df, tf = Counter(), Counter()
+        for _, s, t, n in rows:
+            if fold_of[(repeat, s)] != fold:
+                df[t] += 1
+                tf[t] += n
+        best = sorted((t for t in df if df[t] >= 2), key=lambda t: (-tf[t], -df[t], t))[:12]
+        assert [got[cell][i + 1] for i in range(12)] == [(t, df[t], tf[t]) for t in best] and len(got[cell]) == 12
+
+
+def test_forest_follows_a_step(spark):
+    """A target that steps at one feature's middle: every tree splits there first, and the prediction is the step."""
+    rng = np.random.default_rng(2)
+    x = rng.random((400, 3))
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(session=range(400), y=np.where(x[:, 1] > 0.5, 2.0, -1.0))
+    rows = spark.createDataFrame(pdf)
+    model = forest.grow(rows, ["a", "b", "c"], "y", trees=4, depth=2, seed=1)
+    assert {(s[0], s[2]) for s in model.splits if s[1] == 1} == {(t, 1) for t in range(4)}
+    assert dict(model.importances())["b"] > 0.95
+    got = forest.predict(rows, model, ["session", "y"]).toPandas()
+    assert ((got["prediction"] - got["y"]).abs() < 0.2).mean() > 0.9
+    nulls = spark.createDataFrame([(1, None, 1.0), (2, 5.0, None), (None, 2.0, 3.0)], "session long, a double, y double")
+    flat = forest.grow(nulls, ["a"], "y", trees=3, depth=2)
+    assert len(forest.predict(nulls, flat, ["session"]).collect()) == 3
+
+
 def test_top_terms_of_a_large_vocabulary(spark):
     stats = spark.range(5000).select(F.lit(0).alias("slot"), F.concat(F.lit("t"), "id").alias("term"), (F.col("id") % 7 + 1).alias("df"), (F.col("id") % 501).alias("tf"))
     got = tfidf.cut_vocabulary(stats, ["slot"], 2, 1500).collect()

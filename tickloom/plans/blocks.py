@@ -64,7 +64,7 @@ def headline_features(i: Inputs, with_bars: bool = True) -> DataFrame:
         sequence.sequence_features(i.news.parsed, i.news.cells), "session", "left"
     )
     if with_bars:
-        reactions = reaction.reaction_features(i.news.cells, i.news.scored, i.seen)
+        reactions = reaction.reaction_features(i.news.cells, i.news.relevance, i.seen)
         out = out.join(reactions, "session", "left")
     return out
 
@@ -73,7 +73,7 @@ def _regime(i: Inputs, params: dict) -> DataFrame:
     wanted = params.get("include_columns")
     if wanted is not None and not isinstance(wanted, list):
         raise ValueError("include_columns must be a list.")
-    block = reaction.regime_features(i.news.cells, i.news.scored, i.seen)
+    block = reaction.regime_features(i.news.cells, i.news.relevance, i.seen)
     return matrix.pick_columns(block, wanted or None)
 
 
@@ -131,7 +131,7 @@ def _text_block(spec: FeatureSpec, i: Inputs) -> TextBlock | None:
         slots, labels = 1, ["session_text"]
     else:
         slots = int(p.get("top_k", 2))
-        top = summary.top_companies(i.news.scored, slots).select("session", "company", (F.col("slot") - 1).alias("slot"))
+        top = summary.top_companies(i.news.relevance, slots).select("session", "company", (F.col("slot") - 1).alias("slot"))
         parts = documents.document_parts(i.news.parsed, ["session", "company"], text)
         parts = parts.join(top, ["session", "company"]).drop("company")
         labels = [f"top{s}_text" for s in range(1, slots + 1)]

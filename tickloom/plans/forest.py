@@ -60,12 +60,14 @@ class Forest:
         return at
 
     def predict(self, x: np.ndarray) -> np.ndarray:
+        """The mean over the trees that drew any row; 0 if none did."""
         at = self.nodes(self.bins(x))
         total = np.zeros(len(x))
-        for tree in range(self.trees):
+        grown = [tree for tree in range(self.trees) if (tree, 1) in self.leaves]
+        for tree in grown:
             names, place = np.unique(at[:, tree], return_inverse=True)
             total += np.array([self.leaves[(tree, int(n))] for n in names])[place]
-        return total / self.trees
+        return total / max(1, len(grown))
 
     def importances(self) -> list[tuple[str, float]]:
         """Each feature's share of the gain, averaged over the trees that split at all."""

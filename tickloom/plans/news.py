@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.operators.companies import category_counts, company_session, frequent_columns, score_relevance
+from tickloom.operators.companies import category_counts, company_aggregates, company_session, frequent_columns, score_relevance
 from tickloom.operators.events import event_cells, parsed_events
 from tickloom.operators.summary import TOP_K, session_text_features, weighted_category_sums
 from tickloom.session import materialize
@@ -29,7 +29,16 @@ class News:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return materialize(event_cells(self.parsed), "cells")
+        """Cells of the parsed headlines; without a parsed table they come straight from the headlines, and no text is written."""
+        parsed = self.parsed if "parsed" in self.__dict__ else parsed_events(self.headlines)
+        return materialize(event_cells(parsed), "cells")
+
+    @cached_property
+    def relevance(self) -> DataFrame:
+        """Company aggregates with shares, relevance score and weight, from the cells alone: no text order, no sequences."""
+        if "scored" in self.__dict__:
+            return self.scored
+        return materialize(score_relevance(company_aggregates(self.cells), rank=False), "relevance")
 
     @cached_property
     def companies(self) -> DataFrame:
@@ -42,8 +51,8 @@ class News:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        """`scored` with the full relevance rank."""
-        return score_relevance(self.companies, rank=True)
+        """`relevance` with the full relevance rank."""
+        return score_relevance(company_aggregates(self.cells), rank=True)
 
     @cached_property
     def category_counts(self) -> DataFrame:
@@ -54,7 +63,7 @@ class News:
     def category_sums(self) -> DataFrame:
         """Relevance-weighted category counts as rows (session, column, value), whatever the number of categories."""
         counts = self.category_counts.select("session", "company", "column", "value")
-        sums = weighted_category_sums(self.scored, counts)
+        sums = weighted_category_sums(self.relevance, counts)
         return materialize(sums.select("session", F.expr("substring(feature, 3)").alias("column"), "value"), "category-sums")
 
     def text_features(self, k: int = TOP_K) -> DataFrame:

@@ -57,7 +57,7 @@ def vector_block(news: News, table: DataFrame, block: VectorBlock, dims: int, ba
     if block.aggregation == "session":
         out = vectors.session_vectors(news.parsed, table, block.text_source, dims)
     else:
-        out = vectors.company_weighted_vectors(news.parsed, news.scored, table, block.text_source, dims)
+        out = vectors.company_weighted_vectors(news.parsed, news.relevance, table, block.text_source, dims)
     if block.include_structured_features:
         out = out.join(news.wide_text_features(), "session", "left")
     elif block.include_relevance_summary and block.aggregation == "company_weighted":
@@ -66,7 +66,7 @@ def vector_block(news: News, table: DataFrame, block: VectorBlock, dims: int, ba
     if block.include_sequence_features:
         out = out.join(sequence.sequence_features(news.parsed, news.cells), "session", "left")
     if block.include_price_interactions:
-        out = out.join(reaction.reaction_features(news.cells, news.scored, bars), "session", "left")
+        out = out.join(reaction.reaction_features(news.cells, news.relevance, bars), "session", "left")
     return out.na.fill(0.0)
 
 

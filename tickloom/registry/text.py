@@ -349,7 +349,7 @@ wcat AS (SELECT session, 'w_' || "column" AS feature, sum(relevance_weight * val
 @query("weighted_category_sums", tidy_sql(COMPANY + _WEIGHTED_CATEGORIES, f"{D} feature:s value", "wcat"))
 def weighted_category_sums(spark, sf_dir):
     n = news(spark, sf_dir)
-    return tidy(summary.weighted_category_sums(n.scored, companies.frequent_category_counts(n.parsed)))
+    return tidy(summary.weighted_category_sums(n.relevance, companies.frequent_category_counts(n.parsed)))
 
 
 # --- news against prices --------------------------------------------------------------------
@@ -404,7 +404,7 @@ bu AS (SELECT session, avg(CASE WHEN burst THEN 1.0 ELSE 0.0 END) AS burst_bar_s
 def reaction_frame(spark, sf_dir):
     placed = c.placed_ticks(spark, sf_dir)
     n = News(adapters.headlines_from_ticks(placed))
-    return n.cells, n.scored, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
+    return n.cells, n.relevance, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
 
 
 @query(
@@ -566,7 +566,7 @@ slotdoc AS (SELECT slot, cdoc.session, text FROM cdoc JOIN scored USING (session
 def tfidf_company(spark, sf_dir):
     placed = c.placed_ticks(spark, sf_dir)
     n = News(adapters.headlines_from_ticks(placed))
-    top = summary.top_companies(n.scored, 2).select("session", "company", "slot")
+    top = summary.top_companies(n.relevance, 2).select("session", "company", "slot")
     parts = documents.document_parts(n.parsed, ["session", "company"], document_text("body"))
     slotted = parts.join(top, ["session", "company"]).drop("company")
     counts = materialize(tfidf.term_counts(slotted, ["slot", "session"], 2), "terms")
@@ -654,7 +654,7 @@ q AS (SELECT session, 'weighted_emb_' AS block, dim, sum(relevance_weight * m) A
 def vector_company_weighted(spark, sf_dir):
     n = news(spark, sf_dir)
     found = _text_vectors(spark, sf_dir, n.parsed)
-    wide = vectors.company_weighted_vectors(n.parsed, n.scored, found, "event_normalized", DIMS)
+    wide = vectors.company_weighted_vectors(n.parsed, n.relevance, found, "event_normalized", DIMS)
     return tidy(_long_vectors(wide, ["weighted_emb_", "weighted_recent_emb_"]))
 
 
