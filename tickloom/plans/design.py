@@ -28,6 +28,8 @@ TARGET = "target_return"
 EVERY_CELL = -1
 MAX_COLUMNS = 8192  # sparse columns of one fit: the solver works on a square matrix of them
 PAIRS_AT_ONCE = 2_000_000
+BLOCK_VALUES = 2_000_000  # numbers in one dense block of sparse columns, or of their products with the dense columns
+BLOCK_COLUMNS = 1024  # more distinct columns in a block than this are multiplied entry by entry
 ENTRIES = "cells array<int>, ks array<int>, vs array<double>"
 
 
@@ -271,6 +273,17 @@ class Batch:
         return Rows(self.x[rows], place[self.row[at]], self.k[at], self.v[at])
 
 
+def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of a design cut into stretches of rows that hold a bounded number of values, however many entries a row has."""
+    for raw in batches:
+        n = raw.num_rows
+        if n:
+            held = sum(len(raw.column(c).flatten()) for c in ("x", "ks"))
+            step = max(1, BLOCK_VALUES * n // max(1, held))
+            for at in range(0, n, step):
+                yield raw.slice(at, step)
+
+
 class Sums:
     """Sums of vectors by an integer key, kept as sorted distinct keys once they are many."""
 
@@ -294,8 +307,54 @@ class Sums:
         return self.keys[0], self.values[0]
 
 
+def dense_products(batch: Batch, a: np.ndarray, d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sparse columns of the entries `a`, and the weighted sum of the dense rows `d` that each one meets.
+
+    Every entry meets all dense columns, so the entries go in stretches of a bounded number of values.
+    """
+    order = a[np.argsort(batch.k[a], kind="stable")]
+    columns, place = np.unique(batch.k[order], return_inverse=True)
+    lines = np.zeros((len(columns), d.shape[1]))
+    step = max(1, BLOCK_VALUES // d.shape[1])
+    for low in range(0, len(order), step):
+        some, to = order[low : low + step], place[low : low + step]
+        starts = np.flatnonzero(np.diff(to, prepend=-1))
+        lines[to[starts]] += np.add.reduceat(d[batch.row[some]] * (batch.v[some] * w[batch.row[some]])[:, None], starts, axis=0)
+    return columns.astype(np.int64), lines
+
+
 def add_pairs(sums: Sums, batch: Batch, a: np.ndarray, b: np.ndarray, w: np.ndarray, q: int, half: bool) -> None:
-    """Weighted products of every entry of `a` with those of `b` in the same row, under key ka * q + kb (both sorted by row)."""
+    """Weighted products of every entry of `a` with those of `b` in the same row, under key ka * q + kb (both sorted by row).
+
+    Entries go in stretches of whole rows. A stretch of few distinct columns is one product of two dense blocks, which costs as much for
+    any number of entries; others send their pairs. Either way a stretch holds a bounded number of values, whatever the batch.
+    """
+    if not len(a) or not len(b):
+        return
+    rows = np.union1d(batch.row[a], batch.row[b])
+    ca, cb = np.unique(batch.k[a]), np.unique(batch.k[b])
+    step = max(1, BLOCK_VALUES // (len(ca) + len(cb)))
+    for low in range(0, len(rows), step):
+        ends = rows[low], rows[min(low + step, len(rows)) - 1]
+        left, right = (x[np.searchsorted(batch.row[x], ends[0]) : np.searchsorted(batch.row[x], ends[1], side="right")] for x in (a, b))
+        if not len(left) or not len(right):
+            continue
+        v, u = batch.v[left] * w[batch.row[left]], batch.v[right]
+        # What is not finite must meet the entries of its own row only.
+        if max(len(ca), len(cb)) <= BLOCK_COLUMNS and np.isfinite(v).all() and np.isfinite(u).all():
+            n = min(step, len(rows) - low)
+            x, y = np.zeros((n, len(ca))), np.zeros((n, len(cb)))
+            np.add.at(x, (np.searchsorted(rows, batch.row[left]) - low, np.searchsorted(ca, batch.k[left])), v)
+            np.add.at(y, (np.searchsorted(rows, batch.row[right]) - low, np.searchsorted(cb, batch.k[right])), u)
+            product = x.T @ y
+            i, j = np.nonzero(np.triu(product) if half else product)
+            sums.add(ca[i].astype(np.int64) * q + cb[j], product[i, j][:, None])
+        else:
+            _add_single_pairs(sums, batch, left, right, w, q, half)
+
+
+def _add_single_pairs(sums: Sums, batch: Batch, a: np.ndarray, b: np.ndarray, w: np.ndarray, q: int, half: bool) -> None:
+    """`add_pairs` of a stretch, one pair at a time."""
     first = np.searchsorted(batch.row[b], batch.row[a])
     many = np.searchsorted(batch.row[b], batch.row[a], side="right") - first
     cuts = np.searchsorted(np.cumsum(many), np.arange(PAIRS_AT_ONCE, many.sum() + PAIRS_AT_ONCE, PAIRS_AT_ONCE)) + 1
@@ -330,18 +389,13 @@ def design_moments(design: Design, kinds: Sequence[tuple[str, float, float]], sh
         def sparse(key: tuple, batch: Batch, d: np.ndarray, w: np.ndarray, a: np.ndarray, every: np.ndarray | None) -> None:
             if not len(a):
                 return
-            order = a[np.argsort(batch.k[a], kind="stable")]
-            heads = np.flatnonzero(np.diff(batch.k[order], prepend=-1))
-            lines = np.add.reduceat(d[batch.row[order]] * (batch.v[order] * w[batch.row[order]])[:, None], heads, axis=0)
-            cross.setdefault(key, Sums()).add(batch.k[order][heads].astype(np.int64), lines)
+            cross.setdefault(key, Sums()).add(*dense_products(batch, a, d, w))
             sums = pairs.setdefault(key, Sums())
             add_pairs(sums, batch, a, a, w, q, True)
             if every is not None and len(every):
                 add_pairs(sums, batch, a, every, w, q, False)
 
-        for raw in batches:
-            if not raw.num_rows:
-                continue
+        for raw in stretches(batches):
             batch = Batch(raw, plan)
             d = np.column_stack([np.ones(len(batch.y)), batch.x - shift, batch.y])
             for n, kind in enumerate(kinds):

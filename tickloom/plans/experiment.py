@@ -21,7 +21,7 @@ from tickloom.operators.folds import session_folds
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
 from tickloom.plans.blocks import FeatureMatrix, FeatureSpec, Inputs, build_feature_matrix, check_specs
-from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, Sums, build_design, dense_shift, design_moments
+from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, Sums, build_design, dense_shift, design_moments, stretches
 from tickloom.plans.linear import STANDARDISED_ALPHA, Fit, Model, uncertainty_ridge
 from tickloom.plans.moments import ONE, Moments, numbers, sum_vectors
 from tickloom.session import materialize
@@ -121,12 +121,11 @@ def _log_sums(design: Design, fits: dict, shift: np.ndarray) -> dict[tuple[int,
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[tuple, np.ndarray] = {}
-        for raw in batches:
-            if raw.num_rows:
-                for key, rows, residual in _residuals(Batch(raw, plan), fits, plan):
-                    t = np.log1p(np.abs(residual))
-                    part = np.concatenate([[t.sum()], rows.transposed_times(t, shift, q)])
-                    acc[key] = acc[key] + part if key in acc else part
+        for raw in stretches(batches):
+            for key, rows, residual in _residuals(Batch(raw, plan), fits, plan):
+                t = np.log1p(np.abs(residual))
+                part = np.concatenate([[t.sum()], rows.transposed_times(t, shift, q)])
+                acc[key] = acc[key] + part if key in acc else part
         if acc:
             named = {n: pa.array([k[i] for k in acc], pa.int32()) for i, n in enumerate(("trial", "repeat", "fold"))}
             named["v"] = pa.array(list(acc.values()), pa.list_(pa.float64()))
@@ -150,14 +149,13 @@ def _residual_quantiles(design: Design, fits: dict, sizes: dict[tuple[int, int,
 
         def count(batches: Iterator[pa.RecordBatch], shift: int = shift, known: dict = known) -> Iterator[pa.RecordBatch]:
             acc: dict[tuple, Sums] = {}
-            for raw in batches:
-                if raw.num_rows:
-                    for key, _, residual in _residuals(Batch(raw, plan), fits, plan):
-                        bits = np.abs(residual).view(np.int64)
-                        for which in (0, 1):
-                            head = bits[bits >> (shift + step) == known[(*key, which)]] >> shift
-                            value, n = np.unique(head, return_counts=True)
-                            acc.setdefault((*key, which), Sums()).add(value, n[:, None])
+            for raw in stretches(batches):
+                for key, _, residual in _residuals(Batch(raw, plan), fits, plan):
+                    bits = np.abs(residual).view(np.int64)
+                    for which in (0, 1):
+                        head = bits[bits >> (shift + step) == known[(*key, which)]] >> shift
+                        value, n = np.unique(head, return_counts=True)
+                        acc.setdefault((*key, which), Sums()).add(value, n[:, None])
             for key, sums in acc.items():
                 if sums.size:
                     value, n = sums.done()
@@ -182,9 +180,7 @@ def _score(design: Design, fits: dict) -> DataFrame:
     plan = design.plan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for raw in batches:
-            if not raw.num_rows:
-                continue
+        for raw in stretches(batches):
             batch, session = Batch(raw, plan), numbers(raw, "session")
             sides = {}
             for (trial, r, f), fit in fits.items():

@@ -13,7 +13,7 @@ from tickloom.operators import companies
 from tickloom.operators.targets import build_targets
 from tickloom.plans import evaluate
 from tickloom.plans.blocks import FeatureMatrix, Inputs, build_feature_matrix
-from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, build_design, fitted_rows
+from tickloom.plans.design import TARGET, Batch, Design, FoldPlan, build_design, fitted_rows, stretches
 from tickloom.plans.experiment import Trial, cross_validate, fit_trials
 from tickloom.plans.linear import Fit
 from tickloom.plans.moments import numbers
@@ -55,9 +55,7 @@ def predict(model: FullModel, bars: DataFrame, headlines: DataFrame, batches: Da
     fits = _batch_fits(model, fm, batches)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part in stretches(parts):
             all_rows, batch, session = Batch(part, ALL), numbers(part, "batch"), numbers(part, "session")
             for value, fit in fits.items():
                 mark = batch == value
