@@ -2,6 +2,7 @@ import random
 from pathlib import Path
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,28 @@ def test_session_mean_vector_by_hand(news):
     for session, g in pdf.groupby("session"):
         want = pd.DataFrame([lookup[t] for t in g["event_text_normalized"]]).mean().tolist()
         assert got.loc[session, [f"session_emb_{i:03d}" for i in range(4)]].tolist() == pytest.approx(want)
+
+
+def test_company_and_words_of_odd_blanks(spark):
+    """Any blank parts words, however many; the shortest company whose remainder opens an event wins, whatever its case."""
+    rows = [
+        "\u2003Relbos\u00a0\u3000Reports  3.5% gains\x1f", "A b c D sees 7 %", "A b c d e sees x", "x", "x y", "x y z", "", None, " \x85 ", "\u0130x Wins  it",
+        "Sees wins sees", "50%a wins $2B", "Reports",
+    ]
+    df = spark.createDataFrame(list(enumerate(rows)), "pos int, headline string")
+    got = [(r["company"], r["body"], r["headline_normalized"], r["event_text_normalized"]) for r in parse_headlines(df).orderBy("pos").collect()]
+    assert got == [
+        ("Relbos", "Reports 3.5% gains", "relbos reports pct token gains", "reports pct token gains"),
+        ("A b c D", "sees 7 %", "a b c d sees 7", "sees 7"),
+        ("A b", "c d e sees x", "a b c d e sees x", "c d e sees x"),
+        ("x", "", "x", ""),
+        ("x", "y", "x y", "y"),
+        ("x y", "z", "x y z", "z"),
+        ("", "", "", ""),
+        ("", "", "", ""),
+        ("", "", "", ""),
+        ("\u0130x", "Wins it", "i x wins it", "wins it"),
+        ("Sees", "wins sees", "sees wins sees", "wins sees"),
+        ("50%a", "wins $2B", "pct token a wins 2b", "wins 2b"),
+        ("Reports", "", "reports", ""),
+    ]

@@ -10,29 +10,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tickloom.functions import lexicon
 
 _BLANKS = r"[\s\x1c-\x1f\x85\p{Z}]+"
-_STARTERS = "^(" + "|".join(re.escape(s) for s in lexicon.EVENT_STARTERS) + ")"
+# The same characters, to strip them from the ends of a text.
+_BLANK_CHARACTERS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
 MAX_COMPANY_TOKENS = 4
+# The fewest leading words, each with its space, whose remainder opens an event.
+_COMPANY = f"^((?:[^ ]+ ){{1,{MAX_COMPANY_TOKENS}}}?)(?:" + "|".join(re.escape(s) for s in lexicon.EVENT_STARTERS) + ")"
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, _BLANKS), lambda w: w != "")
+def single_spaced(text: Column) -> Column:
+    """The words of a text without blanks at its ends, one space apart."""
+    return F.regexp_replace(text, _BLANKS, " ")
 
 
 def alnum_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(lexicon.TOKEN_PATTERN), F.lit(0))
 
 
-def company_length(tokens: Column) -> Column:
-    """Leading words that name the company: the shortest run whose remainder opens an event."""
-    n = F.size(tokens)
-    longest = F.least(F.lit(MAX_COMPANY_TOKENS), F.greatest(n - 1, F.lit(1)))
+def _spaces(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
-    def opens_event(k: int) -> Column:
-        rest = F.lower(F.array_join(F.slice(tokens, k + 1, 2_147_483_647 - k - 1), " "))
-        return F.when((F.lit(k) <= longest) & rest.rlike(_STARTERS), F.lit(k))
 
-    found = F.coalesce(*[opens_event(k) for k in range(1, MAX_COMPANY_TOKENS + 1)])
-    return F.coalesce(found, F.when(n >= 3, F.lit(2)).otherwise(F.lit(1)))
+def company_length(spaced: Column, opening: Column) -> Column:
+    """Leading words of a single-spaced text that name the company: the shortest run whose remainder opens an event.
+
+    `opening` is that run in lower case with its last space, as `company_opening` gives it.
+    """
+    return F.when(opening != "", _spaces(opening)).when(_spaces(spaced) >= 2, F.lit(2)).otherwise(F.lit(1))
+
+
+def company_opening(spaced: Column) -> Column:
+    return F.regexp_extract(F.lower(spaced), _COMPANY, 1)
 
 
 def verb_family(body: Column) -> Column:
@@ -40,7 +49,7 @@ def verb_family(body: Column) -> Column:
     verb = F.when(body == "", F.lit("unknown"))
     for phrase in lexicon.VERB_PHRASES:
         verb = verb.when(body.startswith(phrase), F.lit(phrase.replace(" ", "_")))
-    return verb.otherwise(F.element_at(F.split(body, " "), 1))
+    return verb.otherwise(F.substring_index(body, " ", 1))
 
 
 def rule_number(body: Column) -> Column:
@@ -73,12 +82,12 @@ def amount_m(text: Column) -> Column:
     number = F.regexp_extract(text, lexicon.AMOUNT_PATTERN, 1)
     unit = F.regexp_extract(text, lexicon.AMOUNT_PATTERN, 2)
     value = F.when(number != "", number.cast("double")).otherwise(F.lit(0.0))
-    return F.when(unit == "B", value * 1000.0).otherwise(value)
+    return F.when(~text.contains("$"), F.lit(0.0)).when(unit == "B", value * 1000.0).otherwise(value)
 
 
 def percent(text: Column) -> Column:
     number = F.regexp_extract(text, lexicon.PERCENT_PATTERN, 1)
-    return F.when(number != "", number.cast("double")).otherwise(F.lit(0.0))
+    return F.when(text.contains("%") & (number != ""), number.cast("double")).otherwise(F.lit(0.0))
 
 
 def longest_match(lowered: Column, candidates: Sequence[str]) -> Column:
@@ -96,8 +105,9 @@ def normalized(text: Column) -> Column:
     Percentages become the two tokens `pct token`. Amounts stay: their pattern needs an upper-case
     unit and is looked for in lower-case text.
     """
-    masked = F.regexp_replace(F.lower(text), lexicon.PERCENT_PATTERN, " pct_token ")
-    return F.array_join(alnum_tokens(masked), " ")
+    lowered = F.lower(text)
+    masked = F.when(lowered.contains("%"), F.regexp_replace(lowered, lexicon.PERCENT_PATTERN, " pct_token ")).otherwise(lowered)
+    return F.trim(F.regexp_replace(masked, "[^a-z0-9]+", " "))
 
 
 def parse_headlines(headlines: DataFrame) -> DataFrame:
@@ -106,23 +116,20 @@ def parse_headlines(headlines: DataFrame) -> DataFrame:
     verb, rule = F.col("__verb"), F.col("__rule")
     parsed = (
         headlines.withColumn("headline", F.coalesce("headline", F.lit("")))
-        .withColumn("__text", F.regexp_replace("headline", f"^{_BLANKS}|{_BLANKS}$", ""))
-        .withColumn("__words", words(text))
-        .withColumn("__k", company_length(F.col("__words")))
-        .withColumns(
-            {
-                "company": F.array_join(F.slice("__words", F.lit(1), F.col("__k")), " "),
-                "body": F.array_join(F.slice("__words", F.col("__k") + 1, F.lit(1_000_000_000)), " "),
-            }
-        )
+        .withColumn("__text", F.btrim("headline", F.lit(_BLANK_CHARACTERS)))
+        .withColumn("__spaced", single_spaced(text))
+        .withColumn("__opening", company_opening(F.col("__spaced")))
+        .withColumn("company", F.call_function("substring_index", "__spaced", F.lit(" "), company_length(F.col("__spaced"), F.col("__opening"))))
+        .withColumn("body", F.substring("__spaced", F.length("company") + 2, F.length("__spaced")))
         .withColumn("__body", F.lower(body))
         .withColumn("__verb", verb_family(body_lower))
-        .withColumns({"__lower": F.lower(text), "__rule": rule_number(body_lower)})
+        .withColumns({"__lower": F.lower(text), "__rule": rule_number(body_lower), "__normalized": normalized(body)})
         .withColumns(
             {
                 "event_text": body,
-                "headline_normalized": normalized(text),
-                "event_text_normalized": normalized(body),
+                # Blanks part company and body, and no token holds one.
+                "headline_normalized": F.trim(F.concat_ws(" ", normalized(F.col("company")), "__normalized")),
+                "event_text_normalized": F.col("__normalized"),
                 "verb_family": by_rule(rule, 1, verb),
                 "event_family": by_rule(rule, 0, F.concat(verb, F.lit("_other"))),
                 "topic": longest_match(F.col("__lower"), lexicon.TOPICS),
@@ -137,7 +144,7 @@ def parse_headlines(headlines: DataFrame) -> DataFrame:
             {"has_amount": (F.col("amount_m") > 0).cast("int"), "has_pct": (F.col("pct") > 0).cast("int")}
         )
     )
-    return parsed.drop("__text", "__words", "__k", "__body", "__verb", "__lower", "__rule")
+    return parsed.drop("__text", "__spaced", "__opening", "__body", "__verb", "__lower", "__rule", "__normalized")
 
 
 # Text a document is built from (lower-cased).
