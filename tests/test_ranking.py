@@ -100,3 +100,25 @@ def test_fold_guards(spark):
         session_folds(sessions, 2, n_repeats=0)
     with pytest.raises(Exception, match="More folds than sessions"):
         session_folds(sessions, 5).collect()
+
+
+def test_parts_grow_in_number_with_the_rows(spark, skewed, monkeypatch):
+    """Tasks that sort a bounded number of rows, whatever the input; the same ranks."""
+    df = spark.createDataFrame(skewed)
+    whole = ranked(df, ["g"], ["a", "b"], size="n").toPandas().sort_values("b")
+    monkeypatch.setattr(ranking, "PART_ROWS", 50)
+    sizes = ranking.range_parts(df, ["g", "a", "b"]).groupBy(ranking.PART).count().toPandas()["count"]
+    assert len(sizes) > 40 and sizes.max() < 300
+    again = ranked(df, ["g"], ["a", "b"], size="n").toPandas().sort_values("b")
+    assert (whole[["g", "b", "rn", "n"]].to_numpy() == again[["g", "b", "rn", "n"]].to_numpy()).all()
+
+
+def test_written_tables_are_dealt_in_bounded_tasks(spark, skewed, monkeypatch, tmp_path):
+    from tickloom import session
+
+    spark.createDataFrame(skewed).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    assert session.dealt(table, ["g", "b"]).rdd.getNumPartitions() == table.rdd.getNumPartitions()
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    sizes = session.dealt(table, ["g", "b"]).rdd.glom().map(len).collect()
+    assert len(sizes) > 40 and max(sizes) < 300 and sum(sizes) == len(skewed)

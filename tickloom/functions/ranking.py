@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tickloom.session import checkpoint_dir, materialize
 
 PART = "__part"
+PART_ROWS = 500_000  # rows of a range part at most, about: what a task sorts and numbers
 
 
 def range_parts(df: DataFrame, order: Sequence[Column | str], part: str = PART) -> DataFrame:
     """`df` written in range partitions of `order`, numbered by `part`: an even bucket for any distribution.
 
     The partition number never decreases along `order`. The table is written once, because two runs of a range partitioning may cut at
-    different places, and bucketed by `part`, so that a window inside a part needs no further exchange.
+    different places, and bucketed by `part`, so that a window inside a part needs no further exchange. Parts grow in number
+    with the rows, not in size.
     """
     spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
     ranged = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
     name = f"ranged_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
@@ -32,12 +34,13 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], r
 
     Rows are range-partitioned by (group, order), so a group of any size is cut into even parts, and ranked inside their part. Only the
     first and the last group of a part can reach into another one: their rows are counted by part and prefix-summed. That
-    is at most two rows a partition, which bounds the broadcast. `df` is read twice, once to find the cuts.
+    is at most two rows a partition, which bounds the broadcast. `df` is read three times: to count it, to find the cuts, and to write it.
     """
     keys = list(group)
     table = range_parts(df, [*keys, *order])
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(True)
-    ends = table.groupBy(PART).agg(F.array(F.min(key), F.max(key)).alias("__ends"))
+    groups = table.select(PART, *keys).distinct()  # hashed; ends of whole rows would sort each part
+    ends = groups.groupBy(PART).agg(F.array(F.min(key), F.max(key)).alias("__ends"))
     wide = ends.select(F.explode("__ends").alias("__key"), PART).distinct().groupBy("__key").agg(F.count(F.lit(1)).alias("__parts"))
     wide = wide.where(F.col("__parts") > 1).select("__key")
     found = F.broadcast(wide.withColumnRenamed("__key", "__w"))

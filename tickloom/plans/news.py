@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from tickloom.operators.companies import category_counts, company_aggregates, company_session, frequent_columns, score_relevance
 from tickloom.operators.events import event_cells, parsed_events
 from tickloom.operators.summary import TOP_K, session_text_features, weighted_category_sums
-from tickloom.session import materialize
+from tickloom.session import dealt, materialize
 
 MAX_WIDE = 1000  # category columns of a wide table
 
@@ -30,7 +30,7 @@ class News:
     @cached_property
     def cells(self) -> DataFrame:
         """Cells of the parsed headlines; without a parsed table they come straight from the headlines, and no text is written."""
-        parsed = self.parsed if "parsed" in self.__dict__ else parsed_events(self.headlines)
+        parsed = dealt(self.parsed, [c for c in ("session", "bar_ix", "pos") if c in self.parsed.columns]) if "parsed" in self.__dict__ else parsed_events(self.headlines)
         return materialize(event_cells(parsed), "cells")
 
     @cached_property

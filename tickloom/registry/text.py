@@ -13,7 +13,7 @@ from tickloom.operators import companies, documents, events, reaction, sequence,
 from tickloom.plans.news import News
 from tickloom.registry import common as c
 from tickloom.registry.common import query, tidy, tidy_sql
-from tickloom.session import checkpoint_dir, materialize, spread_scan
+from tickloom.session import checkpoint_dir, dealt, materialize, spread_scan
 from tickloom.sources import adapters
 
 D = "session:i"
@@ -349,7 +349,8 @@ wcat AS (SELECT session, 'w_' || "column" AS feature, sum(relevance_weight * val
 @query("weighted_category_sums", tidy_sql(COMPANY + _WEIGHTED_CATEGORIES, f"{D} feature:s value", "wcat"))
 def weighted_category_sums(spark, sf_dir):
     n = news(spark, sf_dir)
-    return tidy(summary.weighted_category_sums(n.relevance, companies.frequent_category_counts(n.parsed)))
+    counts = companies.frequent_category_counts(n.parsed)  # first: the cells then come from the parsed table too
+    return tidy(summary.weighted_category_sums(n.relevance, counts))
 
 
 # --- news against prices --------------------------------------------------------------------
@@ -403,7 +404,7 @@ bu AS (SELECT session, avg(CASE WHEN burst THEN 1.0 ELSE 0.0 END) AS burst_bar_s
 
 def reaction_frame(spark, sf_dir):
     placed = c.placed_ticks(spark, sf_dir)
-    n = News(adapters.headlines_from_ticks(placed))
+    n = News(adapters.headlines_from_ticks(dealt(placed, ["session", "pos"])))
     return n.cells, n.relevance, materialize(adapters.seen(adapters.bars_from_ticks(placed)), "bars")
 
 
@@ -565,7 +566,8 @@ slotdoc AS (SELECT slot, cdoc.session, text FROM cdoc JOIN scored USING (session
 )
 def tfidf_company(spark, sf_dir):
     placed = c.placed_ticks(spark, sf_dir)
-    n = News(adapters.headlines_from_ticks(placed))
+    n = News(adapters.headlines_from_ticks(dealt(placed, ["session", "pos"])))
+    n.parsed  # once, for the cells and the documents  # noqa: B018
     top = summary.top_companies(n.relevance, 2).select("session", "company", "slot")
     parts = documents.document_parts(n.parsed, ["session", "company"], document_text("body"))
     slotted = parts.join(top, ["session", "company"]).drop("company")

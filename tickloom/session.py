@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,15 @@ def spread_scan(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+TASK_ROWS = 500_000  # rows that a task aggregates, where a scan of a compressed table would give it many times as many
+
+
+def dealt(table: DataFrame, order: Sequence[str]) -> DataFrame:
+    """A written table in tasks of a bounded number of rows, neighbours in `order` together.
+
+    Splits of a scan are bounded in compressed bytes, which may be any number of rows. Counting a written table reads its footers only.
+    """
+    parts = -(-table.count() // TASK_ROWS)
+    return table.repartitionByRange(parts, *order) if parts > table.rdd.getNumPartitions() else table
