@@ -252,6 +252,23 @@ def test_session_mean_vector_by_hand(news):
         assert got.loc[session, [f"session_emb_{i:03d}" for i in range(4)]].tolist() == pytest.approx(want)
 
 
+def test_able_terms_hold_the_whole_vocabulary(spark):
+    """Counts of the able terms alone give the vocabulary of all counts, with repeated and null documents, and leave most terms out."""
+    rng = np.random.default_rng(5)
+    rows = [(int(i) if i % 17 else None, " ".join(f"w{int(w)}" for w in rng.zipf(1.3, 40) if w < 3000)) for i in rng.integers(0, 200, 300)]
+    docs = spark.createDataFrame([*rows, (1, None), (2, "")], "doc_id long, text string")
+    n_docs = spark.createDataFrame([(200,)], "n_docs long")
+    whole = tfidf.term_counts(docs, ["doc_id"], 2, single_part=True)
+    for min_df, features in ((1, 12), (2, 12), (2, 100_000), (3, 12)):
+        able = tfidf.able_terms(docs, "doc_id", min_df, features)
+        assert (able is None) == (features > 1000 or min_df > 2)
+        counts = tfidf.term_counts(docs, ["doc_id"], 2, single_part=True, only=able)
+        got, want = (tfidf.vocabulary(c, n_docs, min_df=min_df, max_features=features).toPandas().sort_values("position") for c in (counts, whole))
+        assert got.reset_index(drop=True).equals(want.reset_index(drop=True))
+        if able is not None:
+            assert counts.select("term").distinct().count() < whole.select("term").distinct().count() / 10
+
+
 def test_company_and_words_of_odd_blanks(spark):
     """Any blank parts words, however many; the shortest company whose remainder opens an event wins, whatever its case."""
     rows = [

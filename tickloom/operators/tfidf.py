@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import ratio
 from tickloom.functions.text import alnum_tokens
+from tickloom.session import materialize
 
 # A vocabulary of at most this many rows (a few tens of bytes each) may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -61,12 +62,40 @@ def _edge_ngrams(parts: DataFrame, keys: Sequence[str], ngram_max: int) -> DataF
     return carried.select(*keys, F.explode(F.concat(*spans)).alias("term"))
 
 
+def able_terms(docs: DataFrame, key: str, min_df: int, max_features: int) -> DataFrame | None:
+    """The 1- and 2-grams (term) of whole documents (key, text) that can be in a vocabulary cut by (-tf, -df, term); None if all can.
+
+    The max_features most frequent words with min_df documents bound the last term of the vocabulary from below, and a pair of words is no more
+    frequent than either. So words and pairs under that bound are left out before any count per document. Tasks send one count a term.
+    """
+    if min_df > 2 or max_features <= 0:
+        return None
+    tokens = docs.select(key, alnum_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    words = tokens.select(key, F.explode("tokens").alias("term")).groupBy("term")
+    words = materialize(words.agg(F.count(F.lit(1)).alias("tf"), F.min(key).alias("low"), F.max(key).alias("high")), "words")
+    sure = words.where(F.col("low") < F.col("high")) if min_df == 2 else words
+    best = sure.orderBy(F.col("tf").desc()).limit(max_features).agg(F.count(F.lit(1)).alias("n"), F.min("tf").alias("least")).first()
+    if best["n"] < max_features:
+        return None
+    able = words.where(F.col("tf") >= best["least"]).select("term")
+    word = F.broadcast(able) if able.count() <= BROADCAST_ROWS else able
+    many = F.size("tokens") - 1
+    pairs = tokens.where(F.size("tokens") > 1).select(
+        F.explode(F.arrays_zip(F.slice("tokens", F.lit(1), many).alias("a"), F.slice("tokens", F.lit(2), many).alias("b"))).alias("p")
+    )
+    pairs = pairs.select("p.*")
+    for side in ("a", "b"):
+        pairs = pairs.join(word.withColumnRenamed("term", side), side, "left_semi")
+    pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("tf")).where(F.col("tf") >= best["least"])
+    return materialize(able.unionByName(pairs.select(F.concat_ws("_", "a", "b").alias("term"))), "able-terms")
+
+
 def term_counts(
-    parts: DataFrame, keys: Sequence[str], ngram_max: int = 2, single_part: bool = False
+    parts: DataFrame, keys: Sequence[str], ngram_max: int = 2, single_part: bool = False, only: DataFrame | None = None
 ) -> DataFrame:
     """(keys, term, n): term counts of every document. Documents without tokens have no rows.
 
-    `single_part` skips the seam step for tables known to hold one part per document.
+    `single_part` skips the seam step for tables known to hold one part per document. `only` (term) names the terms to count, all if None.
     """
     keys = list(keys)
     tokenized = parts.select(
@@ -75,6 +104,8 @@ def term_counts(
     terms = tokenized.select(*keys, F.explode(ngrams(F.col("tokens"), ngram_max)).alias("term"))
     if ngram_max > 1 and not single_part:
         terms = terms.unionByName(_edge_ngrams(tokenized, keys, ngram_max))
+    if only is not None:
+        terms = terms.join(F.broadcast(only) if only.count() <= BROADCAST_ROWS else only, "term", "left_semi")
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -516,7 +516,8 @@ _DOC_VOCAB = "d0 AS (SELECT doc_id, text FROM documents)" + _vocab_sql("d0", "do
 def _document_counts(spark, sf_dir):
     docs = adapters.table(spark, sf_dir, "documents").select("doc_id", "text")
     docs = spread_scan(docs)
-    return docs, materialize(tfidf.term_counts(docs, ["doc_id"], 2, single_part=True), "terms")
+    able = tfidf.able_terms(docs, "doc_id", 2, 256)
+    return docs, materialize(tfidf.term_counts(docs, ["doc_id"], 2, single_part=True, only=able), "terms")
 
 
 @query("tfidf_vocabulary", tidy_sql(_DOC_VOCAB, "term:s df:i tf:i position:i idf", "vocab"))
