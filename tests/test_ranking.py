@@ -113,6 +113,17 @@ def test_parts_grow_in_number_with_the_rows(spark, skewed, monkeypatch):
     assert (whole[["g", "b", "rn", "n"]].to_numpy() == again[["g", "b", "rn", "n"]].to_numpy()).all()
 
 
+def test_a_bucket_holds_one_part(spark, skewed, monkeypatch):
+    """Part numbers hashed into buckets would put several parts into one task and none into others."""
+    monkeypatch.setattr(ranking, "PART_ROWS", 50)
+    written = ranking.range_parts(spark.createDataFrame(skewed), ["g", "a", "b"])
+    parts = written.select(ranking.PART, F.pmod(F.hash(ranking.BUCKET), F.lit(60)).alias("file")).distinct().toPandas()
+    assert len(parts) > 40 and parts.groupby("file")[ranking.PART].nunique().max() == 1
+    for n in (1, 2, 48, 432):
+        keys = spark.createDataFrame([(k,) for k in ranking.even_keys(spark, n)], "k int")
+        assert keys.select(F.pmod(F.hash("k"), F.lit(n))).distinct().count() == n
+
+
 def test_written_tables_are_dealt_in_bounded_tasks(spark, skewed, monkeypatch, tmp_path):
     from tickloom import session
 

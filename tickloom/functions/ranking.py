@@ -2,30 +2,48 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tickloom.session import checkpoint_dir, materialize
 
 PART = "__part"
+BUCKET = "__bucket"
 PART_ROWS = 500_000  # rows of a range part at most, about: what a task sorts and numbers
+SPARE_KEYS = 12  # keys tried for a bucket beyond the logarithm of their number; fewer than one set of buckets in 100,000 misses any then
+
+
+@cache
+def even_keys(spark: SparkSession, buckets: int) -> list[int]:
+    """For each of `buckets` hash buckets an integer that falls into it, so that rows labelled with them fill the buckets evenly.
+
+    Numbers counted up would not: some buckets get four of them and a third gets none. A bucket that no tried key hits shares another's.
+    """
+    tried = spark.range(0, int(buckets * (math.log(buckets) + SPARE_KEYS)), 1, 1).select(F.col("id").cast("int").alias("key"))
+    hit = tried.select(F.pmod(F.hash("key"), F.lit(buckets)).alias("bucket"), "key").collect()
+    found = {r["bucket"]: r["key"] for r in reversed(hit)}
+    return [found.get(b, b) for b in range(buckets)]
 
 
 def range_parts(df: DataFrame, order: Sequence[Column | str], part: str = PART) -> DataFrame:
     """`df` written in range partitions of `order`, numbered by `part`: an even bucket for any distribution.
 
     The partition number never decreases along `order`. The table is written once, because two runs of a range partitioning may cut at
-    different places, and bucketed by `part`, so that a window inside a part needs no further exchange. Parts grow in number
-    with the rows, not in size.
+    different places, and bucketed by BUCKET, which `part` determines, so that a window inside a part and bucket needs no further
+    exchange. Each bucket holds one part, so no task gets several. Parts grow in number with the rows, not in size.
     """
     spark = df.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART_ROWS))
+    keys = F.array(*[F.lit(k) for k in even_keys(spark, parts)])
     ranged = df.repartitionByRange(parts, *order).withColumn(part, F.spark_partition_id())
+    ranged = ranged.withColumn(BUCKET, F.get(keys, F.col(part) % parts))
     name = f"ranged_{uuid.uuid4().hex}"
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    ranged.write.bucketBy(parts, part).format("parquet").option("path", path).saveAsTable(name)
+    ranged.write.bucketBy(parts, BUCKET).format("parquet").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -39,8 +57,8 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], r
     keys = list(group)
     table = range_parts(df, [*keys, *order])
     key = F.struct(*[F.col(k) for k in keys]) if keys else F.lit(True)
-    groups = table.select(PART, *keys).distinct()  # hashed; ends of whole rows would sort each part
-    ends = groups.groupBy(PART).agg(F.array(F.min(key), F.max(key)).alias("__ends"))
+    groups = table.select(BUCKET, PART, *keys).distinct()  # hashed; ends of whole rows would sort each part
+    ends = groups.groupBy(BUCKET, PART).agg(F.array(F.min(key), F.max(key)).alias("__ends"))
     wide = ends.select(F.explode("__ends").alias("__key"), PART).distinct().groupBy("__key").agg(F.count(F.lit(1)).alias("__parts"))
     wide = wide.where(F.col("__parts") > 1).select("__key")
     found = F.broadcast(wide.withColumnRenamed("__key", "__w"))
@@ -50,11 +68,11 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[Column | str], r
     before = F.coalesce(F.sum("__c").over(scope.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select(F.col("__key").alias("__k"), F.col(PART).alias("__p"), before.alias("__offset"), F.sum("__c").over(scope).alias("__size"))
     placed = table.join(F.broadcast(offsets), (F.col(PART) == F.col("__p")) & key.eqNullSafe(F.col("__k")), "left")
-    inside = Window.partitionBy(PART, *keys)
+    inside = Window.partitionBy(BUCKET, PART, *keys)
     out = {rank: F.coalesce(F.col("__offset"), F.lit(0)) + F.row_number().over(inside.orderBy(*order))}
     if size:
         out[size] = F.coalesce(F.col("__size"), F.count(F.lit(1)).over(inside))
-    return placed.withColumns(out).drop("__offset", "__size", "__k", "__p", PART)
+    return placed.withColumns(out).drop("__offset", "__size", "__k", "__p", PART, BUCKET)
 
 
 def ntile_of(rank: Column, size: Column, tiles: int) -> Column:

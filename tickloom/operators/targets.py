@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tickloom.functions.numeric import double, moments_corr, ratio
-from tickloom.functions.ranking import range_parts
+from tickloom.functions.ranking import BUCKET, range_parts
 
 ANNUALIZATION = 16.0
 
@@ -140,10 +140,10 @@ def cumulative_pnl(df: DataFrame, value: Column) -> DataFrame:
     inside each partition only.
     """
     rows = range_parts(df.select("session", value.alias("pnl")), ["session"])
-    totals = rows.groupBy("__part").agg(F.sum("pnl").alias("__t"))
+    totals = rows.groupBy(BUCKET, "__part").agg(F.sum("pnl").alias("__t"))
     before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("__part", F.coalesce(F.sum("__t").over(before), F.lit(0.0)).alias("__o"))
-    inside = Window.partitionBy("__part").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(BUCKET, "__part").orderBy("session").rowsBetween(Window.unboundedPreceding, 0)
     return rows.join(F.broadcast(offsets), "__part").select(
         "session", "pnl", (F.col("__o") + F.sum("pnl").over(inside)).alias("cumulative_pnl")
     )
