@@ -1,4 +1,5 @@
 import random
+import re
 from pathlib import Path
 
 import pandas as pd
@@ -6,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.functions.text import document_text, parse_headlines
+from tickloom.functions import lexicon
+from tickloom.functions.text import document_text, longest_match, parse_headlines, rule_number, verb_family
 from tickloom.operators import companies, documents, events, reaction, sequence, summary, tfidf, vectors
 from tickloom.operators.matrix import align_sessions
 from tickloom.plans.news import News
@@ -292,3 +294,23 @@ def test_company_and_words_of_odd_blanks(spark):
         ("50%a", "wins $2B", "pct token a wins 2b", "wins 2b"),
         ("Reports", "", "reports", ""),
     ]
+
+
+def test_the_grammar_is_code_that_the_jvm_compiles(spark, tmp_path, capsys):
+    """Methods over 8,000 bytes stay interpreted: the word lists must not be spelled out in them."""
+    spark.createDataFrame([(1, 1, "Acme wins x")], "session long, bar_ix int, headline string").write.parquet(str(tmp_path / "h"))
+    parse_headlines(spark.read.parquet(str(tmp_path / "h"))).explain("codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_lists_take_the_first_entry_that_fits(spark):
+    body = ["files for regulatory approval and faces class action", "to host x", "", "wins", None]
+    for text, rule in zip(body, (1, None, 0, None, 0)):
+        row = spark.createDataFrame([(text,)], "t string").select(
+            rule_number(F.col("t")).alias("rule"), verb_family(F.col("t")).alias("verb"), longest_match(F.col("t"), ["AI", "wins a", "wins"]).alias("word")
+        ).first()
+        fits = [n for n, (_, _, _, parts) in enumerate(lexicon.EVENT_RULES, 1) if text and all(p in text for p in parts)]
+        assert row["rule"] == min(fits, default=0) and (rule is None or row["rule"] == rule)
+        assert row["verb"] == (None if text is None else "unknown" if not text else next((p.replace(" ", "_") for p in lexicon.VERB_PHRASES if text.startswith(p)), text.split(" ")[0]))
+        assert row["word"] == ("wins" if text == "wins" else "none")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -44,23 +46,30 @@ def company_opening(spaced: Column) -> Column:
     return F.regexp_extract(F.lower(spaced), _COMPANY, 1)
 
 
+def _first(entries: Column, test: Callable[[Column], Column]) -> Column:
+    """The first entry of a constant array that passes the test, else null.
+
+    Lists are data here: spelled out as conditions, one headline's code grows past what the JVM compiles.
+    """
+    return F.get(F.filter(entries, test), F.lit(0))
+
+
 def verb_family(body: Column) -> Column:
     """The opening phrase or first word of a lower-case event text."""
-    verb = F.when(body == "", F.lit("unknown"))
-    for phrase in lexicon.VERB_PHRASES:
-        verb = verb.when(body.startswith(phrase), F.lit(phrase.replace(" ", "_")))
-    return verb.otherwise(F.substring_index(body, " ", 1))
+    phrases = F.array(*[F.lit(p) for p in lexicon.VERB_PHRASES])
+    phrase = F.replace(_first(phrases, body.startswith), F.lit(" "), F.lit("_"))
+    return F.when(body == "", F.lit("unknown")).otherwise(F.coalesce(phrase, F.substring_index(body, " ", 1)))
 
 
 def rule_number(body: Column) -> Column:
     """1-based number of the first event rule whose fragments all occur in a lower-case event text, else 0."""
-    chain = None
+    most = max(len(fragments) for _, _, _, fragments in lexicon.EVENT_RULES)
+    rules = []
     for number, (_, _, _, fragments) in enumerate(lexicon.EVENT_RULES, 1):
-        hit = body.contains(fragments[0])
-        for fragment in fragments[1:]:
-            hit = hit & body.contains(fragment)
-        chain = F.when(hit, F.lit(number)) if chain is None else chain.when(hit, F.lit(number))
-    return chain.otherwise(F.lit(0))
+        padded = [*fragments, *[""] * (most - len(fragments))]  # every text holds the empty one
+        rules.append(F.struct(F.lit(number).alias("number"), *[F.lit(f).alias(f"f{i}") for i, f in enumerate(padded)]))
+    holds = lambda rule: reduce(and_, [body.contains(rule[f"f{i}"]) for i in range(most)])
+    return F.coalesce(_first(F.array(*rules), holds)["number"], F.lit(0))
 
 
 def default_polarity(verb: Column) -> Column:
@@ -92,11 +101,8 @@ def percent(text: Column) -> Column:
 
 def longest_match(lowered: Column, candidates: Sequence[str]) -> Column:
     """The longest listed phrase contained in a lower-case text, else 'none'."""
-    chain = None
-    for phrase in sorted(candidates, key=len, reverse=True):
-        hit = lowered.contains(phrase.lower())
-        chain = F.when(hit, F.lit(phrase)) if chain is None else chain.when(hit, F.lit(phrase))
-    return chain.otherwise(F.lit("none"))
+    phrases = [F.struct(F.lit(p).alias("phrase"), F.lit(p.lower()).alias("lower")) for p in sorted(candidates, key=len, reverse=True)]
+    return F.coalesce(_first(F.array(*phrases), lambda p: lowered.contains(p["lower"]))["phrase"], F.lit("none"))
 
 
 def normalized(text: Column) -> Column:
