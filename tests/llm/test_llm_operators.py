@@ -490,6 +490,31 @@ def test_packed_names_are_whole(buckets):
     assert len(set(blocks.unpack(blocks.pack(keys, size).reshape(-1), size).tolist())) == 3
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_blocks_ask_only_for_longer_ngrams_that_others_can_hold(spark, monkeypatch, order):
+    rows = random_docs(5, 90, 8) + [(1000 + i, f"u{i} v{i} w{i} shared run of words") for i in range(30)]
+    want = {d: s for d, _, s in brute_scores(rows, order, 0.4)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.log_score for r in lm_score.backoff_scores(docs, order).collect()}
+    assert all(got[d] == pytest.approx(s, abs=1e-5) for d, s in want.items())
+    words = words_of(pa.array(["only here now", "shared run of words"]))
+    keys, counts = lm_score._short(words, order)
+    pairs = window_names(words.names, window_starts(words.first, 2)[0], 2)
+    total = counts + np.isin(keys, pairs[2:])  # another block holds the pairs of the second text
+    distinct, here, asked = lm_score._long(words, order, keys, counts, total)
+    assert here.tolist() == [1] * len(distinct) and asked.sum() == {3: 2, 4: 3}[order]
+
+
+@pytest.mark.parametrize("n", [1, 3, 1000, 300_000])
+def test_names_as_steps_are_whole_and_short(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))
+    keys[0], keys[-1] = 0, 2**64 - 1
+    table = blocks.ask_rows(7, keys, 5, None, np.ones(n, np.int64), blocks.COUNTS)
+    back = [blocks.ungapped(b) + np.uint64((int(k) << 64) // 5) for k, b in zip(table["bucket"].to_pylist(), table["keys"].to_pylist())]
+    assert np.concatenate(back).tolist() == keys.tolist()
+    assert n < 300_000 or sum(map(len, table["keys"].to_pylist())) < 6.3 * n  # whole names took 8 bytes here
+
+
 def test_scores_edges(edge, empty):
     got = sorted((round(r.log_score, 3) for r in lm_score.backoff_scores(edge).collect()))
     assert got == pytest.approx(sorted(round(s, 3) for _, _, s in brute_scores(pairs_of(edge), 3, 0.4)), abs=2e-3)

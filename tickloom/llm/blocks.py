@@ -78,10 +78,28 @@ def lengthened(blob: bytes, n: int) -> np.ndarray:
     return out
 
 
-def ask_rows(block: int, keys: np.ndarray, buckets: int, size: int, extra: np.ndarray | None = None, kind: object = None) -> pa.Table:
-    """One row per bucket for the sorted distinct `keys`; `extra` has one entry per key, of fixed width or COUNTS."""
+GAP_BYTES = 5  # of a sorted key, so many low bytes are packed as they are; what is above them goes as steps, most of one byte
+
+
+def gapped(places: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers, whole: how many, their low bytes, and the steps from one to the next of what is above these."""
+    steps = np.diff((places >> np.uint64(8 * GAP_BYTES)).astype(np.int64), prepend=0)
+    return len(places).to_bytes(4, "little") + pack(places, GAP_BYTES).tobytes() + shortened(steps)
+
+
+def ungapped(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:4], "little")
+    low = unpack(np.frombuffer(blob, np.uint8, n * GAP_BYTES, 4), GAP_BYTES)
+    return low | np.cumsum(lengthened(blob[4 + n * GAP_BYTES :], n)).astype(np.uint64) << np.uint64(8 * GAP_BYTES)
+
+
+def ask_rows(block: int, keys: np.ndarray, buckets: int, size: int | None, extra: np.ndarray | None = None, kind: object = None) -> pa.Table:
+    """One row per bucket for the sorted distinct `keys`; `extra` has one entry per key, of fixed width or COUNTS.
+
+    With `size` None the keys are sent whole, as steps from one to the next.
+    """
     edges = bucket_edges(keys, buckets)
-    packed = pack(keys, size)
+    packed = keys if size is None else pack(keys, size)
     used = np.flatnonzero(np.diff(edges))
     whole = shortened if kind == COUNTS else np.ndarray.tobytes
     part = lambda a, b, as_bytes=np.ndarray.tobytes: as_bytes(a[edges[b] : edges[b + 1]])
@@ -89,20 +107,24 @@ def ask_rows(block: int, keys: np.ndarray, buckets: int, size: int, extra: np.nd
         {
             "bucket": pa.array(used, pa.int32()),
             "block": pa.array(np.full(len(used), block), pa.int32()),
-            "keys": pa.array([part(packed, b) for b in used], pa.binary()),
+            "keys": pa.array([gapped(packed[edges[b] : edges[b + 1]] - np.uint64((int(b) << 64) // buckets)) if size is None else part(packed, b) for b in used], pa.binary()),
             "extra": pa.array([None if extra is None else part(extra, b, whole) for b in used], pa.binary()),
         }
     )
 
 
-def answer_rows(asked: pa.Table, size: int, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], entry: np.dtype | str | None = None) -> pa.Table:
+def answer_rows(asked: pa.Table, size: int | None, answer: Callable[[np.ndarray, np.ndarray], np.ndarray], entry: np.dtype | str | None = None) -> pa.Table:
     """`answer(keys, extra)` gives one value for each key of the bucket; they go back to the blocks that asked.
 
     `entry` is the type of the extra entries; with COUNTS the answers are counts as well.
     """
     blobs = asked["keys"].to_pylist()
-    keys = unpack(np.frombuffer(b"".join(blobs), np.uint8), size)
-    sizes = [len(b) // size for b in blobs]
+    if size is None:
+        lists = [ungapped(b) for b in blobs]
+        keys, sizes = np.concatenate(lists), [len(x) for x in lists]
+    else:
+        keys = unpack(np.frombuffer(b"".join(blobs), np.uint8), size)
+        sizes = [len(b) // size for b in blobs]
     if entry == COUNTS:
         extra = np.concatenate([lengthened(x, n) for x, n in zip(asked["extra"].to_pylist(), sizes)])
     else:

@@ -2,7 +2,9 @@
 
 Blocks of documents count their n-grams of all orders (map-side combine) and send every distinct one with its count to the
 bucket of its name. The buckets are the count tables: they sum the counts over all blocks and answer each block for the
-n-grams it asked about. The block joins the answers to its exploded n-grams and sums the scores per document. A document
+n-grams it asked about. An n-gram of three words or more occurs in another block only if all its pairs of words do, so blocks ask
+for words and pairs first, and then only for the longer n-grams that others can hold; the count of the rest is their own.
+The block joins the answers to its exploded n-grams and sums the scores per document. A document
 does not vouch for itself: its own counts are taken off before it is scored. One entry a block bounds the traffic of a very
 frequent n-gram.
 """
@@ -11,32 +13,48 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.llm.blocks import COUNTS, answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies, whole_bytes
+from tickloom.llm.blocks import ASKS, COUNTS, answer_rows, answers, ask, ask_rows, conclude, deal_for, dealt, groups_of, read_replies
 from tickloom.llm.common import query, table
 from tickloom.llm.words import Words, mixed, window_names, window_starts, words_of
 
-BUCKET_KEYS = 100_000
-BLOCK_CHARS = 3_000_000
+BUCKET_KEYS = 400_000
+BLOCK_CHARS = 5_000_000
+PAIRS = 2  # n-grams up to this order are asked for first; longer ones only where other blocks hold all their pairs
 EVERYTHING = mixed(np.array([2**64 - 59], np.uint64))  # stands for all words: its count is the size of the corpus
 OUT = "doc_id long, tag long, n_words long, n_backoffs long, log_score double"
 
 
-def _grams(words: Words, order: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Names and texts of the n-grams of all orders, one order after the other, and where those of each order start."""
+def _grams(words: Words, low: int, high: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Names and texts of the n-grams of orders `low` to `high`, one order after the other, and where those of each order start."""
     names = words.names
-    starts, owners = zip(*(window_starts(words.first, n) for n in range(1, order + 1)))
-    return np.concatenate([window_names(names, s, n + 1) for n, s in enumerate(starts)]), np.concatenate(owners), list(starts)
+    starts, owners = zip(*(window_starts(words.first, n) for n in range(low, high + 1)))
+    return np.concatenate([window_names(names, s, n) for n, s in enumerate(starts, low)]), np.concatenate(owners), list(starts)
 
 
-def _ask(docs: pa.Table, order: int) -> tuple[np.ndarray, np.ndarray]:
-    words = words_of(docs["text"])
-    keys, counts = np.unique(np.concatenate([_grams(words, order)[0], EVERYTHING]), return_counts=True)
+def _short(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams up to pairs, and EVERYTHING, with their counts."""
+    keys, counts = np.unique(np.concatenate([_grams(words, 1, min(order, PAIRS))[0], EVERYTHING]), return_counts=True)
     counts[np.searchsorted(keys, EVERYTHING[0])] = len(words)
     return keys, counts
 
 
+def _long(words: Words, order: int, keys: np.ndarray, counts: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams longer than pairs, their counts here, and whether other blocks can hold them: they do hold all their pairs."""
+    names, _, starts = _grams(words, PAIRS + 1, order)
+    pairs = window_starts(words.first, PAIRS)[0]
+    at = np.searchsorted(keys, window_names(words.names, pairs, PAIRS))
+    elsewhere = np.zeros(len(words), bool)
+    elsewhere[pairs] = total[at] > counts[at]
+    able = np.concatenate([np.logical_and.reduce([elsewhere[s + i] for i in range(n - 1)]) for n, s in enumerate(starts, PAIRS + 1)])
+    distinct, here = np.unique(names, return_counts=True)
+    asked = np.zeros(len(distinct), bool)
+    asked[np.searchsorted(distinct, names[able])] = True
+    return distinct, here, asked
+
+
 def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The sum of the counts of equal keys, for each entry."""
     order, group = groups_of(keys)
@@ -47,9 +65,8 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _others(words: Words, replies: pa.Table, order: int, buckets: int, leave_out: bool) -> tuple[list[np.ndarray], int]:
-    """For each order, how often the n-gram from each word on occurs in other documents, by word (0 where none starts); corpus size."""
-    names, owner, starts = _grams(words, order)
+def _left(names: np.ndarray, owner: np.ndarray, total: np.ndarray, leave_out: bool) -> np.ndarray:
+    """For each n-gram its total, given by sorted distinct name, less the count in its own document."""
     by = np.argsort(names, kind="stable")  # texts stay in order inside equal names
     k, o = names[by], owner[by]
     new = np.ones(len(k), bool)
@@ -58,14 +75,28 @@ def _others(words: Words, replies: pa.Table, order: int, buckets: int, leave_out
     pair[1:] |= o[1:] != o[:-1]
     heads = np.flatnonzero(pair)
     own = np.repeat(np.diff(np.append(heads, len(k))), np.diff(np.append(heads, len(k))))
-    distinct = k[new]
-    asked = np.insert(distinct, np.searchsorted(distinct, EVERYTHING[0]), EVERYTHING)
-    total = read_replies(replies, asked, buckets, COUNTS)
-    size = int(total[np.searchsorted(asked, EVERYTHING[0])])
-    total = np.delete(total, np.searchsorted(asked, EVERYTHING[0]))
     left = np.empty(len(k), np.int64)
     left[by] = total[np.cumsum(new) - 1] - (own if leave_out else 0)
-    out, at = [], 0
+    return left
+
+
+def _others(words: Words, replies: pa.Table, order: int, buckets: int, leave_out: bool) -> tuple[list[np.ndarray], int]:
+    """For each order, how often the n-gram from each word on occurs in other documents, by word (0 where none starts); corpus size."""
+    first, second = (replies.filter(test(replies["bucket"], buckets)) for test in (pc.less, pc.greater_equal))
+    keys, counts = _short(words, order)
+    total = read_replies(first, keys, buckets, COUNTS)
+    place = np.searchsorted(keys, EVERYTHING[0])
+    size = int(total[place])
+    names, owner, starts = _grams(words, 1, min(order, PAIRS))
+    left = [_left(names, owner, np.delete(total, place), leave_out)]
+    if order > PAIRS:
+        distinct, whole, asked = _long(words, order, keys, counts, total)  # what no other block holds occurs here only
+        second = second.set_column(second.schema.get_field_index("bucket"), "bucket", pc.subtract(second["bucket"], buckets))
+        whole[asked] = read_replies(second, distinct[asked], buckets, COUNTS)
+        names, owner, more = _grams(words, PAIRS + 1, order)
+        left.append(_left(names, owner, whole, leave_out))
+        starts += more
+    left, out, at = np.concatenate(left), [], 0
     for s in starts:
         here = np.zeros(len(words), np.int64)
         here[s] = left[at : at + len(s)]
@@ -114,20 +145,30 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), "text")
     deal = deal_for(rows, block_chars=BLOCK_CHARS, bucket_keys=BUCKET_KEYS)
-    buckets, size = deal.buckets, whole_bytes(deal.buckets)
+    buckets = deal.buckets
+
+    def ask_short(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        keys, counts = _short(words_of(t["text"]), order)
+        return ask_rows(key[0].as_py(), keys, buckets, None, counts, COUNTS)
 
-    def asks(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        keys, counts = _ask(t, order)
-        return ask_rows(key[0].as_py(), keys, buckets, size, counts, COUNTS)
+    def ask_long(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
+        words = words_of(t["text"])
+        keys, counts = _short(words, order)
+        distinct, here, asked = _long(words, order, keys, counts, read_replies(replies, keys, buckets, COUNTS))
+        return ask_rows(key[0].as_py(), distinct[asked], buckets, None, here[asked], COUNTS)
 
     def reply(t: pa.Table) -> pa.Table:
-        return answer_rows(t, size, _totals, COUNTS)
+        return answer_rows(t, None, _totals, COUNTS)
 
     def score(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         return _score(t, replies, order, alpha, buckets, leave_out)
 
     blocked = dealt(rows, deal)
-    return conclude(blocked, answers(ask(blocked, asks), reply), score, OUT)
+    replies = answers(ask(blocked, ask_short), reply).repartition(deal.partitions, "block")
+    if order > PAIRS:
+        longer = answers(conclude(blocked, replies, ask_long, ASKS), reply).repartition(deal.partitions, "block")
+        replies = replies.unionByName(longer.withColumn("bucket", F.col("bucket") + F.lit(buckets)))
+    return conclude(blocked, replies, score, OUT)
 
 
 @query("op7_lm_scoring")
