@@ -310,11 +310,24 @@ class Sums:
 def dense_products(batch: Batch, a: np.ndarray, d: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct sparse columns of the entries `a`, and the weighted sum of the dense rows `d` that each one meets.
 
-    Every entry meets all dense columns, so the entries go in stretches of a bounded number of values.
+    Every entry meets all dense columns, so the entries go in stretches of a bounded number of values: as a product of two dense blocks
+    for few distinct columns, which costs as much for any number of entries, and else one by one.
     """
-    order = a[np.argsort(batch.k[a], kind="stable")]
-    columns, place = np.unique(batch.k[order], return_inverse=True)
+    columns, place = np.unique(batch.k[a], return_inverse=True)
     lines = np.zeros((len(columns), d.shape[1]))
+    v = batch.v[a] * w[batch.row[a]]
+    # What is not finite must meet its own row only.
+    if 0 < len(columns) <= BLOCK_COLUMNS and np.isfinite(v).all() and np.isfinite(d).all():
+        rows, line = np.unique(batch.row[a], return_inverse=True)  # entries come by row
+        step = max(1, BLOCK_VALUES // len(columns))
+        for low in range(0, len(rows), step):
+            some = slice(*np.searchsorted(line, (low, low + step)))
+            x = np.zeros((min(step, len(rows) - low), len(columns)))
+            np.add.at(x, (line[some] - low, place[some]), v[some])
+            lines += x.T @ d[rows[low : low + step]]
+        return columns.astype(np.int64), lines
+    order = a[np.argsort(batch.k[a], kind="stable")]
+    place = np.searchsorted(columns, batch.k[order])
     step = max(1, BLOCK_VALUES // d.shape[1])
     for low in range(0, len(order), step):
         some, to = order[low : low + step], place[low : low + step]
