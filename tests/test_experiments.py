@@ -498,3 +498,17 @@ def test_prediction_validation(spark):
     for other in ([(1,)], [(1,), (2,), (3,)]):
         with pytest.raises(ValueError, match="match"):
             sinks.validate_predictions(good, spark.createDataFrame(other, "session long"))
+
+
+def test_only_what_the_blocks_read_is_parsed(spark):
+    heads = spark.createDataFrame([(1, 0, 1, "Relbos wins industry award"), (1, 1, 2, "Relbos delays product launch")], "session long, bar_ix int, pos long, headline string")
+    bars = spark.createDataFrame([(1, 0, 1.0, 1.0, 1.0, 1.0)], "session long, bar_ix int, open double, high double, low double, close double")
+    inputs = Inputs(bars, heads, bars.select("session"))
+    fm = build_feature_matrix([FeatureSpec("headline_tfidf", {"min_df": 1}, "tf")], inputs)
+    assert set(inputs.news.parsed.columns) == {"session", "pos", "body"}
+    assert "wins_industry" in {r["term"] for r in fm.texts["tf"].counts.collect()}
+    build_feature_matrix([FeatureSpec("headline_sequence")], inputs)  # reads more: all is parsed again
+    assert {"polarity", "event_text_normalized"} <= set(inputs.news.parsed.columns)
+    inputs = Inputs(bars, heads, bars.select("session"))
+    build_feature_matrix([FeatureSpec("headline_parser")], inputs)
+    assert "polarity" in inputs.news.parsed.columns and "headline_normalized" not in inputs.news.parsed.columns

@@ -314,3 +314,22 @@ def test_lists_take_the_first_entry_that_fits(spark):
         assert row["rule"] == min(fits, default=0) and (rule is None or row["rule"] == rule)
         assert row["verb"] == (None if text is None else "unknown" if not text else next((p.replace(" ", "_") for p in lexicon.VERB_PHRASES if text.startswith(p)), text.split(" ")[0]))
         assert row["word"] == ("wins" if text == "wins" else "none")
+
+
+def test_aggregates_of_parsed_headlines_run_in_bounded_tasks(spark, monkeypatch):
+    from tickloom import session
+
+    rows = [(i % 3, i % 7, i, f"Relbos wins award {i}") for i in range(400)]
+    news = News(spark.createDataFrame(rows, "session long, bar_ix int, pos long, headline string").coalesce(1))
+    monkeypatch.setattr(session, "TASK_ROWS", 40)
+    sizes = [r["count"] for r in news.spread.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 5 and max(sizes) < 120
+
+
+@pytest.mark.parametrize("part", [None, 1])
+def test_seams_of_documents_with_null_keys(spark, part):
+    rows = [(None, 0, "a b"), (None, part, "c d"), (2, 0, "e f"), (2, 1, ""), (2, 2, "g"), (3, 0, "h i")]
+    parts = spark.createDataFrame(rows, "session long, part long, text string")
+    got = {(r["session"], r["term"]) for r in tfidf.term_counts(parts, ["session"], 2).collect() if "_" in r["term"]}
+    assert got >= {(None, "a_b"), (None, "c_d"), (2, "e_f"), (2, "f_g"), (3, "h_i")}
+    assert ((None, "b_c") in got) == (part == 1)

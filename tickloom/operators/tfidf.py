@@ -8,6 +8,8 @@ Terms are n-grams of lower-case alphanumeric tokens. Counting is a map-side-comb
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -100,10 +102,13 @@ def term_counts(
     keys = list(keys)
     tokenized = parts.select(
         *keys, *([] if single_part else ["part"]), alnum_tokens(F.coalesce("text", F.lit(""))).alias("tokens")
-    ).where(F.size("tokens") > 0)
+    )
     terms = tokenized.select(*keys, F.explode(ngrams(F.col("tokens"), ngram_max)).alias("term"))
     if ngram_max > 1 and not single_part:
-        terms = terms.unionByName(_edge_ngrams(tokenized, keys, ngram_max))
+        # Only documents of several parts have seams; the others' texts are not tokenized again.
+        several = parts.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__parts")).where("__parts > 1")
+        same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+        terms = terms.unionByName(_edge_ngrams(tokenized.where(F.size("tokens") > 0).join(several, same, "left_semi"), keys, ngram_max))
     if only is not None:
         terms = terms.join(F.broadcast(only) if only.count() <= BROADCAST_ROWS else only, "term", "left_semi")
     return terms.groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n"))

@@ -45,10 +45,20 @@ class Inputs:
     bars: DataFrame
     headlines: DataFrame
     sessions: DataFrame
+    columns: tuple[str, ...] | None = None  # of the parsed headlines, all if None
 
     @cached_property
     def news(self) -> News:
-        return News(matrix.restrict(self.headlines, self.sessions))
+        return News(matrix.restrict(self.headlines, self.sessions), self.columns)
+
+    def parse_for(self, specs: Sequence[FeatureSpec]) -> None:
+        """Parse only what the blocks read. Headlines parsed for fewer columns are parsed again, all columns."""
+        wanted = parsed_columns(specs)
+        if "news" not in self.__dict__:
+            self.columns = wanted
+        elif self.columns is not None and (wanted is None or not set(wanted) <= set(self.columns)):
+            self.columns = None
+            del self.__dict__["news"]
 
     @cached_property
     def seen(self) -> DataFrame:
@@ -61,7 +71,7 @@ def headline_features(i: Inputs, with_bars: bool = True) -> DataFrame:
     The weighted category sums that go with them are `Inputs.news.category_sums`.
     """
     out = i.news.text_features().join(
-        sequence.sequence_features(i.news.parsed, i.news.cells), "session", "left"
+        sequence.sequence_features(i.news.spread, i.news.cells), "session", "left"
     )
     if with_bars:
         reactions = reaction.reaction_features(i.news.cells, i.news.relevance, i.seen)
@@ -87,7 +97,7 @@ BLOCKS: dict[str, Callable[[Inputs, dict], DataFrame | None]] = {
     "price": lambda i, p: price.price_block(i.seen),
     "price_technical": lambda i, p: price.technical_block(i.seen),
     "headline_parser": lambda i, p: headline_features(i),
-    "headline_sequence": lambda i, p: sequence.sequence_features(i.news.parsed, i.news.cells),
+    "headline_sequence": lambda i, p: sequence.sequence_features(i.news.spread, i.news.cells),
     "headline_regime_context": _regime,
     "headline_tfidf": lambda i, p: _numeric_part(i, p, company=False),
     "headline_company_tfidf": lambda i, p: _numeric_part(i, p, company=True),
@@ -97,6 +107,24 @@ BLOCKS: dict[str, Callable[[Inputs, dict], DataFrame | None]] = {
 TEXT_BLOCKS = ("headline_tfidf", "headline_company_tfidf")
 
 
+# What documents and features read of the parsed headlines. Texts for vectors are not among it.
+DOCUMENT_COLUMNS = ("session", "pos", "headline", "company", "body", "event_family")
+FEATURE_COLUMNS = (
+    *DOCUMENT_COLUMNS, "bar_ix", "verb_family", "topic", "geography", "counterparty", "amount_m", "pct", "polarity", "has_amount", "has_pct"
+)
+
+
+def parsed_columns(specs: Sequence[FeatureSpec]) -> tuple[str, ...] | None:
+    """Columns of the parsed headlines that the blocks read; None, for all, with a caller's own block among them."""
+    if any(s.build for s in specs):
+        return None
+    news = [s for s in specs if s.name.startswith("headline_")]
+    if all(s.name == "headline_tfidf" and not s.params.get("include_numeric", False) for s in news):
+        read = {str(s.params.get("text_source", "body")) for s in news}
+        return tuple(c for c in DOCUMENT_COLUMNS if c in ("session", "pos") or c in read or (c in ("company", "body") and "company_body" in read))
+    return FEATURE_COLUMNS
+
+
 def has_categories(spec: FeatureSpec) -> bool:
     """Whether weighted category sums belong to a block."""
     if spec.build:
@@ -172,6 +200,7 @@ def check_specs(specs: Sequence[FeatureSpec]) -> None:
 def build_feature_matrix(specs: Sequence[FeatureSpec], inputs: Inputs) -> FeatureMatrix:
     """All blocks side by side on the session spine, named alias__column, nulls 0; category columns are not among them."""
     check_specs(specs)
+    inputs.parse_for(specs)
     blocks, columns, texts = [], {}, {}
     for spec in specs:
         alias = spec.resolved_alias

@@ -6,6 +6,7 @@ again, so the parsed events, their cells and the company table are written to th
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -21,16 +22,25 @@ MAX_WIDE = 1000  # category columns of a wide table
 
 @dataclass
 class News:
+    """`columns` are those of the parsed table that are wanted, all if None: the others are neither computed nor written."""
+
     headlines: DataFrame
+    columns: Sequence[str] | None = None
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return materialize(parsed_events(self.headlines), "events")
+        events = parsed_events(self.headlines)
+        return materialize(events if self.columns is None else events.select(*[c for c in events.columns if c in self.columns]), "events")
+
+    @cached_property
+    def spread(self) -> DataFrame:
+        """`parsed` in tasks of a bounded number of rows, for aggregates nearly as fine as the headlines."""
+        return dealt(self.parsed, [c for c in ("session", "bar_ix", "pos") if c in self.parsed.columns])
 
     @cached_property
     def cells(self) -> DataFrame:
         """Cells of the parsed headlines; without a parsed table they come straight from the headlines, and no text is written."""
-        parsed = dealt(self.parsed, [c for c in ("session", "bar_ix", "pos") if c in self.parsed.columns]) if "parsed" in self.__dict__ else parsed_events(self.headlines)
+        parsed = self.spread if "parsed" in self.__dict__ else parsed_events(self.headlines)
         return materialize(event_cells(parsed), "cells")
 
     @cached_property
@@ -42,7 +52,7 @@ class News:
 
     @cached_property
     def companies(self) -> DataFrame:
-        return materialize(company_session(self.parsed, self.cells), "companies")
+        return materialize(company_session(self.spread, self.cells), "companies")
 
     @cached_property
     def scored(self) -> DataFrame:
