@@ -55,16 +55,16 @@ def vector_block(news: News, table: DataFrame, block: VectorBlock, dims: int, ba
     if block.include_price_interactions and bars is None:
         raise ValueError("Price interactions need bars.")
     if block.aggregation == "session":
-        out = vectors.session_vectors(news.parsed, table, block.text_source, dims)
+        out = vectors.session_vectors(news.spread, table, block.text_source, dims)
     else:
-        out = vectors.company_weighted_vectors(news.parsed, news.relevance, table, block.text_source, dims)
+        out = vectors.company_weighted_vectors(news.spread, news.relevance, table, block.text_source, dims)
     if block.include_structured_features:
         out = out.join(news.wide_text_features(), "session", "left")
     elif block.include_relevance_summary and block.aggregation == "company_weighted":
         relevance = summary.relevance_summary(news.scored).select("session", *RELEVANCE_SUMMARY)
         out = out.join(relevance, "session", "left")
     if block.include_sequence_features:
-        out = out.join(sequence.sequence_features(news.parsed, news.cells), "session", "left")
+        out = out.join(sequence.sequence_features(news.spread, news.cells), "session", "left")
     if block.include_price_interactions:
         out = out.join(reaction.reaction_features(news.cells, news.relevance, bars), "session", "left")
     return out.na.fill(0.0)
