@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tests.llm.fixtures import edge_docs, empty_docs, random_docs
 from tickloom.llm import blocks, crf, decontaminate, language_id, lm_score, mixing, ngram_join, sharding, substring_dedup, token_counts, topk, toxicity
+from tickloom.llm import words as words_module
 from tickloom.llm.prefix import hash_key, sums_before
-from tickloom.llm.words import window_names, window_starts, words_of
+from tickloom.llm.words import mixed, window_names, window_starts, words_of
 
 BLANK = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -505,6 +506,37 @@ def test_blocks_ask_only_for_longer_ngrams_that_others_can_hold(spark, monkeypat
     assert here.tolist() == [1] * len(distinct) and asked.sum() == {3: 2, 4: 3}[order]
 
 
+def test_a_step_over_a_block_names_its_words_once(monkeypatch):
+    texts = pa.array([f"w{i % 7} v{i % 11} u{i} shared run" for i in range(300)])
+    named, plain = [], words_module.range_names
+    monkeypatch.setattr(words_module, "range_names", lambda values, *rest: named.append(len(values)) or plain(values, *rest))
+    words = words_of(texts)
+    keys, counts = lm_score._short(words, 3)
+    lm_score._long(words, 3, keys, counts, counts + 1)
+    assert named.count(len(words.data)) == 1  # was 3, and 5 in the step that scores
+    none = pa.table({"block": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "reply": pa.array([], pa.binary())})
+    docs = pa.table({"doc_id": pa.array(range(300)), "tag": pa.array(range(300)), "text": texts})
+    lm_score._score(docs, none, 3, 0.4, 4, True)
+    assert named.count(len(words.data)) == 2
+
+
+@pytest.mark.parametrize("low", [0, 1, 5, 2**63])
+def test_names_in_order_are_exact_and_stable(low):
+    draw = np.random.default_rng(3)
+    names = draw.integers(low, low + 40, 5_000, dtype=np.uint64)  # all share their upper bits
+    for n in (names, names[:1], names[:0], draw.permutation(np.append(mixed(names), names))):
+        by, ordered = lm_score._ordered(n)
+        assert by.tolist() == np.argsort(n, kind="stable").tolist() and ordered.tolist() == sorted(n.tolist())
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5])
+def test_windows_of_few_words_have_the_names_of_long_ones(width):
+    words = words_of(pa.array(["a b c d e f a b c d e", None, "b c d e f", "a"]))
+    starts = window_starts(words.first, width)[0]
+    want = words_module.range_names(words.names, starts, starts + width, words_module._BASE)
+    assert window_names(words.names, starts, width).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("n", [1, 3, 1000, 300_000])
 def test_names_as_steps_are_whole_and_short(n):
     keys = np.unique(np.random.default_rng(n).integers(0, 2**64, n, dtype=np.uint64))

@@ -11,6 +11,8 @@ frequent n-gram.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,18 +43,21 @@ def _short(words: Words, order: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, counts
 
 
+def _with_pairs(words: Words, starts: list[np.ndarray], pairs: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """For the n-grams longer than pairs, whether all their pairs have the flag."""
+    here = np.zeros(len(words), bool)
+    here[pairs] = flags
+    return np.concatenate([np.logical_and.reduce([here[s + i] for i in range(n - 1)]) for n, s in enumerate(starts, PAIRS + 1)])
+
+
 def _long(words: Words, order: int, keys: np.ndarray, counts: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct n-grams longer than pairs, their counts here, and whether other blocks can hold them: they do hold all their pairs."""
+    """The distinct n-grams longer than pairs that other blocks can hold, for they hold all their pairs; their counts here; for each n-gram, whether it is one."""
     names, _, starts = _grams(words, PAIRS + 1, order)
     pairs = window_starts(words.first, PAIRS)[0]
-    at = np.searchsorted(keys, window_names(words.names, pairs, PAIRS))
-    elsewhere = np.zeros(len(words), bool)
-    elsewhere[pairs] = total[at] > counts[at]
-    able = np.concatenate([np.logical_and.reduce([elsewhere[s + i] for i in range(n - 1)]) for n, s in enumerate(starts, PAIRS + 1)])
-    distinct, here = np.unique(names, return_counts=True)
-    asked = np.zeros(len(distinct), bool)
-    asked[np.searchsorted(distinct, names[able])] = True
-    return distinct, here, asked
+    by, ordered = _ordered(window_names(words.names, pairs, PAIRS))
+    at = np.searchsorted(keys, ordered)  # several times faster in order
+    able = _with_pairs(words, starts, pairs[by], total[at] > counts[at])
+    return *np.unique(names[able], return_counts=True), able
 
 
 def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -65,36 +70,79 @@ def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _left(names: np.ndarray, owner: np.ndarray, total: np.ndarray, leave_out: bool) -> np.ndarray:
-    """For each n-gram its total, given by sorted distinct name, less the count in its own document."""
-    by = np.argsort(names, kind="stable")  # texts stay in order inside equal names
-    k, o = names[by], owner[by]
-    new = np.ones(len(k), bool)
-    new[1:] = k[1:] != k[:-1]
-    pair = new.copy()
-    pair[1:] |= o[1:] != o[:-1]
-    heads = np.flatnonzero(pair)
-    own = np.repeat(np.diff(np.append(heads, len(k))), np.diff(np.append(heads, len(k))))
-    left = np.empty(len(k), np.int64)
-    left[by] = total[np.cumsum(new) - 1] - (own if leave_out else 0)
-    return left
+def _ordered(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of the names, and the names in it.
+
+    Sorts numbers made of a name's upper bits and its place, several times faster than an argsort of names; where
+    different names share those bits and come out of order, there is one.
+    """
+    bits = len(names).bit_length()
+    packed = names >> np.uint64(bits) << np.uint64(bits) | np.arange(len(names), dtype=np.uint64)
+    packed.sort()
+    by = (packed & np.uint64((1 << bits) - 1)).astype(np.int64)
+    ordered = names[by]
+    if (ordered[1:] < ordered[:-1]).any():
+        by = np.argsort(names, kind="stable")
+        ordered = names[by]
+    return by, ordered
+
+
+@dataclass
+class Sorted:
+    """N-grams in the stable order of their names: their places, the number of each one's name, the distinct names and their counts."""
+
+    by: np.ndarray
+    group: np.ndarray
+    keys: np.ndarray
+    counts: np.ndarray
+
+    def placed(self, values: np.ndarray) -> np.ndarray:
+        """Values in the order of the names, in the order of the n-grams."""
+        out = np.empty(len(values), values.dtype)
+        out[self.by] = values
+        return out
+
+    def left(self, owner: np.ndarray, total: np.ndarray, leave_out: bool) -> np.ndarray:
+        """For each n-gram its total, given by distinct name, less the count in its own document."""
+        if not leave_out:
+            return self.placed(total[self.group])
+        o = owner[self.by]  # texts stay in order inside equal names
+        first = np.ones(len(o), bool)
+        first[1:] = (self.group[1:] != self.group[:-1]) | (o[1:] != o[:-1])
+        own = np.diff(np.append(np.flatnonzero(first), len(o)))
+        return self.placed(total[self.group] - np.repeat(own, own))
+
+
+def _sorted(names: np.ndarray) -> Sorted:
+    by, ordered = _ordered(names)
+    new = np.ones(len(ordered), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    heads = np.flatnonzero(new)
+    return Sorted(by, np.cumsum(new) - 1, ordered[heads], np.diff(np.append(heads, len(ordered))))
 
 
 def _others(words: Words, replies: pa.Table, order: int, buckets: int, leave_out: bool) -> tuple[list[np.ndarray], int]:
     """For each order, how often the n-gram from each word on occurs in other documents, by word (0 where none starts); corpus size."""
     first, second = (replies.filter(test(replies["bucket"], buckets)) for test in (pc.less, pc.greater_equal))
-    keys, counts = _short(words, order)
-    total = read_replies(first, keys, buckets, COUNTS)
-    place = np.searchsorted(keys, EVERYTHING[0])
-    size = int(total[place])
     names, owner, starts = _grams(words, 1, min(order, PAIRS))
-    left = [_left(names, owner, np.delete(total, place), leave_out)]
+    short = _sorted(np.append(names, EVERYTHING))
+    total = read_replies(first, short.keys, buckets, COUNTS)
+    size = int(total[np.searchsorted(short.keys, EVERYTHING[0])])
+    left = [short.left(np.append(owner, -1), total, leave_out)[:-1]]
     if order > PAIRS:
-        distinct, whole, asked = _long(words, order, keys, counts, total)  # what no other block holds occurs here only
-        second = second.set_column(second.schema.get_field_index("bucket"), "bucket", pc.subtract(second["bucket"], buckets))
-        whole[asked] = read_replies(second, distinct[asked], buckets, COUNTS)
+        pairs, of_pairs = starts[PAIRS - 1], slice(len(names) - len(starts[PAIRS - 1]), len(names))
+        elsewhere = short.placed((total > short.counts)[short.group])[of_pairs]
         names, owner, more = _grams(words, PAIRS + 1, order)
-        left.append(_left(names, owner, whole, leave_out))
+        able = _with_pairs(words, more, pairs, elsewhere)
+        near = np.flatnonzero(_with_pairs(words, more, pairs, left[0][of_pairs] > 0))  # the rest has a pair that counts nowhere
+        long = _sorted(names[near])
+        asked = np.zeros(len(long.keys), bool)
+        asked[long.group[able[near][long.by]]] = True
+        whole = long.counts  # what no other block holds occurs here only
+        second = second.set_column(second.schema.get_field_index("bucket"), "bucket", pc.subtract(second["bucket"], buckets))
+        whole[asked] = read_replies(second, long.keys[asked], buckets, COUNTS)
+        left.append(np.zeros(len(names), np.int64))
+        left[1][near] = long.left(owner[near], whole, leave_out)
         starts += more
     left, out, at = np.concatenate(left), [], 0
     for s in starts:
@@ -154,8 +202,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, leave_ou
     def ask_long(key: tuple[pa.Scalar, ...], t: pa.Table, replies: pa.Table) -> pa.Table:
         words = words_of(t["text"])
         keys, counts = _short(words, order)
-        distinct, here, asked = _long(words, order, keys, counts, read_replies(replies, keys, buckets, COUNTS))
-        return ask_rows(key[0].as_py(), distinct[asked], buckets, None, here[asked], COUNTS)
+        distinct, here, _ = _long(words, order, keys, counts, read_replies(replies, keys, buckets, COUNTS))
+        return ask_rows(key[0].as_py(), distinct, buckets, None, here, COUNTS)
 
     def reply(t: pa.Table) -> pa.Table:
         return answer_rows(t, None, _totals, COUNTS)

@@ -7,6 +7,7 @@ polynomial hashes over the ring of integers modulo 2^64, finished by an avalanch
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_VALUES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE, _BASE_WIDE = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F
+SHORT_WINDOW = 4
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """Every input bit reaches every output bit (the finisher of the public SplitMix64 generator)."""
     with np.errstate(over="ignore"):
-        x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-        return x ^ (x >> _U(31))
+        x = x ^ (x >> _U(30))
+        x *= _U(0xBF58476D1CE4E5B9)
+        x ^= x >> _U(27)
+        x *= _U(0x94D049BB133111EB)
+        x ^= x >> _U(31)
+        return x
 
 
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +54,8 @@ def range_names(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base:
     up, down = _powers(base, len(values) + 1)
     with np.errstate(over="ignore"):
         total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], out=total[1:])
+        np.multiply(values, up[: len(values)], out=total[1:])
+        np.cumsum(total[1:], out=total[1:])
         return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _U(_BASE_WIDE))
 
 
@@ -70,7 +76,7 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
-    @property
+    @cached_property
     def names(self) -> np.ndarray:
         return range_names(_BYTE_VALUES[self.data], self.start, self.end)
 
@@ -116,6 +122,12 @@ def window_starts(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
 
 def window_names(names: np.ndarray, starts: np.ndarray, width: int, second: bool = False) -> np.ndarray:
     """Name of the `width` words from each start; `second` gives an independent name of the same words."""
+    if width <= SHORT_WINDOW and not second:  # the same names, without sums over all words
+        with np.errstate(over="ignore"):
+            total = names[starts]
+            for i in range(1, width):
+                total += names[starts + i] * _U(pow(_BASE, i, 2**64))
+            return mixed(total + _U(width * _BASE_WIDE % 2**64))
     return range_names(mixed(names ^ _U(0x5BD1E995)) if second else names, starts, starts + width, _BASE_WIDE if second else _BASE)
 
 
