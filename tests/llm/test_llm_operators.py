@@ -547,6 +547,14 @@ def test_names_as_steps_are_whole_and_short(n):
     assert n < 300_000 or sum(map(len, table["keys"].to_pylist())) < 6.3 * n  # whole names took 8 bytes here
 
 
+@pytest.mark.parametrize("n", [0, 1, 3, 3000])
+def test_counts_are_whole_and_short(n):
+    counts = np.random.default_rng(n).geometric(0.5, n).astype(np.int64)
+    assert n < 3000 or len(blocks.shortened(counts)) < 0.4 * n  # a byte each before
+    counts[: n // 2 : 40] = [255, 254, 2**40][n % 3]
+    assert blocks.lengthened(blocks.shortened(counts), n).tolist() == counts.tolist()
+
+
 def test_scores_edges(edge, empty):
     got = sorted((round(r.log_score, 3) for r in lm_score.backoff_scores(edge).collect()))
     assert got == pytest.approx(sorted(round(s, 3) for _, _, s in brute_scores(pairs_of(edge), 3, 0.4)), abs=2e-3)

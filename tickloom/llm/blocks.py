@@ -64,21 +64,23 @@ def unpack(blob: np.ndarray, size: int) -> np.ndarray:
     return out.view("<u8").reshape(-1)
 
 
-COUNTS = "counts"  # the kind of entries that are counts: most of them take one byte
+COUNTS = "counts"  # the kind of entries that are counts: most of them take less than a byte
 
 
 def shortened(counts: np.ndarray) -> bytes:
-    """One byte for each count, and eight more for those that do not fit."""
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    """One byte for each count, and eight more for those that do not fit; compressed, since most are small."""
+    plain = np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<i8").tobytes()
+    return len(plain).to_bytes(8, "little") + pa.compress(plain, "zstd", asbytes=True)
 
 
 def lengthened(blob: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(blob, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(blob, "<i8", offset=n)
+    plain = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    out = np.frombuffer(plain, np.uint8, n).astype(np.int64)
+    out[out == 255] = np.frombuffer(plain, "<i8", offset=n)
     return out
 
 
-GAP_BYTES = 5  # of a sorted key, so many low bytes are packed as they are; what is above them goes as steps, most of one byte
+GAP_BYTES = 5  # of a sorted key, so many low bytes are packed as they are; what is above them goes as steps, most of less than a byte
 
 
 def gapped(places: np.ndarray) -> bytes:
